@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, simhash
-from .common import table
+from . import decontaminate, lines, packing, quality, simhash, warc
+from .common import scratch_path, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,5 +22,27 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_decontaminate": op4_decontaminate, "op8_pack": op8_pack}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
+    )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc.write_warc(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_warc(spark, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_quality": op7_quality,
+    "op8_pack": op8_pack,
+    "op9_warc": op9_warc,
+    "op10_lines": op10_lines,
+}
 ORACLE_SQL: dict[str, str] = {}
