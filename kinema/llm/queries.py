@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, quality, simhash, warc
+from . import decontaminate, html, licences, lines, packing, quality, simhash, urls, warc
 from .common import scratch_path, table
 
 
@@ -37,9 +38,29 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")).drop("url")
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+#: Documents as files: a source is a tree of directories of a hundred, of ten, and of single documents.
+DOCUMENT_PATH = "concat_ws('/', source, cast(doc_id div 100 as string), cast(doc_id div 10 as string), cast(doc_id as string))"
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(DOCUMENT_PATH))
+    return licences.scan_licences(docs, keep=("doc_id",))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_urls": op2_urls,
+    "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
+    "op5_licences": op5_licences,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_warc": op9_warc,
