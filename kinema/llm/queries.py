@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, lines, packing, quality, simhash, urls, warc
+from . import decontaminate, html, licences, lines, packing, quality, simhash, suffix, urls, warc
 from .common import scratch_path, table
 
 
@@ -23,6 +23,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_html": op3_html,
     "op4_decontaminate": op4_decontaminate,
     "op5_licences": op5_licences,
+    "op6_suffix": op6_suffix,
     "op7_quality": op7_quality,
     "op8_pack": op8_pack,
     "op9_warc": op9_warc,
