@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import bisect
+import json
 import random
+import re
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,13 @@ from .common import append_columns, staged, utf8
 
 #: Chunks of text whose ids a Python worker remembers; beyond it the memory starts anew.
 MEMORY = 1_000_000
+#: How the tokenizer that goes by merge ranks splits words, and a byte that no UTF-8 text has.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORDS = regex.compile(WORD_PATTERN)
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
+END = b"\xff"
+#: Characters below this one are lower-cased and classed alike by all Unicode versions.
+LATIN_END = "\u0250"
 #: Items packed together; each such block wastes less than one sequence against the whole.
 BLOCK = 8192
 ISLANDS, POPULATION, GENERATIONS, ROUNDS = 2, 4, 6, 2
@@ -28,32 +39,61 @@ PIECE = T.StructType([
 ])
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts as little-endian 32-bit bytes, by way of remembered white-space-free chunks.
+class Chunks(dict):
+    """Token ids, as little-endian 32-bit bytes, of white-space-free chunks of UTF-8 text; made when first asked for.
 
-    The tokenizer's pre-tokeniser never joins text across white space, so a text's ids are those of its chunks in turn.
+    The tokenizer's pre-tokeniser must not join text across white space: a text's ids are then those of its chunks.
+    Chunks of Latin letters go by merge ranks where the tokenizer is a BPE whose merges are numbered in order and whose
+    words end in a suffix; all others go by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.ranks = self._ranks(json.load(f))
+
+    @staticmethod
+    def _ranks(spec: dict):
+        """A byte-pair encoder with END for the end of a word, or None if the file isn't of the kind described."""
+        model, pre = spec["model"], json.dumps(spec.get("pre_tokenizer"))
+        steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or json.dumps(WORD_PATTERN) not in pre or steps != ["NFC", "Replace", "Lowercase"]:
+            return None
+        vocab = model["vocab"]
+        pairs = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
+        order = [vocab[a + b] for a, b in pairs]
+        if order != sorted(order) or min(order) < 512:
+            return None
+        import tiktoken
+
+        # byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+        coded = lambda x: bytes(byte[c] for c in x.removesuffix("</w>")) + (END if x.endswith("</w>") else b"")
+        ranks = {coded(x): i for x, i in vocab.items() if all(c in byte for c in x.removesuffix("</w>"))}
+        ranks[END] = max(vocab.values()) + 1
+        return tiktoken.Encoding("chunks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.ranks is not None and (text.isascii() or max(text) < LATIN_END):
+            words = ASCII_WORDS.findall(text.lower()) if text.isascii() else WORDS.findall(unicodedata.normalize("NFC", text).lower())
+            ids = [i for w in words for i in self.ranks(w.encode() + END)]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        if len(self) >= MEMORY:
+            self.clear()
+        made = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+        return made
 
-    def ids(self, batch: list[bytes], end: int) -> list[bytes]:
-        chunks = [x.split() for x in batch]
-        new = list(set().union(*chunks) - self.known.keys()) if chunks else []
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(set().union(*chunks))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for chunk, made in zip(part, self.tokenizer.encode_batch([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(made.ids, "<u4").tobytes()
-        last, get = np.array([end], "<u4").tobytes(), self.known.__getitem__
-        return [b"".join(map(get, x)) + last for x in chunks]
+    def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.__getitem__, text.split()))
 
 
-_tokenizers: dict[str, ChunkTokenizer] = {}
+_tokenizers: dict[str, Chunks] = {}
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = 4096, end: int = 1) -> DataFrame:
@@ -64,13 +104,11 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """
 
     def run(batch: pa.RecordBatch) -> list:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = ChunkTokenizer(tokenizer)
-        out = []
-        for raw in _tokenizers[tokenizer].ids(utf8(batch.column(batch.schema.names.index("text"))), end):
+            _tokenizers[tokenizer] = Chunks(tokenizer)
+        chunks, last, out = _tokenizers[tokenizer], struct.pack("<I", end), []
+        for text in utf8(batch.column(batch.schema.names.index("text"))):
+            raw = chunks.ids(text) + last
             n = len(raw) // 4
             out.append([
                 {"piece": i, "start": at, "length": min(size, n - at), "ids_crc32": zlib.crc32(raw[4 * at : 4 * (at + size)])}
