@@ -73,6 +73,14 @@ def v_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of the labelled vectors, a third of them off, with confidence and margin."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("label").alias("true"), F.expr("cast((label + case when vec_id % 3 = 0 then vec_id % 10 else 0 end) % 10 as int)").alias("pred"),
+        (F.col("vec_id") % 97 / 97).alias("conf"), (F.col("vec_id") % 89 / 89).alias("margin"), (F.col("vec_id") % 5).alias("epoch"),
+    )
+
+
 #: The same views in SQL, in an order in which each needs earlier ones alone.
 VIEW_SQL = {
     "v_frames": """
@@ -97,6 +105,9 @@ VIEW_SQL = {
                case when l_partkey % 10 < 7 then 'train' when l_partkey % 10 < 9 then 'val' else '' end as split,
                l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 as row_num
         from lineitem""",
+    "v_pred": """
+        select vec_id as id, label as "true", cast((label + case when vec_id % 3 = 0 then vec_id % 10 else 0 end) % 10 as integer) as pred, vec_id % 97 / 97 as conf, vec_id % 89 / 89 as margin, vec_id % 5 as epoch
+        from embeddings""",
 }
 
 
