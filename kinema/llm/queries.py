@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, lines, packing, quality, simhash, suffix, urls, warc
+from . import decontaminate, html, licences, lines, oracle, packing, quality, simhash, suffix, urls, warc
 from .common import scratch_path, table
 
 
@@ -14,7 +14,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("spans")
 
 
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ QUERIES = {
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracle.ORACLE_SQL
