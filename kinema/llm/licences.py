@@ -32,7 +32,9 @@ FILE_SHARE = 0.5
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}.\-]+|[.\-]+(?=\s|$)"), lambda x: x != "")
+    """Lower-case words; dots and hyphens stay inside a word and go at its end."""
+    words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{Nd}.\-]+"), lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
+    return F.filter(words, lambda x: x != "")
 
 
 def template_vectors(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -88,7 +90,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     templates = TEMPLATES if templates is None else templates
     rows = files.select(*[F.col(c).alias(c) for c in keep], F.col(path).alias("__path"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     cued = F.filter(F.split("__text", "\n"), lambda x: x.rlike(CUE))
-    rows = rows.select(*keep, "__path", F.when(F.col("__text").rlike(CUE), F.transform(cued, lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))).otherwise(F.array()).cast("array<string>").alias("__notices"), F.size(F.split("__text", r"\s+")).alias("__words"))
+    rows = rows.select(*keep, "__path", F.when(F.col("__text").rlike(CUE), F.transform(cued, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).otherwise(F.array()).cast("array<string>").alias("__notices"), F.size(F.split("__text", r"[\x20\x09-\x0D]+")).alias("__words"))
     rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "licence-files")
     listed = rows.select("__row", F.explode("__notices").alias("notice"))
     found = staged(notice_licences(listed, templates), "licence-notices")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import lines, quality, warc
+from . import licences, lines, quality, warc
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -100,4 +100,29 @@ select doc_id, case when text is null then 0 else cast(len(ls) as bigint) end as
 from t left join gone using (doc_id)
 """
 
-ORACLE_SQL = {"op4_decontaminate": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_lines": OP10}
+def _tokens(text: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{Nd}}.\\-]+'), lambda w: regexp_replace(w, '[.\\-]+$', '')), lambda w: w <> '')"
+
+
+_N = len(licences.TEMPLATES)
+
+OP5 = f"""
+with tpl as (select * from (values {", ".join(f"({_text(k)}, {_text(v)})" for k, v in licences.TEMPLATES.items())}) x(licence, t)),
+tf as (select licence, token, count(*) as tf from (select licence, unnest({_tokens("t")}) as token from tpl) group by all),
+idf as (select token, ln({1 + _N} / (1 + count(*))) + 1 as idf from tf group by token), tw as (select licence, tf.token, tf * idf as w, idf from tf join idf using (token)),
+tn as (select licence, sqrt(sum(w * w)) as norm from tw group by licence), vec as (select tw.licence, token, w / norm as weight from tw join tn using (licence)),
+d as (select doc_id, source || '/' || doc_id // 100 || '/' || doc_id // 10 as dir, source || '/' || doc_id // 100 as up1, source as up2, coalesce(text, '') as t from documents),
+n as (select doc_id, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')) as notice from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, {_text(licences.CUE)})),
+nt as (select notice, token, count(*) as tf from (select notice, unnest({_tokens("notice")}) as token from (select distinct notice from n)) group by all),
+nw as (select notice, nt.token, tf * coalesce(idf, ln({(1 + _N) / 2}) + 1) as w from nt left join idf using (token)), nn as (select notice, sqrt(sum(w * w)) as norm from nw group by notice),
+dot as (select notice, licence, sum(w * weight) as dot from nw join vec using (token) group by all), near as (select notice, licence, round(dot / norm, 6) as cosine from dot join nn using (notice) where round(dot / norm, 6) >= {licences.LEAST_COSINE}),
+o as (select doc_id, licence, cosine, row_number() over (partition by doc_id order by cosine desc, licence) as rank from n join near using (notice)), own as (select doc_id, licence, cosine from o where rank = 1),
+c as (select doc_id, count(*) as n_notices, sum(len(string_split(notice, ' '))) as said from n group by doc_id),
+f as (select d.*, coalesce(n_notices, 0) as n_notices, coalesce(said, 0) > len(string_split_regex(t, '[\\x20\\x09-\\x0D]+')) * {licences.FILE_SHARE} as is_licence_file, own.licence, own.cosine from d left join c using (doc_id) left join own using (doc_id)),
+s as (select dir, licence, cosine from (select *, row_number() over (partition by dir order by cosine desc, licence) as rank from f where is_licence_file and licence is not null) where rank = 1),
+u as (select doc_id, unnest([dir, up1, up2, '']) as dir, unnest([0, 1, 2, 3]) as up from f where licence is null), h as (select doc_id, u.dir, s.licence, s.cosine, row_number() over (partition by doc_id order by up) as rank from u join s using (dir))
+select f.doc_id, f.dir || '/' || f.doc_id as path, coalesce(f.licence, h.licence) as licence, coalesce(f.cosine, h.cosine) as cosine, cast(n_notices as bigint) as n_notices, is_licence_file, h.dir as inherited_from
+from f left join h on h.doc_id = f.doc_id and h.rank = 1
+"""
+
+ORACLE_SQL = {"op5_licences": OP5, "op4_decontaminate": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_lines": OP10}
