@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import landmarks
+from ..functions import arrays, landmarks
+from ..functions.tables import chunk_table
 from ..operators import sets
 from .agg_queries import rounded
 from .registry import query
@@ -66,3 +67,45 @@ def tk8(spark, sf):
     li = table(spark, sf, "lineitem")
     values = lambda c: [r[0] for r in li.select(c).distinct().limit(100).collect()]  # noqa: E731  parameter lists are short
     return sets.expand_grid(spark, {"flag": values("l_returnflag"), "status": values("l_linestatus"), "k": [1, 2, 3]}).withColumn("k", F.col("k").cast("int"))
+
+
+@query("ar3_pose_reorder", "select event_id, [case when h1 then x end, score, null] as pose from v_frames")
+def ar3(spark, sf):
+    pose = F.array(F.col("score"), F.when(F.col("h1"), F.col("x")))
+    ids = lambda *v: F.array(*map(F.lit, v))
+    return v_frames(spark, sf).select("event_id", arrays.pose_reorder(pose, ids(11, 12), ids(12, 11, 13)).alias("pose"))
+
+
+@query("ar4_ar6_masks", """
+    select event_id, [case when h1 then x else 0 end, case when h1 then score else 0 end, case when h2 then x * 2 else 0 end, case when h2 then score * 2 else 0 end] as joints, [h1, h1, h2, h2] as mask, [h1 and score >= 0.3, h1 and score >= 0.3] as by_score from v_frames""")
+def ar4(spark, sf):
+    left, right = F.when(F.col("h1"), F.array("x", "score")), F.when(F.col("h2"), F.array(F.col("x") * 2, F.col("score") * 2))
+    joints, mask = arrays.combine_hands(left, right, 2)
+    return v_frames(spark, sf).select("event_id", joints.alias("joints"), mask.alias("mask"), arrays.mask_by_score(F.col("h1"), F.col("score"), 0.3, 2).alias("by_score"))
+
+
+@query("ar7_ar19_joints", "select event_id, case when h1 then x when occ then score end as wrist, [0.0::double, round(score - x, 6), round(x * 3 - score, 6)] as bones, [least(greatest(score + least(greatest(x / 100, -0.2), 0.2), 0), 1)::double] as shifted from v_frames")
+def ar7(spark, sf):
+    joints = F.array(F.col("x"), F.col("score"), F.col("x") * 3)
+    bones = arrays.bones(joints, F.array(F.lit(-1), F.lit(0), F.lit(1)))
+    return v_frames(spark, sf).select(
+        "event_id", arrays.wrist_fallback(F.when(F.col("h1"), F.col("x")), F.col("score"), F.col("occ"), False).alias("wrist"),
+        F.transform(bones, lambda b: F.round(b, 6)).alias("bones"), arrays.shift_to_reference(F.array("score"), F.col("x") / 100, F.lit(0.2)).alias("shifted"),
+    )
+
+
+@query("ar8_ar9_distances", """
+    with d as (select event_id, sqrt(pow(x, 2) + pow(score, 2)) as a, sqrt(pow(score * 9, 2) + 1) as b, x * 0.5 as c, sqrt(pow(x - score, 2) + pow(x * 2 - 3, 2)) as e, sqrt(pow(score - x, 2) + pow(1 - x, 2)) as f from v_frames)
+    select event_id, round(a + b + c - least(a, b, c) - greatest(a, b, c), 6) as scale, round((e + f) / 2, 6) as mean_l2 from d""")
+def ar8(spark, sf):
+    x, s, n = F.col("x"), F.col("score"), lambda v: F.lit(float(v))
+    scale = arrays.hand_scale(F.array(n(0), x, s * 9, x * 0.5), F.array(n(0), s, n(1), n(0)))
+    l2 = arrays.mean_l2(F.array(x, s), F.array(x * 2, n(1)), F.array(s, x), F.array(n(3), x))
+    return v_frames(spark, sf).select("event_id", F.round(scale, 6).alias("scale"), F.round(l2, 6).alias("mean_l2"))
+
+
+@query("ud3_chunk_table", """
+    with s as (select sample_id, count(*) as n from v_frames group by 1) select sample_id, cast(c as integer) as chunk_start, cast(c + 16 as integer) as chunk_end from (select sample_id, n, unnest(generate_series(0, n - 16, 8)) as c from s)""")
+def ud3(spark, sf):
+    s = v_frames(spark, sf).groupBy("sample_id").agg(F.count("*").cast("int").alias("n"))
+    return s.lateralJoin(chunk_table(F.lit(0), F.col("n").outer(), F.lit(16), F.lit(8))).select("sample_id", "chunk_start", "chunk_end")
