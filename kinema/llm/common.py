@@ -65,11 +65,20 @@ def append_columns(
             for part in slices(batch):
                 made = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(fn(part), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.names.index(c)) for c in stay] + made, names=stay + names)
+        pa.default_memory_pool().release_unused()  # the worker lives on and would keep it
 
+    small_batches(df.sparkSession)
     schema = T.StructType([df.schema[c] for c in stay] + fields)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Lower the session's rows in an Arrow batch to `rows`, as rows are whole texts and a batch is held in memory whole."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def slices(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into parts of about `most` bytes, of one row at least, so that work space follows the part, not the batch."""
     n = batch.num_rows

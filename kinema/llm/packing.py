@@ -9,9 +9,7 @@ import re
 import struct
 import unicodedata
 import zlib
-from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,7 +20,7 @@ from pyspark.sql import Window as W
 from .common import append_columns, staged, utf8
 
 #: Chunks of text whose ids a Python worker remembers; beyond it the memory starts anew.
-MEMORY = 1_000_000
+MEMORY = 300_000
 #: How the tokenizer that goes by merge ranks splits words, and a byte that no UTF-8 text has.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS = regex.compile(WORD_PATTERN)
@@ -48,10 +46,8 @@ class Chunks(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
             self.ranks = self._ranks(json.load(f))
 
@@ -83,12 +79,19 @@ class Chunks(dict):
             words = ASCII_WORDS.findall(text.lower()) if text.isascii() else WORDS.findall(unicodedata.normalize("NFC", text).lower())
             ids = [i for w in words for i in self.ranks(w.encode() + END)]
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.encode(text)
         if len(self) >= MEMORY:
             self.clear()
         made = self[chunk] = struct.pack(f"<{len(ids)}I", *ids)
         return made
 
+    def encode(self, text: str) -> list[int]:
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
@@ -216,16 +219,12 @@ STATE = T.StructType([
 
 
 def evolved(state: DataFrame, size: int, seed: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples():
-                lengths = [int(x) for x in r.lengths]
-                pool = evolve(lengths, size, [[int(k) for k in a] for a in r.population], hash((seed, r.block, r.island)))
-                rows.append((r.block, r.island, lengths, pool, max(pool[0], default=-1) + 1, least_bins(lengths, size)))
-            yield pd.DataFrame(rows, columns=STATE.names)
-
-    return state.select(STATE.names).mapInPandas(run, STATE)
+    def run(batch: pa.RecordBatch) -> list:
+        rows = batch.to_pylist()
+        pools = [evolve(r["lengths"], size, r["population"], hash((seed, r["block"], r["island"]))) for r in rows]
+        return [pools, [max(p[0], default=-1) + 1 for p in pools], [least_bins(r["lengths"], size) for r in rows]]
+
+    return append_columns(state, STATE.fields[3:], run, STATE.names[:3])
 
 
 def pack(items: DataFrame, uid: str = "uid", length: str = "length", size: int = 4096, block: int = BLOCK) -> DataFrame:

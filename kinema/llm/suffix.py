@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, slices, staged, utf8
+from .common import append_columns, slices, small_batches, staged, utf8
 
 #: Length in bytes of the strings that are removed where they occur again. A multiple of SYMBOL.
 SPAN = 100
@@ -279,6 +279,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
             for part in slices(batch, 4 << 20):
                 yield _anchor_rows(part.column(0).to_numpy(zero_copy_only=False), utf8(part.column(1)))
 
+    small_batches(rows.sparkSession)
     found = rows.select("key", "text").mapInArrow(anchor, ANCHORS)
     # a row that repeats another of its slice is settled; it is dealt out by its place, which no other row shares
     dealt = found.withColumn("k", F.when(F.col("dup"), F.xxhash64("doc", "at")).otherwise(F.col("h")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, staged
+from .common import slices, small_batches, staged
 
 #: Payloads under this many bytes are never replaced by a revisit record.
 LEAST_REVISIT = 100
@@ -118,6 +118,7 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
             done.append((f"{folder}/{path.rpartition('/')[2]}", size, n))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))], names=FILES.names)
 
+    small_batches(pages.sparkSession)
     return staged(rows.mapInArrow(run, FILES), "warc-files")
 
 
