@@ -19,8 +19,8 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _TABLE = bytes(0x20 if c in SEPARATORS else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-#: Windows in one automaton, about 200 bytes each on every executor. More windows are scanned in several blocks.
-WINDOWS_AT_ONCE = 500_000
+#: Windows, and bytes of their text, in one automaton, which every executor holds. More are scanned in several blocks.
+WINDOWS_AT_ONCE, BYTES_AT_ONCE = 500_000, 32 << 20
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -106,13 +106,14 @@ def decontaminate(
 
     A window is `size` consecutive words of an item (all its words if fewer); a document word inside any occurrence
     of a window is hit. spans are the hit ranges as character offsets of the original text. Windows are distinct and
-    collected in blocks of at most windows_at_once, which bounds what is broadcast; every block's automaton scans all
+    collected in blocks of about windows_at_once, or BYTES_AT_ONCE, which bounds what is broadcast; every block's automaton scans all
     documents, and hits are united. Null and empty texts have no words and no hits; an item without words has no
     windows; an item without an id marks words but is not listed; ids that occur twice count once. Repeated document
     rows stay. Extra columns of docs stay (keep names those that do); clashing ones give way to the computed.
     """
     windows = staged(windows_of(items, item_id, item_text, size), "windows")
-    blocks = max(1, -(-windows.count() // windows_at_once))
+    n, size_of = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    blocks = max(1, -(-n // windows_at_once), -(-size_of // BYTES_AT_ONCE))
     part = F.pmod(F.xxhash64("window"), F.lit(blocks))
     sc = docs.sparkSession.sparkContext
     scanners = [
