@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
+
 #: White space that separates words.
 SPACE = r"\x20\x09-\x0D"
 SYMBOLS = "#*$%&|<>"
@@ -113,58 +115,66 @@ def js_distance(p: Column, q: Column) -> Column:
     return _with(both, lambda x: F.when(x["a"].isNotNull() & x["b"].isNotNull(), distance(x)))
 
 
-def language_references(docs: DataFrame, text: str = "text", lang: str = "lang", common: list[str] = COMMON_WORDS) -> DataFrame:
-    """(lang, classes, words): histograms of all documents of each language label, null being a label of its own."""
-    words = words_of(F.col(text))
-    rows = docs.select(F.col(lang).alias("lang"), class_counts(F.col(text)).alias("c"), _with(words, lambda w: word_counts(w, common)).alias("w"))
-    n = len(common) + 1
-    sums = rows.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(6)], *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(n)])
-    return sums.select("lang", F.array(*[f"c{i}" for i in range(6)]).alias("classes"), F.array(*[f"w{i}" for i in range(n)]).alias("words"))
+MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def base_metrics(text: Column) -> Column:
-    """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words; a null text has no words."""
-    t = F.coalesce(text, F.lit(""))
-    return _with(
-        words_of(text),
-        lambda w: F.struct(
+def measured(docs: DataFrame, text: str, common: list[str], keep: list[str]) -> DataFrame:
+    """The columns in keep with __m, the counts of the base rules, and the histograms __classes and __words."""
+    t = F.coalesce(F.col(text), F.lit(""))
+
+    def counts(w: Column) -> Column:
+        return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-            _only(t, SYMBOLS).cast("long").alias("n_symbols"),
-            n_dup_lines(text).alias("n_dup_lines"),
+            n_dup_lines(t).alias("n_dup_lines"),
             n_repeat_words(w).alias("n_repeat_words"),
-            word_counts(w, COMMON_WORDS).alias("common"),
-        ),
-    )
+            F.length(t).cast("long").alias("n_chars"),
+            class_counts(t).alias("classes"),
+            word_counts(w, common).alias("words"),
+        )
+
+    return docs.select(*keep, _with(words_of(t), counts).alias("__m"))
 
 
-def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def language_histograms(rows: DataFrame, lang: str, n_common: int) -> DataFrame:
+    """(__lang, __classes, __words): sums over all measured documents of each language label, null being one of its own."""
+    sums = {"classes": 6, "words": n_common + 1}
+    cells = [F.sum(F.col(f"__m.{c}")[i]).alias(f"{c}{i}") for c, n in sums.items() for i in range(n)]
+    made = rows.groupBy(F.col(lang).alias("__lang")).agg(*cells)
+    return made.select("__lang", *[F.array(*[f"{c}{i}" for i in range(n)]).alias(f"__{c}") for c, n in sums.items()])
+
+
+def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, common: list[str] = COMMON_WORDS) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
     base_failed: under 10 words, or over a fifth of the words inside repeated five-word windows. Otherwise a document is
     dropped if its character classes, or these and its common words, lie too far from those of all documents of its
-    language; texts under LEAST_CHARS characters or LEAST_WORDS words are not measured that way and stay. Distances are null where not
-    measured. Null texts have no words and fail; a null language is a language of its own; repeated rows stay; the
-    computed columns replace columns of the same name; an empty table gives an empty result. Two scans, no shuffle of
-    documents: the references are one row for each language and broadcast while few.
+    language; texts under LEAST_CHARS characters or LEAST_WORDS words are not measured that way and stay. Distances are
+    null where not measured. Null texts have no words and fail; a null language is a language of its own; repeated rows
+    stay; the computed columns replace columns of the same name; an empty table gives an empty result.
+
+    keep names the input columns that stay (all by default). Texts are measured once: the counts are written with the
+    columns that stay, and both the languages' histograms and the verdicts come from that table without a shuffle of it;
+    the histograms are one row for each language and broadcast while few.
     """
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    refs = language_references(docs, text, lang).select(F.col("lang").alias("__lang"), F.col("classes").alias("__classes"), F.col("words").alias("__words"))
-    refs = refs.persist()
+    drop = [*MADE, "base_failed", "class_distance", "word_distance", "kept"]
+    stay = [c for c in (docs.columns if keep is None else keep) if c not in drop]
+    rows = staged(measured(docs.withColumn("__lang_of", F.col(lang)), text, common, [*stay, "__lang_of"]), "quality-counts")
+    refs = staged(language_histograms(rows, "__lang_of", len(common)), "quality-languages")
     if refs.count() <= BROADCAST_LANGS:
         refs = F.broadcast(refs)
-    drop = [*made, "base_failed", "class_distance", "word_distance", "kept"]
-    rows = docs.join(refs, docs[lang].eqNullSafe(F.col("__lang")), "left").withColumn("__m", base_metrics(F.col(text)))
     m = F.col("__m")
     failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
-    measured = ~failed & (F.length(text) >= LEAST_CHARS) & (m["n_words"] >= LEAST_WORDS)
-    rows = rows.withColumn("__d", F.struct(
-        F.when(measured, js_distance(class_counts(F.col(text)), F.col("__classes"))).alias("c"),
-        F.when(measured, js_distance(m["common"], F.col("__words"))).alias("w"),
-    ))
-    c, w = (F.round(F.coalesce(F.col("__d")[x], F.lit(0.0)), 6) for x in "cw")
-    far = (c > FAR_CLASSES) | ((c > ODD_CLASSES) & (w > ODD_WORDS))
-    return rows.select(
-        *[c for c in docs.columns if c not in drop], *[m[c].alias(c) for c in made], failed.alias("base_failed"),
-        F.round(F.col("__d")["c"], 6).alias("class_distance"), F.round(F.col("__d")["w"], 6).alias("word_distance"), (~failed & ~far).alias("kept"),
-    )
+    long = ~failed & (m["n_chars"] >= LEAST_CHARS) & (m["n_words"] >= LEAST_WORDS)
+    joined = rows.join(refs, F.col("__lang_of").eqNullSafe(F.col("__lang")), "left")
+    distance = {c: F.when(long, F.round(js_distance(m[c], F.col(f"__{c}")), 6)) for c in ("classes", "words")}
+    both = F.struct(distance["classes"].alias("c"), distance["words"].alias("w"))
+
+    def verdict(d: Column) -> Column:
+        c, w = F.coalesce(d["c"], F.lit(0.0)), F.coalesce(d["w"], F.lit(0.0))
+        far = (c > FAR_CLASSES) | ((c > ODD_CLASSES) & (w > ODD_WORDS))
+        return F.struct(d["c"].alias("class_distance"), d["w"].alias("word_distance"), (~failed & ~far).alias("kept"))
+
+    judged = joined.withColumn("__v", _with(both, verdict))
+    counts = {c: m[c] for c in MADE if c != "n_symbols"} | {"n_symbols": m["classes"][3]}
+    return judged.select(*stay, *[counts[c].alias(c) for c in MADE], failed.alias("base_failed"), "__v.*")

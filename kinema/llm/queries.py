@@ -28,9 +28,7 @@ def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_rules(table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
-    )
+    return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
