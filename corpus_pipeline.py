@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup, SimHash near-dedup, decontamination, packing; each on all that was kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing; each on all that was kept."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinema.llm import decontaminate, lines, packing, quality, simhash
+from kinema.llm import decontaminate, lines, near, packing, quality
 from kinema.llm.common import staged, table
 
 #: The tokenizer of the packed sequences.
@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest id."""
-    return simhash.near_dedup(docs)
+    return near.near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
