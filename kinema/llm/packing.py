@@ -42,14 +42,17 @@ class Chunks(dict):
 
     The tokenizer's pre-tokeniser must not join text across white space: a text's ids are then those of its chunks.
     Chunks of Latin letters go by merge ranks where the tokenizer is a BPE whose merges are numbered in order and whose
-    words end in a suffix; all others go by the tokenizer itself.
+    words end in a suffix; all others, and chunks that hold one of its added tokens, go by the tokenizer itself.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.path, self.tokenizer = path, None
         with open(path, encoding="utf-8") as f:
-            self.ranks = self._ranks(json.load(f))
+            spec = json.load(f)
+        self.ranks = self._ranks(spec)
+        added = [re.escape(x["content"]) for x in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)  # those that aren't special are found in lower-cased text
 
     @staticmethod
     def _ranks(spec: dict):
@@ -75,7 +78,7 @@ class Chunks(dict):
 
     def __missing__(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if self.ranks is not None and (text.isascii() or max(text) < LATIN_END):
+        if self.ranks is not None and (text.isascii() or max(text) < LATIN_END) and not self.added.search(text):
             words = ASCII_WORDS.findall(text.lower()) if text.isascii() else WORDS.findall(unicodedata.normalize("NFC", text).lower())
             ids = [i for w in words for i in self.ranks(w.encode() + END)]
         else:
