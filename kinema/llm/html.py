@@ -152,16 +152,22 @@ OCCURRENCE = T.ArrayType(T.StructType([
 ]))
 
 
-def occurrences(page: str) -> list[dict]:
-    """The page's tokens: start tags told apart by their path, and whole text blocks told apart by path and text."""
+def occurrences(page: str) -> tuple[list[dict], int | None]:
+    """The page's tokens, and a hash of the text in its article or main element, if any.
+
+    Tokens are start tags told apart by their path, and whole text blocks told apart by path and text.
+    """
     blocks, counts = blocks_of(page)
+    content: list[str] = []
     out = {token_id(p): {"token": token_id(p), "parent": token_id(p[:-1]), "n": n, "inside": _inside(p)} for p, n in counts.items()}
     for b in blocks:
         if text := block_text(b):
             i = token_id(b.path, text)
             row = out.setdefault(i, {"token": i, "parent": token_id(b.path), "n": 0, "inside": _inside(b.path)})
             row["n"] += 1
-    return list(out.values())
+            if _inside(b.path) and not b.apart:
+                content.append(text)
+    return list(out.values()), token_id((), "\x00".join(content)) if content else None
 
 
 def _inside(path: tuple[str, ...]) -> bool:
@@ -173,21 +179,23 @@ def host_of(url) -> F.Column:
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, tokens, focused): each host's template tokens that aren't main text by themselves, and whether it has an article.
+    """(host, tokens, focused): each host's template tokens, and whether it has an article.
 
     A token's occurrence vector holds its number of occurrences in each distinct page of the host. Tokens with equal
     vectors form a class, compared by a sum over pages that is taken in parts. A class is valid if it is frequent and
     all its members stand under template tokens, those of a class of its own or of one that it is nested in. Equal
-    pages of a host count once, so that copies don't make a template of their text. Host '' stands for all hosts.
+    pages of a host, and pages with equal text in their article or main elements, count once, so that copies don't make
+    a template of their text. Host '' stands for all hosts.
     """
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
     def run(batch: pa.RecordBatch) -> list:
-        return [[occurrences(x) for x in texts(batch.column(batch.schema.names.index("html")))]]
+        made = [occurrences(x) for x in texts(batch.column(batch.schema.names.index("html")))]
+        return [[x for x, _ in made], [x for _, x in made]]
 
     rows = rows.withColumn("page", F.xxhash64("html"))
-    seen = append_columns(rows, [T.StructField("tokens", OCCURRENCE)], run, ["host", "page"])
-    seen = staged(seen, "html-tokens")
+    seen = append_columns(rows, [T.StructField("tokens", OCCURRENCE), T.StructField("content", T.LongType())], run, ["host", "page"])
+    seen = staged(seen.select("host", F.coalesce("content", "page").alias("page"), "tokens"), "html-tokens")
     by_host = seen.select("host", "page", F.explode("tokens").alias("x")).select("host", "page", "x.*")
     both = by_host.unionByName(by_host.where("host <> ''").withColumn("host", F.lit("")))
     once = both.groupBy("host", "token", "parent", "page").agg(F.max("n").alias("n"), F.max("inside").alias("inside"))
@@ -201,7 +209,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     nested = frequent.join(parents, ["host", "parent"], "left").withColumn("under", F.col("outer").isNotNull() | (F.col("parent") == token_id(())))
     valid = nested.groupBy("host", "vector").agg(F.bool_and("under").alias("valid"), F.collect_set(F.struct("token", "inside")).alias("members")).where("valid")
     members = valid.select("host", F.explode("members").alias("m"))
-    return members.groupBy("host").agg(F.collect_set(F.when(~F.col("m.inside"), F.col("m.token"))).alias("tokens"), F.max("m.inside").alias("focused"))
+    return members.groupBy("host").agg(F.collect_set("m.token").alias("tokens"), F.max("m.inside").alias("focused"))
 
 
 def main_text(page: str, template: set[int], focused: bool) -> str:
@@ -213,7 +221,7 @@ def main_text(page: str, template: set[int], focused: bool) -> str:
         if b.apart or inside and not _inside(b.path):
             continue
         text = block_text(b)
-        if text and (inside or token_id(b.path, text) not in template):
+        if text and token_id(b.path, text) not in template:
             out.append(text)
     return " ".join(out)
 
@@ -223,7 +231,7 @@ def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", ou
 
     The host's deduced template (that of all hosts where it has fewer than LEAST_PAGES distinct pages) tells constant
     text from slots. Slots inside navigation, footers, asides, forms, adverts, notices, comments and the like are left
-    out; where a page has an article or main element, only slots inside it count, and they count whole. Character
+    out; where a page has an article or main element, only slots inside it count, without the template's text there. Character
     references are decoded, white space inside a block is one space, blocks are joined by one space. A null or empty
     html gives an empty text; broken and cut pages are read as far as they go; a null url or one without :// belongs to
     the template of all hosts. Repeated rows and extra columns stay, but for clashing names of the computed columns.
