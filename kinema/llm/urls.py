@@ -15,8 +15,6 @@ from .common import staged
 SUPPORT, CONFIDENCE, LIFT = 0.002, 0.8, 1.2
 #: Labelled URLs that hold a combination at least, whatever their share.
 LEAST_ROWS = 8
-#: Tokens of a URL that FP-growth looks at, the first ones; matching looks at all.
-FIT_TOKENS = 10
 #: Labelled URLs that FP-growth is fitted on at most, drawn by a hash of the URL.
 FIT_ROWS = 200_000
 #: Item that stands for a blocked URL among the tokens.
@@ -77,14 +75,13 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
 
     FP-growth finds the combinations that occur together with a block; a combination stays if it is confident and
     likelier blocked than any URL by `lift`, and if no combination of fewer of its tokens is as confident. It is fitted
-    on about fit_rows labelled URLs at most: all if there are fewer, else a share drawn by hash; of each the first
-    FIT_TOKENS tokens, as combinations double with every token.
+    on about fit_rows labelled URLs at most: all if there are fewer, else a share drawn by hash; of each on all tokens.
+    Combinations double with every token over the support that URLs share.
     """
     n = labelled.count()
     if n > fit_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("tokens", "url"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
-    some = F.slice("tokens", 1, FIT_TOKENS)
-    items = F.when(F.col("blocked"), F.concat(some, F.array(F.lit(BLOCKED)))).otherwise(some)
+    items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_ROWS / max(1, n))), minConfidence=confidence).fit(labelled.where(F.size("tokens") > 0).select(items.alias("items")))
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.col("lift") >= lift))
     found = staged(found.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("n", F.size("tokens")), "url-rules")
