@@ -17,7 +17,7 @@ from .graph import connected_components
 
 #: Fingerprints are cut into this many blocks of equal width; those at most 2 bits apart share all but 2 blocks.
 BLOCKS = 4
-#: Distinct fingerprints of one block key that are compared pair by pair; larger keys go by bit flips (exact as well).
+#: Distinct fingerprints of one block key that are compared at once; larger keys are split by further blocks.
 PAIRWISE = 64
 
 
@@ -53,60 +53,66 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp", width
     return append_columns(docs, [T.StructField(out, T.LongType())], run, keep)
 
 
-def _block_keys(fp, distance: int) -> list:
-    """Arrays of (which blocks, their bits) that two fingerprints within `distance` bits share at least once."""
-    width = 64 // BLOCKS
-    keys = []
-    for i, kept in enumerate(itertools.combinations(range(BLOCKS), BLOCKS - distance)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in kept)
-        signed = mask - (1 << 64) if mask >= 1 << 63 else mask
-        keys.append(F.struct(F.lit(i).alias("k"), fp.bitwiseAND(F.lit(signed).cast("long")).alias("bits")))
-    return keys
+def _masks(free: int, drop: int) -> list[int]:
+    """Masks of all choices of BLOCKS - drop of the BLOCKS equal blocks that the free bits (a count, a power of two) make."""
+    width = free // BLOCKS
+    return [sum(((1 << width) - 1) << (width * b) for b in kept) for kept in itertools.combinations(range(BLOCKS), BLOCKS - drop)]
+
+
+def _spread(mask: int, bits: int) -> int:
+    """The bits of a mask put, from the lowest on, at the places that are set in `bits`."""
+    places = [i for i in range(64) if bits >> i & 1]
+    return sum(1 << places[i] for i in range(len(places)) if mask >> i & 1)
+
+
+def _levels(distance: int) -> list[list[int]]:
+    """Masks of compared bits, level by level: those of level i + 1 add blocks of the bits that one of level i leaves.
+
+    Two fingerprints within `distance` bits that agree on a mask differ in that many of the bits it leaves at most, so
+    they agree on one of the masks below it as well.
+    """
+    every = (1 << 64) - 1
+    levels = [[0]]
+    while (free := 64 - levels[-1][0].bit_count()) >= BLOCKS:
+        levels.append([m | _spread(x, every & ~m) for m in levels[-1] for x in _masks(free, distance)])
+        if len(levels) > 3 or distance == 0:
+            break
+    return levels[1:]
 
 
 def near_links(fps: DataFrame, fp: str = "fp", distance: int = 2) -> DataFrame:
-    """Links (a, b), a < b, that join all distinct fingerprints at most `distance` (0 to 2) bits apart.
+    """Links (a, b), a < b, of all distinct fingerprints at most `distance` (0 to 2) bits apart.
 
-    Every fingerprint is listed under all choices of BLOCKS - distance of its BLOCKS blocks. Keys with up to PAIRWISE
-    fingerprints are joined with themselves and checked by Hamming distance. In a larger key, rows are listed under
-    themselves and all their single-bit neighbours: two rows at most two bits apart meet under one of these, rows that
-    meet are at most two bits apart, and each is linked to the smallest one there. So a hot key makes a number of rows
-    in proportion to its size, and no close pair falls out of a component.
+    Every fingerprint is listed under all choices of BLOCKS - distance of its BLOCKS blocks. Fingerprints of one key are
+    compared by Hamming distance. A key of over PAIRWISE of them is split by blocks of the bits that it leaves, and
+    again; after three levels a key leaves 8 bits at distance 2, and has 256 fingerprints at most. Which keys are split
+    doesn't change the links.
     """
     if not 0 <= distance <= 2:
         raise ValueError("distance must be 0, 1 or 2")
-    one = fps.select(F.col(fp).alias("fp")).distinct()
-    listed = one.select("fp", F.explode(F.array(*_block_keys(F.col("fp"), distance))).alias("key")).select("fp", "key.k", "key.bits")
-    listed = staged(listed, "blocks")
-    sizes = listed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    small = sizes.where(F.col("n") <= PAIRWISE).select("k", "bits")
-    large = sizes.where(F.col("n") > PAIRWISE).select("k", "bits")
-    rows = staged(listed.join(small, ["k", "bits"]), "block-rows")
-    pairs = (
-        rows.select("k", "bits", F.col("fp").alias("a"))
-        .join(rows.select("k", "bits", F.col("fp").alias("b")), ["k", "bits"])
-        .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-        .select("a", "b")
-    )
-    flips = F.array(F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    hot = (
-        listed.join(large, ["k", "bits"])
-        .select("fp")
-        .distinct()
-        .select("fp", F.explode(F.transform(flips, lambda x: F.col("fp").bitwiseXOR(x))).alias("near"))
-    )
-    least = hot.groupBy("near").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("near", "a")
-    flipped = (
-        hot.join(least, "near")
-        .where((F.col("a") < F.col("fp")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= distance))
-        .select("a", F.col("fp").alias("b"))
-    )
-    if distance == 2:
-        pairs = pairs.unionByName(flipped)
-    else:  # the smallest row under a shared neighbour may be too far: pairs are then met under themselves
-        here = hot.where(F.bit_count(F.col("near").bitwiseXOR(F.col("fp"))) <= distance).select(F.col("near").alias("a"), F.col("fp").alias("b"))
-        pairs = pairs.unionByName(here.join(one.select(F.col("fp").alias("a")), "a", "left_semi").where("a < b").select("a", "b"))
-    return pairs.distinct()
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    rows = fps.select(F.col(fp).alias("fp")).distinct().withColumn("k", F.lit(0))
+    levels, links = _levels(distance), None
+    for i, masks in enumerate(levels):
+        each = len(masks) // (len(levels[i - 1]) if i else 1)
+        table = F.array(*[F.lit(signed(m)).cast("long") for m in masks])
+        below = rows.select("fp", F.explode(F.sequence(F.col("k") * each, F.col("k") * each + each - 1)).alias("k"))
+        listed = staged(below.select("fp", "k", F.col("fp").bitwiseAND(F.get(table, F.col("k"))).alias("bits")), "blocks")
+        sizes = listed.groupBy("k", "bits").agg(F.count("*").alias("n")).where("n > 1")
+        met = staged(listed.join(sizes, ["k", "bits"]), "block-rows")
+        last = i + 1 == len(levels)
+        small = met if last else met.where(F.col("n") <= PAIRWISE)
+        pairs = (
+            small.select("k", "bits", F.col("fp").alias("a"))
+            .join(small.select("k", "bits", F.col("fp").alias("b")), ["k", "bits"])
+            .where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
+            .select("a", "b")
+        )
+        links = pairs if links is None else links.unionByName(pairs)
+        rows = met.where(F.col("n") > PAIRWISE).select("fp", "k")
+        if last or rows.isEmpty():
+            break
+    return links.distinct()
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 2, width: int = 3) -> DataFrame:

@@ -64,7 +64,7 @@ def test_simhash_components(spark, texts, monkeypatch, pairwise):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{fp[i]:016x}", want[i]) for i in fp}
 
 
-def test_simhash_flips_chain(spark, monkeypatch):
+def test_simhash_split_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PAIRWISE", 1)
     rng = random.Random(1)
     start = rng.getrandbits(64)

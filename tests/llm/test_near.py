@@ -40,9 +40,9 @@ def edited(rng, words, k):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("pairwise", [64, 2])
-def test_near_dedup(spark, monkeypatch, pairwise):
-    monkeypatch.setattr(near, "PAIRWISE", pairwise)
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_near_dedup(spark, monkeypatch, rounds):
+    monkeypatch.setattr(near, "ROUNDS", rounds)
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 3000)}"
     passage = [word() for _ in range(30)]

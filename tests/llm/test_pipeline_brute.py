@@ -7,7 +7,7 @@ import duckdb
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
-from test_dedup import brute_fingerprint, components
+from test_near import brute
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -31,9 +31,8 @@ def test_run(spark, tmp_path):
     docs = [d for d in docs if d["doc_id"] in kept]
     text = {r["doc_id"]: r["text"] for r in sql(oracle.OP10, docs, tmp_path)}
     docs = [d | {"text": text[d["doc_id"]]} for d in docs]
-    fp = {d["doc_id"]: brute_fingerprint(d["text"]) for d in docs}
-    group = components(sorted(fp), lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 2)
-    docs = [d for d in docs if group[d["doc_id"]] == d["doc_id"]]
+    stay, _ = brute([(d["doc_id"], d["text"]) for d in docs])
+    docs = [d for d in docs if d["doc_id"] in stay]
     bad = {r["doc_id"] for r in sql(oracle.OP4, docs, tmp_path) if r["contaminated"]}
     docs = [d for d in docs if d["doc_id"] not in bad]
     tokenizer, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
