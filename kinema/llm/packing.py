@@ -30,7 +30,7 @@ END = b"\xff"
 LATIN_END = "\u0250"
 #: Items packed together; each such block wastes less than one sequence against the whole.
 BLOCK = 8192
-ISLANDS, POPULATION, GENERATIONS, ROUNDS = 2, 4, 6, 2
+ISLANDS, POPULATION, GENERATIONS, ROUNDS = 3, 6, 10, 3
 
 PIECE = T.StructType([
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -128,91 +128,101 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return staged(flat.withColumn("uid", F.monotonically_increasing_id()), "pieces")
 
 
-Bins = list[list[int]]  # item numbers by bin
+class Packing:
+    """Bins of item numbers and their fills: an individual of the grouping genetic algorithm."""
 
+    __slots__ = ("bins", "fills")
 
-def best_fit(items: list[int], lengths: list[int], size: int, bins: Bins | None = None) -> Bins:
-    """Put items, in the order given, each into the fullest bin that has room for it, or else into a new one."""
-    bins = bins if bins is not None else []
-    free = sorted((size - sum(lengths[i] for i in b), k) for k, b in enumerate(bins))
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        self.bins, self.fills = bins, fills
+
+    @classmethod
+    def of(cls, places: list[int], lengths: list[int]) -> Packing:
+        """From the bin number of every item."""
+        made = cls([[] for _ in range(max(places, default=-1) + 1)], [0] * (max(places, default=-1) + 1))
+        for i, k in enumerate(places):
+            made.bins[k].append(i)
+            made.fills[k] += lengths[i]
+        return made
+
+    def places(self, n: int) -> list[int]:
+        out = [0] * n
+        for k, b in enumerate(self.bins):
+            for i in b:
+                out[i] = k
+        return out
+
+    def cost(self, size: int) -> tuple[int, float]:
+        """Fewer bins are better; of equally many, fuller full bins (the mean squared fill)."""
+        return len(self.bins), -sum(x * x for x in self.fills) / max(1, size * size * len(self.fills))
+
+    def without(self, drop: set[int]) -> tuple[Packing, list[int]]:
+        """The packing without some bins, and the documents that this displaces."""
+        stay = [k for k in range(len(self.bins)) if k not in drop]
+        return Packing([list(self.bins[k]) for k in stay], [self.fills[k] for k in stay]), [i for k in drop for i in self.bins[k]]
+
+
+def best_fit(items: list[int], lengths: list[int], size: int, start: Packing | None = None) -> Packing:
+    """Put items, in the order given, each into the fullest bin that has room for it, or else into a new one; changes start."""
+    made = start or Packing([], [])
+    free = sorted((size - x, k) for k, x in enumerate(made.fills))
     for i in items:
-        at = bisect.bisect_left(free, (lengths[i], -1))
+        need = lengths[i]
+        at = bisect.bisect_left(free, (need, -1))
         if at < len(free):
             room, k = free.pop(at)
-            bins[k].append(i)
+            made.bins[k].append(i)
+            made.fills[k] += need
         else:
-            room, k = size, len(bins)
-            bins.append([i])
-        bisect.insort(free, (room - lengths[i], k))
-    return bins
-
+            room, k = size, len(made.bins)
+            made.bins.append([i])
+            made.fills.append(need)
+        bisect.insort(free, (room - need, k))
+    return made
 
-def fitness(bins: Bins, lengths: list[int], size: int) -> float:
-    """Mean squared fill: of solutions with equally many bins, that with fuller full bins is better."""
-    return sum((sum(lengths[i] for i in b) / size) ** 2 for b in bins) / max(1, len(bins))
 
+def crossover(a: Packing, b: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
+    """a with well-filled bins of b put in whole; a's bins that hold one of their items go, the displaced are best-fitted."""
+    order = sorted(range(len(b.bins)), key=lambda k: -b.fills[k])
+    good = [k for k in order if b.fills[k] >= 0.98 * size] or order[: -(-len(order) // 10)]
+    taken = rng.sample(good, rng.randint(1, -(-len(good) // 2)))
+    inside = {i for k in taken for i in b.bins[k]}
+    rest, loose = a.without({k for k, x in enumerate(a.bins) if not inside.isdisjoint(x)})
+    loose = sorted((i for i in loose if i not in inside), key=lambda i: -lengths[i])
+    return best_fit(loose, lengths, size, Packing([*rest.bins, *(list(b.bins[k]) for k in taken)], [*rest.fills, *(b.fills[k] for k in taken)]))
 
-def crossover(a: Bins, b: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
-    """a with the well-filled bins of b put in whole; a's bins that hold one of their items go, the displaced are best-fitted."""
-    good = [x for x in b if sum(lengths[i] for i in x) >= 0.98 * size]
-    taken = rng.sample(good, max(1, len(good) // 3)) if good else []
-    inside = {i for x in taken for i in x}
-    rest = [x for x in a if not inside.intersection(x)]
-    loose = [i for x in a if inside.intersection(x) for i in x if i not in inside]
-    loose.sort(key=lambda i: -lengths[i])
-    return best_fit(loose, lengths, size, [list(x) for x in taken] + [list(x) for x in rest])
 
-
-def mutate(a: Bins, lengths: list[int], size: int, rng: random.Random) -> Bins:
+def mutate(a: Packing, lengths: list[int], size: int, rng: random.Random) -> Packing:
     """Empty the least filled bins and some others, and best-fit their items anew."""
-    order = sorted(range(len(a)), key=lambda k: sum(lengths[i] for i in a[k]))
-    drop = {*order[: max(1, len(a) // 50)], *rng.sample(order, min(len(a), 3))}
-    loose = [i for k in drop for i in a[k]]
-    loose.sort(key=lambda i: -lengths[i])
-    return best_fit(loose, lengths, size, [list(x) for k, x in enumerate(a) if k not in drop])
+    order = sorted(range(len(a.bins)), key=lambda k: a.fills[k])
+    some = rng.sample(order, min(len(order), rng.randint(2, max(2, len(order) // 4))))
+    rest, loose = a.without({*order[: max(1, len(order) // 50)], *some})
+    return best_fit(sorted(loose, key=lambda i: -lengths[i]), lengths, size, rest)
 
 
 def least_bins(lengths: list[int], size: int) -> int:
     return max(-(-sum(lengths) // size), sum(2 * n > size for n in lengths))
 
 
-def evolve(lengths: list[int], size: int, population: list[list[int]], seed: int) -> list[list[int]]:
-    """A few generations; individuals are lists of bin numbers by item, the best comes first.
+def evolve(lengths: list[int], size: int, population: list[list[int]], seed: int) -> tuple[list[list[int]], int]:
+    """GENERATIONS at most of an island: its individuals, as bin numbers by item, the best first; the generations used.
 
-    The first individual of an empty population is best-fit decreasing, the others are best-fit in shuffled order.
-    Nothing is done once the best has as few bins as the total length allows.
+    The individuals of an empty population are best-fit in random order. In every generation the best is crossed with
+    another and mutated, and the best POPULATION of all stay. An island whose best has as few bins as the total length
+    allows is done.
     """
-    rng, n = random.Random(seed), len(lengths)
-    key = lambda b: (len(b), -fitness(b, lengths, size))
-
-    def grouped(a: list[int]) -> Bins:
-        bins: Bins = [[] for _ in range(max(a, default=-1) + 1)]
-        for i, k in enumerate(a):
-            bins[k].append(i)
-        return bins
-
-    pool = [grouped(a) for a in population]
-    if not pool:
-        pool = [best_fit(sorted(range(n), key=lambda i: -lengths[i]), lengths, size)]
-    if len(min(pool, key=key)) > least_bins(lengths, size):
-        while len(pool) < POPULATION:
-            order = sorted(range(n), key=lambda i: -lengths[i] * rng.uniform(0.8, 1))
-            pool.append(best_fit(order, lengths, size))
-        for _ in range(GENERATIONS):
-            pool.sort(key=key)
-            if len(pool[0]) <= least_bins(lengths, size):
-                break
-            a, b = pool[0], rng.choice(pool[1:])
-            pool = [pool[0], crossover(a, b, lengths, size, rng), crossover(b, a, lengths, size, rng), mutate(a, lengths, size, rng), *pool[1:]]
-            pool = sorted(pool, key=key)[:POPULATION]
-    out = []
-    for bins in sorted(pool, key=key):
-        place = [0] * n
-        for k, b in enumerate(bins):
-            for i in b:
-                place[i] = k
-        out.append(place)
-    return out
+    rng, n, least = random.Random(seed), len(lengths), least_bins(lengths, size)
+    pool = [Packing.of(x, lengths) for x in population] or [best_fit(rng.sample(range(n), n), lengths, size) for _ in range(POPULATION)]
+    scored = sorted(((p.cost(size), k, p) for k, p in enumerate(pool)), key=lambda x: x[:2])
+    used = 0
+    while used < GENERATIONS and n and scored[0][0][0] > least:
+        used += 1
+        best, other = scored[0][2], rng.choice(scored[1:] or scored)[2]
+        children = [crossover(best, other, lengths, size, rng), crossover(other, best, lengths, size, rng), mutate(best, lengths, size, rng)]
+        known = {x[0] for x in scored}
+        fresh = [(c.cost(size), len(scored) + k, c) for k, c in enumerate(children)]
+        scored = sorted(scored + [x for x in fresh if x[0] not in known], key=lambda x: x[:2])[:POPULATION]
+    return [x[2].places(n) for x in scored], used
 
 
 STATE = T.StructType([
@@ -224,7 +234,7 @@ STATE = T.StructType([
 def evolved(state: DataFrame, size: int, seed: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> list:
         rows = batch.to_pylist()
-        pools = [evolve(r["lengths"], size, r["population"], hash((seed, r["block"], r["island"]))) for r in rows]
+        pools = [evolve(r["lengths"], size, r["population"], hash((seed, r["block"], r["island"])))[0] for r in rows]
         return [pools, [max(p[0], default=-1) + 1 for p in pools], [least_bins(r["lengths"], size) for r in rows]]
 
     return append_columns(state, STATE.fields[3:], run, STATE.names[:3])

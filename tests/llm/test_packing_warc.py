@@ -50,21 +50,42 @@ def test_pack_documents(spark):
     assert packing.pack_documents(df.limit(0), TOKENIZER).count() == 0
 
 
-def test_genetic_algorithm():
+def islands(lengths, size):
+    """The rounds of pack() on one block: the bins of each round's best."""
+    pools, found = [[] for _ in range(packing.ISLANDS)], []
+    for turn in range(packing.ROUNDS):
+        pools = [packing.evolve(lengths, size, p, hash((turn, k)))[0] for k, p in enumerate(pools)]
+        found.append(min(max(p[0]) + 1 for p in pools))
+        pools = [[pools[k - 1][0], *p] for k, p in enumerate(pools)]
+    return found
+
+
+@pytest.mark.parametrize("kind", ["odd", "middle", "classic"])
+def test_genetic_algorithm(kind):
     rng = random.Random(3)
-    lengths, size = [rng.randint(20, 60) for _ in range(200)], 100
-    pool = packing.evolve(lengths, size, [], 1)
+    lengths, size = {
+        "odd": ([rng.randint(20, 60) for _ in range(200)], 100),
+        "middle": ([rng.randint(800, 2000) for _ in range(1000)], 4096),
+        "classic": ([44, 24, 24, 22, 21, 17, 8, 8, 6, 6] * 40, 60),
+    }[kind]
+    n, cost = len(lengths), lambda p: len(p.bins)
+    pool, used = packing.evolve(lengths, size, [], 1)
+    assert used > 0
     for place in pool:
         fill = {}
         for i, k in enumerate(place):
             fill[k] = fill.get(k, 0) + lengths[i]
-        assert max(fill.values()) <= size and set(fill) == set(range(len(fill)))
-    bfd = packing.best_fit(sorted(range(200), key=lambda i: -lengths[i]), lengths, size)
-    assert packing.least_bins(lengths, size) <= max(pool[0]) + 1 <= len(bfd)
-    a, b = (packing.best_fit(rng.sample(range(200), 200), lengths, size) for _ in "ab")
-    child = packing.crossover(a, b, lengths, size, rng)
-    assert sorted(i for x in child for i in x) == list(range(200)) and all(sum(lengths[i] for i in x) <= size for x in child)
-    assert packing.evolve([], size, [], 1) == [[]]
+        assert sorted(fill) == list(range(len(fill))) and max(fill.values()) <= size and len(place) == n
+    start = min(cost(packing.best_fit(random.Random(k).sample(range(n), n), lengths, size)) for k in range(packing.POPULATION))
+    decreasing = cost(packing.best_fit(sorted(range(n), key=lambda i: -lengths[i]), lengths, size))
+    found = islands(lengths, size)
+    assert packing.least_bins(lengths, size) <= found[-1] <= found[0] < start
+    assert found[-1] < decreasing if kind != "odd" else found[-1] <= decreasing
+    a, b = (packing.best_fit(rng.sample(range(n), n), lengths, size) for _ in "ab")
+    for child in (packing.crossover(a, b, lengths, size, rng), packing.mutate(a, lengths, size, rng)):
+        assert sorted(i for x in child.bins for i in x) == list(range(n)) and max(child.fills) <= size
+        assert child.fills == [sum(lengths[i] for i in x) for x in child.bins]
+    assert packing.evolve([], size, [], 1)[0] == [[]] * packing.POPULATION
 
 
 @pytest.mark.parametrize("split", [4 << 20, 997])
