@@ -42,6 +42,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names made of the given ones that are no column of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"__{name}"
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def append_columns(
     df: DataFrame,
     fields: list[T.StructField],

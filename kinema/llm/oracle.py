@@ -86,18 +86,26 @@ from d left join f using (digest)
 OP10 = f"""
 with t as (select doc_id, text, string_split(coalesce(text, ''), chr(10)) as ls from documents), x as (select doc_id, unnest(generate_series(1, len(ls))) as line, unnest(ls) as raw from t),
 k as (select doc_id, line, list_transform({_words("raw", SPACE)}, lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as w from x),
-p as (select doc_id, line, array_to_string(w, ' ') as h, len(w) || ' ' || array_to_string(list_slice(w, 1, {lines.DEPTH}), ' ') as g, w, len(w) between {lines.COMPARED[0]} and {lines.COMPARED[1]} as short from k where len(w) >= {lines.LEAST_TOKENS}),
-dist as (select distinct h, g, w from p where short), sz as (select g, count(*) as n_lines from dist group by g having count(*) >= {lines.LEAST_DOCS}), dl as (select dist.*, n_lines from dist join sz using (g)),
-cell as (select g, n_lines, len(w) as n, unnest(generate_series(1, len(w))) as pos, unnest(w) as token from dl),
-vote as (select g, pos, token, n_lines, n, count(*) as votes from cell group by all having count(*) > n_lines * {lines.CONSTANT}),
-leaf as (select g, count(*) as held from vote group by g, n having count(*) > n * {lines.ALIKE}),
-agree as (select h, g from (select h, dl.g, any_value(leaf.held) as held, count(*) as same from dl join leaf using (g) join vote on vote.g = dl.g and dl.w[vote.pos] = vote.token group by h, dl.g) where same = held),
-named as (select doc_id, line, case when agree.h is not null then 'leaf ' || agree.g else 'line ' || p.h end as template from p left join agree on agree.h = p.h),
-many as (select template, min((doc_id, line)) as first from named group by template having count(distinct doc_id) >= {lines.LEAST_DOCS}),
-gone as (select doc_id, list(line) as gone from named join many using (template) where (doc_id, line) <> first group by doc_id)
+p as (select doc_id, line, md5(array_to_string(list_slice(w, 1, {lines.DEPTH}), ' ')) as lead, array_to_string(w, ' ') as s, len(w) || ' ' || array_to_string(list_slice(w, 1, {lines.DEPTH}), ' ') as g, w from k where len(list_filter(w, lambda v: v <> '<*>')) > 0),
+dist as (select distinct s, g, w from p where len(w) > {lines.DEPTH}), sz as (select g, count(*) as n_lines from dist group by g having count(*) >= {lines.LEAST_DOCS}), dl as (select dist.*, n_lines from dist join sz using (g)),
+cell as (select g, n_lines, unnest(generate_series(1, len(w))) as pos, unnest(w) as token from dl),
+often as (select g, pos, token from cell where pos > {lines.DEPTH} group by g, n_lines, pos, token having count(*) > n_lines * {lines.SPLIT} and count(*) >= {lines.LEAST_DOCS}),
+cut as (select dl.s, dl.w, dl.g || '|' || coalesce(string_agg(case when dl.w[often.pos] = often.token then often.pos || ' ' || often.token end, ' ' order by often.pos, often.token), '') as g from dl join often using (g) group by dl.s, dl.w, dl.g),
+sz2 as (select g, count(*) as n_lines from cut group by g having count(*) >= {lines.LEAST_DOCS}),
+cell2 as (select g, n_lines, len(w) as n, unnest(generate_series(1, len(w))) as pos, unnest(w) as token from cut join sz2 using (g)),
+vote as (select g, pos, token, n_lines, n from cell2 where pos > {lines.DEPTH} group by all having count(*) > n_lines * {lines.CONSTANT} and count(*) >= {lines.LEAST_DOCS}),
+leaf as (select g, count(*) as held from vote group by g, n having count(*) > (n - {lines.DEPTH}) * {lines.ALIKE}),
+agree as (select s, g from (select s, cut.g, any_value(leaf.held) as held, count(*) as same from cut join leaf using (g) join vote on vote.g = cut.g and cut.w[vote.pos] = vote.token group by s, cut.g) where same = held),
+named as (select doc_id, line, case when agree.s is not null then 'leaf ' || agree.g else 'line ' || p.s end as template from p left join agree on agree.s = p.s),
+kinds as (select doc_id, unnest([1, 2, 3, 4]) as e, unnest([min(lead[:16]), max(lead[:16]), min(lead[17:]), max(lead[17:])]) as kind from p group by doc_id), once as (select distinct template, doc_id from named),
+recur as (select template from once group by template having count(*) >= {lines.LEAST_DOCS}),
+n as (select template, e, kind, count(*) as n from once join recur using (template) join kinds on kinds.doc_id is not distinct from once.doc_id group by template, e, kind),
+many as (select template, min((doc_id, line)) as first from named join (select template from n group by template having sum(n) * sum(n) / sum(n * n) / 4 >= {lines.LEAST_KINDS}) using (template) group by template),
+gone as (select doc_id, list(line) as gone from named join many using (template) where (doc_id, line) <> first group by doc_id),
+r as (select t.*, gone from t left join gone using (doc_id))
 select doc_id, case when text is null then 0 else cast(len(ls) as bigint) end as n_lines, cast(coalesce(len(gone), 0) as bigint) as n_dropped,
        case when gone is null then text else array_to_string(list_transform(list_filter(list_zip(ls, generate_series(1, len(ls))), lambda z: not list_contains(gone, z[2])), lambda z: z[1]), chr(10)) end as text
-from t left join gone using (doc_id)
+from r
 """
 
 def _tokens(text: str) -> str:

@@ -199,7 +199,7 @@ def test_suffix_order():
 def test_line_dedup(spark):
     docs = [
         (1, "Page 12 of 90 pages\nunique one here today\n\nshort"), (2, "Page 3 of 7 pages\nanother line of mine\nshort"), (3, "other text for three\nPage 5 of 5 pages\nPage 6 of 5 pages"),
-        (4, "login accepted for alice at home\ntwo of two\n"), (5, "login accepted for bob at home"), (6, "login accepted for carol at home"), (7, "login accepted for dave at home"),
+        (4, "login accepted for alice at home\ntwo of two\n"), (5, "login accepted for bob at home\nfive"), (6, "login accepted for carol at home\nsix"), (7, "seven\nlogin accepted for dave at home"),
         (8, None), (9, ""), (10, "two of two"), (None, "Page 1 of 2 pages\nlast words of all"),
     ]
     out = lines.drop_recurring_lines(spark.createDataFrame([(i, t, 5, "d") for i, t in docs], "doc_id long, text string, n_lines int, drop string"))
@@ -208,13 +208,42 @@ def test_line_dedup(spark):
     assert got[2] == ("another line of mine\nshort", 3, 1)
     assert got[3] == ("other text for three", 3, 2)
     assert got[4] == (docs[3][1], 3, 0)
-    assert [got[i][0] for i in (5, 6, 7)] == ["", "", ""]
+    assert [got[i][0] for i in (5, 6, 7)] == ["five", "six", "seven"]
     assert got[8] == (None, 0, 0) and got[9] == ("", 1, 0) and got[10] == ("two of two", 1, 0)
     assert got[None] == ("last words of all", 2, 1)
     assert "drop" in out.columns
     assert lines.drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_any_length(spark):
+    long = " ".join(f"w{chr(97 + i)}" for i in range(26)) * 2
+    kinds = {
+        "one": lambda i: "}", "digits": lambda i: str(i), "long": lambda i: f"{long} by n{chr(97 + i)} {long}",
+        "first": lambda i: f"the user has name k{chr(97 + i)} logged in from here", "second": lambda i: f"the user has paid m{chr(97 + i)} coins to his friend",
+    }
+    own = [[f"own{chr(97 + i)}{chr(97 + k)} text of" for k in range(12)] for i in range(8)]
+    docs = [(i, "\n".join([*own[i], *(f(i) for f in kinds.values())])) for i in range(8)]
+    out = {r.doc_id: r.text.split("\n") for r in lines.drop_recurring_lines(frame(spark, docs)).collect()}
+    assert out[0] == docs[0][1].split("\n")
+    assert all(out[i] == [*own[i], str(i)] for i in range(1, 8))
+    all_gone = lines.drop_recurring_lines(frame(spark, docs), keep_first=False).collect()
+    assert {r.doc_id: r.n_dropped for r in all_gone} == {i: 4 for i in range(8)}
+
+
+def test_line_dedup_leaves_copies(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [" ".join(word() for _ in range(9)) for _ in range(12)]
+    copies = [(i, "\n".join([*base[: i % 12], word(), *base[i % 12 + 1 :]])) for i in range(12)]
+    foot = "all rights of this page are ours"
+    others = [(20 + i, "\n".join([" ".join(word() for _ in range(9)), foot])) for i in range(5)]
+    twice = [(40, f"{word()} {word()}\n{foot}"), (40, f"{foot}\n{word()} {word()}")]
+    out = lines.drop_recurring_lines(frame(spark, copies + others + twice)).collect()
+    assert {r.doc_id: r.text for r in out if r.doc_id < 20} == dict(copies)
+    assert {r.doc_id: r.text for r in out if 20 < r.doc_id < 40} == {i: t.split("\n")[0] for i, t in others[1:]}
+    assert sorted(r.text for r in out if r.doc_id == 40) == sorted(t.replace(foot, "").strip("\n") for _, t in twice)
+
+
 def test_line_dedup_keeps_prose(spark):
     rng = random.Random(6)
     words = [f"v{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
