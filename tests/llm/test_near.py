@@ -40,9 +40,9 @@ def edited(rng, words, k):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("rounds", [3, 0])
-def test_near_dedup(spark, monkeypatch, rounds):
-    monkeypatch.setattr(near, "ROUNDS", rounds)
+@pytest.mark.parametrize("pivots", [near.PIVOTS, (1, 64)])
+def test_near_dedup(spark, monkeypatch, pivots):
+    monkeypatch.setattr(near, "PIVOTS", pivots)
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 3000)}"
     passage = [word() for _ in range(30)]
