@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, staged, texts
+from .common import append_columns, staged, texts, unused
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
+TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup, elements that are part of a line.
@@ -33,8 +33,10 @@ NOT_MAIN_WORDS = frozenset(
     "newsletter subscribe signup login popup modal overlay widget footer masthead pagination pager toolbar skip".split()
 )
 
-#: A template token occurs in this share of a host's distinct pages; hosts of fewer pages use the pages of all hosts.
-FREQUENT, LEAST_PAGES = 0.5, 4
+#: A template token occurs in this share of a host's distinct pages, and in this many of them.
+FREQUENT, LEAST_PAGES = 0.5, 3
+#: Pages whose longest text blocks are equal as far as this share of their text are copies of one page.
+MOST = 0.8
 
 
 def label(tag: str, attributes: str) -> tuple[str, bool]:
@@ -49,44 +51,101 @@ def label(tag: str, attributes: str) -> tuple[str, bool]:
     return name, bool(tag in NOT_MAIN or found.get("role", "").lower() in NOT_MAIN_ROLES or words & NOT_MAIN_WORDS or hidden)
 
 
-class Block:
-    """A run of text with the labels of its open elements."""
-
-    __slots__ = ("path", "apart", "text")
+def token_id(parent: int, name: str) -> int:
+    """A token's number, from its parent's and its own label or text; ROOT is above all."""
+    return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"), parent & (1 << 64) - 1) - (1 << 63)
 
-    def __init__(self, path: tuple[str, ...], apart: bool):
-        self.path, self.apart, self.text = path, apart, []
 
+ROOT = 0
 
-def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
-    """The page's text blocks in order, and how often each path of start tags occurs.
 
-    Inline elements don't end a block; unclosed elements end as HTML has it, at their siblings or their parent's end.
+class Block:
+    """A run of text under one element, with that element's token."""
+
+    __slots__ = ("parent", "apart", "raw")
+
+    def __init__(self, parent: int, apart: bool):
+        self.parent, self.apart, self.raw = parent, apart, []
+
+    @property
+    def text(self) -> str:
+        return " ".join(entities.unescape("".join(self.raw)).split())
+
+
+class Elements:
+    """The open elements of a page; every step takes the same time, however deep and broken the page is."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.tokens: list[int] = []  # of the element, or of the one around it if it is part of a line
+        self.apart: list[bool] = []  # whether it, or one around it, isn't main text
+        self.places: dict[str, list[int]] = {}  # where the open elements of a tag are
+        self.barriers: list[int] = [-1]
+        self.content = 0  # open article and main elements
+
+    @property
+    def token(self) -> int:
+        return self.tokens[-1] if self.tokens else ROOT
+
+    @property
+    def is_apart(self) -> bool:
+        return bool(self.apart) and self.apart[-1]
+
+    def open(self, tag: str, name: str, apart: bool) -> None:
+        if tag in BARRIER:
+            self.barriers.append(len(self.tags))
+        self.content += tag in ("article", "main")
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tokens.append(self.token if tag in INLINE else token_id(self.token, name))
+        self.apart.append(self.is_apart or apart)
+        self.tags.append(tag)
+
+    def last(self, tag: str) -> int:
+        at = self.places.get(tag)
+        return at[-1] if at else -1
+
+    def close_from(self, at: int) -> None:
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            self.content -= tag in ("article", "main")
+            self.tokens.pop()
+            self.apart.pop()
+        while self.barriers[-1] >= at:
+            self.barriers.pop()
+
+    def close(self, tag: str) -> None:
+        at = self.last(tag)
+        if at >= 0 and (at > self.barriers[-1] or tag not in INLINE and tag not in ("p", "li")):
+            self.close_from(at)
+
+    def end_siblings(self, tags) -> None:
+        """Close the innermost open one of these tags that no barrier is inside of."""
+        at = max(map(self.last, tags))
+        if at > self.barriers[-1]:
+            self.close_from(at)
+
+
+def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
+    """The page's text blocks, and its start tags as (token, parent), both in order.
+
+    A start tag's token is told apart by its path. Inline elements don't end a block; unclosed elements end as HTML has
+    it, at their siblings or their parent's end.
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, label, not main text
-    counts: dict[tuple[str, ...], int] = {}
+    opened = Elements()
+    starts: list[tuple[int, int]] = []
     blocks: list[Block] = []
-    open_block: Block | None = None
+    block: Block | None = None
     at, n = 0, len(page)
 
-    def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                del stack[k:]
-                return
-            if tag in INLINE | {"p", "li"} and stack[k][0] in BARRIER:
-                return
-
     def put(raw: str) -> None:
-        nonlocal open_block
+        nonlocal block
         if not raw:
             return
-        path = tuple(x for tag, x, _ in stack if tag not in INLINE)
-        apart = any(x for _, _, x in stack)
-        if open_block is None or open_block.path != path or open_block.apart != apart:
-            open_block = Block(path, apart)
-            blocks.append(open_block)
-        open_block.text.append(raw)
+        if block is None or block.parent != opened.token or block.apart != opened.is_apart:
+            block = Block(opened.token, opened.is_apart)
+            blocks.append(block)
+        block.raw.append(raw)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -100,92 +159,80 @@ def blocks_of(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         tag = m[2].lower()
         if tag in RAW and not m[1]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            path = (*(x for t, x, _ in stack if t not in INLINE), tag)
-            counts[path] = counts.get(path, 0) + 1
+            starts.append((token_id(opened.token, tag), opened.token))
             at = n if end is None else end.end()
-            open_block = None if tag not in INLINE else open_block
+            block = None if tag not in INLINE else block
             continue
         if tag == "br" or tag == "hr":
             put(" ")
         if tag in VOID:
             continue
         if tag not in INLINE:
-            open_block = None
+            block = None
         if m[1]:
-            close(tag)
+            opened.close(tag)
             continue
         if tag not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p":
-                    del stack[k:]
-                    break
-                if stack[k][0] in BARRIER:
-                    break
+            opened.end_siblings(("p",))
         if ENDS.get(tag):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ENDS[tag]:
-                    del stack[k:]
-                    break
-                if stack[k][0] in BARRIER:
-                    break
+            opened.end_siblings(ENDS[tag])
         name, apart = label(tag, m[3])
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in stack):
-            apart = True
-        stack.append((tag, name, apart))
+        around = opened.token
+        opened.open(tag, name, apart or tag == "header" and not opened.content)
         if tag not in INLINE:
-            path = tuple(x for t, x, _ in stack if t not in INLINE)
-            counts[path] = counts.get(path, 0) + 1
-    return blocks, counts
-
-
-def block_text(b: Block) -> str:
-    return " ".join(entities.unescape("".join(b.text)).split())
-
-
-def token_id(path: tuple[str, ...], text: str | None = None) -> int:
-    raw = "\x00".join(path) + ("" if text is None else "\x01" + text)
-    return int.from_bytes(hashlib.blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+            starts.append((opened.token, around))
+    return blocks, starts
 
 
-OCCURRENCE = T.ArrayType(T.StructType([
-    T.StructField("token", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("inside", T.BooleanType()),
-]))
+OCCURRENCE = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("n", T.IntegerType())]))
 
 
-def occurrences(page: str) -> tuple[list[dict], int | None]:
-    """The page's tokens, and a hash of the text in its article or main element, if any.
+def occurrences(page: str) -> tuple[list[dict], int]:
+    """The page's distinct tokens in the order of their first occurrence, and a hash of its longest texts, MOST of them.
 
     Tokens are start tags told apart by their path, and whole text blocks told apart by path and text.
     """
-    blocks, counts = blocks_of(page)
-    content: list[str] = []
-    out = {token_id(p): {"token": token_id(p), "parent": token_id(p[:-1]), "n": n, "inside": _inside(p)} for p, n in counts.items()}
-    for b in blocks:
-        if text := block_text(b):
-            i = token_id(b.path, text)
-            row = out.setdefault(i, {"token": i, "parent": token_id(b.path), "n": 0, "inside": _inside(b.path)})
-            row["n"] += 1
-            if _inside(b.path) and not b.apart:
-                content.append(text)
-    return list(out.values()), token_id((), "\x00".join(content)) if content else None
-
-
-def _inside(path: tuple[str, ...]) -> bool:
-    return any(x.split(".")[0] in ("article", "main") for x in path)
+    blocks, starts = blocks_of(page)
+    found = [(b, b.text) for b in blocks]
+    rows: dict[int, dict] = {}
+    for token, parent in [*starts, *((token_id(b.parent, f"\x01{text}"), b.parent) for b, text in found if text)]:
+        rows.setdefault(token, {"token": token, "parent": parent, "n": 0})["n"] += 1
+    content = sorted({text for b, text in found if text and not b.apart}, key=lambda x: (-len(x), x))
+    size, total, most = 0, sum(map(len, content)), []
+    for text in content:
+        if size >= total * MOST:
+            break
+        most.append(text)
+        size += len(text)
+    return list(rows.values()), token_id(ROOT, "\x01".join(most) or page)
 
 
 def host_of(url) -> F.Column:
     return F.translate(F.regexp_extract(F.coalesce(url, F.lit("")), r"^.*?://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def order_of(tokens: list[int], classes: dict[int, int]) -> dict[int, int]:
+    """By class, a hash of the order in which a page has its members."""
+    made: dict[int, int] = {}
+    for token in tokens:
+        c = classes.get(token)
+        if c is not None:
+            made[c] = token_id(made.get(c, ROOT), str(token))
+    return made
+
+
+MEMBERS = T.ArrayType(T.StructType([T.StructField("token", T.LongType()), T.StructField("class", T.LongType())]))
+ORDER = T.ArrayType(T.StructType([T.StructField("host", T.StringType()), T.StructField("class", T.LongType()), T.StructField("order", T.LongType())]))
+
+
 def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, tokens, focused): each host's template tokens, and whether it has an article.
+    """(host, tokens): each host's template tokens; host '' stands for all hosts.
 
     A token's occurrence vector holds its number of occurrences in each distinct page of the host. Tokens with equal
-    vectors form a class, compared by a sum over pages that is taken in parts. A class is valid if it is frequent and
-    all its members stand under template tokens, those of a class of its own or of one that it is nested in. Equal
-    pages of a host, and pages with equal text in their article or main elements, count once, so that copies don't make
-    a template of their text. Host '' stands for all hosts.
+    vectors form a class; vectors are compared by a sum over pages that is taken in parts, and those of all hosts are
+    the sums of each host's. A class is valid if it is frequent, if all its members stand under template tokens, those
+    of a class of its own or of one that it is nested in, and if all pages that have it have its members in one order.
+    Copies of a page count once on a host, so that they don't make a template of their text.
     """
     rows = pages.select(host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
 
@@ -193,61 +240,70 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
         made = [occurrences(x) for x in texts(batch.column(batch.schema.names.index("html")))]
         return [[x for x, _ in made], [x for _, x in made]]
 
-    rows = rows.withColumn("page", F.xxhash64("html"))
-    seen = append_columns(rows, [T.StructField("tokens", OCCURRENCE), T.StructField("content", T.LongType())], run, ["host", "page"])
-    seen = staged(seen.select("host", F.coalesce("content", "page").alias("page"), "tokens"), "html-tokens")
-    by_host = seen.select("host", "page", F.explode("tokens").alias("x")).select("host", "page", "x.*")
-    both = by_host.unionByName(by_host.where("host <> ''").withColumn("host", F.lit("")))
-    once = both.groupBy("host", "token", "parent", "page").agg(F.max("n").alias("n"), F.max("inside").alias("inside"))
+    seen = staged(append_columns(rows, [T.StructField("tokens", OCCURRENCE), T.StructField("page", T.LongType())], run, ["host"]), "html-tokens")
+    once = seen.select("host", "page", F.explode("tokens").alias("x")).groupBy("host", "page", "x.token").agg(F.max("x.n").alias("n"), F.first("x.parent").alias("parent"))
     part = F.xxhash64("page", "n").cast("decimal(38,0)")
-    vectors = once.groupBy("host", "token", "parent").agg(F.sum(part).alias("vector"), F.count("*").alias("pages"), F.max("inside").alias("inside"))
-    hosts = seen.select("host", "page").unionByName(seen.where("host <> ''").select(F.lit("").alias("host"), "page"))
-    totals = staged(hosts.distinct().groupBy("host").agg(F.count("*").alias("total")), "html-hosts")  # its size on disk decides how it is joined
-    frequent = vectors.join(totals, "host").where((F.col("pages") >= F.col("total") * FREQUENT) & ((F.col("total") >= LEAST_PAGES) | (F.col("host") == "")))
-    frequent = staged(frequent, "html-frequent")
-    parents = frequent.select("host", F.col("token").alias("parent"), F.col("vector").alias("outer"))
-    nested = frequent.join(parents, ["host", "parent"], "left").withColumn("under", F.col("outer").isNotNull() | (F.col("parent") == token_id(())))
-    valid = nested.groupBy("host", "vector").agg(F.bool_and("under").alias("valid"), F.collect_set(F.struct("token", "inside")).alias("members")).where("valid")
-    members = valid.select("host", F.explode("members").alias("m"))
-    return members.groupBy("host").agg(F.collect_set("m.token").alias("tokens"), F.max("m.inside").alias("focused"))
-
-
-def main_text(page: str, template: set[int], focused: bool) -> str:
-    """Text of the page's slots that aren't part of the template or of elements such as menus, joined in page order."""
-    blocks, counts = blocks_of(page)
-    inside = focused and any(_inside(p) for p in counts) or any(p[-1].split(".")[0] in ("article", "main") for p in counts)
-    out = []
-    for b in blocks:
-        if b.apart or inside and not _inside(b.path):
-            continue
-        text = block_text(b)
-        if text and token_id(b.path, text) not in template:
-            out.append(text)
-    return " ".join(out)
+    vectors = staged(once.groupBy("host", "token").agg(F.first("parent").alias("parent"), F.sum(part).alias("vector"), F.count("*").alias("pages")), "html-vectors")
+    whole = vectors.groupBy(F.lit("").alias("host"), "token").agg(F.first("parent").alias("parent"), F.sum("vector").alias("vector"), F.sum("pages").alias("pages"))
+    counts = seen.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+    counts = staged(counts, "html-hosts")  # its size on disk decides how it is joined
+    totals = counts.where("host <> ''").unionByName(counts.groupBy(F.lit("").alias("host")).agg(F.sum("total").alias("total")))
+    frequent = vectors.where("host <> ''").unionByName(whole).join(totals, "host").where((F.col("pages") >= F.col("total") * FREQUENT) & (F.col("pages") >= LEAST_PAGES))
+    frequent = staged(frequent.select("host", "token", "parent", F.xxhash64(F.col("vector").cast("string"), "pages").alias("class")), "html-frequent")
+    parents = frequent.select("host", F.col("token").alias("parent"), F.lit(True).alias("known"))
+    nested = frequent.join(parents, ["host", "parent"], "left").withColumn("under", F.coalesce("known", F.col("parent") == ROOT))
+    classes = nested.groupBy("host", "class").agg(F.bool_and("under").alias("valid"), F.collect_set("token").alias("tokens")).where("valid").drop("valid")
+    classes = staged(classes, "html-classes")
+    members = classes.select("host", "class", F.explode("tokens").alias("token")).groupBy("host").agg(F.collect_list(F.struct("token", "class")).alias("members"))
+    members = staged(members, "html-members")
+    found = members.where("host = ''").select("members").first()  # tokens that half of all pages have
+    general = {m["token"]: m["class"] for m in found.members} if found else {}
+    checked = seen.join(members.where("host <> ''"), "host", "left").select("host", F.col("tokens.token").alias("tokens"), "members")
+
+    def ordered(batch: pa.RecordBatch) -> list:
+        out = []
+        for host, tokens, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            pairs = [("", order_of(tokens, general)), (host, order_of(tokens, {m["token"]: m["class"] for m in own or ()}))]
+            out.append([{"host": h, "class": c, "order": o} for h, made in pairs for c, o in made.items()])
+        return [out]
+
+    orders = append_columns(checked, [T.StructField("orders", ORDER)], ordered, []).select(F.explode("orders").alias("o")).select("o.*")
+    mixed = orders.groupBy("host", "class").agg(F.min("order").alias("p"), F.max("order").alias("q")).where("p <> q").select("host", "class")
+    valid = classes.join(mixed, ["host", "class"], "left_anti")
+    return valid.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+
+
+def main_text(page: str, template) -> str:
+    """Text of the page's slots, joined in page order: blocks that are no template token and not inside menus and the like."""
+    out = [(b, b.text) for b in blocks_of(page)[0] if not b.apart]
+    return " ".join(text for b, text in out if text and token_id(b.parent, f"\x01{text}") not in template)
 
 
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """Add the main text of every page, and n_chars, its code points.
 
-    The host's deduced template (that of all hosts where it has fewer than LEAST_PAGES distinct pages) tells constant
-    text from slots. Slots inside navigation, footers, asides, forms, adverts, notices, comments and the like are left
-    out; where a page has an article or main element, only slots inside it count, without the template's text there. Character
-    references are decoded, white space inside a block is one space, blocks are joined by one space. A null or empty
-    html gives an empty text; broken and cut pages are read as far as they go; a null url or one without :// belongs to
-    the template of all hosts. Repeated rows and extra columns stay, but for clashing names of the computed columns.
+    The deduced templates of the page's host and of all hosts tell constant text from slots. Slots inside navigation,
+    footers, asides, forms, adverts, notices, comments and the like, by element, role, class or id, are left out. No
+    element is needed to mark the main text. Character references are decoded, white space inside a block is one space,
+    blocks are joined by one space. A null or empty html gives an empty text; broken and cut pages are read as far as
+    they go, in time that grows with their length; a null url or one without :// has the template of all hosts alone. A
+    host of fewer than LEAST_PAGES distinct pages has no template of its own. Repeated rows and extra columns stay, but
+    for clashing names of the computed columns.
     """
     deduced = staged(templates(pages, url, html), "html-templates")  # its size on disk decides how it is joined
-    whole = deduced.where("host = ''").select("tokens", "focused").first()
-    general = (set(whole.tokens), whole.focused) if whole else (set(), False)
-    own = deduced.where("host <> ''").select(F.col("host").alias("__host"), F.col("tokens").alias("__tokens"), F.col("focused").alias("__focused"))
-    rows = pages.join(own, host_of(F.col(url)) == F.col("__host"), "left")
+    whole = deduced.where("host = ''").select("tokens").first()
+    general = frozenset(whole.tokens) if whole else frozenset()
+    of, known = unused(pages, "host", "tokens")
+    own = deduced.where("host <> ''").select(F.col("host").alias(of), F.col("tokens").alias(known))
+    rows = pages.join(own, host_of(F.col(url)) == F.col(of), "left")
 
     def run(batch: pa.RecordBatch) -> list:
         get = lambda c: batch.column(batch.schema.names.index(c))
-        made = []
-        for page, tokens, focused in zip(texts(get(html)), get("__tokens").to_pylist(), get("__focused").to_pylist(), strict=True):
-            template = general if tokens is None else (set(tokens), focused)
-            made.append(main_text(page, *template))
+        made, last, template = [], None, general
+        for page, tokens in zip(texts(get(html)), get(known).to_pylist(), strict=True):
+            if tokens != last:
+                last, template = tokens, general.union(tokens or ())
+            made.append(main_text(page, template))
         return [made, [len(x) for x in made]]
 
     keep = [c for c in pages.columns if c not in (out, "n_chars")]

@@ -101,7 +101,7 @@ PAGE = (
 )
 def test_main_text(body, text):
     page = PAGE.replace("{body}", body)
-    got = html.main_text(page if text is not None else PAGE.partition("{body}")[0] + body, set(), True)
+    got = html.main_text(page if text is not None else PAGE.partition("{body}")[0] + body, set())
     if text is None:
         assert got == "ab 1 2"
     elif "cut off" in text:
