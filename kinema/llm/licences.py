@@ -1,68 +1,89 @@
-"""Licence scans: sparse TF-IDF cosine of headers and licence files to templates, and inheritance from directories."""
+"""Licence scans: sparse TF-IDF cosine of files, headers and lines to templates, and inheritance from directories."""
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
-
-#: Licence notices by SPDX identifier; the text of a notice, not the licence's full text.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License.",
-    "MPL-2.0": "This file is subject to the terms of the Mozilla Public License, version 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0, Creative Commons Attribution.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0, Creative Commons Attribution NonCommercial.",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Proprietary": "All rights reserved.",
-}
-
-#: A line is looked at if it holds one of these.
-CUE = r"(?i)licen[cs]e|copyright|all rights reserved|public domain|creative commons|\bCC[ -](?:BY|0)|\bCC0|redistribution and use"
-#: Least cosine of a notice to its template.
+from .common import staged, unused
+from .licence_texts import TEMPLATES
+
+#: Least cosine of a text to its template.
 LEAST_COSINE = 0.7
-#: A document whose lines with a cue hold over this share of its words is a licence file, and speaks for its directory.
-FILE_SHARE = 0.5
+#: What lies between words: dots and hyphens stay inside a word and go at its end.
+BETWEEN = r"[.\-]*[^\p{L}\p{Nd}.\-]+|[.\-]+\z"
+#: A file's header ends at its first blank line.
+BLANK = r"\n[\x20\x09-\x0D]*\n"
+#: What is compared, in the order of what it says about its file.
+FILE, HEADER, LINE = range(3)
+#: A weak notice, which says less than any other.
+WEAK = "Proprietary"
 
 
 def tokens(text: Column) -> Column:
-    """Lower-case words; dots and hyphens stay inside a word and go at its end."""
-    words = F.transform(F.split(F.lower(text), r"[^\p{L}\p{Nd}.\-]+"), lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
-    return F.filter(words, lambda x: x != "")
+    """Lower-case words."""
+    return F.array_remove(F.split(F.lower(text), BETWEEN), "")
 
 
-def template_vectors(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(token, licence, weight, idf): unit TF-IDF vectors of the templates; idf is taken over the templates."""
-    rows = spark.createDataFrame(list(templates.items()), "licence string, text string").select("licence", F.explode(tokens(F.col("text"))).alias("token"))
-    tf = rows.groupBy("licence", "token").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("token").agg((F.log((1 + F.lit(len(templates))) / (1 + F.count("*"))) + 1).alias("idf"))
-    weighted = tf.join(idf, "token").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighted.groupBy("licence").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return weighted.join(norms, "licence").select("token", "licence", (F.col("w") / F.col("norm")).alias("weight"), "idf")
+def words_of(text: str) -> list[str]:
+    """tokens() of a template, which is ASCII."""
+    return [w for x in re.findall(r"[a-z0-9.\-]+", text.lower()) if (w := x.rstrip(".-"))]
 
 
-def notice_licences(notices: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """(notice, licence, cosine): the best template of each distinct notice, if near enough; ties by identifier.
+def template_weights(templates: list[tuple[str, str]]) -> list[tuple[int, str, str, float, float, bool]]:
+    """(template, licence, token, weight, idf, rare): unit TF-IDF vectors, and the rare tokens that a near text can't do without.
 
-    A notice's words that no template has weigh as much as a word of one template does, so that prose is far from all.
+    Weights are (1 + ln tf) * idf, idf taken over the templates. The tokens that aren't rare hold a share of the unit
+    vector whose length is under LEAST_COSINE, so a text without any rare token of a template is farther from it.
     """
-    vectors = staged(template_vectors(notices.sparkSession, templates), "licence-vectors")
-    unknown = F.log(F.lit((1 + len(templates)) / 2)) + 1
-    counted = notices.select("notice").distinct().select("notice", F.explode(tokens(F.col("notice"))).alias("token")).groupBy("notice", "token").agg(F.count("*").alias("tf"))
+    counts = [Counter(words_of(text)) for _, text in templates]
+    held = Counter(t for c in counts for t in c)
+    idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in held.items()}
+    out = []
+    for i, ((licence, _), c) in enumerate(zip(templates, counts, strict=True)):
+        weight = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        rest, rare = 1.0, set()
+        for t in sorted(weight, key=lambda t: (-idf[t], t)):
+            if rest < LEAST_COSINE**2 * 0.999:
+                break
+            rare.add(t)
+            rest -= (weight[t] / norm) ** 2
+        out += [(i, licence, t, w / norm, idf[t], t in rare) for t, w in sorted(weight.items())]
+    return out
+
+
+def _vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
+    rows = template_weights(templates)
+    return staged(spark.createDataFrame(rows, "template int, licence string, token string, weight double, idf double, rare boolean"), "licence-vectors")
+
+
+def near_licences(units: DataFrame, vectors: DataFrame, n_templates: int) -> DataFrame:
+    """(u, licence, cosine): the best template of each distinct unit (u, tokens), if near enough; ties by identifier.
+
+    Units are first held against the templates' rare tokens: the cosine is at most the length of what a unit shares of
+    the template's vector, all common tokens counted as shared. Words that no template has weigh as much as a word of
+    one template does, so that prose is far from all.
+    """
+    rare = vectors.where("rare")
+    rest = rare.groupBy("template").agg((1 - F.sum(F.col("weight") * F.col("weight"))).alias("rest"))
+    some = units.select("u", F.explode(F.array_distinct("tokens")).alias("token")).join(rare.select("token", "template", "weight"), "token")
+    bound = some.groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("shared")).join(F.broadcast(rest), "template")
+    may = staged(bound.where(F.col("shared") + F.col("rest") >= LEAST_COSINE**2 - 1e-9).select("u", "template"), "licence-candidates")
+    chosen = units.join(may.select("u").distinct(), "u", "left_semi")
+    counted = chosen.select("u", F.explode("tokens").alias("token")).groupBy("u", "token").agg(F.count("*").alias("tf"))
+    unknown = math.log((1 + n_templates) / 2) + 1
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
-    weighted = counted.join(idf, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unknown))
-    norms = weighted.groupBy("notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weighted.join(vectors.select("token", "licence", "weight"), "token").groupBy("notice", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    near = dots.join(norms, "notice").select("notice", "licence", cosine.alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
-    best = near.groupBy("notice").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("x"))
-    return best.select("notice", "x.*")
+    weighted = staged(counted.join(idf, "token", "left").select("u", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown))).alias("w")), "licence-units")
+    norms = weighted.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighted.join(vectors.select("token", "template", "licence", "weight"), "token").groupBy("u", "template", "licence").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    near = dots.join(norms, "u").select("u", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine")).where(F.col("cosine") >= LEAST_COSINE)
+    best = near.groupBy("u").agg(F.min_by(F.struct("licence", "cosine"), F.struct(-F.col("cosine"), "licence")).alias("x"))
+    return best.select("u", "x.*")
 
 
 def directory(path: Column) -> Column:
@@ -78,35 +99,49 @@ def ancestors(path: Column) -> Column:
     )
 
 
-def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per file: the columns in `keep`, path, licence, cosine, n_notices, is_licence_file, inherited_from.
 
-    Lines with a cue are notices; a file's licence is that of its notice with the largest cosine to a template (ties:
-    the smaller identifier). A licence file speaks for its directory and those below: a file without a licence takes
-    that of its nearest ancestor directory with a licence file (several there: the largest cosine, then the smaller
-    identifier), named in inherited_from; its cosine is that of the licence file. Without either, licence is null. A
-    null text has no notices; a null path is a file at the top; repeated rows stay; an empty table gives an empty result.
+    The whole file, its header (up to the first blank line) and every line are compared with the templates. A file whose
+    whole text is near one is a licence file. A file's licence is that of its whole text, else of its header, else of
+    the nearest of its lines, of which n_notices are near a template; "all rights reserved" counts after any licence;
+    ties go to the larger cosine, then to the smaller identifier. A licence file speaks for its directory and those
+    below: a file without a licence takes that of its nearest ancestor directory with a licence file (several there: by
+    the same order), named in inherited_from; its cosine is that of the licence file. Without either, licence is null.
+    A null text has no notices; a null path is a file at the top; repeated rows stay; texts of any length are read
+    whole; an empty table gives an empty result.
     """
     templates = TEMPLATES if templates is None else templates
-    rows = files.select(*[F.col(c).alias(c) for c in keep], F.col(path).alias("__path"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    cued = F.filter(F.split("__text", "\n"), lambda x: x.rlike(CUE))
-    rows = rows.select(*keep, "__path", F.when(F.col("__text").rlike(CUE), F.transform(cued, lambda x: F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))).otherwise(F.array()).cast("array<string>").alias("__notices"), F.size(F.split("__text", r"[\x20\x09-\x0D]+")).alias("__words"))
-    rows = staged(rows.withColumn("__row", F.monotonically_increasing_id()), "licence-files")
-    listed = rows.select("__row", F.explode("__notices").alias("notice"))
-    found = staged(notice_licences(listed, templates), "licence-notices")
-    order = F.struct(-F.col("cosine"), "licence")
-    own = listed.join(found, "notice").groupBy("__row").agg(F.min_by(F.struct("licence", "cosine"), order).alias("own"))
-    said = F.aggregate(F.transform("__notices", lambda x: F.size(F.split(x, " "))), F.lit(0), lambda s, x: s + x)
-    rows = rows.withColumn("is_licence_file", said > F.col("__words") * FILE_SHARE).join(own, "__row", "left")
-    rows = staged(rows, "licence-own")
-    speaks = rows.where("is_licence_file and own is not null").groupBy(directory(F.col("__path")).alias("dir")).agg(F.min_by("own", F.struct(-F.col("own.cosine"), F.col("own.licence"))).alias("theirs"))
+    spark = files.sparkSession
+    vectors = _vectors(spark, templates)
+    rare = F.lit(sorted({t for _, _, t, _, _, is_rare in template_weights(templates) if is_rare}))
+    at, body, row = unused(files, "path", "text", "row")
+    rows = files.select(*keep, F.col(path).alias(at), F.coalesce(F.col(text), F.lit("")).alias(body))
+    # only texts that hold a rare token are read further
+    rows = rows.withColumn(body, F.when(F.arrays_overlap(tokens(F.col(body)), rare), F.col(body)))
+    rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "licence-files")
+    some = rows.where(F.col(body).isNotNull()).select(row, F.col(body).alias("text"))
+    whole = some.select(row, F.lit(FILE).alias("kind"), "text").unionByName(some.select(row, F.lit(HEADER).alias("kind"), F.split("text", BLANK, 2)[0].alias("text")))
+    parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
+    parts = parts.where(F.arrays_overlap("tokens", rare)).select(row, "kind", F.md5(F.array_join("tokens", " ")).alias("u"), "tokens")
+    parts = staged(parts, "licence-parts")
+    units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens")), "licence-texts")
+    found = staged(near_licences(units, vectors, len(templates)), "licence-found")
+    met = parts.select(row, "kind", "u").join(found, "u").withColumn("weak", F.col("licence") == WEAK)
+    order = F.struct("weak", "kind", -F.col("cosine"), "licence")
+    own = met.groupBy(row).agg(
+        F.min_by(F.struct("licence", "cosine"), order).alias("own"), F.min(order).alias("order"),
+        F.sum((F.col("kind") == LINE).cast("long")).alias("n_notices"), F.max(F.col("kind") == FILE).alias("is_licence_file"),
+    )
+    rows = staged(rows.drop(body).join(own, row, "left"), "licence-own")
+    speaks = rows.where("is_licence_file").groupBy(directory(F.col(at)).alias("dir")).agg(F.min_by("own", "order").alias("theirs"))
     speaks = staged(speaks, "licence-directories")
     # inheritance is found once for each directory, not for each of its files
-    dirs = rows.where("own is null").select(directory(F.col("__path")).alias("__dir")).distinct()
-    up = dirs.select("__dir", F.posexplode(ancestors(F.concat("__dir", F.when(F.col("__dir") == "", "x").otherwise("/x")))).alias("up", "dir"))
-    heir = up.join(speaks, "dir").groupBy("__dir").agg(F.min_by(F.struct("dir", "theirs"), "up").alias("heir"))
-    out = rows.withColumn("__dir", F.when(F.col("own").isNull(), directory(F.col("__path")))).join(heir, "__dir", "left")
+    dirs = rows.where("own is null").select(directory(F.col(at)).alias("of")).distinct()
+    up = dirs.select("of", F.posexplode(ancestors(F.concat("of", F.when(F.col("of") == "", "x").otherwise("/x")))).alias("up", "dir"))
+    heir = up.join(speaks, "dir").groupBy("of").agg(F.min_by(F.struct("dir", "theirs"), "up").alias("heir"))
+    out = rows.join(heir, F.when(F.col("own").isNull(), directory(F.col(at))) == F.col("of"), "left")
     return out.select(
-        *keep, F.col("__path").alias("path"), F.coalesce("own.licence", "heir.theirs.licence").alias("licence"), F.coalesce("own.cosine", "heir.theirs.cosine").alias("cosine"),
-        F.size("__notices").cast("long").alias("n_notices"), "is_licence_file", F.when(F.col("own").isNull(), F.col("heir.dir")).alias("inherited_from"),
+        *keep, F.col(at).alias("path"), F.coalesce("own.licence", "heir.theirs.licence").alias("licence"), F.coalesce("own.cosine", "heir.theirs.cosine").alias("cosine"),
+        F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("is_licence_file", F.lit(False)).alias("is_licence_file"), F.when(F.col("own").isNull(), F.col("heir.dir")).alias("inherited_from"),
     )

@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from . import licences, lines, quality, warc
 
+
+def queries_path(div: str, string: str) -> str:
+    """SQL for a document's path: some documents lie at the top of their source, others up to three directories below."""
+    level = lambda n: f"cast(doc_id {div} {n} as {string})"
+    below = f"case when doc_id % 4 > 0 then concat({level(1000)}, '/') else '' end, case when doc_id % 4 > 1 then concat({level(100)}, '/') else '' end, case when doc_id % 4 > 2 then concat({level(10)}, '/') else '' end"
+    return f"concat(coalesce(source, ''), '/', {below}, cast(doc_id as {string}))"
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -108,29 +116,37 @@ select doc_id, case when text is null then 0 else cast(len(ls) as bigint) end as
 from r
 """
 
+BETWEEN = licences.BETWEEN
+
+
 def _tokens(text: str) -> str:
-    return f"list_filter(list_transform(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{Nd}}.\\-]+'), lambda w: regexp_replace(w, '[.\\-]+$', '')), lambda w: w <> '')"
+    return f"list_filter(string_split_regex(lower({text}), '{BETWEEN}'), lambda w: w <> '')"
 
 
 _N = len(licences.TEMPLATES)
 
 OP5 = f"""
-with tpl as (select * from (values {", ".join(f"({_text(k)}, {_text(v)})" for k, v in licences.TEMPLATES.items())}) x(licence, t)),
-tf as (select licence, token, count(*) as tf from (select licence, unnest({_tokens("t")}) as token from tpl) group by all),
-idf as (select token, ln({1 + _N} / (1 + count(*))) + 1 as idf from tf group by token), tw as (select licence, tf.token, tf * idf as w, idf from tf join idf using (token)),
-tn as (select licence, sqrt(sum(w * w)) as norm from tw group by licence), vec as (select tw.licence, token, w / norm as weight from tw join tn using (licence)),
-d as (select doc_id, source || '/' || doc_id // 100 || '/' || doc_id // 10 as dir, source || '/' || doc_id // 100 as up1, source as up2, coalesce(text, '') as t from documents),
-n as (select doc_id, trim(regexp_replace(line, '[\\x20\\x09-\\x0D]+', ' ', 'g')) as notice from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, {_text(licences.CUE)})),
-nt as (select notice, token, count(*) as tf from (select notice, unnest({_tokens("notice")}) as token from (select distinct notice from n)) group by all),
-nw as (select notice, nt.token, tf * coalesce(idf, ln({(1 + _N) / 2}) + 1) as w from nt left join idf using (token)), nn as (select notice, sqrt(sum(w * w)) as norm from nw group by notice),
-dot as (select notice, licence, sum(w * weight) as dot from nw join vec using (token) group by all), near as (select notice, licence, round(dot / norm, 6) as cosine from dot join nn using (notice) where round(dot / norm, 6) >= {licences.LEAST_COSINE}),
-o as (select doc_id, licence, cosine, row_number() over (partition by doc_id order by cosine desc, licence) as rank from n join near using (notice)), own as (select doc_id, licence, cosine from o where rank = 1),
-c as (select doc_id, count(*) as n_notices, sum(len(string_split(notice, ' '))) as said from n group by doc_id),
-f as (select d.*, coalesce(n_notices, 0) as n_notices, coalesce(said, 0) > len(string_split_regex(t, '[\\x20\\x09-\\x0D]+')) * {licences.FILE_SHARE} as is_licence_file, own.licence, own.cosine from d left join c using (doc_id) left join own using (doc_id)),
-s as (select dir, licence, cosine from (select *, row_number() over (partition by dir order by cosine desc, licence) as rank from f where is_licence_file and licence is not null) where rank = 1),
-u as (select doc_id, unnest([dir, up1, up2, '']) as dir, unnest([0, 1, 2, 3]) as up from f where licence is null), h as (select doc_id, u.dir, s.licence, s.cosine, row_number() over (partition by doc_id order by up) as rank from u join s using (dir))
-select f.doc_id, f.dir || '/' || f.doc_id as path, coalesce(f.licence, h.licence) as licence, coalesce(f.cosine, h.cosine) as cosine, cast(n_notices as bigint) as n_notices, is_licence_file, h.dir as inherited_from
-from f left join h on h.doc_id = f.doc_id and h.rank = 1
+with tpl as (select * from (values {", ".join(f"({i}, {_text(k)}, {_text(v)})" for i, (k, v) in enumerate(licences.TEMPLATES))}) x(template, licence, t)),
+tf as (select template, licence, token, 1 + ln(count(*)) as tf from (select template, licence, unnest({_tokens("t")}) as token from tpl) group by all),
+idf as (select token, ln({1 + _N} / (1 + count(*))) + 1 as idf from tf group by token), tw as (select template, licence, tf.token, tf * idf as w from tf join idf using (token)),
+tn as (select template, sqrt(sum(w * w)) as norm from tw group by template), vec as (select template, licence, token, w / norm as weight from tw join tn using (template)),
+d as (select doc_id, {queries_path("//", "varchar")} as path, coalesce(text, '') as t from documents),
+e as (select *, regexp_replace(path, '/?[^/]*$', '') as dir from d),
+part as (select doc_id, 0 as kind, t from d union all select doc_id, 1, string_split_regex(t, '\\n[\\x20\\x09-\\x0D]*\\n')[1] from d union all select doc_id, 2, unnest(string_split(t, chr(10))) from d),
+p as (select doc_id, kind, {_tokens("t")} as w, array_to_string({_tokens("t")}, ' ') as u from part),
+nt as (select u, token, 1 + ln(count(*)) as tf from (select u, unnest(w) as token from (select distinct u, w from p)) group by all),
+nw as (select u, nt.token, tf * coalesce(idf, ln({(1 + _N) / 2}) + 1) as w from nt left join idf using (token)), nn as (select u, sqrt(sum(w * w)) as norm from nw group by u),
+dot as (select u, template, licence, sum(w * weight) as dot from nw join vec using (token) group by all),
+near as (select u, licence, round(dot / norm, 6) as cosine from dot join nn using (u) where round(dot / norm, 6) >= {licences.LEAST_COSINE}),
+best as (select u, licence, cosine from (select *, row_number() over (partition by u order by cosine desc, licence) as rank from near) where rank = 1),
+met as (select doc_id, kind, licence, cosine, licence = '{licences.WEAK}' as weak from p join best using (u)),
+o as (select *, row_number() over (partition by doc_id order by weak, kind, cosine desc, licence) as rank from met),
+c as (select doc_id, sum(case when kind = 2 then 1 else 0 end) as n_notices, bool_or(kind = 0) as is_file from met group by doc_id),
+f as (select e.doc_id, path, dir, o.licence, o.cosine, o.weak, o.kind, coalesce(n_notices, 0) as n_notices, coalesce(is_file, false) as is_licence_file from e left join c using (doc_id) left join o on o.doc_id = e.doc_id and o.rank = 1),
+s as (select dir, licence, cosine from (select *, row_number() over (partition by dir order by weak, kind, cosine desc, licence) as rank from f where is_licence_file) where rank = 1),
+u as (select doc_id, s.dir, s.licence, s.cosine, row_number() over (partition by doc_id order by length(s.dir) desc) as rank from f join s on f.licence is null and (s.dir = '' or f.dir = s.dir or starts_with(f.dir, s.dir || '/')))
+select f.doc_id, f.path, coalesce(f.licence, u.licence) as licence, coalesce(f.cosine, u.cosine) as cosine, cast(n_notices as bigint) as n_notices, is_licence_file, u.dir as inherited_from
+from f left join u on u.doc_id = f.doc_id and u.rank = 1
 """
 
 ORACLE_SQL = {"op5_licences": OP5, "op4_decontaminate": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_lines": OP10}

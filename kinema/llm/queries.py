@@ -48,12 +48,8 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-#: Documents as files: a source is a tree of directories of a hundred, of ten, and of single documents.
-DOCUMENT_PATH = "concat_ws('/', source, cast(doc_id div 100 as string), cast(doc_id div 10 as string), cast(doc_id as string))"
-
-
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(DOCUMENT_PATH))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.expr(oracle.queries_path("div", "string")))
     return licences.scan_licences(docs, keep=("doc_id",))
 
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from kinema.llm import html, licences, quality, urls
+from kinema.llm import html, licence_texts, licences, quality, urls
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -128,15 +128,43 @@ def test_extract(spark):
 
 
 def test_licences(spark):
+    body, bsd = licence_texts.MIT, licence_texts.BSD_GRANT + licence_texts.BSD_NAME + licence_texts.BSD_DISCLAIMER
+    prose = "the licence of the birds is to sing in all the trees of the long green valley\n" * 3
+    comment = "\n".join(f"# {x}" for x in licence_texts.gnu_header(licence_texts.GPL, "2").strip().split("\n"))
     files = [
         ("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code\nno notice here"), ("a/b/c/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "code " * 50), ("a/b/c/z.py", "code " * 20),
-        ("d/e/f.txt", "nothing"), ("d/LICENSE", None), ("top.txt", ""), (None, "All rights reserved."), ("g/h.txt", "The licence of the birds is to sing in all the trees of the long green valley " * 3),
+        ("d/e/f.txt", "nothing"), ("d/LICENSE", None), ("top.txt", ""), (None, "All rights reserved."), ("g/h.txt", prose),
         ("a/b/LICENSE", "This work is licensed under the GNU General Public License, version 3."), ("a/b/x.py", "code\nno notice here"),
+        ("m/LICENSE", "Copyright (c) 2020 A. Person\n" + body), ("m/n/o/p.c", "int x;"), ("k/COPYING", "Copyright (c) 1999, The Group. All rights reserved.\n\n" + bsd), ("k/l/x.c", "int x;"), ("k/l/isc.c", licence_texts.ISC),
+        ("q/gpl.py", comment + "\n\n" + "x = y + z\n" * 400), ("q/r/s/t/u.py", "pass"), ("q/spdx.py", "# SPDX-License-Identifier: BSD-2-Clause\n" + prose), ("q/both.txt", "All rights reserved.\nReleased under the MIT License.\n" + prose),
+        ("v/GPL-2", "This work is licensed under the GNU General Public License, version 2."), ("long.txt", "word " * 200_000 + "\nLicensed under the Apache License, Version 2.0.\n" + "more " * 1000),
     ]
-    df = spark.createDataFrame([(p, t, 1, "l") for p, t in files], "path string, text string, n_notices int, licence string")
+    df = spark.createDataFrame([(p, t, 1, "l", "x") for p, t in files], "path string, text string, n_notices int, licence string, __text string")
     rows = licences.scan_licences(df).collect()
     assert len(rows) == len(files)
     got = {r.path: (r.licence, r.inherited_from) for r in rows}
     assert got["a/LICENSE"] == ("MIT", None) and got["a/b/x.py"] == ("GPL-3.0", "a/b") and got["a/b/c/y.py"] == ("Apache-2.0", None) and got["a/b/c/z.py"] == ("GPL-3.0", "a/b")
     assert got["d/e/f.txt"] == ("Proprietary", "") and got[None] == ("Proprietary", None) and got["g/h.txt"][1] == ""
+    assert got["m/LICENSE"] == ("MIT", None) and got["m/n/o/p.c"] == ("MIT", "m") and got["k/COPYING"] == ("BSD-3-Clause", None) and got["k/l/x.c"] == ("ISC", "k/l") and got["k/l/isc.c"] == ("ISC", None)
+    assert got["q/gpl.py"] == ("GPL-2.0", None) and got["q/r/s/t/u.py"] == ("Proprietary", "") and got["q/spdx.py"] == ("BSD-2-Clause", None) and got["q/both.txt"] == ("MIT", None)
+    assert got["v/GPL-2"] == ("GPL-2.0", None) and got["long.txt"] == ("Apache-2.0", None)
+    assert {r.path for r in rows if r.is_licence_file} == {"a/LICENSE", None, "a/b/LICENSE", "m/LICENSE", "k/COPYING", "k/l/isc.c", "v/GPL-2"}
+    tie = licences.scan_licences(df.where("path = 'v/GPL-2'"), templates=[("b", "licensed under one"), ("a", "licensed under one"), ("a", "work is licensed gnu general public license version")]).collect()
+    assert [r.licence for r in tie] == ["a"]
     assert licences.scan_licences(df.limit(0)).count() == 0
+
+
+def test_rare_tokens_lose_no_text():
+    rows, rng = licences.template_weights(licences.TEMPLATES), random.Random(4)
+    vectors, rare, idf = {}, {}, {}
+    for i, _, token, weight, f, is_rare in rows:
+        vectors.setdefault(i, {})[token] = weight
+        idf[token] = f
+        if is_rare:
+            rare.setdefault(i, set()).add(token)
+    for i, v in vectors.items():
+        assert abs(sum(w * w for w in v.values()) - 1) < 1e-9
+        for _ in range(50):
+            some = {t: idf[t] for t in v if t not in rare[i] and rng.random() < 0.9}
+            norm = sum(w * w for w in some.values()) ** 0.5 or 1
+            assert sum(w * v[t] for t, w in some.items()) / norm < licences.LEAST_COSINE
