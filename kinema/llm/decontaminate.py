@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, staged, utf8
+from .common import append_columns, staged, unused, utf8
 
 #: A-Z are lower-cased, these ASCII characters separate words, all else is part of a word.
 SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -44,45 +44,49 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
     return made.select("item_id", F.explode("windows").alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
 
 
-_machines: dict[int, tuple[list, ahocorasick.Automaton]] = {}
+_machine: list = []  # the windows and automaton that this Python worker holds
 
 
-def _machine(windows: list) -> ahocorasick.Automaton:
-    """The automaton of a broadcast list of windows, made once in each Python worker."""
-    if id(windows) not in _machines:
-        if len(_machines) > 8:
-            _machines.clear()
+def automaton(shared) -> tuple[list, ahocorasick.Automaton]:
+    """A broadcast list of windows and its automaton, which is made once in each Python worker and in place of any other."""
+    windows = shared.value
+    if not _machine or _machine[0] is not windows:
+        _machine.clear()
         made = ahocorasick.Automaton()
         for i, (window, _) in enumerate(windows):
             made.add_word(f" {window} ", (i, len(window) + 2, window.count(" ") + 1))
         if len(made):
             made.make_automaton()
-        _machines[id(windows)] = windows, made
-    return _machines[id(windows)][1]
-
-
-class Scanner:
-    """Finds one block of benchmark windows in texts."""
-
-    def __init__(self, shared):
-        self.shared = shared
-
-    def hits(self, text: bytes) -> tuple[int, np.ndarray | None, set[int]]:
-        """Number of words, which words are inside a window (None: none), numbers of the windows found."""
-        words = normalised(text)
-        machine = _machine(self.shared.value)
-        if not words or not len(machine):
-            return len(words), None, set()
-        line = f" {b' '.join(words).decode()} "
-        found = [(end - length + 1, n, i) for end, (i, length, n) in machine.iter(line)]
-        if not found:
-            return len(words), None, set()
-        starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 0x20)
+        _machine[:] = windows, made
+    return _machine[0], _machine[1]
+
+
+def found_in(words: list[bytes], shared) -> tuple[list[tuple[int, int]], set[str]]:
+    """(first word, words) of every occurrence of a window, and the ids of the items that these windows are of."""
+    windows, machine = automaton(shared)
+    if not words or not len(machine):
+        return [], set()
+    line = f" {b' '.join(words).decode()} "
+    found = [(end - length + 1, n, i) for end, (i, length, n) in machine.iter(line)]
+    if not found:
+        return [], set()
+    starts = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 0x20)
+    first = np.searchsorted(starts, [at for at, _, _ in found]).tolist()
+    return list(zip(first, (n for _, n, _ in found), strict=True)), {x for i in {i for _, _, i in found} for x in windows[i][1]}
+
+
+def verdict(raw: bytes, words: list[bytes], found: list[tuple[int, int]], ids: set[str]) -> tuple:
+    """The computed columns of a text."""
+    hit = None
+    if found:
+        first, n = np.array(found).T
         edge = np.zeros(len(words) + 1, np.int64)
-        first = np.searchsorted(starts, [at for at, _, _ in found])
         np.add.at(edge, first, 1)
-        np.add.at(edge, first + np.array([n for _, n, _ in found]), -1)
-        return len(words), np.cumsum(edge)[:-1] > 0, {i for _, _, i in found}
+        np.add.at(edge, first + n, -1)
+        hit = np.cumsum(edge)[:-1] > 0
+    n_hit = 0 if hit is None else int(hit.sum())
+    where = [] if hit is None else [{"start": i, "end": j} for i, j in spans(raw.decode(), hit)]
+    return len(words), n_hit, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), n_hit > 0, where
 
 
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -105,39 +109,57 @@ def decontaminate(
     """Add n_words, n_hit, n_items, items_sha256, contaminated and spans to every document.
 
     A window is `size` consecutive words of an item (all its words if fewer); a document word inside any occurrence
-    of a window is hit. spans are the hit ranges as character offsets of the original text. Windows are distinct and
-    collected in blocks of about windows_at_once, or BYTES_AT_ONCE, which bounds what is broadcast; every block's automaton scans all
-    documents, and hits are united. Null and empty texts have no words and no hits; an item without words has no
-    windows; an item without an id marks words but is not listed; ids that occur twice count once. Repeated document
-    rows stay. Extra columns of docs stay (keep names those that do); clashing ones give way to the computed.
+    of a window is hit. spans are the hit ranges as character offsets of the original text. One automaton of all
+    windows scans every text once, as long as they are at most windows_at_once and BYTES_AT_ONCE; more are dealt into
+    blocks by hash, and the texts are scanned for one block after the other, so that the driver and the workers hold
+    one block at a time. Null and empty texts have no words and no hits; an item without words has no windows; an item
+    without an id marks words but is not listed; ids that occur twice count once. Repeated document rows stay. Extra
+    columns of docs stay (keep names those that do); clashing ones give way to the computed.
     """
     windows = staged(windows_of(items, item_id, item_text, size), "windows")
     n, size_of = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
     blocks = max(1, -(-n // windows_at_once), -(-size_of // BYTES_AT_ONCE))
-    part = F.pmod(F.xxhash64("window"), F.lit(blocks))
     sc = docs.sparkSession.sparkContext
-    scanners = [
-        Scanner(sc.broadcast([(r.window, [i for i in r.ids if i is not None]) for r in (windows if blocks == 1 else windows.where(part == b)).collect()]))
-        for b in range(blocks)
-    ]
-
-    def run(batch: pa.RecordBatch) -> list:
-        out: tuple[list, ...] = ([], [], [], [], [], [])
-        for raw in utf8(batch.column(batch.schema.names.index(doc_text))):
-            n, hit, ids = 0, None, set()
-            for s in scanners:
-                n, more, which = s.hits(raw)
-                if more is not None:
-                    hit = more if hit is None else hit | more
-                    ids.update(x for i in which for x in s.shared.value[i][1])
-            n_hit = 0 if hit is None else int(hit.sum())
-            row = (n, n_hit, len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), n_hit > 0, [] if hit is None else [{"start": i, "end": j} for i, j in spans(raw.decode(), hit)])
-            for values, x in zip(out, row, strict=True):
-                values.append(x)
-        return list(out)
-
     fields = [
         T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
         T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()), T.StructField("spans", T.ArrayType(SPAN)),
     ]
-    return append_columns(docs, fields, run, keep)
+
+    def shared(block: int):
+        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
+        return sc.broadcast([(r.window, [i for i in r.ids if i is not None]) for r in part.collect()])
+
+    if blocks == 1:
+        one = shared(0)
+
+        def run(batch: pa.RecordBatch) -> list:
+            made = []
+            for raw in utf8(batch.column(batch.schema.names.index(doc_text))):
+                words = normalised(raw)
+                made.append(verdict(raw, words, *found_in(words, one)))
+            return [list(x) for x in zip(*made, strict=True)]
+
+        return append_columns(docs, fields, run, keep)
+
+    row, ranges, items_in = unused(docs, "row", "ranges", "items")
+    rows = staged(docs.withColumn(row, F.monotonically_increasing_id()), "scanned")
+    hits = [T.StructField(ranges, T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField(items_in, T.ArrayType(T.StringType()))]
+    found = None
+    for block in range(blocks):
+        one = shared(block)
+
+        def scan(batch: pa.RecordBatch, one=one) -> list:
+            made = [found_in(normalised(raw), one) for raw in utf8(batch.column(batch.schema.names.index(doc_text)))]
+            return [[x for x, _ in made], [sorted(x) for _, x in made]]
+
+        more = staged(append_columns(rows.select(row, doc_text), hits, scan, [row]).where(F.size(ranges) > 0), "block-hits")
+        one.unpersist()
+        found = more if found is None else found.unionByName(more)
+    found = found.groupBy(row).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in (ranges, items_in)])
+
+    def unite(batch: pa.RecordBatch) -> list:
+        get = lambda c: batch.column(batch.schema.names.index(c)).to_pylist()
+        made = [verdict(raw, normalised(raw), x or [], set(y or ())) for raw, x, y in zip(utf8(batch.column(batch.schema.names.index(doc_text))), get(ranges), get(items_in), strict=True)]
+        return [list(x) for x in zip(*made, strict=True)]
+
+    return append_columns(rows.join(found, row, "left"), fields, unite, docs.columns if keep is None else keep)

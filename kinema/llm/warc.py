@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
 import re
 import uuid
@@ -28,7 +30,9 @@ FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("byte
 RECORDS = T.StructType([
     T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()),
     T.StructField("payload_bytes", T.LongType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload", T.BinaryType()),
+    T.StructField("record_id", T.StringType()), T.StructField("intact", T.BooleanType()),
 ])
+PAGE = re.compile(r"<urn:page:(\d*)>")
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -52,7 +56,12 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def parse_record(raw: bytes) -> dict | None:
-    """The fields of a whole record, or None if it isn't one."""
+    """The fields of a whole record of any type, or None if it isn't one.
+
+    The payload is the body of an HTTP message, else the whole block; its length and SHA-256 are those found. A record
+    is intact if they, or a SHA-1, are as its headers say; other digests aren't checked. A revisit has no payload, and
+    the length and digest of its headers. page_id and refers_to are null unless ids are those of write_warc().
+    """
     head, gap, rest = raw.partition(b"\r\n\r\n")
     lines = head.split(b"\r\n")
     if not gap or not lines[0].startswith(b"WARC/"):
@@ -61,18 +70,24 @@ def parse_record(raw: bytes) -> dict | None:
     length = fields.get("content-length", "")
     if not length.isdigit() or len(rest) != int(length) + 4 or not rest.endswith(b"\r\n\r\n") or "warc-type" not in fields:
         return None
-    http, _, body = rest[:-4].partition(b"\r\n\r\n")
-    kind = fields["warc-type"]
-    number = lambda x: int(x) if (x := x.removeprefix("<urn:page:").removesuffix(">")) else None
-    n = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-    digest = fields["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and (len(body) != n or hashlib.sha256(body).hexdigest() != digest):
-        raise ValueError(f"record {fields['warc-record-id']} doesn't match its length or digest")
+    kind, block = fields["warc-type"], rest[:-4]
+    http, _, body = block.partition(b"\r\n\r\n")
+    if not http.startswith(b"HTTP/"):
+        http, body = b"", block
+    said = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+    digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
+    n, intact = int(said[1]) if said else None, True
+    if kind != "revisit":
+        made = hashlib.sha256(body).hexdigest()
+        known = {made, "", *(f"sha1:{f(hashlib.sha1(body).digest()).decode()}" for f in (base64.b32encode, binascii.hexlify))}
+        intact = digest in known and n in (None, len(body)) or ":" in digest and not digest.startswith("sha1:")
+        n, digest = len(body), made
     url = fields.get("warc-target-uri")
+    number = lambda x: int(m[1]) if (m := PAGE.fullmatch(x)) and m[1] else None
     return {
-        "page_id": number(fields["warc-record-id"]), "url": None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
-        "record_type": kind, "refers_to": number(fields["warc-refers-to"]) if kind == "revisit" else None,
-        "payload_bytes": n, "payload_digest": digest, "payload": body if kind == "response" else None,
+        "page_id": number(fields.get("warc-record-id", "")), "url": None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url),
+        "record_type": kind, "refers_to": number(fields.get("warc-refers-to", "")), "payload_bytes": n, "payload_digest": digest or None,
+        "payload": None if kind == "revisit" else body, "record_id": fields.get("warc-record-id"), "intact": intact,
     }
 
 
@@ -168,10 +183,10 @@ def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """All records of the listed files (path, bytes): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload.
+    """All records of the listed files (path, bytes): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record_id, intact.
 
-    Files are cut into byte ranges that tasks read on their own. Lengths and digests of responses are checked against
-    their payloads; a revisit's are those of the payload it stands for, and its payload is null.
+    Files are cut into byte ranges that tasks read on their own; see parse_record() for the columns. Archives of other
+    writers may be read, one gzip member a record.
     """
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")
     ranges = files.select("path", "bytes", at).where("bytes > 0")
@@ -180,7 +195,7 @@ def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[dict]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
             return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(RECORDS.names, kinds, strict=True)], names=RECORDS.names)
 
         for batch in batches:

@@ -1,8 +1,11 @@
 """Packing and WARC archives: exact tokens, valid packings, round trips; and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import random
 import struct
+import uuid
 import zlib
 
 import pytest
@@ -114,6 +117,31 @@ def test_warc_round_trip(spark, split):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_foreign_archive(spark, tmp_path):
+    """An archive as crawlers write it: other record types, SHA-1 or no digests, UUID ids, records that aren't intact."""
+    body = b"<html>hi</html>"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body
+    made = [
+        ("warcinfo", {}, b"software: crawler\r\nformat: WARC File Format 1.0\r\n"), ("request", {}, b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"), ("response", {"WARC-Payload-Digest": sha1}, http), ("response", {}, http),
+        ("response", {"WARC-Payload-Digest": "sha1:AAAA"}, http), ("response", {}, http.replace(b"Server: x", b"Content-Length: 99")), ("metadata", {}, b"fetchTimeMs: 5"), ("resource", {"WARC-Target-URI": "dns:a.com"}, b"20200101 a.com. 1 IN A 1.2.3.4"),
+        ("revisit", {"WARC-Payload-Digest": sha1, "WARC-Refers-To": "<urn:uuid:1>"}, b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"), ("conversion", {"WARC-Payload-Digest": "md5:00"}, b"plain text"),
+    ]
+    raw = b""
+    for i, (kind, more, block) in enumerate(made):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.UUID(int=i)}>", "Content-Length": str(len(block))} | more
+        raw += gzip.compress("\r\n".join(["WARC/1.0", *(f"{k}: {v}" for k, v in head.items())]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n")
+    path = tmp_path / "crawl.warc.gz"
+    path.write_bytes(raw + b"\x1f\x8b\x08 cut off")
+    for split in (4 << 20, 100):
+        rows = sorted(warc.read_warc(spark, spark.createDataFrame([(f"file://{path}", len(raw) + 12)], "path string, bytes long"), split).collect(), key=lambda r: r.record_id)
+        assert [r.record_type for r in rows] == [x[0] for x in made]
+        assert [r.intact for r in rows] == [True, True, True, True, False, False, True, True, True, True]
+        assert all(r.page_id is None and r.refers_to is None for r in rows)
+        assert bytes(rows[2].payload) == bytes(rows[3].payload) == body and rows[2].payload_digest == hashlib.sha256(body).hexdigest()
+        assert rows[8].payload is None and rows[8].payload_digest == sha1 and bytes(rows[9].payload) == b"plain text" and bytes(rows[6].payload) == made[6][2]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from kinema.llm.common import table
