@@ -175,22 +175,43 @@ def pool_summary(index: DataFrame, by: Sequence[str]) -> DataFrame:
     return index.rollup(*by).agg(F.count("*").alias("n"))
 
 
-def segment_quality(frames: DataFrame, motion: str, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
-    """AG39: presence rate, longest miss, mean and deviation of motion, and a score against the p90 of all clips' motion; bucket EMPTY, WEAK or OK."""
-    base = frames.groupBy(key).agg(F.avg(F.col("h1").cast("double")).alias("presence"), F.avg(motion).alias("motion_mean"), F.stddev_pop(motion).alias("motion_std"))
-    miss = seq.longest_run(frames, ~F.col("h1"), key, order)
+def segment_quality(frames: DataFrame, motion: str, key: str = "sample_id", order: str = "frame_idx", points: Column | None = None, least_points: int = 5) -> DataFrame:
+    """AG39: presence rate, longest miss, mean and deviation of motion, and a score against the p90 of all clips' motion; bucket EMPTY, WEAK or OK.
+
+    A hand is present with at least least_points points, by default where h1 says so; with points, mean_points as well.
+    """
+    present = F.col("h1") if points is None else F.coalesce(points >= least_points, F.lit(False))
+    more = [] if points is None else [F.avg(points).alias("mean_points")]
+    base = frames.groupBy(key).agg(F.avg(present.cast("double")).alias("presence"), F.avg(motion).alias("motion_mean"), F.stddev_pop(motion).alias("motion_std"), *more)
+    miss = seq.longest_run(frames, ~present, key, order)
     top = base.agg(F.percentile("motion_mean", F.lit(0.9)).alias("p90"))
     out = base.join(miss, key).crossJoin(F.broadcast(top))  # one row
     score = 0.7 * F.col("presence") + 0.3 * F.least(F.col("motion_mean") / F.nullif("p90", F.lit(0)), F.lit(1.0))
     return out.withColumn("score", score).withColumn("bucket", F.when(F.col("presence") == 0, "EMPTY").when(F.col("score") < 0.8, "WEAK").otherwise("OK")).drop("p90")
 
 
-def review_warnings(frames: DataFrame, segments: DataFrame, key: str = "sample_id") -> DataFrame:
-    """AG40: names of each clip's warnings: sparse hands, no segments."""
-    base = frames.groupBy(key).agg(F.avg((F.col("h1") & F.col("h2")).cast("double")).alias("both"))
+def bucket_counts(quality: DataFrame, splits: DataFrame, key: str = "sample_id") -> DataFrame:
+    """AG39: clips of every split by bucket; splits: (key, split), null where a clip has none."""
+    return quality.join(splits, key, "left").groupBy("split", "bucket").agg(F.count("*").alias("n"))
+
+
+def review_warnings(frames: DataFrame, segments: DataFrame, predictions: DataFrame, left: Column, right: Column, pose: Column | None = None, key: str = "sample_id") -> DataFrame:
+    """AG40: each clip's warnings (id, value): a hand on under a quarter of its frames, low mean pose reliability, no segments, all predictions rejected.
+
+    predictions: (key, accepted). The value is the share, the mean, or the number of rejected predictions.
+    """
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    low_pose = F.lit(None).cast("double") if pose is None else F.avg(pose)
+    base = frames.groupBy(key).agg(share(left).alias("left"), share(right).alias("right"), low_pose.alias("pose"))
     n = segments.groupBy(key).agg(F.count("*").alias("n"))
-    w = F.array(F.when(F.col("both") < 0.55, "sparse_hands"), F.when(F.coalesce("n", F.lit(0)) == 0, "no_segments"))
-    return base.join(n, key, "left").select(key, F.filter(w, lambda x: x.isNotNull()).alias("warnings"))
+    told = predictions.groupBy(key).agg(F.count("*").alias("told"), F.count_if("accepted").alias("accepted"))
+    some = F.coalesce("n", F.lit(0)) > 0
+    kinds = [
+        (F.col("pose") < 0.35, "pose_reliability_low", F.col("pose")), (F.col("left") < 0.25, "left_hand_sparse", F.col("left")), (F.col("right") < 0.25, "right_hand_sparse", F.col("right")),
+        (~some, "no_segments", F.lit(None)), (some & (F.col("told") > 0) & (F.col("accepted") == 0), "all_predictions_rejected", F.col("told")),
+    ]
+    w = F.array(*[F.when(is_so, F.struct(F.lit(name).alias("id"), value.cast("double").alias("value"))) for is_so, name, value in kinds])
+    return base.join(n, key, "left").join(told, key, "left").select(key, F.filter(w, lambda x: x.isNotNull()).alias("warnings"))
 
 
 def timeline_tracks(frames: DataFrame, c: str, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
@@ -198,16 +219,24 @@ def timeline_tracks(frames: DataFrame, c: str, key: str = "sample_id", order: st
     return frames.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, c))), lambda r: r[c]).alias("track"))
 
 
-def artifact_validation(videos: DataFrame, frames: DataFrame, key: str = "sample_id") -> DataFrame:
-    """AG38: findings (key, finding): duplicate ids, frame counts that differ, ids that one side lacks."""
-    v = videos.groupBy(key).agg(F.count("*").alias("copies"), F.max("frames").alias("said"))
+def artifact_validation(videos: DataFrame, frames: DataFrame, arrays: DataFrame | None = None, schema: tuple[str, str] | None = None, key: str = "sample_id") -> DataFrame:
+    """AG38: findings (key, finding): duplicate ids, frame counts that differ, ids that one side lacks.
+
+    With arrays (rows with the key), ids missing there or there alone; with schema, a (name, version) that the videos'
+    schema_name and schema_version columns must have.
+    """
+    wrong = F.lit(False) if schema is None else ~(F.col("schema_name").eqNullSafe(F.lit(schema[0])) & F.col("schema_version").eqNullSafe(F.lit(schema[1])))
+    v = videos.groupBy(key).agg(F.count("*").alias("copies"), F.max("frames").alias("said"), F.bool_or(wrong).alias("wrong_schema"))
     f = frames.groupBy(key).agg(F.count("*").alias("found"))
     both = v.join(f, key, "full_outer")
-    kinds = F.array(
-        F.when(F.col("copies") > 1, "duplicate_id"), F.when(F.col("said").isNull(), "no_video"), F.when(F.col("found").isNull(), "no_frames"),
+    kinds = [
+        F.when(F.col("copies") > 1, "duplicate_id"), F.when(F.col("wrong_schema"), "schema"), F.when(F.col("said").isNull(), "no_video"), F.when(F.col("found").isNull(), "no_frames"),
         F.when(F.col("said") != F.col("found"), "frame_count"),
-    )
-    return both.select(key, F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("finding"))
+    ]
+    if arrays is not None:
+        both = both.join(arrays.select(key).distinct().withColumn("in_arrays", F.lit(True)), key, "full_outer")
+        kinds += [F.when(F.col("in_arrays").isNull() & F.col("copies").isNotNull(), "not_in_arrays"), F.when(F.col("copies").isNull() & F.col("in_arrays"), "only_in_arrays")]
+    return both.select(key, F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("finding"))
 
 
 def sample_weights(index: DataFrame, label: str, quality: Column, coverage: Column, power: float = 1.0, floor: float = 0.1) -> DataFrame:

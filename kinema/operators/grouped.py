@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def ema_both_ways(values: np.ndarray, alpha: float) -> np.ndarray:
@@ -93,41 +93,61 @@ class CausalNormalizer:
 class Decoder:
     """Hysteresis decoder of begin and inside probabilities into segments [start, end).
 
-    It opens on pb >= start once `guard` visible frames came in a row; stays open while max(pb, pi) >= the continue
-    threshold, 0.6 x start within [0.25, 0.65]; closes after min(min_gap, max_idle) frames without; then waits
-    cooldown frames. Segments under min_length are dropped.
+    It opens on a frame whose pb, or onset probability if there is an onset threshold, is high enough, once `guard`
+    visible frames came in a row and if the activity probability, where given, allows it. A frame keeps it open if
+    max(pb, pi) is at least go_on (0.6 x start within [0.25, 0.65] by default) or its activity is high enough. After
+    min(min_gap, max_idle) other frames in a row it closes, waits for cooldown frames, of which the last may open
+    again, and without a cooldown may open on the closing frame itself. Segments under min_length are dropped.
     """
 
     start: float = 0.6
+    go_on: float | None = None
     min_length: int = 2
     min_gap: int = 2
     max_idle: int = 8
     cooldown: int = 0
     guard: int = 1
+    onset_start: float | None = None
+    active_start: float | None = None
+    active_go_on: float | None = None
     opened: int | None = None
     last: int = 0
     idle: int = 0
     wait: int = 0
     visible: int = 0
     best: float = 0.0
+    inside: float = 0.0
+    frames: int = 0
 
-    def step(self, idx: int, pb: float, pi: float, visible: bool = True) -> dict | None:
+    def _may_open(self, pb: float, active: float | None, onset: float | None) -> bool:
+        strong = pb >= self.start or (self.onset_start is not None and onset is not None and onset >= self.onset_start)
+        allowed = self.active_start is None or active is None or active >= self.active_start
+        return strong and allowed and self.wait == 0 and self.visible >= self.guard
+
+    def _open(self, idx: int, pb: float, pi: float) -> None:
+        self.opened, self.last, self.idle, self.best, self.inside, self.frames = idx, idx, 0, pb, max(pb, pi), 1
+
+    def step(self, idx: int, pb: float, pi: float, visible: bool = True, active: float | None = None, onset: float | None = None) -> dict | None:
         self.visible = self.visible + 1 if visible else 0
-        go_on = min(0.65, max(0.25, 0.6 * self.start))
-        if self.opened is None:
-            if self.wait > 0:
-                self.wait -= 1
-            elif pb >= self.start and self.visible >= self.guard:
-                self.opened, self.last, self.idle, self.best = idx, idx, 0, pb
-            return None
-        if max(pb, pi) >= go_on:
-            self.last, self.idle, self.best = idx, 0, max(self.best, pb)
-            return None
-        self.idle += 1
-        return self.close("gap_closed") if self.idle >= min(self.min_gap, self.max_idle) else None
+        self.wait = max(0, self.wait - 1)
+        found = None
+        if self.opened is not None:
+            self.best, self.inside, self.frames = max(self.best, pb), self.inside + max(pb, pi), self.frames + 1
+            go_on = min(0.65, max(0.25, 0.6 * self.start)) if self.go_on is None else self.go_on
+            lively = self.active_go_on is not None and active is not None and active >= self.active_go_on
+            if max(pb, pi) >= go_on or lively:
+                self.last, self.idle = idx, 0
+                return None
+            self.idle += 1
+            if self.idle < min(self.min_gap, self.max_idle):
+                return None
+            found = self.close("gap_closed")
+        if self._may_open(pb, active, onset):
+            self._open(idx, pb, pi)
+        return found
 
     def close(self, reason: str) -> dict | None:
-        found = {"start": self.opened, "end_excl": self.last + 1, "score": self.best, "end_reason": reason}
+        found = {"start": self.opened, "end_excl": self.last + 1, "score": self.best, "mean_inside": self.inside / self.frames, "end_reason": reason}
         self.opened, self.idle, self.wait = None, 0, self.cooldown
         return found if found["end_excl"] - found["start"] >= self.min_length else None
 
@@ -135,6 +155,11 @@ class Decoder:
         return None if self.opened is None else self.close("eos_closed")
 
 
+def hand_guard(left: Column, right: Column, least: int = 1, both: bool = False) -> Column:
+    """Whether a frame's hands, by their numbers of valid joints, are visible enough to open a segment."""
+    return (left >= least) & (right >= least) if both else left + right >= least
+
+
 @dataclass
 class Words:
     """Accepts words that are neither blank, nor unsure, nor a repeat of the last accepted one within the pause."""
@@ -215,16 +240,19 @@ def causal_normalize(frames: DataFrame, x: str, size: str, present: str, key: st
     return _by_clip(frames.select(key, order, x, size, present), key, order, f"{key} long, {order} int, norm double", run)
 
 
-def decode_segments(frames: DataFrame, pb: str = "pb", pi: str = "pi", visible: str = "h1", key: str = "sample_id", order: str = "frame_idx", **config) -> DataFrame:
-    """WS29: the decoder over whole clips, an open segment closed at the end."""
+def decode_segments(frames: DataFrame, pb: str = "pb", pi: str = "pi", visible: str = "h1", key: str = "sample_id", order: str = "frame_idx", active: str | None = None, onset: str | None = None, **config) -> DataFrame:
+    """WS29: the decoder over whole clips, an open segment closed at the end; active, onset: columns of the gates' probabilities."""
+    gates = {n: c for n, c in (("active", active), ("onset", onset)) if c}
+    names = ("start", "end_excl", "score", "mean_inside", "end_reason")
 
     def run(c: pd.DataFrame) -> pd.DataFrame:
         d = Decoder(**config)
-        made = [d.step(int(i), b, p, bool(v)) for i, b, p, v in zip(c[order], c[pb], c[pi], c[visible], strict=True)] + [d.end()]
+        more = [dict(zip(gates, (None if np.isnan(x) else x for x in r), strict=True)) for r in c[list(gates.values())].astype(float).itertuples(index=False)] if gates else [{}] * len(c)
+        made = [d.step(int(i), b, p, bool(v), **g) for i, b, p, v, g in zip(c[order], c[pb], c[pi], c[visible], more, strict=True)] + [d.end()]
         rows = [x for x in made if x]
-        return pd.DataFrame({key: [c[key].iloc[0]] * len(rows)} | {n: [r[n] for r in rows] for n in ("start", "end_excl", "score", "end_reason")})
+        return pd.DataFrame({key: [c[key].iloc[0]] * len(rows)} | {n: [r[n] for r in rows] for n in names})
 
-    return _by_clip(frames.select(key, order, pb, pi, visible), key, order, f"{key} long, start int, end_excl int, score double, end_reason string", run)
+    return _by_clip(frames.select(key, order, *dict.fromkeys([pb, pi, visible, *gates.values()])), key, order, f"{key} long, start int, end_excl int, score double, mean_inside double, end_reason string", run)
 
 
 def sentence_words(preds: DataFrame, session: str = "session_id", **config) -> DataFrame:

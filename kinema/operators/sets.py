@@ -75,7 +75,7 @@ def ordered_output(df: DataFrame, columns: Sequence) -> DataFrame:
 
 def sample_n(df: DataFrame, id_: str, n: int, seed: int) -> DataFrame:
     """TK5: n rows, the same ones for a seed: those of the smallest hashes."""
-    return df.orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(id_), F.lit(seed))), id_).limit(n)
 
 
 def stratified_folds(df: DataFrame, label: str, id_: str, k: int) -> DataFrame:
@@ -83,43 +83,70 @@ def stratified_folds(df: DataFrame, label: str, id_: str, k: int) -> DataFrame:
     return df.withColumn("fold", (F.row_number().over(W.partitionBy(label).orderBy(id_)) - 1) % k)
 
 
-def disjoint_split(ann: DataFrame, val_share: float = 0.2, signer: str = "signer", split: str = "split") -> DataFrame:
-    """TK7: one split for each signer: signers of one split keep it; mixed ones, the largest first, go where they fit best.
+def disjoint_split(ann: DataFrame, signer: str = "signer", split: str = "split", label: str = "label") -> DataFrame:
+    """TK7: adds new_split, one for each signer: signers of one split keep it; mixed ones, the largest first, go where they fit best.
 
-    A choice depends on those before it, so the mixed signers' counts (a row each, not their rows) are dealt in one
-    pass that keeps a few running sums: the split with the least overshoot of rows over its share, then the one that
-    holds more of the signer's rows, then train.
+    A split's targets are its share of the rows, of every label's rows, and the number of signers that prefer it (the
+    split of most of their rows; ties by name). A signer goes to the split with the least, in this order: signers over
+    its target; distance of its open places from one; rows over its target; distance of its open rows from the signer's,
+    with a twentieth of the relative distance of every label of the signer from its target; not being the preferred
+    one; rows dealt so far; name. Largest first is by rows, then by rows of the signer's main label, then by name. A null signer is a signer.
+
+    Each choice depends on those before it: the signers' counts by split and label are dealt in one ordered pass that
+    keeps the splits' running sums. Its input is a row for each mixed signer, not their rows.
     """
-    counts = ann.groupBy(signer).agg(F.count_if(F.col(split) == "train").alias("train"), F.count_if(F.col(split) == "val").alias("val"), F.count("*").alias("n"))
-    pure = counts.where("train = n or val = n").select(signer, F.when(F.col("train") == F.col("n"), "train").otherwise("val").alias("new_split"), "n")
-    sums = pure.agg(F.coalesce(F.sum(F.when(F.col("new_split") == "train", F.col("n"))), F.lit(0)).alias("t"), F.coalesce(F.sum(F.when(F.col("new_split") == "val", F.col("n"))), F.lit(0)).alias("v"))
-    total = counts.agg(F.sum("n").alias("total"))
-    mixed = counts.where("train < n and val < n").crossJoin(sums).crossJoin(total)  # one row each
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["n", signer], ascending=[False, True])
-        have = {"train": int(rows["t"].iloc[0]), "val": int(rows["v"].iloc[0])}
-        goal = {"val": val_share * int(rows["total"].iloc[0]), "train": (1 - val_share) * int(rows["total"].iloc[0])}
+    cells = ann.groupBy(signer, split, label).agg(F.count("*").alias("n"))
+    by_split = cells.groupBy(signer, split).agg(F.sum("n").alias("n")).groupBy(signer).agg(F.collect_list(F.struct(split, "n")).alias("splits"))
+    by_label = cells.groupBy(signer, label).agg(F.sum("n").alias("n")).groupBy(signer).agg(F.sum("n").alias("total"), F.max("n").alias("most"), F.collect_list(F.struct(label, "n")).alias("labels"))
+    both = by_split.withColumnRenamed(signer, "s").join(by_label, F.col("s").eqNullSafe(F.col(signer))).drop("s")
+    best = F.array_sort(F.transform("splits", lambda x: F.struct(-x["n"], x[split])))[0][split]
+    counts = both.withColumn("prefers", best).withColumn("mixed", F.size("splits") > 1)
+    # sums over splits and labels: as many rows as these have values
+    rows = {r[0]: r[1] for r in cells.groupBy(split).agg(F.sum("n")).collect()}
+    names = {r[0]: r[1] for r in cells.groupBy(label).agg(F.sum("n")).collect()}
+    pure = counts.where("not mixed")
+    signers = {r[0]: (r[1], r[2]) for r in counts.groupBy("prefers").agg(F.count("*"), F.count_if(~F.col("mixed"))).collect()}
+    held = {(r[0], r[1]): r[2] for r in pure.select("prefers", F.explode("labels").alias("x")).groupBy("prefers", f"x.{label}").agg(F.sum("x.n")).collect()}
+    everything = max(1, sum(rows.values()))
+
+    def deal(groups: pd.DataFrame) -> pd.DataFrame:
+        groups = groups.assign(none=groups[signer].isna()).sort_values(["total", "most", "none", signer], ascending=[False, False, True, True])
+        have = dict(held)
+        dealt = {x: sum(n for (y, _), n in held.items() if y == x) for x in rows}
+        places = {x: signers.get(x, (0, 0))[0] - signers.get(x, (0, 0))[1] for x in rows}  # still open
         out = []
-        for r in rows.itertuples():
-            held = {"train": int(r.train), "val": int(r.val)}
-            pick = min(("train", "val"), key=lambda s: (max(0.0, have[s] + r.n - goal[s]), -held[s], s != "train"))  # noqa: B023
-            have[pick] += int(r.n)
+        for g in groups.itertuples(index=False):
+            labels = {x[label]: int(x["n"]) for x in g.labels}
+
+            def unfit(x: str, g=g, labels=labels) -> tuple:
+                share = rows[x] / everything
+                room = share * everything - dealt[x]
+                off = sum(abs(have.get((x, k), 0) + n - names[k] * share) / max(1.0, names[k] * share) for k, n in labels.items())
+                return max(0, 1 - places[x]), abs(max(0, places[x]) - 1), max(0.0, g.total - room), abs(max(0.0, room) - g.total) + 0.05 * off, x != g.prefers, dealt[x], x
+
+            pick = min(rows, key=unfit)
+            places[pick] -= 1
+            dealt[pick] += int(g.total)
+            for k, n in labels.items():
+                have[pick, k] = have.get((pick, k), 0) + n
             out.append(pick)
-        return pd.DataFrame({signer: rows[signer].tolist(), "new_split": out})
+        return pd.DataFrame({signer: groups[signer].tolist(), "new_split": out})
 
-    dealt = mixed.groupBy("total").applyInPandas(deal, f"{signer} string, new_split string")
-    return ann.join(pure.select(signer, "new_split").unionByName(dealt), signer)
+    kind = counts.schema[signer].dataType.simpleString()
+    dealt = counts.where("mixed").withColumn("pass", F.lit(0)).groupBy("pass").applyInPandas(deal, f"{signer} {kind}, new_split string")
+    of = pure.select(F.col(signer).alias("__signer"), F.col("prefers").alias("new_split")).unionByName(dealt.withColumnRenamed(signer, "__signer"))
+    return ann.join(of, F.col(signer).eqNullSafe(F.col("__signer"))).drop("__signer")
 
 
-def expand_grid(spark, grid: Mapping[str, Sequence]) -> DataFrame:
-    """TK8: all combinations of the parameter lists with an id; equal combinations occur once."""
-    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in grid.items()]
-    out = reduce(lambda a, b: a.crossJoin(b), frames).distinct()  # a product of short lists
-    return out.withColumn("config_id", F.left(F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in grid])), F.lit(10)))
+def expand_grid(spark, grid: Mapping[str, Sequence] | Sequence[DataFrame]) -> DataFrame:
+    """TK8: all combinations of the parameter lists, or of one-column tables, with an id; equal combinations occur once."""
+    frames = [spark.createDataFrame([(v,) for v in values], [name]) for name, values in grid.items()] if isinstance(grid, Mapping) else list(grid)
+    out = reduce(lambda a, b: a.crossJoin(b), frames).distinct()  # the product is what is asked for
+    return out.withColumn("config_id", F.left(F.sha1(F.concat_ws("|", *[F.col(c).cast("string") for c in out.columns])), F.lit(10)))
 
 
 def balanced_pick(pool: DataFrame, n: int, by: str, id_: str, seed: int) -> DataFrame:
     """TK9: n rows spread evenly over the groups: round after round one row of each, in order of hash."""
-    turn = F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64(F.col(id_), F.lit(seed)), id_))
-    return pool.withColumn("turn", turn).orderBy("turn", F.xxhash64(F.col(by), F.lit(seed)), id_).limit(n)
+    hashed = lambda c: F.md5(F.concat_ws("|", F.col(c), F.lit(seed)))
+    turn = F.row_number().over(W.partitionBy(by).orderBy(hashed(id_), id_))
+    return pool.withColumn("turn", turn).orderBy("turn", hashed(by), id_).limit(n)

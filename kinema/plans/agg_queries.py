@@ -180,10 +180,16 @@ def ag39(spark, sf):
 
 
 @query("ag40_review_warnings", ACTIVE + """
-    , b as (select sample_id, avg(case when h1 and h2 then 1.0 else 0 end) as both_ from v_frames group by sample_id), n as (select sample_id, count(*) as n from seg where "end" - "start" > 5 group by sample_id)
-    select sample_id, list_filter([case when both_ < 0.55 then 'sparse_hands' end, case when coalesce(n, 0) = 0 then 'no_segments' end], lambda x: x is not null) as warnings from b left join n using (sample_id)""")
+    , b as (select sample_id, avg(case when event_type in ('click', 'view') then 1.0 else 0 end) as lt, avg(case when event_type = 'purchase' then 1.0 else 0 end) as rt, avg(score) as pose from v_frames group by sample_id),
+    n as (select sample_id, count(*) as n from seg where "end" - "start" > 5 group by sample_id), spoken as (select sample_id, count(*) as told, count(*) filter (where x > 200) as accepted from v_frames where occ group by sample_id),
+    w as (select sample_id, unnest([1, 2, 3, 4, 5]) as k, unnest([pose < 0.35, lt < 0.25, rt < 0.25, coalesce(n, 0) = 0, coalesce(n, 0) > 0 and told > 0 and accepted = 0]) as is_so,
+                 unnest(['pose_reliability_low', 'left_hand_sparse', 'right_hand_sparse', 'no_segments', 'all_predictions_rejected']) as id, unnest([pose, lt, rt, null, told]) as value from b left join n using (sample_id) left join spoken using (sample_id))
+    select sample_id, id, round(value, 6) as value from w where is_so""")
 def ag40(spark, sf):
-    return agg.review_warnings(v_frames(spark, sf), active(spark, sf).where(F.col("end") - F.col("start") > 5))
+    f, kind = v_frames(spark, sf), F.col("event_type")
+    told = f.where("occ").select("sample_id", (F.col("x") > 200).alias("accepted"))
+    w = agg.review_warnings(f, active(spark, sf).where(F.col("end") - F.col("start") > 5), told, kind.isin("click", "view"), kind == "purchase", F.col("score"))
+    return rounded(w.select("sample_id", F.explode("warnings").alias("w")).select("sample_id", "w.*"), "value")
 
 
 @query("ag41_timeline_tracks", "select sample_id, list(x order by frame_idx) as track from v_frames group by sample_id")
@@ -192,11 +198,23 @@ def ag41(spark, sf):
 
 
 @query("ag38_artifact_validation", """
-    with v as (select sample_id, frames + case when sample_id % 9 = 0 then 1 else 0 end as said from v_videos where sample_id % 10 <> 3), f as (select sample_id, count(*) as found from v_frames where sample_id % 11 <> 5 group by sample_id)
-    select sample_id, unnest(list_filter([case when said is null then 'no_video' end, case when found is null then 'no_frames' end, case when said <> found then 'frame_count' end], lambda x: x is not null)) as finding from v full join f using (sample_id)""")
+    with v as (select sample_id, frames + case when sample_id % 9 = 0 then 1 else 0 end as said, sample_id % 13 = 0 as wrong from v_videos where sample_id % 10 <> 3), f as (select sample_id, count(*) as found from v_frames where sample_id % 11 <> 5 group by sample_id),
+    a as (select distinct sample_id, true as there from v_frames where sample_id % 7 <> 2), all_ as (select * from v full join f using (sample_id) full join a using (sample_id))
+    select sample_id, unnest(list_filter([case when wrong then 'schema' end, case when said is null then 'no_video' end, case when found is null then 'no_frames' end, case when said <> found then 'frame_count' end, case when there is null and said is not null then 'not_in_arrays' end, case when said is null and there then 'only_in_arrays' end], lambda x: x is not null)) as finding from all_""")
 def ag38(spark, sf):
-    v = v_videos(spark, sf).where("sample_id % 10 <> 3").select("sample_id", (F.col("frames") + F.when(F.col("sample_id") % 9 == 0, 1).otherwise(0)).alias("frames"))
-    return agg.artifact_validation(v, v_frames(spark, sf).where("sample_id % 11 <> 5"))
+    v = v_videos(spark, sf).where("sample_id % 10 <> 3").select("sample_id", (F.col("frames") + F.when(F.col("sample_id") % 9 == 0, 1).otherwise(0)).alias("frames"), F.lit("landmarks").alias("schema_name"), F.when(F.col("sample_id") % 13 == 0, "0").otherwise("1").alias("schema_version"))
+    f = v_frames(spark, sf)
+    return agg.artifact_validation(v, f.where("sample_id % 11 <> 5"), f.where("sample_id % 7 <> 2"), ("landmarks", "1"))
+
+
+@query("ag39_bucket_counts", """
+    with b as (select sample_id, avg(case when x >= 20 then 1.0 else 0 end) as presence, avg(x) as m from v_frames group by sample_id), p as (select quantile_cont(m, 0.9) as p90 from b),
+    q as (select sample_id, case when presence = 0 then 'EMPTY' when 0.7 * presence + 0.3 * least(m / p90, 1.0) < 0.8 then 'WEAK' else 'OK' end as bucket from b, p)
+    select case when sample_id % 5 < 4 then 'train' end as split, bucket, count(*) as n from q group by 1, 2""")
+def ag39_counts(spark, sf):
+    f = v_frames(spark, sf)
+    splits = f.where("sample_id % 5 < 4").select("sample_id", F.lit("train").alias("split")).distinct()
+    return agg.bucket_counts(agg.segment_quality(f, "x", points=F.col("x") / 4), splits)
 
 
 @query("ag35_sample_weights", "with n as (select label, count(*) as n from embeddings group by label) select vec_id, round((0.5 + 0.5 * greatest(vec_id % 10 / 10, 0.1)) * pow(greatest(vec_id % 7 / 7, 0.1), 2) / n, 9) as weight from embeddings join n using (label)")

@@ -203,15 +203,10 @@ def ar_boxes(spark, sf):
 
 
 @query("ar_probabilities", """
-    select event_id, sample_id, round(-(pb * ln(greatest(pb, 1e-9)) + pi * ln(greatest(pi, 1e-9)) + po * ln(greatest(po, 1e-9))), 6) as entropy, round(greatest(pb, pi, po), 6) as top1 from (select row_number() over (order by sample_id, frame_idx) as event_id, * from v_bio)""")
+    select event_id, sample_id, round(-(pb * ln(greatest(pb, 1e-9)) + pi * ln(greatest(pi, 1e-9)) + po * ln(greatest(po, 1e-9))), 6) as entropy, round(greatest(pb, pi, po), 6) as top1 from v_bio""")
 def ar_probabilities(spark, sf):
-    from pyspark.sql import Window as W
-
     p = F.array("pb", "pi", "po")
-    b = v_bio(spark, sf)
-    counts = b.groupBy("sample_id").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("sample_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    b = b.join(counts, "sample_id")
-    return b.select((F.col("before") + F.col("frame_idx") + 1).alias("event_id"), "sample_id", F.round(arrays.entropy(p), 6).alias("entropy"), F.round(arrays.top_k(p, 1)[0]["p"], 6).alias("top1"))
+    return v_bio(spark, sf).select("event_id", "sample_id", F.round(arrays.entropy(p), 6).alias("entropy"), F.round(arrays.top_k(p, 1)[0]["p"], 6).alias("top1"))
 
 
 @query("ar_sides_and_states", """

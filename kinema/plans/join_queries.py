@@ -205,7 +205,7 @@ def tk4(spark, sf):
     return sets.ordered_output(v_ann(spark, sf).where("split = 'val'").select("attachment_id", "row_num"), ["attachment_id", "row_num"])
 
 
-@query("tk5_sample_n")
+@query("tk5_sample_n", "select o_orderkey from orders order by md5(o_orderkey || '|7'), o_orderkey limit 100")
 def tk5(spark, sf):
     return sets.sample_n(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
 
@@ -220,6 +220,6 @@ def tk7(spark, sf):
     return sets.disjoint_split(v_ann(spark, sf)).groupBy("signer", "new_split").agg(F.count("*").alias("n"))
 
 
-@query("tk9_balanced_pick")
+@query("tk9_balanced_pick", "select signer, count(*) as n from (select signer, row_num, row_number() over (partition by signer order by md5(row_num || '|3'), row_num) as turn from v_ann order by turn, md5(signer || '|3'), row_num limit 1000) group by signer")
 def tk9(spark, sf):
     return sets.balanced_pick(v_ann(spark, sf).select("signer", "row_num"), 1000, "signer", "row_num", 3).groupBy("signer").agg(F.count("*").alias("n"))

@@ -65,8 +65,8 @@ def tk8(spark, sf):
     from .views import table
 
     li = table(spark, sf, "lineitem")
-    values = lambda c: [r[0] for r in li.select(c).distinct().limit(100).collect()]  # noqa: E731  parameter lists are short
-    return sets.expand_grid(spark, {"flag": values("l_returnflag"), "status": values("l_linestatus"), "k": [1, 2, 3]}).withColumn("k", F.col("k").cast("int"))
+    grid = li.select(F.col("l_returnflag").alias("flag")).distinct(), li.select(F.col("l_linestatus").alias("status")).distinct(), spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    return sets.expand_grid(spark, grid)
 
 
 @query("ar3_pose_reorder", "select event_id, [case when h1 then x end, score, null] as pose from v_frames")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,6 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder of spark.checkpoint.dir, which must be set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        base = tempfile.mkdtemp(prefix="kinema-") if spark.sparkContext.master.startswith("local[") else None
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def v_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per frame of a clip (an event of a user): hands, score, position, time."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
@@ -37,7 +49,7 @@ def v_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = F.when(F.col("event_type").isin("error", "signup"), 0).when(F.col("event_type") == "click", 1).otherwise(2)
     b = F.col("x") / (F.col("x") + 60)
     return f.select(
-        "sample_id", "frame_idx", "ts_ms", "h1", "h2", y.alias("y"), (F.col("event_id") % 3).cast("int").alias("p"), b.alias("pb"),
+        "event_id", "sample_id", "frame_idx", "ts_ms", "h1", "h2", y.alias("y"), (F.col("event_id") % 3).cast("int").alias("p"), b.alias("pb"),
         ((1 - b) * (F.col("event_id") % 7) / 7).alias("pi"), ((1 - b) * (7 - F.col("event_id") % 7) / 7).alias("po"),
     )
 
@@ -89,7 +101,7 @@ VIEW_SQL = {
                least(value / 100, 1.0) as score, event_type = 'click' as occ, event_id, event_type
         from events""",
     "v_bio": """
-        select sample_id, frame_idx, ts_ms, h1, h2,
+        select event_id, sample_id, frame_idx, ts_ms, h1, h2,
                case when event_type in ('error', 'signup') then 0 when event_type = 'click' then 1 else 2 end as y,
                cast(event_id % 3 as integer) as p, x / (x + 60) as pb,
                (1 - x / (x + 60)) * (event_id % 7) / 7 as pi, (1 - x / (x + 60)) * (7 - event_id % 7) / 7 as po

@@ -8,6 +8,7 @@ the last row by the idle time.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -64,18 +65,34 @@ def run_machine(
     return kept.applyInPandasWithState(handle, out, T.StructType([T.StructField("saved", T.StringType())]), "append", GroupStateTimeout.EventTimeTimeout)
 
 
+SEGMENT = "start long, end_excl long, score double, mean_inside double, end_reason string"
+
+
 def stream_segments(frames: DataFrame, end_of_stream: str = "close", **config) -> DataFrame:
-    """ST1, ST2: segments of frames (session_id, frame_idx, ts, pb, pi, visible); an open one is closed or dropped when its session ends."""
+    """ST1, ST2: segments of frames (session_id, frame_idx, ts, pb, pi, visible, and active and onset if there); an open one is closed or dropped when its session ends."""
+    gates = [c for c in ("active", "onset") if c in frames.columns]
 
     def step(m, r: dict) -> Rows:
-        found = m.step(int(r["frame_idx"]), float(r["pb"]), float(r["pi"]), bool(r["visible"]))
+        found = m.step(int(r["frame_idx"]), float(r["pb"]), float(r["pi"]), bool(r["visible"]), **{c: None if pd.isna(r[c]) else float(r[c]) for c in gates})
         return [found] if found else []
 
     def end(m) -> Rows:
         found = m.end() if end_of_stream == "close" else None
         return [found] if found else []
 
-    return run_machine(frames, lambda saved: grouped.Decoder(**(config | saved)), step, "start long, end_excl long, score double, end_reason string", end=end)
+    return run_machine(frames, lambda saved: grouped.Decoder(**(config | saved)), step, SEGMENT, end=end)
+
+
+def open_segments(spark, checkpoint: str, key: str = "session_id") -> DataFrame:
+    """ST2: the segments that a finished run of stream_segments() has left open, closed, from the state that it has written.
+
+    A bounded input ends before its last watermark lets sessions end; these rows and the run's are all segments.
+    """
+    machine = "last long, opened long, best double, inside double, frames long, min_length int"
+    state = spark.read.format("statestore").load(checkpoint)
+    m = state.select(F.col(f"key.{key}").alias(key), F.from_json("value.groupState.saved", f"machine struct<{re.sub(r'(\w+) (\w+)', r'\1:\2', machine)}>").alias("s")).select(key, "s.machine.*")
+    m = m.where("opened is not null and last + 1 - opened >= min_length")
+    return m.select(key, F.col("opened").alias("start"), (F.col("last") + 1).alias("end_excl"), F.col("best").alias("score"), (F.col("inside") / F.col("frames")).alias("mean_inside"), F.lit("eos_closed").alias("end_reason"))
 
 
 def stream_normalize(frames: DataFrame) -> DataFrame:
@@ -208,3 +225,11 @@ def read_current(spark, root: str, key: str) -> DataFrame:
     """ST10: of each key the row of the last batch that has one."""
     rows = spark.read.parquet(root)
     return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), "batch").alias("r")).select(key, "r.*")
+
+
+def compact(spark, root: str, key: str, to: str) -> DataFrame:
+    """ST10: what read_current() gives, written as the one batch of a new folder, from which an upsert_stream() may go on."""
+    rows = spark.read.parquet(root)
+    last = rows.agg(F.max("batch")).first()[0]
+    rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in (key, "batch")]), "batch").alias("r")).select(key, "r.*").write.parquet(f"{to}/batch={last}")
+    return read_current(spark, to, key)

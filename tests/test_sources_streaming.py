@@ -99,6 +99,9 @@ def test_streams_equal_batch(spark, frames):
         m = grouped.Decoder(start=0.5)
         want = [x for x in (m.step(r["frame_idx"], r["pb"], r["pi"], r["visible"]) for r in of(rows, s)) if x]
         assert sorted((r.start, r.end_excl) for r in of(got, s) if r.end_reason != "eos_closed") == [(x["start"], x["end_excl"]) for x in want]
+        last = m.end()
+        left = [r for r in [*got, *stateful.open_segments(spark, f"{root}/segs-state").collect()] if r.session_id == s and r.end_reason == "eos_closed"]
+        assert [(r.start, r.end_excl, r.mean_inside) for r in left] == ([(last["start"], last["end_excl"], pytest.approx(last["mean_inside"]))] if last else [])
     got = run(spark, stateful.stream_words(stream), root, "words")
     m = grouped.Words()
     assert sorted(r.start_ms for r in of(got, 1)) == [r["start_ms"] for r in of(rows, 1) if m.step(r["label"], r["conf"], r["start_ms"], r["end_ms"])]
