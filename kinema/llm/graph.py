@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Links that one task of a round takes.
+LINKS_A_TASK = 200_000
+
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Components of an undirected link table of long node keys: (node, component), component the smallest node.
@@ -24,19 +27,21 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
     before = None
     while True:
+        tasks = max(1, edges.count() // LINKS_A_TASK)  # links grow no more: few of them take few tasks, whatever the session's number
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
+        large = large.distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         small = (
             large.join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .where("u <> v")
             .unionByName(least.select("u", F.col("m").alias("v")))
+            .coalesce(tasks)
             .distinct()
         )
-        edges = staged(small, "cc")
+        edges = staged(small.coalesce(tasks), "cc")
         state = edges.agg(
             F.count("*"),
             F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")),
