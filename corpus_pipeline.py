@@ -1,60 +1,5 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing; each on all that was kept."""
+"""The corpus pipeline of the training-data subpackage: STAGES, run() and ORACLE_SQL."""
 
-from __future__ import annotations
+from kinema.llm.pipeline import ORACLE_SQL, STAGES, best_fit_packing, decontamination, line_dedup, near_dedup, quality_rules, run
 
-from collections.abc import Callable
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from kinema.llm import decontaminate, lines, near, packing, quality
-from kinema.llm.common import staged, table
-
-#: The tokenizer of the packed sequences.
-TOKENIZER = "word_bpe_49k.json"
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.quality_rules(docs).where("kept").select(docs.columns)
-
-
-def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines of templates that recur across documents; n_chars follows the text."""
-    return lines.drop_recurring_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest id."""
-    return near.near_dedup(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not contaminated").select(docs.columns)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The places of all documents' pieces in training sequences."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: Fingerprints, components, tokens and packing are beyond SQL; the stages are tested against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to documents; each one's result is written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "best_fit_packing", "decontamination", "line_dedup", "near_dedup", "quality_rules", "run"]
