@@ -69,15 +69,12 @@ def ws22(spark, sf):
 DT = "(f.t - s.t) / 1000"
 SHARE = "(1 / (1 + 1 / (2 * pi() * ({c})) / (" + DT + ")))"
 SPEED = f"(s.dx + {SHARE.format(c='1.0')} * ((f.x - s.x) / ({DT}) - s.dx))"
-EURO = steps_sql(
-    "select sample_id, frame_idx, cast(ts_ms as double) as t, x from v_frames",
-    {
-        "t": ("null", "case when s.t is null or f.t > s.t then f.t else s.t end"),
-        "x": ("null", f"case when s.t is null then f.x when f.t > s.t then s.x + {SHARE.format(c=f'1.0 + 0.01 * abs({SPEED})')} * (f.x - s.x) else s.x end"),
-        "dx": ("0", f"case when s.t is null then 0 when f.t > s.t then {SPEED} else s.dx end"),
-    },
-    "select sample_id, frame_idx, round(x, 6) as smooth from s where frame_idx >= 0",
-)
+EURO_STATE = {
+    "t": ("null", "case when s.t is null or f.t > s.t then f.t else s.t end"),
+    "x": ("null", f"case when s.t is null then f.x when f.t > s.t then s.x + {SHARE.format(c=f'1.0 + 0.01 * abs({SPEED})')} * (f.x - s.x) else s.x end"),
+    "dx": ("0", f"case when s.t is null then 0 when f.t > s.t then {SPEED} else s.dx end"),
+}
+EURO = steps_sql("select sample_id, frame_idx, cast(ts_ms as double) as t, x from v_frames", EURO_STATE, "select sample_id, frame_idx, round(x, 6) as smooth from s where frame_idx >= 0")
 
 
 @query("ws23_one_euro", EURO)
@@ -90,14 +87,14 @@ def ws24(spark, sf):
     return grouped.postprocess(v_frames(spark, sf), "x", F.col("h2"), 3, 0.5)
 
 
+NORM_STATE = {
+    "center": ("null", "case when not f.present then s.center when s.center is null then f.x else s.center + 0.2 * (f.x - s.center) end"),
+    "scale": ("null", "case when not f.present then s.scale when s.scale is null then f.size else greatest(0.001, s.scale + 0.1 * (f.size - s.scale)) end"),
+}
 NORM = steps_sql(
     "select sample_id, frame_idx, x, greatest(score * 10, 0.001) as size, h1 as present from v_frames",
-    {
-        "center": ("null", "case when not f.present then s.center when s.center is null then f.x else s.center + 0.2 * (f.x - s.center) end"),
-        "scale": ("null", "case when not f.present then s.scale when s.scale is null then f.size else greatest(0.001, s.scale + 0.1 * (f.size - s.scale)) end"),
-    },
-    "select s.sample_id, s.frame_idx, round(case when f.present then (f.x - s.center) / s.scale end, 6) as norm from s join f using (sample_id, frame_idx)",
-)
+    NORM_STATE, "select s.sample_id, s.frame_idx, round(case when f.present then (f.x - s.center) / s.scale end, 6) as norm from s join f using (sample_id, frame_idx)",
+)
 
 
 @query("ws25_causal_normalize", NORM)
@@ -168,7 +165,7 @@ def st8_errors(spark, sf):
     return stateful.error_summary(e, "event_type")
 
 
-STREAM = "select user_id as session_id, row_number() over (partition by user_id order by event_id) - 1 as i, event_id as spot, value / (value + 60) as pb, (1 - value / (value + 60)) * 0.5 as pi, event_type <> 'error' as seen, null as ons, null as act from events"
+STREAM = "select user_id as session_id, row_number() over (partition by user_id order by event_id) - 1 as i, event_id as spot, value / (value + 60) as pb, (1 - value / (value + 60)) * 0.3 as pi, event_type <> 'error' as seen, null as ons, null as act from events"
 
 
 @query("st1_stream_segments", decoder_sql(STREAM, "session_id"))
@@ -177,7 +174,7 @@ def st1(spark, sf):
     schema = table(spark, sf, "events").schema
     s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     b = F.col("value") / (F.col("value") + 60)
-    frames = s.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), b.alias("pb"), ((1 - b) * 0.5).alias("pi"), (F.col("event_type") != "error").alias("visible"))
+    frames = s.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), b.alias("pb"), ((1 - b) * 0.3).alias("pi"), (F.col("event_type") != "error").alias("visible"))
     base = shared_path(spark, "stream")
     out = stateful.stream_segments(frames, start=0.5)
     out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()

@@ -6,6 +6,8 @@ lines at the driver; after that the schema is fixed.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,38 +44,48 @@ def scan_interval_list(spark: SparkSession, path: str) -> DataFrame:
 def scan_manifest(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """IO3: (id, split, row) of JSON lines, a JSON list, {items: []}, {rows: []}, {id: split} or {id: {...}}.
 
-    Each line, or the whole document if it isn't made of lines, is parsed; bad lines are left out, or an error if strict.
+    Whether it is made of lines is told by the first two: each line is then parsed on its own, and else every file as
+    one document; bad lines are left out, or an error if strict.
     """
-    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
-    text = text.withColumn("lines", F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != "")).withColumn("d", F.try_parse_json("v"))
-    row_of_its_own = F.coalesce(*[F.try_variant_get("d", f"$.{k}", "string") for k in ("id", "sample_id", "video_id")]).isNotNull()
-    text = text.withColumn("by_line", ((F.size("lines") > 1) & F.try_parse_json(F.get("lines", F.lit(0))).isNotNull()) | row_of_its_own)  # the parser stops after a first object
-    lines = text.where("by_line").select(F.explode("lines").alias("line")).select(F.try_parse_json("line").alias("r"))
-    parse_error = F.raise_error(F.lit("bad manifest line")).cast("variant")
-    by_line = lines.select((F.coalesce("r", parse_error) if strict else F.col("r")).alias("r")).where("r is not null")
-    docs = text.where("not by_line and d is not null").select("d")
+    head = [r.value for r in spark.read.text(path).where("trim(value) <> ''").limit(2).collect()]
+    if _is_row(head):
+        parsed = F.try_parse_json("value")
+        parse_error = F.raise_error(F.lit("bad manifest line")).cast("variant")
+        lines = spark.read.text(path).where("trim(value) <> ''").select((F.coalesce(parsed, parse_error) if strict else parsed).alias("r")).where("r is not null")
+        return _manifest_rows(lines.select(F.lit(None).cast("string").alias("id"), "r", F.lit(None).cast("string").alias("split")))
+    docs = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("d")).where("d is not null")
     items = F.coalesce(F.try_variant_get("d", "$.items", "variant"), F.try_variant_get("d", "$.rows", "variant"), F.col("d"))
     docs = docs.select(items.alias("d"))
-    docs.createOrReplaceTempView("kinema_manifest")
-    pairs = spark.sql("select key, value from kinema_manifest, lateral variant_explode(d)")
+    pairs = spark.sql("select key, value from {docs}, lateral variant_explode(d)", docs=docs)
     is_row = F.schema_of_variant("value").startswith("OBJECT")
-    from_docs = pairs.select(F.col("key").alias("id"), F.when(is_row, F.col("value")).alias("r"), F.when(~is_row, F.try_variant_get("value", "$", "string")).alias("split"))
+    return _manifest_rows(pairs.select(F.col("key").alias("id"), F.when(is_row, F.col("value")).alias("r"), F.when(~is_row, F.try_variant_get("value", "$", "string")).alias("split")))
+
+
+def _is_row(head: list[str]) -> bool:
+    """Whether the first of these lines is a JSON object of its own: it names an id, or others follow."""
+    try:
+        first = json.loads(head[0])
+    except (IndexError, ValueError):
+        return False
+    return isinstance(first, dict) and (len(head) > 1 or not {"id", "sample_id", "video_id"}.isdisjoint(first))
+
+
+def _manifest_rows(found: DataFrame) -> DataFrame:
     name = F.coalesce(*[F.try_variant_get("r", f"$.{k}", "string") for k in ("id", "sample_id", "video_id", "video")])
-    one = by_line.select(F.lit(None).cast("string").alias("id"), "r", F.lit(None).cast("string").alias("split"))
-    return from_docs.unionByName(one).select(F.coalesce(name, F.col("id")).alias("id"), F.coalesce(F.try_variant_get("r", "$.split", "string"), F.col("split")).alias("split"), F.to_json("r").alias("row"))
+    return found.select(F.coalesce(name, F.col("id")).alias("id"), F.coalesce(F.try_variant_get("r", "$.split", "string"), F.col("split")).alias("split"), F.to_json("r").alias("row"))
 
 
 def scan_frame_json(spark: SparkSession, path: str) -> DataFrame:
     """IO4: (id, frame_idx, meta, frame) of documents {meta, frames: []}, bare frame lists, or {videos: {id: {meta, frames}}}."""
     docs = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]*?)(?:\.[^./]*)?$", 1).alias("name"), F.try_parse_json("value").alias("d")).where("d is not null")
-    docs.createOrReplaceTempView("kinema_frames")
     return spark.sql(
         """
-        with docs as (
-          select name as id, d from kinema_frames where try_variant_get(d, '$.videos', 'variant') is null
-          union all select key, value from kinema_frames, lateral variant_explode(variant_get(d, '$.videos', 'variant')) where try_variant_get(d, '$.videos', 'variant') is not null)
+        with clips as (
+          select name as id, d from {docs} where try_variant_get(d, '$.videos', 'variant') is null
+          union all select key, value from {docs}, lateral variant_explode(variant_get(d, '$.videos', 'variant')) where try_variant_get(d, '$.videos', 'variant') is not null)
         select id, pos as frame_idx, to_json(try_variant_get(d, '$.meta', 'variant')) as meta, value as frame
-        from docs, lateral variant_explode(coalesce(try_variant_get(d, '$.frames', 'variant'), d))"""
+        from clips, lateral variant_explode(coalesce(try_variant_get(d, '$.frames', 'variant'), d))""",
+        docs=docs,
     )
 
 
