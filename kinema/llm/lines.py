@@ -79,13 +79,13 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hashes). So lines that recur only because their whole document has copies stay for near-dedup. With keep_first a template's first occurrence (smallest id,
     nulls last, then line) is left, so that no passage is lost altogether.
     """
-    lines = staged(parsed_lines(docs, doc_id, text), "lines")
+    lines = staged(parsed_lines(docs, doc_id, text), "lines", "zstd")
     of = staged(leaf_templates(lines, least_docs), "line-leaves")
     template = F.struct(F.col("template").isNotNull().alias("leaf"), F.coalesce("template", "h1").alias("a"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("b"))
-    named = lines.select("doc", "text_hash", "line", "lead", "h1", "h2").join(of, ["h1", "h2"], "left").select("doc", "text_hash", "line", "lead", template.alias("template"))
+    named = lines.select("doc", "text_hash", "line", "h1", "h2").join(of, ["h1", "h2"], "left").select("doc", "text_hash", "line", template.alias("template"))
     named = staged(named, "line-templates")
     ends = [f(F.substring("lead", at, 8)) for f in (F.min, F.max) for at in (1, 9)]  # two hashes, least and greatest
-    kinds = named.groupBy("doc").agg(F.array(*ends).alias("kinds"))
+    kinds = lines.groupBy("doc").agg(F.array(*ends).alias("kinds"))
     once = named.groupBy("template", "doc").agg(F.min(F.struct("text_hash", "line")).alias("at"))
     place = F.struct(F.col("doc").isNull().alias("none"), "doc", "at")
     often = once.groupBy("template").agg(F.count("*").alias("n_docs"), F.min(place).alias("first")).where(F.col("n_docs") >= least_docs)

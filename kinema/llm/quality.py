@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import staged, unused
 
 #: White space that separates words.
 SPACE = r"\x20\x09-\x0D"
@@ -159,7 +159,9 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
     """
     drop = [*MADE, "base_failed", "class_distance", "word_distance", "kept"]
     stay = [c for c in (docs.columns if keep is None else keep) if c not in drop]
-    rows = staged(measured(docs.withColumn("__lang_of", F.col(lang)), text, common, [*stay, "__lang_of"]), "quality-counts")
+    apart = dict(zip(stay, unused(docs, *(f"kept_{i}" for i in range(len(stay)))), strict=True))  # no column clashes with those made here
+    docs = docs.select(F.col(text).alias("__text_of"), F.col(lang).alias("__lang_of"), *[F.col(c).alias(n) for c, n in apart.items()])
+    rows = staged(measured(docs, "__text_of", common, [*apart.values(), "__lang_of"]), "quality-counts")
     refs = staged(language_histograms(rows, "__lang_of", len(common)), "quality-languages")
     if refs.count() <= BROADCAST_LANGS:
         refs = F.broadcast(refs)
@@ -177,4 +179,4 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", keep:
 
     judged = joined.withColumn("__v", _with(both, verdict))
     counts = {c: m[c] for c in MADE if c != "n_symbols"} | {"n_symbols": m["classes"][3]}
-    return judged.select(*stay, *[counts[c].alias(c) for c in MADE], failed.alias("base_failed"), "__v.*")
+    return judged.select(*[F.col(n).alias(c) for c, n in apart.items()], *[counts[c].alias(c) for c in MADE], failed.alias("base_failed"), "__v.*")

@@ -66,7 +66,7 @@ def url_tokens(host: Column, path: Column) -> Column:
     top = F.concat(F.lit("t:"), F.substring_index(host, ".", -1))
     words = F.transform(F.filter(F.split(F.regexp_replace(host, r"[^.]*\z", ""), r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("w:"), x))
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    parts = F.transform(segments, lambda x, i: F.concat(F.lit("p"), F.least(i, F.lit(2)), F.lit(":"), F.regexp_replace(x, r"\d+", "0")))
+    parts = F.transform(segments, lambda x, i: F.concat(F.lit("p"), i, F.lit(":"), F.regexp_replace(x, r"\d+", "0")))
     return F.array_distinct(F.filter(F.concat(F.array(top), words, parts), lambda x: x != "t:"))
 
 
@@ -120,6 +120,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
         .groupBy("set", "rule").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("confidence").alias("confidence"))
         .where("shared = n").groupBy("set").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("mined"))
     )
+    matched = staged(matched, "url-matched")  # its size decides the join, so that a hot set of tokens isn't dealt to one task
     out = rows.withColumn("set", F.when(F.col("hit").isNull(), F.xxhash64("tokens"))).join(matched, "set", "left")
     verdict = F.coalesce("hit.verdict", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow"))
     return out.select("page_id", "url", "host", "path", F.col("hit.text").alias("rule"), verdict.alias("verdict"), "mined")

@@ -127,6 +127,14 @@ def test_extract(spark):
     assert html.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_quality_names_and_long_text(spark):
+    text = "the cat sat on a mat of the house and it is in the garden with us " * 20_000
+    df = spark.createDataFrame([(1, text, "en", "m", "l", 7), (2, None, None, "n", "k", 8)], "doc_id long, text string, lang string, __m string, __lang_of string, n_words int")
+    rows = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert rows[1]["__m"] == "m" and rows[2]["__lang_of"] == "k" and rows[1].n_words == 17 * 20_000 and rows[1].base_failed and rows[2].n_words == 0
+    assert quality.quality_rules(df).columns[:5] == ["doc_id", "text", "lang", "__m", "__lang_of"]
+
+
 def test_licences(spark):
     body, bsd = licence_texts.MIT, licence_texts.BSD_GRANT + licence_texts.BSD_NAME + licence_texts.BSD_DISCLAIMER
     prose = "the licence of the birds is to sing in all the trees of the long green valley\n" * 3
