@@ -20,6 +20,11 @@ BETWEEN = r"[.\-]*[^\p{L}\p{Nd}.\-]+|[.\-]+\z"
 BLANK = r"\n[\x20\x09-\x0D]*\n"
 #: What is compared, in the order of what it says about its file.
 FILE, HEADER, LINE = range(3)
+#: Words that any English text has; they count among a template's rare tokens only where it has too few others.
+COMMON = frozenset(
+    "a an and any are as at be been but by can do for from had has have he her his i if in is it its may more no not of on one or our she so some than "
+    "that the their them then there these they this to was we were what when which who will with would you your".split()
+)
 #: A weak notice, which says less than any other.
 WEAK = "Proprietary"
 
@@ -48,7 +53,7 @@ def template_weights(templates: list[tuple[str, str]]) -> list[tuple[int, str, s
         weight = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
         norm = math.sqrt(sum(w * w for w in weight.values()))
         rest, rare = 1.0, set()
-        for t in sorted(weight, key=lambda t: (-idf[t], t)):
+        for t in sorted(weight, key=lambda t: (t in COMMON, -idf[t], t)):
             if rest < LEAST_COSINE**2 * 0.999:
                 break
             rare.add(t)
@@ -119,12 +124,12 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     rows = files.select(*keep, F.col(path).alias(at), F.coalesce(F.col(text), F.lit("")).alias(body))
     # only texts that hold a rare token are read further
     rows = rows.withColumn(body, F.when(F.arrays_overlap(tokens(F.col(body)), rare), F.col(body)))
-    rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "licence-files")
+    rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "licence-files", "zstd")
     some = rows.where(F.col(body).isNotNull()).select(row, F.col(body).alias("text"))
-    whole = some.select(row, F.lit(FILE).alias("kind"), "text").unionByName(some.select(row, F.lit(HEADER).alias("kind"), F.split("text", BLANK, 2)[0].alias("text")))
+    whole = some.select(row, F.lit(FILE).alias("kind"), "text").unionByName(some.where(F.col("text").rlike(BLANK)).select(row, F.lit(HEADER).alias("kind"), F.split("text", BLANK, 2)[0].alias("text")))
     parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
     parts = parts.where(F.arrays_overlap("tokens", rare)).select(row, "kind", F.md5(F.array_join("tokens", " ")).alias("u"), "tokens")
-    parts = staged(parts, "licence-parts")
+    parts = staged(parts, "licence-parts", "zstd")
     units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens")), "licence-texts")
     found = staged(near_licences(units, vectors, len(templates)), "licence-found")
     met = parts.select(row, "kind", "u").join(found, "u").withColumn("weak", F.col("licence") == WEAK)
