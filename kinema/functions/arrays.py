@@ -73,6 +73,47 @@ def assign_sides(ll: Column, lr: Column, rl: Column, rr: Column) -> Column:
     return F.when(both, F.when(lr + rl < ll + rr, "swap").otherwise("keep")).when(ll.isNotNull(), F.when(lr < 0.8 * ll, "move").otherwise("keep")).when(rr.isNotNull(), F.when(rl < 0.8 * rr, "move").otherwise("keep"))
 
 
+def far_from_pose(distance: Column, scale: Column, least_scale: float, inside: Column | None = None, factor: float = 1.5) -> Column:
+    """AR12: whether a hand is rejected: its wrist is over `factor` x its scale (least_scale at least) from the pose wrist, or that is out of the picture."""
+    far = F.coalesce(distance > factor * F.greatest(scale, F.lit(least_scale)), F.lit(False))
+    return far if inside is None else far | ~F.coalesce(inside, F.lit(True))
+
+
+def like_last_good(to_own: Column, to_other: Column, ratio: float) -> Column:
+    """AR12: whether a hand is near enough to its own side's last good wrist, at most `ratio` x as far as the other side's; true where one is unknown."""
+    return F.coalesce(to_own <= to_other * ratio, F.lit(True))
+
+
+def wrist_depth(hand: Column, pose_world: Column, pose_image: Column, world: bool) -> Column:
+    """AR14: the depth to go by: in world coordinates the hand's, then the world pose's; else the world pose's, the image pose's, the hand's."""
+    return F.coalesce(hand, pose_world) if world else F.coalesce(pose_world, pose_image, hand)
+
+
+def bone_error(points: Column, anchor: Column, links: Sequence[tuple[int, int]], scale: Column, anchor_scale: Column) -> Column:
+    """AR15: the largest relative error of a bone's length over the hand's scale against the anchor's, of points with x and y; null without scales."""
+    lengths = lambda p, m: [F.hypot(F.get(p, F.lit(i))["x"] - F.get(p, F.lit(j))["x"], F.get(p, F.lit(i))["y"] - F.get(p, F.lit(j))["y"]) / m for i, j in links]
+    errors = [F.abs(a - b) / F.greatest(b, F.lit(1e-6)) for a, b in zip(lengths(points, scale), lengths(anchor, anchor_scale), strict=True)]
+    return F.when((scale > 0) & (anchor_scale > 0), F.coalesce(F.array_max(F.array(*errors)), F.lit(0.0)))
+
+
+def points_scale(points: Column, least: int = 2) -> Column:
+    """AR8 of points with x and y."""
+    return hand_scale(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]), least)
+
+
+def sanity_check(points: Column, anchor: Column, before: Column, links: Sequence[tuple[int, int]], k: float = 2.0, least: int = 2) -> Column:
+    """AR15: (reasons, scale_ratio, wrist_jump, bone_error) of a hand's points against its anchor and its points before.
+
+    The wrist's jump is held against k x the anchor's scale, or the hand's own without an anchor.
+    """
+    scale, anchor_scale = points_scale(points, least), F.nullif(points_scale(anchor, least), F.lit(0.0))
+    first = lambda p, c: F.get(p, F.lit(0))[c]
+    jump = F.hypot(first(points, "x") - first(before, "x"), first(points, "y") - first(before, "y"))
+    ratio, bone, base = scale / anchor_scale, bone_error(points, anchor, links, scale, anchor_scale), F.coalesce(anchor_scale, scale)
+    found = F.array(F.when((ratio < 0.70) | (ratio > 1.35), "scale"), F.when((base > 0) & (jump > k * base), "jump"), F.when(bone > 0.30, "bone"))
+    return F.struct(F.filter(found, lambda x: x.isNotNull()).alias("reasons"), ratio.alias("scale_ratio"), jump.alias("wrist_jump"), bone.alias("bone_error"))
+
+
 def dedup_hands(distance: Column, wrist: Column, overlap: Column, scale: Column, left_score: Column, right_score: Column) -> Column:
     """AR13: of two hands that are the same the one to drop: that of the lower score, the right one of equal scores."""
     same = (distance < 0.25 * scale) | (wrist < 0.35 * scale) | (overlap > 0.8)
@@ -123,6 +164,22 @@ def top_k(probs: Column, k: int) -> Column:
     return F.transform(F.slice(pairs, 1, k), lambda x: F.struct((-x["n"]).alias("p"), x["id"].alias("id")))
 
 
+def margin(probs: Column) -> Column:
+    """AR22: the largest probability less the second."""
+    p = F.sort_array(probs, asc=False)
+    return F.get(p, F.lit(0)) - F.coalesce(F.get(p, F.lit(1)), F.lit(0.0))
+
+
+def true_probability(probs: Column, label: Column) -> Column:
+    """AR22: the probability of the true class, null if there is no such class."""
+    return F.get(probs, label.cast("int"))
+
+
+def sum_of_squares(probs: Column) -> Column:
+    """AR22: sum p^2."""
+    return _sum(F.transform(probs, lambda p: p * p))
+
+
 def l2_normalize(v: Column) -> Column:
     """AR23: the unit vector, a zero vector staying zero."""
     n = F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))

@@ -80,6 +80,14 @@ def structure_stats(frames: DataFrame, y: str, p: str) -> DataFrame:
     return out.withColumn("length_ratio", F.col("pred_length") / F.nullif("true_length", F.lit(0.0)))
 
 
+def clip_recall(clips: DataFrame, signer: str) -> DataFrame:
+    """AG26: by signer and, as signer null, their mean: shares of clips with a hit, with a covered start, and without any prediction; clips: (signer, hit, start_covered, silent)."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    by = clips.groupBy(signer).agg(share("hit").alias("hit_rate"), share("start_covered").alias("start_cover"), share("silent").alias("silent_rate"))
+    means = by.agg(*[F.avg(c).alias(c) for c in ("hit_rate", "start_cover", "silent_rate")])
+    return by.unionByName(means.select(F.lit(None).cast(by.schema[signer].dataType).alias(signer), *means.columns))
+
+
 def startup_failures(frames: DataFrame, visible: str, p: str, n: int, key: str = "sample_id") -> DataFrame:
     """AG27: per clip predicted begins and active frames before the first stable visible hand."""
     s = seq.startup_prefix(frames, visible, n)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import arrays
+
 
 def over(key: str, order: str) -> W:
     return W.partitionBy(key).orderBy(order)
@@ -203,6 +205,40 @@ def fill_gaps(frames: DataFrame, x: str, anchor: Column, max_gap: int, key: str
     return out.withColumn("source", F.when(anchor, "observed").when(inside, "interp").otherwise("missing")).drop("prev", "next")
 
 
+def fill_hand_gaps(frames: DataFrame, points: str, anchor: Column, max_gap: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS20 on landmarks: between two anchors at most max_gap apart wrist, scale and scaled offsets of the points (x, y, z) are interpolated.
+
+    x and y are clamped to [0, 1]; adds filled and source (observed, interp or missing).
+    """
+
+    def form(p: Column) -> Column:
+        wrist, scale = F.get(p, F.lit(0)), F.greatest(arrays.points_scale(p), F.lit(1e-6))
+        return F.struct(wrist.alias("wrist"), scale.alias("scale"), F.transform(p, lambda q: F.struct(*[((q[c] - wrist[c]) / scale).alias(c) for c in "xyz"])).alias("offsets"))
+
+    near = anchors(frames.withColumn("__form", F.when(anchor, form(F.col(points)))), anchor, "__form", key, order)
+    span = F.col("next.at") - F.col("prev.at")
+    inside = ~anchor & span.isNotNull() & (span <= max_gap)
+    t = (F.col(order) - F.col("prev.at")) / span
+    mix = lambda a, b: a * (1 - t) + b * t
+    clamp = lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))
+    a, b = F.col("prev.x"), F.col("next.x")
+
+    def point(p: Column, q: Column) -> Column:
+        at = {c: mix(a["wrist"][c], b["wrist"][c]) + mix(a["scale"], b["scale"]) * mix(p[c], q[c]) for c in "xyz"}
+        return F.struct(clamp(at["x"]).alias("x"), clamp(at["y"]).alias("y"), at["z"].alias("z"))
+
+    n = F.least(F.size(a["offsets"]), F.size(b["offsets"]))
+    made = F.zip_with(F.slice(a["offsets"], F.lit(1), n), F.slice(b["offsets"], F.lit(1), n), point)
+    out = near.withColumn("filled", F.when(anchor, F.col(points)).when(inside, made))
+    return out.withColumn("source", F.when(anchor, "observed").when(inside, "interp").otherwise("missing")).drop("prev", "next", "__form")
+
+
+def gap_fill_counts(filled: DataFrame, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS20: per clip the frames and the gaps that were filled."""
+    starts = (F.col("source") == "interp") & ~F.coalesce(F.lag("source").over(over(key, order)) == "interp", F.lit(False))
+    return filled.withColumn("__start", starts).groupBy(key).agg(F.count_if(F.col("source") == "interp").alias("frames_filled"), F.count_if("__start").alias("gaps_filled"))
+
+
 def continuous_stats(frames: DataFrame, present: str, x: str, low: float, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
     """WS26: per clip longest hand, no-hand and low-motion runs, startup gap, mean change of position."""
     w = over(key, order)

@@ -7,8 +7,9 @@ from pyspark.sql import types as T
 
 from ..functions import clean
 from ..operators import rows
+from ..sources import files
 from .registry import query
-from .views import table, v_ann, v_frames, v_videos
+from .views import shared_path, table, v_ann, v_frames, v_videos
 
 
 @query("pf1_ids", r"""
@@ -167,15 +168,22 @@ def pf24(spark, sf):
     return rows.background_clips(m, files_of(spark, sf), "val")
 
 
-@query("io7_read_sample", "select frame_idx, ts_ms, x from v_frames where sample_id = 7")
+def artifact(spark, sf):
+    root = shared_path(spark, "artifact")
+    f = v_frames(spark, sf).select("sample_id", "frame_idx", "ts_ms", "x")
+    files.write_artifact(v_videos(spark, sf), f, f.select("sample_id", F.lit("raw").alias("variant"), "frame_idx"), root)
+    return root
+
+
+@query("io7_read_sample", "select frame_idx, ts_ms, x, v.frames from v_frames join v_videos v using (sample_id) where sample_id = 7")
 def io7(spark, sf):
-    return v_frames(spark, sf).where("sample_id = 7").select("frame_idx", "ts_ms", "x").orderBy("frame_idx")
+    video, frames = files.read_sample(spark, artifact(spark, sf), 7)
+    return frames.join(video.select("sample_id", "frames"), "sample_id").select("frame_idx", "ts_ms", "x", "frames")
 
 
 @query("io8_sample_catalog", "select sample_id, frames, quality from v_videos")
 def io8(spark, sf):
-    v = v_videos(spark, sf)
-    return v.select(*[c for c in ("sample_id", "frames", "quality", "signer_id") if c in v.columns]).orderBy("sample_id")
+    return files.sample_catalog(spark, artifact(spark, sf))
 
 
 @query("io9_conform_schema", "select sample_id, cast(frames as integer) as frames, cast(null as varchar) as signer from v_videos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import evaluate, joins, sets
+from ..operators import evaluate, joins, seq, sets
 from .agg_queries import rounded
 from .registry import query
 from .views import table, v_bio, v_frames, v_pred
@@ -84,13 +84,15 @@ def ag25(spark, sf):
 @query("ag26_clip_recall", """
     with o as (select *, sum(case when y <> 2 then 1 else 0 end) over w as iy, sum(case when p <> 2 then 1 else 0 end) over w as ip from v_bio window w as (partition by sample_id order by frame_idx rows unbounded preceding)),
     t as (select sample_id, min(case when y = 1 then frame_idx end) as s, max(case when y <> 0 then frame_idx end) as e from o group by sample_id, iy having s is not null), q as (select sample_id, min(case when p = 1 then frame_idx end) as s, max(case when p <> 0 then frame_idx end) as e from o group by sample_id, ip having s is not null),
-    c as (select t.sample_id, coalesce(bool_or(greatest(t.s, q.s) <= least(t.e, q.e)), false) as hit, coalesce(bool_or(abs(t.s - q.s) <= 1), false) as cov from t left join q using (sample_id) group by t.sample_id)
-    select sample_id % 10 as signer, round(avg(case when hit then 1.0 else 0 end), 9) as hit_rate, round(avg(case when cov then 1.0 else 0 end), 9) as start_cover from c group by 1""")
+    c as (select t.sample_id, coalesce(bool_or(greatest(t.s, q.s) <= least(t.e, q.e)), false) as hit, coalesce(bool_or(abs(t.s - q.s) <= 1), false) as cov from t left join q using (sample_id) group by t.sample_id),
+    z as (select sample_id, max(p) = 0 as silent from v_bio group by sample_id), r as (select sample_id % 10 as signer, avg(case when hit then 1.0 else 0 end) as hit_rate, avg(case when cov then 1.0 else 0 end) as start_cover, avg(case when silent then 1.0 else 0 end) as silent_rate from c join z using (sample_id) group by 1)
+    select signer, round(hit_rate, 9) as hit_rate, round(start_cover, 9) as start_cover, round(silent_rate, 9) as silent_rate from r union all select null, round(avg(hit_rate), 9), round(avg(start_cover), 9), round(avg(silent_rate), 9) from r""")
 def ag26(spark, sf):
     from .join_queries import preds_of, segs
 
-    c = joins.segment_overlap(segs(spark, sf), preds_of(spark, sf), 1).withColumn("signer", F.col("sample_id") % 10)
-    return rounded(c.groupBy("signer").agg(F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg(F.col("start_covered").cast("double")).alias("start_cover")), "hit_rate", "start_cover", n=9)
+    silent = v_bio(spark, sf).groupBy("sample_id").agg((F.max("p") == 0).alias("silent"))
+    c = joins.segment_overlap(segs(spark, sf), preds_of(spark, sf), 1).join(silent, "sample_id").withColumn("signer", F.col("sample_id") % 10)
+    return rounded(evaluate.clip_recall(c, "signer"), "hit_rate", "start_cover", "silent_rate", n=9)
 
 
 @query("ag27_startup_failures", """
@@ -209,6 +211,80 @@ def ar_probabilities(spark, sf):
     return v_bio(spark, sf).select("event_id", "sample_id", F.round(arrays.entropy(p), 6).alias("entropy"), F.round(arrays.top_k(p, 1)[0]["p"], 6).alias("top1"))
 
 
+@query("ar22_margins", "select event_id, round(list_sort([pb, pi, po], 'DESC')[1] - list_sort([pb, pi, po], 'DESC')[2], 6) as margin, round([pb, pi, po][y + 1], 6) as true_p, round(pb * pb + pi * pi + po * po, 6) as squares from v_bio")
+def ar22(spark, sf):
+    p = F.array("pb", "pi", "po")
+    return rounded(v_bio(spark, sf).select("event_id", arrays.margin(p).alias("margin"), arrays.true_probability(p, F.col("y")).alias("true_p"), arrays.sum_of_squares(p).alias("squares")), "margin", "true_p", "squares")
+
+
+#: A hand of four joints for each frame: its wrist, scale and shape follow x and score.
+HAND = "[{'x': x / 600, 'y': score, 'z': 0.0}, {'x': x / 600 + 0.05, 'y': score, 'z': 0.1}, {'x': x / 600, 'y': score + score / 9, 'z': 0.2}, {'x': x / 600 + score / 7, 'y': score + 0.1, 'z': x / 1000}]"
+
+
+def hand():
+    x, s = F.col("x"), F.col("score")
+    points = [(x / 600, s, F.lit(0.0)), (x / 600 + 0.05, s, F.lit(0.1)), (x / 600, s + s / 9, F.lit(0.2)), (x / 600 + s / 7, s + 0.1, x / 1000)]
+    return F.array(*[F.struct(a.alias("x"), b.alias("y"), c.alias("z")) for a, b, c in points])
+
+
+def scale_sql(h: str) -> str:
+    d = [f"sqrt(({h}[{i}].x - {h}[1].x) ** 2 + ({h}[{i}].y - {h}[1].y) ** 2)" for i in (2, 3, 4)]
+    return f"list_sort([{', '.join(d)}])[2]"
+
+
+def bone_sql(h: str, i: int, j: int, scale: str) -> str:
+    return f"(sqrt(({h}[{i}].x - {h}[{j}].x) ** 2 + ({h}[{i}].y - {h}[{j}].y) ** 2) / {scale})"
+
+
+@query("ar12_far_hands", """
+    select event_id, abs(x - 60) > 1.5 * greatest(score * 30, 12.0) or x > 150 as rejected, coalesce(x <= (case when h2 then score * 100 end) * 0.8, true) as like_last, coalesce(case when h1 then x end, score) as world_depth, coalesce(score, case when h2 then 1.0 end, case when h1 then x end) as image_depth from v_frames""")
+def ar12(spark, sf):
+    x, s = F.col("x"), F.col("score")
+    h1, h2 = F.when(F.col("h1"), x), F.when(F.col("h2"), F.lit(1.0))
+    return v_frames(spark, sf).select(
+        "event_id", arrays.far_from_pose(F.abs(x - 60), s * 30, 12.0, x <= 150).alias("rejected"), arrays.like_last_good(x, F.when(F.col("h2"), s * 100), 0.8).alias("like_last"),
+        arrays.wrist_depth(h1, s, h2, True).alias("world_depth"), arrays.wrist_depth(h1, s, h2, False).alias("image_depth"),
+    )
+
+
+@query("ar15_sanity_check", f"""
+    with f as (select event_id, sample_id, frame_idx, {HAND} as h from v_frames), b as (select event_id, h, lag(h) over w as before, first_value(h) over w as anchor from f window w as (partition by sample_id order by frame_idx)),
+    s as (select *, {scale_sql("h")} as sc, {scale_sql("anchor")} as an from b),
+    m as (select *, sc / an as ratio, sqrt((h[1].x - before[1].x) ** 2 + (h[1].y - before[1].y) ** 2) as jump, greatest({", ".join(f"abs({bone_sql('h', i, j, 'sc')} - {bone_sql('anchor', i, j, 'an')}) / greatest({bone_sql('anchor', i, j, 'an')}, 1e-6)" for i, j in ((1, 2), (1, 3), (3, 4)))}) as bone from s)
+    select event_id, list_filter([case when ratio < 0.70 or ratio > 1.35 then 'scale' end, case when jump > 2 * an then 'jump' end, case when bone > 0.30 then 'bone' end], lambda r: r is not null) as reasons, round(ratio, 6) as scale_ratio, round(jump, 6) as wrist_jump, round(bone, 6) as bone_error from m""")
+def ar15_check(spark, sf):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("sample_id").orderBy("frame_idx")
+    f = v_frames(spark, sf).withColumn("h", hand())
+    b = f.select("event_id", "h", F.lag("h").over(w).alias("before"), F.first("h").over(w).alias("anchor"))
+    return rounded(b.select("event_id", arrays.sanity_check(F.col("h"), F.col("anchor"), F.col("before"), [(0, 1), (0, 2), (2, 3)]).alias("c")).select("event_id", "c.*"), "scale_ratio", "wrist_jump", "bone_error")
+
+
+@query("ws20_fill_hand_gaps", f"""
+    with f as (select sample_id, frame_idx, h2, {HAND} as h from v_frames),
+    a as (select *, last_value(case when h2 then frame_idx end ignore nulls) over b as p, last_value(case when h2 then h end ignore nulls) over b as ph, first_value(case when h2 then frame_idx end ignore nulls) over n as q, first_value(case when h2 then h end ignore nulls) over n as qh
+          from f window b as (partition by sample_id order by frame_idx rows between unbounded preceding and current row), n as (partition by sample_id order by frame_idx rows between current row and unbounded following)),
+    t as (select *, (frame_idx - p) / (q - p) as t, greatest({scale_sql("ph")}, 1e-6) as ps, greatest({scale_sql("qh")}, 1e-6) as qs from a),
+    m as (select *, ps * (1 - t) + qs * t as s from t)
+    select sample_id, frame_idx, k - 1 as joint, case when h2 then 'observed' when q - p <= 3 then 'interp' else 'missing' end as source,
+           {", ".join(f"round(case when h2 then h[k].{c} when q - p <= 3 then {lo}ph[1].{c} * (1 - t) + qh[1].{c} * t + s * ((ph[k].{c} - ph[1].{c}) / ps * (1 - t) + (qh[k].{c} - qh[1].{c}) / qs * t){hi} end, 6) as {c}" for c, lo, hi in (("x", "greatest(least(", ", 1.0), 0.0)"), ("y", "greatest(least(", ", 1.0), 0.0)"), ("z", "", "")))}
+    from m, (select cast(unnest([1, 2, 3, 4]) as integer) as k)""")
+def ws20_hands(spark, sf):
+    f = seq.fill_hand_gaps(v_frames(spark, sf).withColumn("h", hand()), "h", F.col("h2"), 3)
+    joints = f.withColumn("joint", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("p", F.get("filled", F.col("joint")))
+    return rounded(joints.select("sample_id", "frame_idx", "joint", "source", "p.*"), "x", "y", "z")
+
+
+@query("ws20_fill_counts", """
+    with a as (select *, last_value(case when h2 then frame_idx end ignore nulls) over b as p, first_value(case when h2 then frame_idx end ignore nulls) over n as q
+               from v_frames window b as (partition by sample_id order by frame_idx rows between unbounded preceding and current row), n as (partition by sample_id order by frame_idx rows between current row and unbounded following)),
+    s as (select sample_id, frame_idx, not h2 and coalesce(q - p <= 3, false) as filled from a), l as (select *, coalesce(lag(filled) over (partition by sample_id order by frame_idx), false) as was from s)
+    select sample_id, count(*) filter (where filled) as frames_filled, count(*) filter (where filled and not was) as gaps_filled from l group by sample_id""")
+def ws20_counts(spark, sf):
+    return seq.gap_fill_counts(seq.fill_gaps(v_frames(spark, sf), "x", F.col("h2"), 3))
+
+
 @query("ar_sides_and_states", """
     with d as (select event_id, case when h1 then x end as ll, case when h1 then 60 - x * 0.4 end as lr, case when h2 then score * 60 end as rl, case when h2 then x * 0.5 end as rr, x, score from v_frames)
     select event_id, case when ll is not null and rr is not null then case when lr + rl < ll + rr then 'swap' else 'keep' end when ll is not null then case when lr < 0.8 * ll then 'move' else 'keep' end when rr is not null then case when rl < 0.8 * rr then 'move' else 'keep' end end as side,

@@ -7,6 +7,7 @@ lines at the driver; after that the schema is fixed.
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,18 @@ def write_artifact(videos: DataFrame, frames: DataFrame, landmarks: DataFrame, r
     landmarks.withColumn("group", F.concat_ws("/", "sample_id", "variant")).write.mode("overwrite").partitionBy("variant").parquet(f"{root}/landmarks")
 
 
+def read_sample(spark: SparkSession, root: str, sample_id) -> tuple[DataFrame, DataFrame]:
+    """IO7: a clip's row of videos, and its frames in order; the filter reaches the files."""
+    of = F.col("sample_id") == F.lit(sample_id)
+    return spark.read.parquet(f"{root}/videos").where(of), spark.read.parquet(f"{root}/frames").where(of).orderBy("frame_idx")
+
+
+def sample_catalog(spark: SparkSession, root: str, columns: Sequence[str] = ("sample_id", "frames", "quality", "signer_id")) -> DataFrame:
+    """IO8: those of the columns that the videos have, sorted by id."""
+    videos = spark.read.parquet(f"{root}/videos")
+    return videos.select(*[c for c in columns if c in videos.columns]).orderBy("sample_id")
+
+
 def write_predictions(df: DataFrame, folder: str) -> None:
     """IO13: a Parquet and a CSV copy; nested columns are JSON in the CSV."""
     df.write.mode("overwrite").parquet(f"{folder}/predictions.parquet")
