@@ -94,6 +94,40 @@ def startup_failures(frames: DataFrame, visible: str, p: str, n: int, key: str =
     return s.groupBy(key).agg(F.count_if(F.col("startup") & (F.col(p) == 1)).alias("begins"), F.count_if(F.col("startup") & (F.col(p) != 0)).alias("active"))
 
 
+#: What the scores of AG28 take off or add for each metric.
+BALANCED = {"length_penalty": 0.10, "transition_err": 0.75, "relative_b_err": 0.05, "violation_err": 1.0, "startup_false_start": 1.5, "startup_active": 0.75}
+RECALL_SAFE = {"start_cover": 0.50, "signer_macro": 0.25, "silent_rate": -0.90, "startup_segment": -0.60}
+
+
+def rank_thresholds(metrics: DataFrame, threshold: str = "threshold") -> DataFrame:
+    """AG28: adds balanced_score, recall_safe_score, guarded, and the ranks by three rules, 1 being the best, of a row of metrics per threshold.
+
+    Columns: b_f1, pred_b_ratio, seg_ratio, true_length, b_err, transition_err, violation_err, startup_false_start,
+    startup_active, hit_rate, start_cover, signer_macro, silent_rate, startup_segment. balanced_rank: score, b_f1, smaller
+    b_err; recall_safe_rank: score, hit_rate, smaller silent_rate, smaller startup_segment; boundary_rank: b_f1, smaller
+    b_err, pred_b_ratio nearest 1, smaller transition_err and violation_err. Ties go to the smaller threshold. guarded:
+    pred_b_ratio in 0.85 to 1.15, seg_ratio in 0.80 to 1.25, startup_segment at most 0.05. Rows are few: one a threshold.
+    """
+    c = F.col
+    terms = {
+        "length_penalty": F.when(c("seg_ratio") > 0, F.abs(F.ln("seg_ratio"))).otherwise(1.5), "relative_b_err": c("b_err") / F.greatest(F.lit(1.0), c("true_length")),
+    } | {n: c(n) for n in ("transition_err", "violation_err", "startup_false_start", "startup_active")}
+    balanced = c("b_f1")
+    for name, weight in BALANCED.items():
+        balanced = balanced - weight * terms[name]
+    safe = c("hit_rate")
+    for name, weight in RECALL_SAFE.items():
+        safe = safe + weight * c(name)
+    guarded = c("pred_b_ratio").between(0.85, 1.15) & c("seg_ratio").between(0.80, 1.25) & (c("startup_segment") <= 0.05)
+    out = metrics.withColumns({"balanced_score": balanced, "recall_safe_score": safe, "guarded": guarded})
+    rules = {
+        "balanced_rank": [F.desc("balanced_score"), F.desc("b_f1"), F.asc("b_err")],
+        "recall_safe_rank": [F.desc("recall_safe_score"), F.desc("hit_rate"), F.asc("silent_rate"), F.asc("startup_segment")],
+        "boundary_rank": [F.desc("b_f1"), F.asc("b_err"), F.abs(c("pred_b_ratio") - 1).asc(), F.asc("transition_err"), F.asc("violation_err")],
+    }
+    return out.withColumns({name: F.row_number().over(W.orderBy(*order, threshold)) for name, order in rules.items()})
+
+
 def threshold_sweep(frames: DataFrame, y: str, thresholds: Sequence[float], key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
     """AG28: a row per threshold: tags are begin where pb reaches it, else the likelier of outside and inside; F1 of begin, the
     ratio of begins, transition and violation rates, and rank 1 for the best row (F1, ratio nearest 1, fewer transitions, fewer

@@ -111,6 +111,25 @@ def ag28(spark, sf):
     return rounded(evaluate.threshold_sweep(v_bio(spark, sf), "y", [0.3, 0.5, 0.7]), "transition_rate", "violation_rate")
 
 
+METRICS = {
+    "b_f1": "avg(score)", "pred_b_ratio": "5e-1 + avg(x) / 100", "seg_ratio": "avg(x) / 60", "true_length": "avg(x) / 20", "b_err": "stddev_pop(x) / 40", "transition_err": "avg(score * score) / 9", "violation_err": "avg(case when h2 then 0 else 1e-1 end)",
+    "startup_false_start": "avg(case when h1 then 0 else 1e-1 end)", "startup_active": "avg(case when occ then 1e-1 else 0 end)", "hit_rate": "avg(case when h1 then 1e0 else 0 end)", "start_cover": "avg(case when h2 then 1e0 else 0 end)",
+    "signer_macro": "avg(case when occ then 1e0 else 0 end)", "silent_rate": "avg(case when x < 5 then 1e0 else 0 end)", "startup_segment": "avg(case when x < 3 then 1e0 else 0 end)",
+}
+
+
+@query("ag28_rank_thresholds", f"""
+    with m as (select (event_id % 9 + 1) / 10 as threshold, {", ".join(f"{v} as {k}" for k, v in METRICS.items())} from v_frames group by 1),
+    s as (select *, b_f1 - 0.10 * case when seg_ratio > 0 then abs(ln(seg_ratio)) else 1.5 end - 0.75 * transition_err - 0.05 * b_err / greatest(1, true_length) - violation_err - 1.5 * startup_false_start - 0.75 * startup_active as balanced_score,
+                 hit_rate + 0.5 * start_cover + 0.25 * signer_macro - 0.9 * silent_rate - 0.6 * startup_segment as recall_safe_score, pred_b_ratio between 0.85 and 1.15 and seg_ratio between 0.80 and 1.25 and startup_segment <= 0.05 as guarded from m)
+    select threshold, round(balanced_score, 6) as balanced_score, round(recall_safe_score, 6) as recall_safe_score, guarded, cast(row_number() over (order by balanced_score desc, b_f1 desc, b_err, threshold) as integer) as balanced_rank,
+           cast(row_number() over (order by recall_safe_score desc, hit_rate desc, silent_rate, startup_segment, threshold) as integer) as recall_safe_rank, cast(row_number() over (order by b_f1 desc, b_err, abs(pred_b_ratio - 1), transition_err, violation_err, threshold) as integer) as boundary_rank from s""")
+def ag28_rank(spark, sf):
+    m = v_frames(spark, sf).groupBy(((F.col("event_id") % 9 + 1) / 10).alias("threshold")).agg(*[F.expr(v).cast("double").alias(k) for k, v in METRICS.items()])
+    out = evaluate.rank_thresholds(m).select("threshold", "balanced_score", "recall_safe_score", "guarded", "balanced_rank", "recall_safe_rank", "boundary_rank")
+    return rounded(out, "balanced_score", "recall_safe_score")
+
+
 @query("ag29_support_buckets", """
     with c as (select l_suppkey as label, count(*) as n from lineitem group by 1), r as (select *, row_number() over (order by n desc, label) as rank, count(*) over () as k from c)
     select label, n, case when rank <= ceil(k * 0.2) then 'head' when rank <= ceil(k * 0.5) then 'mid' else 'tail' end as bucket from r""")
