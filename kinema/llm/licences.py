@@ -128,8 +128,10 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     some = rows.where(F.col(body).isNotNull()).select(row, F.col(body).alias("text"))
     whole = some.select(row, F.lit(FILE).alias("kind"), "text").unionByName(some.where(F.col("text").rlike(BLANK)).select(row, F.lit(HEADER).alias("kind"), F.split("text", BLANK, 2)[0].alias("text")))
     parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
-    parts = parts.where(F.arrays_overlap("tokens", rare)).select(row, "kind", F.md5(F.array_join("tokens", " ")).alias("u"), "tokens")
-    parts = staged(parts, "licence-parts", "zstd")
+    some = F.arrays_overlap("tokens", rare)
+    # marked here and filtered as they are read: a filter here would be pushed down and split every text twice
+    parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"))
+    parts = staged(parts, "licence-parts", "zstd").where("u is not null")
     units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens")), "licence-texts")
     found = staged(near_licences(units, vectors, len(templates)), "licence-found")
     met = parts.select(row, "kind", "u").join(found, "u").withColumn("weak", F.col("licence") == WEAK)

@@ -22,18 +22,19 @@ LEAST_KINDS = 2.0
 
 
 def parsed_lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc, text_hash, line, lead, g, n, h1, h2, s): a line's number from 0, first tokens, leaf, tokens, hash of 128 bits, masked text.
+    """(doc, text_hash, line, constant, lead, g, n, h1, h2, s): a line's number from 0, first tokens, leaf, tokens, hash of 128 bits, masked text.
 
-    Tokens that hold a digit are variable fields and read <*>. Lines without any other token have no template and are
-    left out.
+    Tokens that hold a digit are variable fields and read <*>. Lines without any other token aren't constant and have
+    no template.
     """
     rows = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_hash"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line", "raw"))
     masked = F.when(F.col("raw").rlike(r"\d"), F.regexp_replace("raw", r"(?<!\S)[^\s\d]*+\d\S*+", "<*>")).otherwise(F.col("raw"))
     rows = rows.withColumn("t", F.array_remove(F.split(masked, r"\s+"), ""))
     rows = rows.select("doc", "text_hash", "line", "t", F.array_join("t", " ").alias("s"), F.size("t").alias("n"))
     lead = [F.get("t", F.lit(i)) for i in range(DEPTH)]
-    rows = rows.where((F.col("n") > 0) & F.col("s").rlike(r"(?<!\S)(?!<\*>(?!\S))\S"))
-    return rows.select("doc", "text_hash", "line", F.unhex(F.md5(F.concat_ws(" ", *lead))).alias("lead"), F.xxhash64("n", *lead).alias("g"), "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s")
+    constant = F.size(F.array_remove("t", "<*>")) > 0
+    # lines are written with this mark and filtered as they are read: a filter here would be pushed down and split every line twice
+    return rows.select("doc", "text_hash", "line", constant.alias("constant"), F.unhex(F.md5(F.concat_ws(" ", *lead))).alias("lead"), F.xxhash64("n", *lead).alias("g"), "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), "s")
 
 
 def _common_tokens(lines: DataFrame, leaf: str, share: float, least: int) -> DataFrame:
@@ -79,7 +80,7 @@ def recurring_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     hashes). So lines that recur only because their whole document has copies stay for near-dedup. With keep_first a template's first occurrence (smallest id,
     nulls last, then line) is left, so that no passage is lost altogether.
     """
-    lines = staged(parsed_lines(docs, doc_id, text), "lines", "zstd")
+    lines = staged(parsed_lines(docs, doc_id, text), "lines", "zstd").where("constant")
     of = staged(leaf_templates(lines, least_docs), "line-leaves")
     template = F.struct(F.col("template").isNotNull().alias("leaf"), F.coalesce("template", "h1").alias("a"), F.when(F.col("template").isNull(), F.col("h2")).otherwise(0).alias("b"))
     named = lines.select("doc", "text_hash", "line", "h1", "h2").join(of, ["h1", "h2"], "left").select("doc", "text_hash", "line", template.alias("template"))
