@@ -15,12 +15,15 @@ from pyspark.sql import types as T
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set as checkpoint folder.
+    Only where that is unset and the session is of one machine (tests) a temporary folder is made and set as checkpoint
+    folder; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="kinema-")
         spark.sparkContext.setCheckpointDir(base)
