@@ -70,13 +70,13 @@ def _vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame
 def near_licences(units: DataFrame, vectors: DataFrame, n_templates: int) -> DataFrame:
     """(u, licence, cosine): the best template of each distinct unit (u, tokens), if near enough; ties by identifier.
 
-    Units are first held against the templates' rare tokens: the cosine is at most the length of what a unit shares of
-    the template's vector, all common tokens counted as shared. Words that no template has weigh as much as a word of
+    Units are first held against the templates' tokens that aren't common words: the cosine is at most the length of
+    what a unit shares of the template's vector, all common words counted as shared. Words that no template has weigh as much as a word of
     one template does, so that prose is far from all.
     """
-    rare = vectors.where("rare")
-    rest = rare.groupBy("template").agg((1 - F.sum(F.col("weight") * F.col("weight"))).alias("rest"))
-    some = units.select("u", F.explode(F.array_distinct("tokens")).alias("token")).join(rare.select("token", "template", "weight"), "token")
+    telling = vectors.where(~F.col("token").isin(*COMMON))
+    rest = vectors.groupBy("template").agg(F.sum(F.when(F.col("token").isin(*COMMON), F.col("weight") * F.col("weight")).otherwise(0.0)).alias("rest"))
+    some = units.select("u", F.explode(F.array_distinct("tokens")).alias("token")).join(telling.select("token", "template", "weight"), "token")
     bound = some.groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("shared")).join(F.broadcast(rest), "template")
     may = staged(bound.where(F.col("shared") + F.col("rest") >= LEAST_COSINE**2 - 1e-9).select("u", "template"), "licence-candidates")
     chosen = units.join(may.select("u").distinct(), "u", "left_semi")
@@ -147,6 +147,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     dirs = rows.where("own is null").select(directory(F.col(at)).alias("of")).distinct()
     up = dirs.select("of", F.posexplode(ancestors(F.concat("of", F.when(F.col("of") == "", "x").otherwise("/x")))).alias("up", "dir"))
     heir = up.join(speaks, "dir").groupBy("of").agg(F.min_by(F.struct("dir", "theirs"), "up").alias("heir"))
+    heir = staged(heir, "licence-heirs")  # its size decides the join, which can then split a hot directory
     out = rows.join(heir, F.when(F.col("own").isNull(), directory(F.col(at))) == F.col("of"), "left")
     return out.select(
         *keep, F.col(at).alias("path"), F.coalesce("own.licence", "heir.theirs.licence").alias("licence"), F.coalesce("own.cosine", "heir.theirs.cosine").alias("cosine"),
