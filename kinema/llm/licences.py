@@ -68,20 +68,25 @@ def _vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame
 
 
 def near_licences(units: DataFrame, vectors: DataFrame, n_templates: int) -> DataFrame:
-    """(u, licence, cosine): the best template of each distinct unit (u, tokens), if near enough; ties by identifier.
+    """(u, licence, cosine): the best template of each distinct unit (u, tokens, n_tokens, n_unknown), if near enough; ties by identifier.
 
     Units are first held against the templates' tokens that aren't common words: the cosine is at most the length of
-    what a unit shares of the template's vector, all common words counted as shared. Words that no template has weigh as much as a word of
+    what a unit shares of the template's vector, all common words counted as shared, times the share of the unit's own
+    vector that this can be at most beside its words that no template has. Words that no template has weigh as much as a word of
     one template does, so that prose is far from all.
     """
     telling = vectors.where(~F.col("token").isin(*COMMON))
-    rest = vectors.groupBy("template").agg(F.sum(F.when(F.col("token").isin(*COMMON), F.col("weight") * F.col("weight")).otherwise(0.0)).alias("rest"))
-    some = units.select("u", F.explode(F.array_distinct("tokens")).alias("token")).join(telling.select("token", "template", "weight"), "token")
-    bound = some.groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("weight")).alias("shared")).join(F.broadcast(rest), "template")
-    may = staged(bound.where(F.col("shared") + F.col("rest") >= LEAST_COSINE**2 - 1e-9).select("u", "template"), "licence-candidates")
+    squares = lambda c: F.sum(F.when(F.col("token").isin(*COMMON), F.col(c) * F.col(c)).otherwise(0.0))
+    rest = vectors.groupBy("template").agg(squares("weight").alias("rest"), squares("idf").alias("rest_idf"))
+    unknown = math.log((1 + n_templates) / 2) + 1
+    some = units.select("u", "n_tokens", "n_unknown", F.explode(F.array_distinct("tokens")).alias("token")).join(telling.select("token", "template", "weight", "idf"), "token")
+    sums = [F.sum(F.col(c) * F.col(c)).alias(n) for c, n in (("weight", "shared"), ("idf", "own"))]
+    bound = some.groupBy("u", "template", "n_tokens", "n_unknown").agg(*sums).join(F.broadcast(rest), "template")
+    most = (F.col("own") + F.col("rest_idf")) * (1 + F.log("n_tokens")) * (1 + F.log("n_tokens"))
+    may = bound.where((F.col("shared") + F.col("rest")) * most >= (LEAST_COSINE**2 - 1e-9) * (most + F.col("n_unknown") * unknown**2))
+    may = staged(may.select("u", "template"), "licence-candidates")
     chosen = units.join(may.select("u").distinct(), "u", "left_semi")
     counted = chosen.select("u", F.explode("tokens").alias("token")).groupBy("u", "token").agg(F.count("*").alias("tf"))
-    unknown = math.log((1 + n_templates) / 2) + 1
     idf = vectors.groupBy("token").agg(F.first("idf").alias("idf"))
     weighted = staged(counted.join(idf, "token", "left").select("u", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unknown))).alias("w")), "licence-units")
     norms = weighted.groupBy("u").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -120,6 +125,7 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     spark = files.sparkSession
     vectors = _vectors(spark, templates)
     rare = F.lit(sorted({t for _, _, t, _, _, is_rare in template_weights(templates) if is_rare}))
+    words = F.lit(sorted({t for _, _, t, _, _, _ in template_weights(templates)}))
     at, body, row = unused(files, "path", "text", "row")
     rows = files.select(*keep, F.col(path).alias(at), F.coalesce(F.col(text), F.lit("")).alias(body))
     # only texts that hold a rare token are read further
@@ -130,9 +136,9 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
     some = F.arrays_overlap("tokens", rare)
     # marked here and filtered as they are read: a filter here would be pushed down and split every text twice
-    parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"))
+    parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"), F.size(F.array_except("tokens", words)).alias("n_unknown"))
     parts = staged(parts, "licence-parts", "zstd").where("u is not null")
-    units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens")), "licence-texts")
+    units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens"), F.first("n_unknown").alias("n_unknown")).withColumn("n_tokens", F.size("tokens")), "licence-texts", "zstd")
     found = staged(near_licences(units, vectors, len(templates)), "licence-found")
     met = parts.select(row, "kind", "u").join(found, "u").withColumn("weak", F.col("licence") == WEAK)
     order = F.struct("weak", "kind", -F.col("cosine"), "licence")
