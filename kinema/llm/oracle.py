@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences, lines, quality, warc
+from . import licences, lines, quality, resample, search, warc
 
 
 def queries_path(div: str, string: str) -> str:
@@ -149,4 +149,38 @@ select f.doc_id, f.path, coalesce(f.licence, u.licence) as licence, coalesce(f.c
 from f left join u on u.doc_id = f.doc_id and u.rank = 1
 """
 
-ORACLE_SQL = {"op5_licences": OP5, "op4_decontaminate": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_lines": OP10}
+_LOWER = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+
+OP12 = f"""
+with d as (select row_number() over () as r, doc_id, {_words(_LOWER, SEPARATORS)} as w from documents),
+g as (select cast(count(*) as bigint) as n_all, cast(sum(len(w)) as bigint) as l_all from d where len(w) > 0),
+i as (select distinct item_id, unnest({_words(_LOWER, SEPARATORS)}) as term from benchmark),
+tf as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from d) semi join i using (term) group by all),
+df as (select term, cast(floor(1000 * ln((2 * n_all + 2)::double / (2 * count(*) + 1))) as bigint) as wt from tf, g group by term, n_all),
+h as (select r, doc_id, term, wt * ((1000000000 * tf) // (1000 * tf + 8 * (100 - {search.LENGTH_PERCENT} + ({search.LENGTH_PERCENT} * n * n_all) // l_all))) as hit from tf join df using (term), g),
+s as (select item_id, r, doc_id, cast(sum(hit) as bigint) as score from h join i using (term) group by all having sum(hit) > 0),
+k as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score from s)
+select * from k where rank <= {search.TOP}
+"""
+
+# CRC-32 by its definition: a table of 256 values, then a word's bytes, each distinct word once
+OP13 = f"""
+with recursive c as (select unnest(generate_series(0, 255)) as b), bit as (
+    select b, b as v, 0 as k from c union all select b, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from bit where k < 8),
+crc as (select list(v order by b) as t from bit where k = 8),
+d as (select row_number() over () as r, doc_id, {_words(_LOWER, SEPARATORS)} as w from documents), q as (select {_words(_LOWER, SEPARATORS)} as w from benchmark),
+u as (select r, unnest(w) as word from d union all select null, unnest(w) from q),
+x as (select word, hex(encode(word)) as h from (select distinct word from u)),
+y as (select word, list_transform(generate_series(1, length(h) // 2), lambda i: 16 * (instr('0123456789ABCDEF', h[2 * i - 1]) - 1) + instr('0123456789ABCDEF', h[2 * i]) - 1) as bytes from x),
+f as (select word, xor(list_reduce(list_prepend(4294967295::bigint, bytes::bigint[]), lambda v, z: xor(v >> 8, t[xor(v & 255, z) + 1])), 4294967295) % {resample.BUCKETS} as bucket from y, crc),
+n as (select bucket, count(r) as s, count(*) - count(r) as t from u join f using (word) group by bucket), total as (select sum(s) as s_all, sum(t) as t_all from n),
+gain as (select bucket, cast(floor(1000 * ln(((t + 1) * (s_all + {resample.BUCKETS}))::double / ((s + 1) * (t_all + {resample.BUCKETS}))::double)) as bigint) as gain from n, total),
+wt as (select r, count(*) as n_features, sum(gain) as weight from u join f using (word) join gain using (bucket) where r is not null group by r),
+v as (select d.r, doc_id, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight, ('0x' || substr(sha256('{resample.SEED}:' || coalesce(cast(doc_id as varchar), '')), 1, 8))::bigint as h from d left join wt using (r)),
+o as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score from v),
+p as (select *, row_number() over (partition by n_features >= {resample.LEAST_WORDS} order by score desc, doc_id, r) as place, count(*) over (partition by n_features >= {resample.LEAST_WORDS}) as able from o)
+select doc_id, cast(n_features as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score,
+       case when n_features >= {resample.LEAST_WORDS} and place <= {resample.PERCENT} * able // 100 then place end as rank from p
+"""
+
+ORACLE_SQL = {"op5_licences": OP5, "op4_decontaminate": OP4, "op7_quality": OP7, "op9_warc": OP9, "op10_lines": OP10, "op12_search": OP12, "op13_resample": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, licences, lines, oracle, packing, quality, simhash, suffix, urls, warc
+from . import decontaminate, html, licences, lines, oracle, packing, quality, resample, search, secrets, simhash, suffix, urls, warc
 from .common import scratch_path, table
 
 
@@ -53,6 +53,18 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(docs, keep=("doc_id",))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]).drop("found")
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("accesses")
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_urls": op2_urls,
@@ -64,5 +76,8 @@ QUERIES = {
     "op8_pack": op8_pack,
     "op9_warc": op9_warc,
     "op10_lines": op10_lines,
+    "op11_secrets": op11_secrets,
+    "op12_search": op12_search,
+    "op13_resample": op13_resample,
 }
 ORACLE_SQL = oracle.ORACLE_SQL
