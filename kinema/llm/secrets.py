@@ -195,13 +195,12 @@ def is_armoured_key(label: str, body: str) -> bool:
     return raw is not None and (len(raw) >= 64 and len(raw) % 8 == 0 if old else is_key(raw))
 
 
-def _runs(lines: str) -> Iterator[tuple[int, int]]:
-    """What may be one encoded run among lines: all of them, all but the last, or a line by itself."""
-    yield 0, len(lines)
+def _runs(lines: str) -> Iterator[list[tuple[int, int]]]:
+    """What may be encoded among lines: all of them as one run, all but the last, or each line by itself."""
+    yield [(0, len(lines))]
     if "\n" in lines:
-        if (end := len(lines[: lines.rindex("\n")].rstrip())) > lines.index("\n"):
-            yield 0, end
-        yield from (m.span() for m in re.finditer(r"\S{43,}", lines))
+        yield [(0, len(lines[: lines.rindex("\n")].rstrip()))]
+        yield [x.span() for x in re.finditer(r"\S{43,}", lines)]
 
 
 def confirmed(text: str, deep: int = 0) -> Iterator[tuple[str, int, int]]:
@@ -225,13 +224,16 @@ def confirmed(text: str, deep: int = 0) -> Iterator[tuple[str, int, int]]:
             begin, end = next(spans)
         if begin <= m.start() < end:
             continue  # of an armoured key
-        for start, stop in _runs(m[0]):
-            raw = decoded(m[0][start:stop])
-            kind = raw is not None and ("key" if is_key(raw) else "wrapped" if holds_secret(raw, deep) else "")
-            if kind:
-                yield kind, m.start() + start, m.start() + stop
-                if start == 0:
-                    break
+        lines, found = m[0], []
+        for parts in _runs(lines):
+            for start, stop in parts:
+                raw = decoded(lines[start:stop])
+                kind = raw is not None and ("key" if is_key(raw) else "wrapped" if holds_secret(raw, deep) else "")
+                if kind:
+                    found.append((kind, m.start() + start, m.start() + stop))
+            if found:
+                yield from found
+                break
     for m in HEXES.finditer(text):
         raw = bytes.fromhex(m[0])
         if kind := "key" if is_key(raw) else "wrapped" if holds_secret(raw, deep) else "":
