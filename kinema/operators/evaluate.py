@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from . import seq
+from . import joins, seq
 
 
 def confusion(preds: DataFrame, true: str = "true", pred: str = "pred") -> DataFrame:
@@ -128,6 +128,60 @@ def rank_thresholds(metrics: DataFrame, threshold: str = "threshold") -> DataFra
     return out.withColumns({name: F.row_number().over(W.orderBy(*order, threshold)) for name, order in rules.items()})
 
 
+def sweep_metrics(frames: DataFrame, y: str, thresholds: Sequence[float], visible: str, signer: str, stable: int = 1, tol: int = 2, active: str | None = None, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """AG28: the row of metrics for each threshold that rank_thresholds() ranks, from frames with pb, pi and po in one sort of each clip and threshold.
+
+    A tag is begin where pb reaches the threshold, else outside if po is at least pi, else inside. Counted by clip and
+    threshold: begins, frames inside segments and violations, transitions, the nearest distances of begins, greedy matches
+    within tol, clips with a hit or a covered start, what is predicted before the first stable visible hand (`stable` frames);
+    then summed. active: a probability that stands for activity there, from 0.5.
+    """
+    prefix = seq.startup_prefix(frames, visible, stable, key, order)
+    spread = prefix.withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in thresholds]))).withColumn(order, F.col(order).cast("long"))
+    clip = [key, "thr"]
+    w = W.partitionBy(*clip).orderBy(order)
+    so_far, after = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    rows = spread.withColumn("t", F.when(F.col("pb") >= F.col("thr"), 1).when(F.col("po") >= F.col("pi"), 0).otherwise(2))
+    begun = lambda c: F.last(F.when(F.col(c) != 2, F.col(c)), ignorenulls=True).over(so_far)
+    at = F.when(F.col("t") == 1, F.col(order))
+    back, ahead = F.col(order) - F.last(at, ignorenulls=True).over(so_far), F.first(at, ignorenulls=True).over(after) - F.col(order)
+    rows = rows.withColumns({
+        "open_y": F.coalesce(begun(y), F.lit(0)) == 1, "open_t": F.coalesce(begun("t"), F.lit(0)) == 1, "moved_y": F.lag(y).over(w) != F.col(y), "moved_t": F.lag("t").over(w) != F.col("t"),
+        "error": F.when(F.col(y) == 1, F.least(back, ahead)), "near": joins.begins_near(F.col(y) == 1, order, w, tol),
+    })
+    inside = lambda c, o: (F.col(c) == 1) | ((F.col(c) == 2) & F.col(o))
+    bad = lambda c, o: F.count_if((F.col(c) == 2) & ~F.col(o))
+    busy = F.col(active) >= 0.5 if active else F.col("t") != 0
+    early = F.col("startup") & (F.col("t") == 1)
+    begins = F.collect_list(F.when(F.col("t") == 1, F.struct(F.col(order).alias("at"), "near")))
+    clips = rows.groupBy(*clip, signer).agg(
+        F.count("*").alias("n"), F.count_if(F.col(y) == 1).alias("b_true"), F.count_if(F.col("t") == 1).alias("b_pred"), F.count_if(inside(y, "open_y")).alias("in_true"), F.count_if(inside("t", "open_t")).alias("in_pred"),
+        bad(y, "open_y").alias("bad_true"), bad("t", "open_t").alias("bad_pred"), F.count_if("moved_y").alias("moves_true"), F.count_if("moved_t").alias("moves_pred"),
+        joins.greedy_matches(begins, tol).alias("tp"), F.sum("error").alias("err"), F.count("error").alias("matched"), F.coalesce(F.min("error") <= tol, F.lit(False)).alias("covered"),
+        F.coalesce(F.max(inside(y, "open_y") & inside("t", "open_t")), F.lit(False)).alias("hit"), F.count_if(early).alias("early"), F.count_if("startup").alias("blind"), F.count_if(F.col("startup") & busy).alias("blind_active"),
+    )
+    signed = F.col("b_true") > 0
+    share = lambda c: F.count_if(signed & c) / F.greatest(F.count_if(signed), F.lit(1))
+    rate = lambda c: F.avg(F.col(c) / F.greatest(F.col("n") - 1, F.lit(1)))
+    by_signer = clips.where(signed).groupBy("thr", F.coalesce(F.col(signer).cast("string"), F.col(key).cast("string")).alias("who")).agg(F.avg(F.col("hit").cast("double")).alias("h"))
+    macro = by_signer.groupBy("thr").agg(F.avg("h").alias("signer_macro"))
+    total = clips.groupBy("thr").agg(
+        *[F.sum(c).alias(c) for c in ("n", "b_true", "b_pred", "in_true", "in_pred", "bad_true", "bad_pred", "tp", "err", "matched", "early", "blind", "blind_active")],
+        rate("moves_true").alias("rate_true"), rate("moves_pred").alias("rate_pred"), share(F.col("hit")).alias("hit_rate"), share(F.col("covered")).alias("start_cover"), share(F.col("b_pred") == 0).alias("silent_rate"),
+        F.avg((F.col("early") > 0).cast("double")).alias("startup_segment"),
+    )
+    e = 1e-9
+    prec, rec = F.col("tp") / (F.col("b_pred") + e), F.col("tp") / (F.col("b_true") + e)
+    mean = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    true_length, length = mean("in_true", "b_true"), mean("in_pred", "b_pred")
+    ratio = F.when(true_length > 0, length / F.nullif(true_length, F.lit(0.0))).when(length <= 0, 1.0).otherwise(float("inf"))
+    return total.join(macro, "thr", "left").select(
+        F.col("thr").alias("threshold"), (2 * prec * rec / (prec + rec + e)).alias("b_f1"), (F.col("b_pred") / (F.col("b_true") + e)).alias("pred_b_ratio"), ratio.alias("seg_ratio"), true_length.alias("true_length"),
+        F.coalesce(mean("err", "matched"), F.lit(0.0)).alias("b_err"), F.abs(F.col("rate_pred") - F.col("rate_true")).alias("transition_err"), F.abs((F.col("bad_pred") - F.col("bad_true")) / F.col("n")).alias("violation_err"),
+        mean("early", "b_pred").alias("startup_false_start"), mean("blind_active", "blind").alias("startup_active"), "hit_rate", "start_cover", F.coalesce("signer_macro", F.lit(0.0)).alias("signer_macro"), "silent_rate", "startup_segment",
+    )
+
+
 def threshold_sweep(frames: DataFrame, y: str, thresholds: Sequence[float], key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
     """AG28: a row per threshold: tags are begin where pb reaches it, else the likelier of outside and inside; F1 of begin, the
     ratio of begins, transition and violation rates, and rank 1 for the best row (F1, ratio nearest 1, fewer transitions, fewer

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -80,25 +79,36 @@ def nearest_boundary_error(frames: DataFrame, true: str, pred: str, key: str = "
     return frames.withColumn("error", F.least(back, ahead)).where(F.col(true) == 1).select(key, order, "error")
 
 
-def match_boundaries(frames: DataFrame, true: str, pred: str, tol: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
-    """JN11: per clip tp, fp, fn of predicted begins that in order each take the nearest unused true one within tol (ties: the earlier).
+def begins_near(true: Column, order: str, w: W, tol: int) -> Column:
+    """The places of true begins within tol of a row, at most 2 tol + 1; w: the window of the clip in order."""
+    return F.collect_list(F.when(true, F.col(order))).over(w.rangeBetween(-tol, tol))
+
 
-    Each choice depends on those before it, so a clip's begins, and only these, go to Python together.
+def greedy_matches(begins: Column, tol: int) -> Column:
+    """How many of (at, near) structs, in order of at, find a place in near that none before them has taken: the nearest, the earlier of two.
+
+    A fold that remembers only the taken places that a later one can still reach.
     """
+    kind = "struct<n:bigint,taken:array<bigint>>"
+
+    def step(s: Column, e: Column) -> Column:
+        free = F.filter(e["near"], lambda t: ~F.array_contains(s["taken"], t))
+        pick = F.array_min(F.transform(free, lambda t: F.struct(F.abs(t - e["at"]).alias("far"), t.alias("t"))))["t"]
+        taken = F.filter(F.concat(s["taken"], F.array_compact(F.array(pick))), lambda t: t >= e["at"] - tol)
+        return F.struct((s["n"] + F.when(pick.isNotNull(), 1).otherwise(0)).alias("n"), taken.alias("taken")).cast(kind)
 
-    def run(clip: pd.DataFrame) -> pd.DataFrame:
-        clip = clip.sort_values(order)
-        free, tp, n = clip.loc[clip[true] == 1, order].tolist(), 0, int((clip[pred] == 1).sum())
-        total = len(free)
-        for at in clip.loc[clip[pred] == 1, order]:
-            near = min(free, key=lambda t: (abs(t - at), t), default=None)
-            if near is not None and abs(near - at) <= tol:
-                free.remove(near)
-                tp += 1
-        return pd.DataFrame({key: [clip[key].iloc[0]], "tp": [tp], "fp": [n - tp], "fn": [total - tp]})
-
-    begins = frames.where((F.col(true) == 1) | (F.col(pred) == 1)).select(key, order, true, pred)
-    return begins.groupBy(key).applyInPandas(run, f"{key} long, tp long, fp long, fn long")
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("taken"))
+    return F.aggregate(F.array_sort(begins), none, step, lambda s: s["n"])
+
+
+def match_boundaries(frames: DataFrame, true: str, pred: str, tol: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """JN11: per clip tp, fp, fn of predicted begins that in order each take the nearest unused true one within tol (ties: the earlier)."""
+    w = seq.over(key, order)
+    begins = frames.where((F.col(true) == 1) | (F.col(pred) == 1)).withColumn(order, F.col(order).cast("long"))
+    near = begins.withColumn("near", begins_near(F.col(true) == 1, order, w, tol))
+    hits = F.collect_list(F.when(F.col(pred) == 1, F.struct(F.col(order).alias("at"), "near")))
+    out = near.groupBy(key).agg(greedy_matches(hits, tol).alias("tp"), F.count_if(F.col(pred) == 1).alias("p"), F.count_if(F.col(true) == 1).alias("t"))
+    return out.select(key, "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
 
 
 def segment_overlap(true: DataFrame, pred: DataFrame, tol: int, key: str = "sample_id") -> DataFrame:

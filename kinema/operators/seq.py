@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import arrays
+from ..functions import arrays, joints
 
 
 def over(key: str, order: str) -> W:
@@ -62,6 +63,32 @@ def ema(frames: DataFrame, x: str, alpha: float, key: str = "sample_id", order:
     return frames.groupBy(key).agg(values.alias("v")).select(key, F.aggregate(rest, F.get("v", F.lit(0)), lambda s, y: s * (1 - alpha) + y * alpha).alias("ema"))
 
 
+def running_means(frames: DataFrame, columns: dict[str, str], alpha: float, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS25: exponential means so far of columns that are null together, each begun by its first value; a null leaves the mean as it is.
+
+    As sums over windows instead of step by step: weights are powers of 1 - alpha, in blocks of so many values that the
+    block before the last no longer counts in a double. columns: the names of the means by column.
+    """
+    fade = 1 - alpha
+    size = max(1, math.ceil(math.log(1e-17) / math.log(fade)))
+    w = over(key, order)
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    seen = F.col(next(iter(columns)))
+    out = frames.withColumn("__n", F.count(seen).over(so_far))
+    place = F.greatest("__n", F.lit(1)) - 1
+    out = out.withColumns({"__block": F.floor(place / size), "__place": (place % size).cast("double")})
+    weight = F.when(F.col("__n") == 1, 1.0).otherwise(alpha) * F.pow(F.lit(fade), -F.col("__place"))
+    within = W.partitionBy(*([key] if isinstance(key, str) else key), "__block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumns({f"__{name}": F.sum(F.when(seen.isNotNull(), F.col(x) * weight)).over(within) * F.pow(F.lit(fade), F.col("__place")) for x, name in columns.items()})
+    ended = seen.isNotNull() & (F.col("__place") == size - 1)
+    last = lambda c, rows: F.last(c, ignorenulls=True).over(rows)
+    closed = {name: last(F.when(ended, F.col(f"__{name}")), w.rowsBetween(W.unboundedPreceding, -1)) for name in columns.values()}
+    out = out.withColumns({f"__closed_{name}": c for name, c in closed.items()})
+    before = lambda name: F.when(F.col("__block") > 0, F.col(f"__closed_{name}") * F.pow(F.lit(fade), F.col("__place") + 1)).otherwise(0.0)
+    out = out.withColumns({name: last(F.when(seen.isNotNull(), F.col(f"__{name}") + before(name)), so_far) for name in columns.values()})
+    return out.drop("__n", "__block", "__place", *[f"__{p}{name}" for p in ("", "closed_") for name in columns.values()])
+
+
 def runs(frames: DataFrame, flag: Column, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
     """WS8, UD5: maximal runs of frames on which the flag holds: start, end (inclusive), length."""
     w = over(key, order)
@@ -196,19 +223,20 @@ def anchors(frames: DataFrame, anchor: Column, x: str, key: str = "sample_id", o
 
 
 def fill_gaps(frames: DataFrame, x: str, anchor: Column, max_gap: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
-    """WS20: values between two anchors at most max_gap frames apart are interpolated; source says observed, interp or missing."""
+    """WS20: values between two anchors with at most max_gap frames between them are interpolated; source says observed, interp or missing."""
     near = anchors(frames, anchor, x, key, order)
     span = F.col("next.at") - F.col("prev.at")
-    inside = ~anchor & span.isNotNull() & (span <= max_gap)
+    inside = ~anchor & span.isNotNull() & (span - 1 <= max_gap)
     value = F.col("prev.x") + (F.col("next.x") - F.col("prev.x")) * (F.col(order) - F.col("prev.at")) / span
     out = near.withColumn("filled", F.when(anchor, F.col(x)).when(inside, value))
     return out.withColumn("source", F.when(anchor, "observed").when(inside, "interp").otherwise("missing")).drop("prev", "next")
 
 
-def fill_hand_gaps(frames: DataFrame, points: str, anchor: Column, max_gap: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
-    """WS20 on landmarks: between two anchors at most max_gap apart wrist, scale and scaled offsets of the points (x, y, z) are interpolated.
+def fill_hand_gaps(frames: DataFrame, points: str, anchor: Column, max_gap: int, key: str | list[str] = "sample_id", order: str = "frame_idx", replace: Column | None = None) -> DataFrame:
+    """WS20 on landmarks: between two anchors with at most max_gap frames between them wrist, scale and scaled offsets of the points (x, y, z) are interpolated.
 
-    x and y are clamped to [0, 1]; adds filled and source (observed, interp or missing).
+    x and y are clamped to [0, 1]. replace: which frames between anchors give their own points up (all by default); other
+    frames keep theirs. Adds filled and source (observed for anchors, interp, own, or missing).
     """
 
     def form(p: Column) -> Column:
@@ -217,7 +245,7 @@ def fill_hand_gaps(frames: DataFrame, points: str, anchor: Column, max_gap: int,
 
     near = anchors(frames.withColumn("__form", F.when(anchor, form(F.col(points)))), anchor, "__form", key, order)
     span = F.col("next.at") - F.col("prev.at")
-    inside = ~anchor & span.isNotNull() & (span <= max_gap)
+    inside = ~anchor & span.isNotNull() & (span - 1 <= max_gap) & (F.lit(True) if replace is None else replace)
     t = (F.col(order) - F.col("prev.at")) / span
     mix = lambda a, b: a * (1 - t) + b * t
     clamp = lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))
@@ -229,8 +257,10 @@ def fill_hand_gaps(frames: DataFrame, points: str, anchor: Column, max_gap: int,
 
     n = F.least(F.size(a["offsets"]), F.size(b["offsets"]))
     made = F.zip_with(F.slice(a["offsets"], F.lit(1), n), F.slice(b["offsets"], F.lit(1), n), point)
-    out = near.withColumn("filled", F.when(anchor, F.col(points)).when(inside, made))
-    return out.withColumn("source", F.when(anchor, "observed").when(inside, "interp").otherwise("missing")).drop("prev", "next", "__form")
+    inside = inside & (n > 0)
+    out = near.withColumn("filled", F.when(inside, made).otherwise(F.col(points)))
+    source = F.when(anchor, "observed").when(inside, "interp").when(F.col(points).isNotNull(), "own").otherwise("missing")
+    return out.withColumn("source", source).drop("prev", "next", "__form")
 
 
 def gap_fill_counts(filled: DataFrame, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
@@ -239,8 +269,8 @@ def gap_fill_counts(filled: DataFrame, key: str = "sample_id", order: str = "fra
     return filled.withColumn("__start", starts).groupBy(key).agg(F.count_if(F.col("source") == "interp").alias("frames_filled"), F.count_if("__start").alias("gaps_filled"))
 
 
-def continuous_stats(frames: DataFrame, present: str, x: str, low: float, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
-    """WS26: per clip longest hand, no-hand and low-motion runs, startup gap, mean change of position."""
+def clip_runs(frames: DataFrame, present: str, x: str, low: float, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS26: per clip the longest hand, no-hand and low-motion runs, startup gap, mean change of position."""
     w = over(key, order)
     moved = frames.withColumn("step", F.abs(F.col(x) - F.lag(x).over(w)))
     base = moved.groupBy(key).agg(F.avg("step").alias("mean_step"), F.coalesce(F.min(F.when(F.col(present), F.col(order))), F.count("*")).cast("int").alias("startup_gap"))
@@ -250,6 +280,37 @@ def continuous_stats(frames: DataFrame, present: str, x: str, low: float, key: s
     return base.join(on, key).join(off, key).join(still, key)
 
 
+def motion_runs(frames: DataFrame, points: str = "points", mask: str = "mask", quiet: float = 1e-3, hand: int = joints.HAND, least: int = joints.LEAST_JOINTS, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS26: all runs of hand, no_hand and still frames of each clip, its length as kind sequence, and a leading no-hand run again as startup: (key, kind, start, length).
+
+    A frame is still if the mean of its visible wrists moved by `quiet` at most; so is the first of a clip of several.
+    All flags' runs come from one sort of the clip.
+    """
+    w = over(key, order)
+    seen = frames.select(key, order, joints.wrist_center(points, mask, hand).alias("__wrist"), (joints.visible_sum(mask) > 0.5).alias("hand"))
+    d = [F.col(f"__wrist.{c}") - F.lag(f"__wrist.{c}").over(w) for c in "xyz"]
+    moved = F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    first = F.row_number().over(w) == 1
+    many = F.lead(order).over(w).isNotNull()
+    flags = seen.select(key, order, "hand", (~F.col("hand")).alias("no_hand"), F.when(first, many).otherwise(F.coalesce(moved <= quiet, F.lit(False))).alias("still"), first.alias("__first"))
+    kinds = ("hand", "no_hand", "still")
+    begins = flags.withColumns({f"__{k}": F.sum((F.col(k) & ~F.coalesce(F.lag(k).over(w), F.lit(False))).cast("long")).over(w.rowsBetween(W.unboundedPreceding, 0)) for k in kinds})
+    each = F.array(*[F.when(F.col(k), F.struct(F.lit(k).alias("kind"), F.col(f"__{k}").alias("run"))) for k in kinds], F.struct(F.lit("sequence").alias("kind"), F.lit(0).cast("long").alias("run")))
+    listed = begins.select(key, order, "__first", F.explode(F.array_compact(each)).alias("__r")).select(key, order, "__first", "__r.*")
+    found = listed.groupBy(key, "kind", "run").agg(F.min(order).alias("start"), F.count("*").alias("length"), F.max("__first").alias("leads"))
+    startup = found.where("kind = 'no_hand' and leads").withColumn("kind", F.lit("startup"))
+    return found.unionByName(startup).select(key, "kind", "start", "length")
+
+
+def motion_deltas(frames: DataFrame, points: str = "points", mask: str = "mask", hand: int = joints.HAND, least: int = joints.LEAST_JOINTS, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS26: one row: mean change of centre and of scale between neighbouring frames that both tell them, 0 if there are none."""
+    w = over(key, order)
+    seen = joints.with_candidates(frames.select(key, order, points, mask), points, mask, hand, least)
+    d = [F.col(f"seen_{c}") - F.lag(f"seen_{c}").over(w) for c in "xyz"]
+    steps = seen.select(F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("center"), F.abs(F.col("seen_scale") - F.lag("seen_scale").over(w)).alias("scale"))
+    return steps.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{c}_delta_mean") for c in ("center", "scale")])
+
+
 def chunk_intervals(segments: DataFrame, size: int, stride: int, tail: bool = True, least: int = 1, key: str = "seg_uid", start: str = "start", end: str = "end") -> DataFrame:
     """WS27: windows of `size` frames inside [start, end) at every stride, one more that ends with the interval if a rest is left,
     the whole interval if it is shorter but has `least` frames; chunks of equal uid occur once."""
@@ -274,3 +335,39 @@ def extract_tails(index: DataFrame, least: int, key: str = "vid") -> DataFrame:
 def occlusion_hold(frames: DataFrame, flag: Column, hold: int, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
     """WS32: occluded where the flag held within the last `hold` frames, this one included."""
     return frames.withColumn("held", F.max(flag.cast("int")).over(over(key, order).rowsBetween(-(hold - 1), 0)) == 1)
+
+
+#: Overlap and depth gap that an occluded hand has at least, in world and in image coordinates; the share of them at which it stays so.
+WORLD_OCCLUSION, IMAGE_OCCLUSION, EXIT_SHARE = (0.02, 0.015), (0.05, 0.012), 0.6
+#: Frames that a hand stays occluded, and that a missing one does while the sides can't be told.
+HOLD, CROSS_HOLD = 4, 6
+
+
+def occlusion_states(frames: DataFrame, left_box: Sequence[Column], right_box: Sequence[Column], left_depth: Column, right_depth: Column, ambiguous: Column | None = None, left: Column | None = None, right: Column | None = None, world: bool = False, hold: int = HOLD, cross: int = CROSS_HOLD, key: str = "sample_id", order: str = "frame_idx") -> DataFrame:
+    """WS32: left_occluded and right_occluded of each frame, with left_ttl and right_ttl, the frames that they still last.
+
+    The hand behind enters where the boxes overlap and the depths differ by more than the thresholds, and stays while both
+    are over EXIT_SHARE of them; then it is held for `hold` frames, this one included, counting down. left, right: whether
+    the hands are there; one that was and is missing while the sides are ambiguous is held for min(hold, cross) frames, 2 at least.
+    """
+    least_overlap, least_gap = WORLD_OCCLUSION if world else IMAGE_OCCLUSION
+    w = over(key, order)
+    overlap = F.coalesce(arrays.iou(left_box, right_box), F.lit(0.0))
+    gap = left_depth - right_depth
+    short = max(2, min(hold, cross))
+    n = F.row_number().over(w)
+    out = frames.withColumn("__n", n)
+    for side, behind, there in (("left", gap, left), ("right", -gap, right)):
+        def over_share(share: float, behind: Column = behind) -> Column:
+            return F.coalesce((overlap > least_overlap * share) & (behind > least_gap * share), F.lit(False))
+
+        enters, stays = over_share(1.0), over_share(EXIT_SHARE)
+        until = F.when(enters | stays, F.col("__n") + hold)
+        if ambiguous is not None and there is not None:
+            before = F.coalesce(F.max(there).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+            until = F.greatest(until, F.when(ambiguous & ~there & before, F.col("__n") + short))
+        out = out.withColumn(f"__{side}", until)
+    for side in ("left", "right"):
+        ttl = F.greatest(F.coalesce(F.max(f"__{side}").over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)) - F.col("__n"), F.lit(0))
+        out = out.withColumn(f"{side}_ttl", ttl.cast("int")).withColumn(f"{side}_occluded", F.col(f"{side}_ttl") > 0)
+    return out.drop("__n", "__left", "__right")

@@ -10,6 +10,10 @@ from .seq_queries import ACTIVE, active
 from .views import table, v_ann, v_frames, v_videos
 
 
+#: Added before rounding to means of halves and quarters, whose sixth digit would else depend on the order of sums.
+NUDGE = 3e-8
+
+
 def rounded(df, *cols, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
 

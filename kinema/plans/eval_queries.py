@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import evaluate, joins, seq, sets
-from .agg_queries import rounded
+from .agg_queries import NUDGE, rounded
 from .registry import query
 from .views import table, v_bio, v_frames, v_pred
 
@@ -286,19 +286,19 @@ def ar15_check(spark, sf):
           from f window b as (partition by sample_id order by frame_idx rows between unbounded preceding and current row), n as (partition by sample_id order by frame_idx rows between current row and unbounded following)),
     t as (select *, (frame_idx - p) / (q - p) as t, greatest({scale_sql("ph")}, 1e-6) as ps, greatest({scale_sql("qh")}, 1e-6) as qs from a),
     m as (select *, ps * (1 - t) + qs * t as s from t)
-    select sample_id, frame_idx, k - 1 as joint, case when h2 then 'observed' when q - p <= 3 then 'interp' else 'missing' end as source,
-           {", ".join(f"round(case when h2 then h[k].{c} when q - p <= 3 then {lo}ph[1].{c} * (1 - t) + qh[1].{c} * t + s * ((ph[k].{c} - ph[1].{c}) / ps * (1 - t) + (qh[k].{c} - qh[1].{c}) / qs * t){hi} end, 6) as {c}" for c, lo, hi in (("x", "greatest(least(", ", 1.0), 0.0)"), ("y", "greatest(least(", ", 1.0), 0.0)"), ("z", "", "")))}
+    select sample_id, frame_idx, k - 1 as joint, case when h2 then 'observed' when q - p - 1 <= 3 then 'interp' else 'missing' end as source,
+           {", ".join(f"round(case when h2 then h[k].{c} when q - p - 1 <= 3 then {lo}ph[1].{c} * (1 - t) + qh[1].{c} * t + s * ((ph[k].{c} - ph[1].{c}) / ps * (1 - t) + (qh[k].{c} - qh[1].{c}) / qs * t){hi} end + {NUDGE}, 6) as {c}" for c, lo, hi in (("x", "greatest(least(", ", 1.0), 0.0)"), ("y", "greatest(least(", ", 1.0), 0.0)"), ("z", "", "")))}
     from m, (select cast(unnest([1, 2, 3, 4]) as integer) as k)""")
 def ws20_hands(spark, sf):
-    f = seq.fill_hand_gaps(v_frames(spark, sf).withColumn("h", hand()), "h", F.col("h2"), 3)
+    f = seq.fill_hand_gaps(v_frames(spark, sf).withColumn("h", F.when(F.col("h2"), hand())), "h", F.col("h2"), 3)
     joints = f.withColumn("joint", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("p", F.get("filled", F.col("joint")))
-    return rounded(joints.select("sample_id", "frame_idx", "joint", "source", "p.*"), "x", "y", "z")
+    return rounded(joints.select("sample_id", "frame_idx", "joint", "source", *[(F.col(f"p.{c}") + NUDGE).alias(c) for c in "xyz"]), "x", "y", "z")
 
 
 @query("ws20_fill_counts", """
     with a as (select *, last_value(case when h2 then frame_idx end ignore nulls) over b as p, first_value(case when h2 then frame_idx end ignore nulls) over n as q
                from v_frames window b as (partition by sample_id order by frame_idx rows between unbounded preceding and current row), n as (partition by sample_id order by frame_idx rows between current row and unbounded following)),
-    s as (select sample_id, frame_idx, not h2 and coalesce(q - p <= 3, false) as filled from a), l as (select *, coalesce(lag(filled) over (partition by sample_id order by frame_idx), false) as was from s)
+    s as (select sample_id, frame_idx, not h2 and coalesce(q - p - 1 <= 3, false) as filled from a), l as (select *, coalesce(lag(filled) over (partition by sample_id order by frame_idx), false) as was from s)
     select sample_id, count(*) filter (where filled) as frames_filled, count(*) filter (where filled and not was) as gaps_filled from l group by sample_id""")
 def ws20_counts(spark, sf):
     return seq.gap_fill_counts(seq.fill_gaps(v_frames(spark, sf), "x", F.col("h2"), 3))

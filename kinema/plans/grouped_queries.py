@@ -61,11 +61,6 @@ def ws21(spark, sf):
     return rounded(grouped.ema_bidirectional(v_frames(spark, sf).withColumn("x", F.when(F.col("h1"), F.col("x"))), "x", 0.4), "smooth")
 
 
-@query("ws22_rts_smooth")
-def ws22(spark, sf):
-    return grouped.rts_smooth(v_frames(spark, sf).withColumn("noise", F.when(F.col("h2"), 1.0).otherwise(9.0)), "x", "ts_ms", "noise")
-
-
 DT = "(f.t - s.t) / 1000"
 SHARE = "(1 / (1 + 1 / (2 * pi() * ({c})) / (" + DT + ")))"
 SPEED = f"(s.dx + {SHARE.format(c='1.0')} * ((f.x - s.x) / ({DT}) - s.dx))"
@@ -82,26 +77,6 @@ def ws23(spark, sf):
     return rounded(grouped.one_euro(v_frames(spark, sf), "x", "ts_ms"), "smooth")
 
 
-@query("ws24_postprocess")
-def ws24(spark, sf):
-    return grouped.postprocess(v_frames(spark, sf), "x", F.col("h2"), 3, 0.5)
-
-
-NORM_STATE = {
-    "center": ("null", "case when not f.present then s.center when s.center is null then f.x else s.center + 0.2 * (f.x - s.center) end"),
-    "scale": ("null", "case when not f.present then s.scale when s.scale is null then f.size else greatest(0.001, s.scale + 0.1 * (f.size - s.scale)) end"),
-}
-NORM = steps_sql(
-    "select sample_id, frame_idx, x, greatest(score * 10, 0.001) as size, h1 as present from v_frames",
-    NORM_STATE, "select s.sample_id, s.frame_idx, round(case when f.present then (f.x - s.center) / s.scale end, 6) as norm from s join f using (sample_id, frame_idx)",
-)
-
-
-@query("ws25_causal_normalize", NORM)
-def ws25(spark, sf):
-    return rounded(grouped.causal_normalize(v_frames(spark, sf).withColumn("size", F.col("score") * 10), "x", "size", "h1"), "norm")
-
-
 @query("ws28_sentence_words", """
     with recursive f as (select sample_id, frame_idx, event_type as label, score >= 0.2 as sure, frame_idx * 700 as a, frame_idx * 700 + 500 as b from v_frames),
     s as (
@@ -140,7 +115,7 @@ def ws29_gates(spark, sf):
 def ws31(spark, sf):
     f = v_frames(spark, sf)
     parts = f.where("frame_idx % 10 = 0").select("sample_id", F.expr("frame_idx div 10").alias("part"), F.lit(10).alias("length"))
-    return rounded(grouped.seam_deltas(parts, f, "x"), "at_seams", "inside")
+    return rounded(grouped.seam_steps(parts, f, "x"), "at_seams", "inside")
 
 
 @query("st7_session_windows", """

@@ -89,11 +89,6 @@ def jn10(spark, sf):
     return joins.nearest_boundary_error(v_bio(spark, sf), "y", "p")
 
 
-@query("jn11_match_boundaries")
-def jn11(spark, sf):
-    return joins.match_boundaries(v_bio(spark, sf), "y", "p", 2)
-
-
 @query("jn12_segment_overlap", BOTH + " select t.sample_id, coalesce(bool_or(greatest(t.s, q.s) <= least(t.e, q.e)), false) as hit, coalesce(bool_or(abs(t.s - q.s) <= 1), false) as start_covered from t left join q using (sample_id) group by t.sample_id")
 def jn12(spark, sf):
     return joins.segment_overlap(segs(spark, sf), preds_of(spark, sf), 1)

@@ -192,8 +192,8 @@ def ws19(spark, sf):
     with a as (select *, last_value(case when h2 then frame_idx end ignore nulls) over b as p, last_value(case when h2 then x end ignore nulls) over b as px,
                       first_value(case when h2 then frame_idx end ignore nulls) over n as q, first_value(case when h2 then x end ignore nulls) over n as qx
                from v_frames window b as (partition by sample_id order by frame_idx rows between unbounded preceding and current row), n as (partition by sample_id order by frame_idx rows between current row and unbounded following))
-    select sample_id, frame_idx, round(case when h2 then x when q - p <= 3 then px + (qx - px) * (frame_idx - p) / (q - p) end, 6) as filled,
-           case when h2 then 'observed' when q - p <= 3 then 'interp' else 'missing' end as source from a""")
+    select sample_id, frame_idx, round(case when h2 then x when q - p - 1 <= 3 then px + (qx - px) * (frame_idx - p) / (q - p) end, 6) as filled,
+           case when h2 then 'observed' when q - p - 1 <= 3 then 'interp' else 'missing' end as source from a""")
 def ws20(spark, sf):
     f = seq.fill_gaps(v_frames(spark, sf), "x", F.col("h2"), 3)
     return f.select("sample_id", "frame_idx", F.round("filled", 6).alias("filled"), "source")
@@ -208,7 +208,7 @@ def ws20(spark, sf):
     select g.sample_id, round(mean_step, 6) as mean_step, cast(gap as integer) as startup_gap, coalesce((select max(n) from h where h.sample_id = g.sample_id and on_), 0) as hand_run,
            coalesce((select max(n) from h where h.sample_id = g.sample_id and not on_), 0) as no_hand_run, coalesce((select max(n) from s where s.sample_id = g.sample_id), 0) as still_run from g""")
 def ws26(spark, sf):
-    return seq.continuous_stats(v_frames(spark, sf), "h2", "x", 10.0).withColumn("mean_step", F.round("mean_step", 6))
+    return seq.clip_runs(v_frames(spark, sf), "h2", "x", 10.0).withColumn("mean_step", F.round("mean_step", 6))
 
 
 @query("ws27_chunk_intervals", """

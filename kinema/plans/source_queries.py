@@ -10,7 +10,7 @@ from ..operators import rows
 from ..sources import files
 from ..streaming import stateful
 from .agg_queries import rounded
-from .grouped_queries import EURO_STATE, NORM_STATE, STREAM, as_long, decoder_sql, steps_sql
+from .grouped_queries import STREAM, as_long, decoder_sql, steps_sql
 from .registry import query
 from .views import shared_path, table, v_ann, v_frames
 
@@ -149,18 +149,6 @@ def st2(spark, sf):
     return as_long(taken(stateful.stream_segments(s, end_of_stream="drop", start=0.5)))
 
 
-@query("st3_stream_normalize", steps_sql(f"select *, 1.0 + event_id % 5 as size, event_type <> 'error' as present from ({ORDERED})", NORM_STATE, "select s.sample_id as session_id, f.event_id as frame_idx, round(case when f.present then (f.x - s.center) / s.scale end, 6) as norm from s join f using (sample_id, frame_idx)"))
-def st3(spark, sf):
-    s = events_stream(spark, sf).select("session_id", "frame_idx", "ts", F.col("value").alias("x"), (1.0 + F.col("frame_idx") % 5).alias("size"), (F.col("event_type") != "error").alias("present"))
-    return rounded(taken(stateful.stream_normalize(s)), "norm")
-
-
-@query("st4_stream_one_euro", steps_sql(f"select *, cast(ts_ms as double) as t from ({ORDERED})", EURO_STATE, "select s.sample_id as session_id, f.event_id as frame_idx, round(s.x, 6) as smooth from s join f using (sample_id, frame_idx)"))
-def st4(spark, sf):
-    ms = F.expr("unix_millis(ts)")
-    return rounded(taken(stateful.stream_one_euro(events_stream(spark, sf).select("session_id", "frame_idx", "ts", ms.alias("ts_ms"), F.col("value").alias("x")))), "smooth")
-
-
 @query("st5_stream_words", f"""
     with recursive f as (select sample_id, frame_idx, event_type as label, event_id % 10 > 1 as sure, event_id * 100 as a, event_id * 100 + 50 as b from ({ORDERED})),
     s as (
@@ -184,18 +172,10 @@ def st6(spark, sf):
     return taken(stateful.stream_clips(s)).withColumn("clip", F.transform("clip", lambda x: F.round(x, 6)))
 
 
-@query("st9_stream_features", f"""
-    with f as ({ORDERED}), l as (select sample_id, event_id, x, lag(x) over w as x1, lag(x, 2) over w as x2, event_type <> 'error' as p, lag(event_type <> 'error') over w as p1, lag(event_type <> 'error', 2) over w as p2 from f window w as (partition by sample_id order by event_id))
-    select sample_id as session_id, event_id as frame_idx, round(case when p and p1 then x - x1 else 0 end, 6) as velocity, round(case when p and p1 and p2 then (x - x1) - (x1 - x2) else 0 end, 6) as acceleration from l""")
-def st9(spark, sf):
-    s = events_stream(spark, sf).select("session_id", "frame_idx", "ts", F.col("value").alias("x"), (F.col("event_type") != "error").alias("present"))
-    return rounded(taken(stateful.stream_features(s)), "velocity", "acceleration")
-
-
 @query("st10_stream_upsert", "select user_id as session_id, frame_idx, round(value, 6) as value from (select user_id, event_id as frame_idx, value, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1")
 def st10(spark, sf):
     base = shared_path(spark, "upsert")
     s = events_stream(spark, sf).select("session_id", "frame_idx", F.struct("ts", "frame_idx").alias("ts"), "value")
     stateful.upsert_stream(s, f"{base}/rows", "session_id", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return rounded(stateful.compact(spark, f"{base}/rows", "session_id", f"{base}/compact").select("session_id", "frame_idx", "value"), "value")
+    return rounded(stateful.compact(spark, f"{base}/rows", "session_id").select("session_id", "frame_idx", "value"), "value")
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -93,6 +93,38 @@ def v_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Joints of a hand in the views.
+HAND_JOINTS = 3
+
+
+def joint_arrays(x: Column, event_id: Column, event_type: Column) -> tuple[Column, Column]:
+    """Points and mask of two hands made of a frame's value, number and kind."""
+    score = F.least(x / 100, F.lit(1.0))
+    places = F.sequence(F.lit(0), F.lit(2 * HAND_JOINTS - 1))
+    point = lambda j: F.struct((x / 500 + j * 0.01 * (1 + event_id % 3)).alias("x"), (score / 2 + j * 0.02).alias("y"), ((event_id % 7) * 0.01 - j * 0.005).alias("z"))
+    left, right = event_type != "error", ~event_type.isin("error", "view")
+    seen = lambda j: F.when(F.when(j < HAND_JOINTS, left & ((event_id + j) % 4 != 0)).otherwise(right & ((event_id + j) % 5 != 0)), 1.0).otherwise(0.0)
+    return F.transform(places, point), F.transform(places, seen)
+
+
+def v_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames with the joints of both hands: points and mask, the left hand first."""
+    points, mask = joint_arrays(F.col("x"), F.col("event_id"), F.col("event_type"))
+    return v_frames(spark, sf_dir).select("sample_id", "frame_idx", "event_id", "ts_ms", points.alias("points"), mask.alias("mask"))
+
+
+_JOINTS = """
+        select sample_id, frame_idx, event_id, ts_ms, j, x / 500 + j * 0.01 * (1 + event_id % 3) as px, score / 2 + j * 0.02 as py, (event_id % 7) * 0.01 - j * 0.005 as pz,
+               case when case when j < 3 then h1 and (event_id + j) % 4 <> 0 else h2 and (event_id + j) % 5 <> 0 end then 1e0 else 0e0 end as m
+        from {f}, (select unnest([0, 1, 2, 3, 4, 5]) as j)"""
+_SEEN = """
+        with w as (select sample_id, frame_idx, j // 3 as side, px, py, pz from {j} where j % 3 = 0 and m = 1),
+        d as (select p.sample_id, p.frame_idx, side, sqrt((p.px - w.px) ** 2 + (p.py - w.py) ** 2 + (p.pz - w.pz) ** 2) as far from {j} p join w on w.sample_id = p.sample_id and w.frame_idx = p.frame_idx and w.side = p.j // 3 where p.m = 1),
+        h as (select sample_id, frame_idx, side, avg(far) filter (far > 1e-6) as far from d group by sample_id, frame_idx, side having count(*) >= 2),
+        s as (select sample_id, frame_idx, greatest(avg(far), 0.001) as seen_scale from h where far is not null group by sample_id, frame_idx),
+        c as (select sample_id, frame_idx, coalesce(avg(px) filter (m = 1 and j % 3 = 0), avg(px) filter (m = 1)) as seen_x, coalesce(avg(py) filter (m = 1 and j % 3 = 0), avg(py) filter (m = 1)) as seen_y, coalesce(avg(pz) filter (m = 1 and j % 3 = 0), avg(pz) filter (m = 1)) as seen_z from {j} group by sample_id, frame_idx)
+        select c.*, seen_scale from c left join s using (sample_id, frame_idx)"""
+
 #: The same views in SQL, in an order in which each needs earlier ones alone.
 VIEW_SQL = {
     "v_frames": """
@@ -120,6 +152,14 @@ VIEW_SQL = {
     "v_pred": """
         select vec_id as id, label as "true", cast((label + case when vec_id % 3 = 0 then vec_id % 10 else 0 end) % 10 as integer) as pred, vec_id % 97 / 97 as conf, vec_id % 89 / 89 as margin, vec_id % 5 as epoch
         from embeddings""",
+    "v_ordered": """
+        select user_id as sample_id, cast(row_number() over (partition by user_id order by event_id) - 1 as integer) as frame_idx, event_id, value as x, epoch_us(ts) // 1000 as ts_ms, event_type,
+               event_type <> 'error' as h1, event_type not in ('error', 'view') as h2, least(value / 100, 1.0) as score
+        from events""",
+    "v_joints": _JOINTS.format(f="v_frames"),
+    "v_seen": _SEEN.format(j="v_joints"),
+    "v_ojoints": _JOINTS.format(f="v_ordered"),
+    "v_oseen": _SEEN.format(j="v_ojoints"),
 }
 
 

@@ -44,7 +44,11 @@ def test_fill_gaps(spark):
     f = clip(spark, x=[0.1, None, 0.3], ok=[True, False, True])
     got = seq.fill_gaps(f, "x", F.col("ok"), 2)
     assert column(got, "filled") == pytest.approx([0.1, 0.2, 0.3]) and column(got, "source") == ["observed", "interp", "observed"]
-    assert column(seq.fill_gaps(f, "x", F.col("ok"), 1), "source") == ["observed", "missing", "observed"]
+    assert column(seq.fill_gaps(f, "x", F.col("ok"), 1), "source") == ["observed", "interp", "observed"]  # one frame is missing
+    assert column(seq.fill_gaps(f, "x", F.col("ok"), 0), "source") == ["observed", "missing", "observed"]
+    for missing in range(1, 5):  # a gap of exactly max_gap missing frames is filled, one of one more is not
+        g = clip(spark, x=[0.0, *[None] * missing, 1.0], ok=[True, *[False] * missing, True])
+        assert column(seq.fill_gaps(g, "x", F.col("ok"), 3), "source")[1] == ("interp" if missing <= 3 else "missing")
 
 
 @pytest.mark.parametrize("win", range(1, 8))
@@ -194,6 +198,21 @@ def test_words():
     assert got == [True, False, False, False, True] and w.sentence == ["hi", "hi"]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_greedy_match_equals_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    y, p = rng.integers(0, 2 + seed % 2, 80), rng.integers(0, 3, 80)
+    for tol in (0, 1, 2, 5):
+        free, tp = np.flatnonzero(y == 1).tolist(), 0
+        for at in np.flatnonzero(p == 1):
+            near = [(abs(t - at), t) for t in free if abs(t - at) <= tol]
+            if near:
+                free.remove(min(near)[1])
+                tp += 1
+        r = joins.match_boundaries(clip(spark, y=y.tolist(), p=p.tolist()), "y", "p", tol).first()
+        assert (r.tp, r.fp, r.fn) == (tp, (p == 1).sum() - tp, (y == 1).sum() - tp)
+
+
 def test_greedy_match(spark):
     f = clip(spark, y=[1, 0, 0, 1, 0, 0], p=[0, 1, 1, 0, 0, 1])
     r = joins.match_boundaries(f, "y", "p", 2).first()

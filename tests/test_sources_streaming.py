@@ -1,11 +1,13 @@
 """File layouts, round trips, and streams that must give what their batch twins give."""
 
 import json
+from datetime import datetime, timedelta
 
-import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kinema.functions import joints
 from kinema.operators import grouped
 from kinema.sources import files
 from kinema.streaming import stateful
@@ -60,18 +62,36 @@ def test_round_trips(spark, tmp_path):
     assert {r.group for r in spark.read.parquet(str(tmp_path / "a/landmarks")).collect()} == {"1/raw", "1/pp"}
 
 
+def points_of(i, s):
+    """Six joints, three a hand, of frame i of session s, and their mask."""
+    return [{"x": ((i * 29 + s + 7 * j) % 50) / 10, "y": ((i * 13 + j) % 11) / 5, "z": j / 10} for j in range(6)], [float((i + j) % 4 > 0) for j in range(6)]
+
+
+ROWS = [
+    {"session_id": s, "frame_idx": i, "ts": datetime(2024, 1, 1) + timedelta(milliseconds=40 * i), "ts_ms": 40 * i, "pb": (i * 37 + s * 11) % 100 / 100, "pi": (i * 53) % 100 / 100, "visible": i % 9 != 0,
+     "x": (i * 29 + s) % 50 / 10, "xs": [(i * 29 + s) % 50 / 10, None if i % 5 == 0 else i / 7], "label": ["a", "b", "b", ""][i % 4], "conf": 0.9, "start_ms": 700 * i, "end_ms": 700 * i + 300,
+     "seg_start": i - 3.0 if i % 10 == 8 else None, "seg_end": i - 1.0 if i % 10 == 8 else None, "points": points_of(i, s)[0], "mask": points_of(i, s)[1]}
+    for s in (1, 2) for i in range(30)
+]
+SCHEMA = f"session_id long, frame_idx long, ts timestamp, ts_ms long, pb double, pi double, visible boolean, x double, xs array<double>, label string, conf double, start_ms long, end_ms long, seg_start double, seg_end double, points {joints.POINTS}, mask array<double>"
+
+
+def put(spark, root, rows, name="in"):
+    """Add a file of rows to what a stream reads."""
+    names = [x.name for x in spark.createDataFrame([], SCHEMA).schema]
+    spark.createDataFrame([tuple(r[n] for n in names) for r in rows], SCHEMA).coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+
+
+def stream_of(spark, root, name="in"):
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{root}/{name}")
+
+
 @pytest.fixture()
 def frames(spark, tmp_path):
     """A stream of two sessions in three files, and its rows."""
-    rows = [
-        {"session_id": s, "frame_idx": i, "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(milliseconds=40 * i), "ts_ms": 40 * i, "pb": (i * 37 + s * 11) % 100 / 100, "pi": (i * 53) % 100 / 100, "visible": i % 9 != 0,
-         "x": (i * 29 + s) % 50 / 10, "size": 1.0 + i % 5, "present": i % 6 != 1, "label": ["a", "b", "b", ""][i % 4], "conf": 0.9, "start_ms": 700 * i, "end_ms": 700 * i + 300, "seg_start": i - 3 if i % 10 == 8 else None, "seg_end": i - 1 if i % 10 == 8 else None}
-        for s in (1, 2) for i in range(30)
-    ]
-    df = spark.createDataFrame(pd.DataFrame(rows)).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("seg_start", "seg_end")})
     for k in range(3):
-        df.where((F.col("frame_idx") >= 10 * k) & (F.col("frame_idx") < 10 * k + 10)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), rows, str(tmp_path)
+        put(spark, tmp_path, [r for r in ROWS if 10 * k <= r["frame_idx"] < 10 * k + 10])
+    return stream_of(spark, tmp_path), ROWS, str(tmp_path)
 
 
 def run(spark, out, root, name):
@@ -84,38 +104,176 @@ def of(rows, s):
     return [r for r in rows if r["session_id"] == s]
 
 
+STREAMS = {
+    "segs": lambda s: stateful.stream_segments(s, start=0.5, go_on=0.8),
+    "norm": lambda s: stateful.stream_normalize(s, hand=3, least=2),
+    "euro": stateful.stream_one_euro,
+    "words": stateful.stream_words,
+    "clips": stateful.stream_clips,
+    "features": lambda s: stateful.stream_features(s, hand=3),
+}
+
+
 def test_streams_equal_batch(spark, frames):
     stream, rows, root = frames
-    got = run(spark, stateful.stream_normalize(stream), root, "norm")
-    for s in (1, 2):
-        m = grouped.CausalNormalizer()
-        want = [m.step(r["x"], r["size"], r["present"]) for r in of(rows, s)]
-        assert [r.norm for r in sorted(of(got, s), key=lambda r: r.frame_idx)] == pytest.approx(want)
-    got = run(spark, stateful.stream_one_euro(stream), root, "euro")
-    m = grouped.OneEuro()
-    assert [r.smooth for r in sorted(of(got, 1), key=lambda r: r.frame_idx)] == pytest.approx([m.step(r["ts_ms"], r["x"]) for r in of(rows, 1)])
-    got = run(spark, stateful.stream_segments(stream, start=0.5), root, "segs")
+    got = run(spark, STREAMS["norm"](stream), root, "norm")
+    df = spark.createDataFrame([(r["session_id"], r["frame_idx"], r["points"], r["mask"]) for r in rows], f"sample_id long, frame_idx long, points {joints.POINTS}, mask array<double>")
+    want = {(r.sample_id, r.frame_idx): r for r in grouped.causal_normalize(df, hand=3, least=2).collect()}
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[r.session_id, r.frame_idx]
+        assert [r.center_x, r.center_y, r.center_z, r.scale] == pytest.approx([w.center_x, w.center_y, w.center_z, w.scale])
+        assert [c for p in r.points for c in p] == pytest.approx([c for p in w.points for c in p])
+    got = run(spark, STREAMS["euro"](stream), root, "euro")
+    for j in (0, 1):
+        m, ordered = grouped.OneEuro(), sorted(of(got, 1), key=lambda r: r.frame_idx)
+        assert [r.smooth[j] for r in ordered] == [None if r["xs"][j] is None else pytest.approx(m.step(r["ts_ms"], r["xs"][j])) for r in of(rows, 1)]
+    got = run(spark, STREAMS["segs"](stream), root, "segs")
     for s in (1, 2):
-        m = grouped.Decoder(start=0.5)
+        m = grouped.Decoder(start=0.5, go_on=0.8)
         want = [x for x in (m.step(r["frame_idx"], r["pb"], r["pi"], r["visible"]) for r in of(rows, s)) if x]
         assert sorted((r.start, r.end_excl) for r in of(got, s) if r.end_reason != "eos_closed") == [(x["start"], x["end_excl"]) for x in want]
         last = m.end()
         left = [r for r in [*got, *stateful.open_segments(spark, f"{root}/segs-state").collect()] if r.session_id == s and r.end_reason == "eos_closed"]
         assert [(r.start, r.end_excl, r.mean_inside) for r in left] == ([(last["start"], last["end_excl"], pytest.approx(last["mean_inside"]))] if last else [])
-    got = run(spark, stateful.stream_words(stream), root, "words")
+    got = run(spark, STREAMS["words"](stream), root, "words")
     m = grouped.Words()
     assert sorted(r.start_ms for r in of(got, 1)) == [r["start_ms"] for r in of(rows, 1) if m.step(r["label"], r["conf"], r["start_ms"], r["end_ms"])]
-    got = run(spark, stateful.stream_clips(stream), root, "clips")
+    got = run(spark, STREAMS["clips"](stream), root, "clips")
     xs = [r["x"] for r in of(rows, 1)]
     clips = {r.start: r.clip for r in of(got, 1)}
     assert clips[5] == xs[3:9] and set(clips) == {5, 15, 25}
-    got = run(spark, stateful.stream_features(stream), root, "features")
-    first = {r.frame_idx: r for r in of(got, 1)}
-    assert first[4].velocity == pytest.approx(xs[4] - xs[3]) and first[7].velocity == 0.0
+
+
+def test_stream_features(spark, frames):
+    """Against numpy, joint by joint."""
+    stream, rows, root = frames
+    got = {(r.session_id, r.frame_idx): r for r in run(spark, STREAMS["features"](stream), root, "features")}
+    length = lambda v: np.sqrt(np.maximum((v * v).sum(-1), 1e-6))
+    for s in (1, 2):
+        m = np.array([r["mask"] for r in of(rows, s)])
+        c = np.array([[[p[a] for a in "xyz"] for p in r["points"]] for r in of(rows, s)]) * m[..., None]
+        v, a = np.zeros_like(c), np.zeros_like(c)
+        v[1:] = (c[1:] - c[:-1]) * (m[1:] * m[:-1])[..., None]
+        a[2:] = (v[2:] - v[1:-1]) * (m[2:] * m[1:-1] * m[:-2])[..., None]
+        mean = lambda x, w: (length(x) * w).sum(-1) / np.maximum(w.sum(-1), 1)
+        left, right = slice(0, 3), slice(3, 6)
+        want = {
+            "visible_share": m.mean(-1), "mean_speed": mean(v, m), "mean_acceleration": mean(a, m), "wrist_distance": length(c[:, 0] - c[:, 3]) * m[:, 0] * m[:, 3],
+            "left_spread": mean(c[:, left] - c[:, :1], m[:, left]), "right_spread": mean(c[:, right] - c[:, 3:4], m[:, right]), "left_speed": mean(v[:, left], m[:, left]), "right_speed": mean(v[:, right], m[:, right]),
+        }
+        for i in range(30):
+            r = got[s, i]
+            for name, value in want.items():
+                assert getattr(r, name) == pytest.approx(value[i]), (s, i, name)
+            assert r.hand_speed == pytest.approx((r.left_speed + r.right_speed) / 2) and [x for p in r.velocity for x in p] == pytest.approx(v[i].ravel())
+
+
+@pytest.mark.parametrize("name", ["segs", "euro", "clips", "features"])  # value, map and list states
+def test_restart_in_mid_stream_loses_nothing(spark, tmp_path, name):
+    """Two runs over one checkpoint, the second with the later files, give what one run over all gives."""
+    for k in range(3):
+        put(spark, tmp_path, [r for r in ROWS if 10 * k <= r["frame_idx"] < 10 * k + 10], "whole")
+    whole = run(spark, STREAMS[name](stream_of(spark, tmp_path, "whole")), tmp_path, "one")
+    put(spark, tmp_path, [r for r in ROWS if r["frame_idx"] < 10], "parts")
+    run(spark, STREAMS[name](stream_of(spark, tmp_path, "parts")), tmp_path, "two")
+    for k in (1, 2):
+        put(spark, tmp_path, [r for r in ROWS if 10 * k <= r["frame_idx"] < 10 * k + 10], "parts")
+    parts = run(spark, STREAMS[name](stream_of(spark, tmp_path, "parts")), tmp_path, "two")
+    assert sorted(map(str, parts)) == sorted(map(str, whole)) and whole
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    put(spark, tmp_path, [r for r in ROWS if r["session_id"] == 1 and r["frame_idx"] % 2 == 0])
+    put(spark, tmp_path, [r for r in ROWS if r["session_id"] == 1 and (r["frame_idx"] in (3, 5, 28) or r["frame_idx"] == 29)])
+    got = run(spark, stateful.stream_one_euro(stream_of(spark, tmp_path), late=True), tmp_path, "late")
+    assert {r.frame_idx: r.late_rows for r in got} == {i: 0 for i in range(0, 30, 2)} | {29: 3}
+    assert [tuple(r) for r in stateful.late_counts(spark, f"{tmp_path}/late-state").collect()] == [(1, 29, 3)]
+
+
+def test_idle_sessions_end_by_timer(spark, tmp_path):
+    """A session's open segment is closed, and its state goes, once the watermark has passed its last row by the idle time."""
+    rows = [r | {"pb": 0.9, "pi": 0.9, "visible": True} for r in ROWS]
+    put(spark, tmp_path, of(rows, 1))
+    later = [r | {"ts": r["ts"] + timedelta(minutes=5)} for r in of(rows, 2)]
+    put(spark, tmp_path, later[:15])
+    put(spark, tmp_path, later[15:])
+    got = run(spark, STREAMS["segs"](stream_of(spark, tmp_path)), tmp_path, "idle")
+    assert [(r.session_id, r.start, r.end_excl, r.end_reason) for r in got] == [(1, 0, 30, "eos_closed")]
+    assert [r.session_id for r in stateful.late_counts(spark, f"{tmp_path}/idle-state").collect()] == [2]
+    dropped = run(spark, stateful.stream_segments(stream_of(spark, tmp_path), end_of_stream="drop", start=0.5), tmp_path, "drop")
+    assert dropped == []
+
+
+def test_hands_on_a_stream_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    kinds = {c: "double" for h in grouped.HANDS for c in (f"{h}_x", f"{h}_y", f"{h}_scale", f"pose_{h}_x", f"pose_{h}_y")} | {"left_inside": "boolean", "right_inside": "boolean", "ambiguous": "boolean"}
+    data = []
+    for s in (1, 2):
+        for i in range(40):
+            values = {c: float(rng.random()) if k == "double" else bool(rng.random() < 0.7) for c, k in kinds.items()}
+            for h in grouped.HANDS:
+                if rng.random() < 0.2:
+                    values |= {f"{h}_{c}": None for c in ("x", "y", "scale")}
+            data.append((s, i, datetime(2024, 1, 1) + timedelta(milliseconds=40 * i), *values.values()))
+    schema = "session_id long, frame_idx long, ts timestamp, " + ", ".join(f"{c} {k}" for c, k in kinds.items())
+    df = spark.createDataFrame(data, schema)
+    for k in range(2):
+        df.where(f"frame_idx div 20 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/hands")
+    got = run(spark, stateful.stream_hands(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/hands")), tmp_path, "sides")
+    want = grouped.associate_hands(df.withColumnRenamed("session_id", "sample_id")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and any(r.swapped for r in want) and any(r.left_accepted for r in want)
 
 
 def test_upsert_stream(spark, frames):
     stream, rows, root = frames
-    q = stateful.upsert_stream(stream.select("session_id", "ts", "x"), f"{root}/up", "session_id", f"{root}/up-state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.session_id: r.x for r in stateful.read_current(spark, f"{root}/up", "session_id").collect()} == {s: of(rows, s)[-1]["x"] for s in (1, 2)}
+    start = lambda: stateful.upsert_stream(stream.select("session_id", "ts", "x"), f"{root}/up", "session_id", f"{root}/up-state").trigger(availableNow=True).start().awaitTermination()
+    start()
+    now = lambda: {r.session_id: r.x for r in stateful.read_current(spark, f"{root}/up", "session_id").collect()}
+    assert now() == {s: of(rows, s)[-1]["x"] for s in (1, 2)}
+    assert sorted(map(tuple, stateful.run_ledger(spark, f"{root}/up").collect())) == [(0, 2, 0, 2), (1, 2, 2, 0), (2, 2, 2, 0)]
+
+
+def test_replayed_batch_changes_nothing(spark, tmp_path):
+    """A stream that begins anew over the same root gives its batches the same ids: those that the ledger has are left alone."""
+    for k in range(2):
+        put(spark, tmp_path, [r for r in ROWS if r["frame_idx"] // 15 == k])
+    root, before = f"{tmp_path}/up", None
+    for state in ("a", "b"):
+        stateful.upsert_stream(stream_of(spark, tmp_path).select("session_id", "ts", "x"), root, "session_id", f"{tmp_path}/{state}").trigger(availableNow=True).start().awaitTermination()
+        after = sorted(p.name for p in (tmp_path / "up").rglob("*.parquet")), sorted(map(tuple, stateful.read_current(spark, root, "session_id").collect()))
+        assert before in (None, after)
+        before = after
+    # a batch that was written but isn't in the ledger is not seen
+    spark.createDataFrame([(9, None, 1.0)], "session_id long, ts timestamp, x double").write.parquet(f"{root}/level=0/batch=7")
+    assert sorted(map(tuple, stateful.read_current(spark, root, "session_id").collect())) == before[1]
+
+
+def test_compaction_while_the_stream_goes_on(spark, tmp_path):
+    root, seen = f"{tmp_path}/up", []
+    for k in range(6):
+        put(spark, tmp_path, [r for r in ROWS if r["frame_idx"] // 5 == k])
+        stateful.upsert_stream(stream_of(spark, tmp_path).select("session_id", "ts", "x"), root, "session_id", f"{tmp_path}/s").trigger(availableNow=True).start().awaitTermination()
+        want = {s: of(ROWS, s)[5 * k + 4]["x"] for s in (1, 2)}
+        if k % 2:
+            assert {r.session_id: r.x for r in stateful.compact(spark, root, "session_id", fanout=2).collect()} == want
+        assert {r.session_id: r.x for r in stateful.read_current(spark, root, "session_id").collect()} == want
+        seen.append(len(stateful._live(spark, root)))
+    assert max(seen) <= 3 and stateful.run_ledger(spark, root).count() == 6
+
+
+def test_rates_and_eta_of_a_stream_equal_batch(spark, tmp_path):
+    began = datetime(2024, 1, 1)
+    done = spark.createDataFrame([(k % 2, began + timedelta(seconds=3 * k), k % 5 == 0) for k in range(60)], "shard int, ts timestamp, failed boolean")
+    shards = spark.createDataFrame([(0, 100, began), (1, 20, began), (2, 5, began)], "shard int, selected int, started_at timestamp")
+    for k in range(3):
+        done.where(f"second(ts) div 20 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/done")
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/done")
+    for name, of_rows, key in (("rates", lambda d: stateful.finish_rates(d, delay="1 hour"), ("shard", "start")), ("eta", lambda d: stateful.finish_eta(d, shards), ("shard",))):
+        latest = {}
+        q = of_rows(stream).writeStream.outputMode("update").foreachBatch(lambda df, _, latest=latest, key=key: latest.update({tuple(r[k] for k in key): r for r in df.collect()})).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert sorted(map(str, latest.values())) == sorted(map(str, of_rows(done).collect())) and latest
+    eta = {r.shard: r for r in stateful.finish_eta(done, shards).collect()}
+    assert (eta[0].done, eta[0].ok, eta[0].remaining, eta[0].elapsed_sec, eta[1].remaining) == (30, 24, 70, 174.0, 0)
+    assert eta[0].eta_sec == pytest.approx(70 * 174 / 30) and set(eta) == {0, 1}
