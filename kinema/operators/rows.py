@@ -13,13 +13,18 @@ from pyspark.sql import types as T
 from ..functions import clean
 
 
-def check_columns(df: DataFrame, required: Sequence[str], any_of: Sequence[str] = ()) -> None:
-    """PF8: raise an error that names required columns, or alternatives, that are missing (case does not matter)."""
+def missing_columns(df: DataFrame, required: Sequence[str], any_of: Sequence[str] = ()) -> list[str]:
+    """PF8: required columns, and alternatives, that are missing (case does not matter)."""
     have = {c.lower() for c in df.columns}
     missing = [c for c in required if c.lower() not in have]
     if any_of and not have & {c.lower() for c in any_of}:
         missing.append("one of " + ", ".join(any_of))
-    if missing:
+    return missing
+
+
+def check_columns(df: DataFrame, required: Sequence[str], any_of: Sequence[str] = ()) -> None:
+    """PF8: raise an error that names the missing columns."""
+    if missing := missing_columns(df, required, any_of):
         raise ValueError("missing columns: " + ", ".join(missing))
 
 

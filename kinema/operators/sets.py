@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -93,7 +93,7 @@ def disjoint_split(ann: DataFrame, signer: str = "signer", split: str = "split",
     one; rows dealt so far; name. Largest first is by rows, then by rows of the signer's main label, then by name. A null signer is a signer.
 
     Each choice depends on those before it: the signers' counts by split and label are dealt in one ordered pass that
-    keeps the splits' running sums. Its input is a row for each mixed signer, not their rows.
+    keeps the splits' running sums. It goes through one task batch by batch, a row for each mixed signer, not their rows.
     """
     cells = ann.groupBy(signer, split, label).agg(F.count("*").alias("n"))
     by_split = cells.groupBy(signer, split).agg(F.sum("n").alias("n")).groupBy(signer).agg(F.collect_list(F.struct(split, "n")).alias("splits"))
@@ -109,31 +109,33 @@ def disjoint_split(ann: DataFrame, signer: str = "signer", split: str = "split",
     held = {(r[0], r[1]): r[2] for r in pure.select("prefers", F.explode("labels").alias("x")).groupBy("prefers", f"x.{label}").agg(F.sum("x.n")).collect()}
     everything = max(1, sum(rows.values()))
 
-    def deal(groups: pd.DataFrame) -> pd.DataFrame:
-        groups = groups.assign(none=groups[signer].isna()).sort_values(["total", "most", "none", signer], ascending=[False, False, True, True])
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have = dict(held)
         dealt = {x: sum(n for (y, _), n in held.items() if y == x) for x in rows}
         places = {x: signers.get(x, (0, 0))[0] - signers.get(x, (0, 0))[1] for x in rows}  # still open
-        out = []
-        for g in groups.itertuples(index=False):
-            labels = {x[label]: int(x["n"]) for x in g.labels}
-
-            def unfit(x: str, g=g, labels=labels) -> tuple:
-                share = rows[x] / everything
-                room = share * everything - dealt[x]
-                off = sum(abs(have.get((x, k), 0) + n - names[k] * share) / max(1.0, names[k] * share) for k, n in labels.items())
-                return max(0, 1 - places[x]), abs(max(0, places[x]) - 1), max(0.0, g.total - room), abs(max(0.0, room) - g.total) + 0.05 * off, x != g.prefers, dealt[x], x
-
-            pick = min(rows, key=unfit)
-            places[pick] -= 1
-            dealt[pick] += int(g.total)
-            for k, n in labels.items():
-                have[pick, k] = have.get((pick, k), 0) + n
-            out.append(pick)
-        return pd.DataFrame({signer: groups[signer].tolist(), "new_split": out})
+        for groups in batches:
+            out = []
+            for g in groups.itertuples(index=False):
+                labels = {x[label]: int(x["n"]) for x in g.labels}
+
+                def unfit(x: str, g=g, labels=labels) -> tuple:
+                    share = rows[x] / everything
+                    room = share * everything - dealt[x]
+                    off = sum(abs(have.get((x, k), 0) + n - names[k] * share) / max(1.0, names[k] * share) for k, n in labels.items())
+                    return max(0, 1 - places[x]), abs(max(0, places[x]) - 1), max(0.0, g.total - room), abs(max(0.0, room) - g.total) + 0.05 * off, x != g.prefers, dealt[x], x
+
+                pick = min(rows, key=unfit)
+                places[pick] -= 1
+                dealt[pick] += int(g.total)
+                for k, n in labels.items():
+                    have[pick, k] = have.get((pick, k), 0) + n
+                out.append(pick)
+            yield pd.DataFrame({signer: groups[signer].tolist(), "new_split": out})
 
     kind = counts.schema[signer].dataType.simpleString()
-    dealt = counts.where("mixed").withColumn("pass", F.lit(0)).groupBy("pass").applyInPandas(deal, f"{signer} {kind}, new_split string")
+    order = [F.desc("total"), F.desc("most"), F.asc_nulls_last(signer)]
+    ordered = counts.where("mixed").select(signer, "total", "most", "labels", "prefers").repartition(1).sortWithinPartitions(*order)
+    dealt = ordered.mapInPandas(deal, f"{signer} {kind}, new_split string")
     of = pure.select(F.col(signer).alias("__signer"), F.col("prefers").alias("new_split")).unionByName(dealt.withColumnRenamed(signer, "__signer"))
     return ann.join(of, F.col(signer).eqNullSafe(F.col("__signer"))).drop("__signer")
 

@@ -85,11 +85,12 @@ def io18(spark, sf):
     return spark.read.csv(f"{root}/by_split", sep="\t", header=True, schema="attachment_id string, label string, row_num long, split string").select("split", "attachment_id", "label")
 
 
-@query("pf8_check_columns", 'select label, count(*) as n from v_ann group by label')
+@query("pf8_check_columns", "select label, count(*) as n, 'user_id; one of train, is_train' as missing, '' as missing_here from v_ann group by label")
 def pf8(spark, sf):
+    """What the annotations lack of two sets of columns, beside their counts: the first set isn't whole, the second is."""
     a = v_ann(spark, sf)
-    rows.check_columns(a, ["attachment_id", "LABEL", "begin", "end"], ["split", "is_train"])
-    return a.groupBy("label").agg(F.count("*").alias("n"))
+    lacks = [rows.missing_columns(a, ["attachment_id", "user_id", "Begin"], ["train", "is_train"]), rows.missing_columns(a, ["attachment_id", "LABEL", "begin", "end"], ["split", "is_train"])]
+    return a.groupBy("label").agg(F.count("*").alias("n")).withColumns({"missing": F.lit("; ".join(lacks[0])), "missing_here": F.lit("; ".join(lacks[1]))})
 
 
 @query("pf15_compact_keys", """select event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' as doc from events""")

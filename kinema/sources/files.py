@@ -138,9 +138,10 @@ def read_predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_manifest_by_split(df: DataFrame, root: str, order: str) -> None:
     """IO18: sorted TSV and JSON lines of all rows, and of each split in a folder of its own."""
-    rows = df.orderBy(order)
+    rows = df.orderBy(order).persist()  # sorted once for both
     rows.write.mode("overwrite").csv(f"{root}/all.tsv", sep="\t", header=True)
     rows.write.mode("overwrite").json(f"{root}/all.jsonl")
+    rows.unpersist()
     df.repartition("split").sortWithinPartitions("split", order).write.mode("overwrite").partitionBy("split").csv(f"{root}/by_split", sep="\t", header=True)
 
 

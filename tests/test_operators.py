@@ -105,6 +105,14 @@ def dealt_by_hand(rows):
     return got
 
 
+def test_class_families_find_planted_groups(spark):
+    rng = np.random.default_rng(7)
+    centers = np.eye(3).repeat(4, axis=1) * 5
+    data = [(10 * g + k, (centers[g] + rng.normal(0, 0.1, 12)).tolist()) for g in range(3) for k in range(5)]
+    got = {r.label: r.family for r in evaluate.class_families(spark.createDataFrame(data, "label int, prototype array<double>"), 3).collect()}
+    assert len(got) == 15 and [len({got[10 * g + k] for k in range(5)}) for g in range(3)] == [1, 1, 1] and len(set(got.values())) == 3
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_disjoint_split(spark, seed):
     rng = np.random.default_rng(seed)
