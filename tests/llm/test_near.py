@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -76,3 +77,65 @@ def test_near_dedup_of_documents(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     ids, _ = brute([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, table, "").select("doc_id").collect()) == sorted(ids)
+
+
+def pairs_at_the_limit(rng, n, pairs):
+    """Pairs of shingle sets of exactly 0.8 similarity: one within the other, and both of one size."""
+    for _ in range(pairs):
+        values = np.unique(rng.integers(0, 1 << 63, 3 * n + 9, dtype=np.uint64))
+        rng.shuffle(values)
+        if n % 4 == 0:
+            yield np.sort(values[:n]), np.sort(values[: n + n // 4])
+        if n % 9 == 0:
+            both = values[: n * 8 // 9]
+            yield np.sort(np.concatenate([both, values[n : n + n // 9]])), np.sort(np.concatenate([both, values[2 * n : 2 * n + n // 9]]))
+
+
+def are_candidates(a, b):
+    differ = sum(int(x ^ y).bit_count() for x, y in zip(near.fingerprint(a).view(np.uint64), near.fingerprint(b).view(np.uint64), strict=True))
+    return len(np.intersect1d(near.block_words(a), near.block_words(b))) > 0 and differ <= (near.MEDIUM_DISTANCE if min(len(a), len(b)) <= near.MEDIUM else near.DISTANCE)
+
+
+@pytest.mark.parametrize("n", [4, 8, 9, 12, 16, 18, 20, 24, 28, 36, 100, 108, 1000, 4000])
+def test_recall_at_the_limit(n):
+    """Over 99 of 100 pairs of just 0.8, one within the other or even, are candidates, at any size; small ones by construction."""
+    found = [are_candidates(a, b) for a, b in pairs_at_the_limit(np.random.default_rng(n), n, 400 if n < 1000 else 150)]
+    assert np.mean(found) >= 0.99, np.mean(found)
+
+
+def test_short_texts_by_brute_force(spark):
+    """Texts of 5 to 16 words with a word appended, or one changed at the end."""
+    rng, texts = random.Random(8), []
+    for n in range(5, 17):
+        for _ in range(6):
+            words = [f"w{rng.random()}" for _ in range(n)]
+            texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words[:-1], "other"])]
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame([(*r, 1, "x") for r in docs], "doc_id long, text string, __rank int, __key string")
+    ids, _ = brute(docs)
+    assert sorted(r.doc_id for r in near.near_dedup(df).collect()) == sorted(ids)
+
+
+def test_contained_long_pairs(spark):
+    """Texts of 1,000 shingles and the same with 250 more: just 0.8."""
+    rng, docs = random.Random(9), []
+    for k in range(60):
+        words = [f"w{rng.random()}" for _ in range(1254)]
+        docs += [(2 * k, " ".join(words[:1004])), (2 * k + 1, " ".join(words))]
+    out = near.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).count()
+    assert out <= 61  # of 60 pairs one may be lost
+
+
+@pytest.mark.parametrize("compared", [2, 5, 1024])
+def test_large_blocks_lose_no_link(spark, monkeypatch, compared):
+    """Pairs that pivots miss, as their block holds many other sets, are found whatever the size at which blocks are split."""
+    monkeypatch.setattr(near, "COMPARED", compared)
+    monkeypatch.setattr(near, "PIVOTS", (1,))
+    rng = random.Random(10)
+    shared = [f"s{k}" for k in range(60)]
+    docs = []
+    for k in range(40):
+        own = [f"w{rng.random()}" for _ in range(20)]
+        docs += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + edited(rng, own, 1).split()))]
+    ids, _ = brute(docs)
+    assert sorted(r.doc_id for r in near.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == sorted(ids)
