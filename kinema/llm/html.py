@@ -33,22 +33,29 @@ NOT_MAIN_WORDS = frozenset(
     "newsletter subscribe signup login popup modal overlay widget footer masthead pagination pager toolbar skip".split()
 )
 
+#: First parts of compound names that say something of the page around: has-sidebar, no-cookies.
+ABOUT = frozenset("has with no without js is not".split())
+#: An element that such a word marks holds the page's text, and stays, if what is outside all marks is less than this share of it.
+OUTSIDE = 0.25
+
 #: A template token occurs in this share of a host's distinct pages, and in this many of them.
 FREQUENT, LEAST_PAGES = 0.5, 3
 #: Pages whose longest text blocks are equal as far as this share of their text are copies of one page.
 MOST = 0.8
 
 
-def label(tag: str, attributes: str) -> tuple[str, bool]:
-    """A token for a start tag, and whether its element isn't main text."""
+def label(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """A token for a start tag, whether its element isn't main text, and whether a word of its class or id says so."""
     if not attributes.strip():
-        return tag, tag in NOT_MAIN
+        return tag, tag in NOT_MAIN, False
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(attributes)}
     named = f"{found.get('class', '')} {found.get('id', '')}".lower()
-    words = set(re.split(r"[^a-z]+", named))
+    parts = [re.split(r"[^a-z]+", x) for x in named.split()]
+    words = {w for x in parts if not (len(x) > 1 and x[0] in ABOUT) for w in x}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower())
     name = tag + "".join(f".{x}" for x in sorted(re.sub(r"\d+", "0", named).split()))
-    return name, bool(tag in NOT_MAIN or found.get("role", "").lower() in NOT_MAIN_ROLES or words & NOT_MAIN_WORDS or hidden)
+    apart = bool(tag in NOT_MAIN or found.get("role", "").lower() in NOT_MAIN_ROLES or hidden)
+    return name, apart, not apart and tag not in ("html", "body") and bool(words & NOT_MAIN_WORDS)
 
 
 def token_id(parent: int, name: str) -> int:
@@ -60,16 +67,70 @@ ROOT = 0
 
 
 class Block:
-    """A run of text under one element, with that element's token."""
+    """A run of text under one element, with that element's token and the innermost mark around it."""
 
-    __slots__ = ("parent", "apart", "raw")
+    __slots__ = ("parent", "apart", "mark", "raw", "_text")
 
-    def __init__(self, parent: int, apart: bool):
-        self.parent, self.apart, self.raw = parent, apart, []
+    def __init__(self, parent: int, apart: bool, mark: int):
+        self.parent, self.apart, self.mark, self.raw, self._text = parent, apart, mark, [], None
 
     @property
     def text(self) -> str:
-        return " ".join(entities.unescape("".join(self.raw)).split())
+        if self._text is None:
+            self._text = " ".join(entities.unescape("".join(self.raw)).split())
+        return self._text
+
+
+class Marks:
+    """The elements of a page that words of class or id mark, each with the one around it; which of them hold is told at the end.
+
+    Where an article or main element lies outside all marks, all hold. Else, a mark holds no more than a name may say of
+    what is around: those around an unmarked article or main element, those around nearly all text, and of marked article and
+    main elements the one of most text don't hold.
+    """
+
+    def __init__(self):
+        self.around: list[int] = []
+        self.is_content: list[bool] = []  # of an article or main element itself
+        self.has_content: list[bool] = []  # around an unmarked one
+        self.content_outside = False
+
+    def add(self, around: int, is_content: bool) -> int:
+        self.around.append(around)
+        self.is_content.append(is_content)
+        self.has_content.append(False)
+        return len(self.around) - 1
+
+    def see_content(self, mark: int) -> None:
+        if mark < 0:
+            self.content_outside = True
+        else:
+            self.has_content[mark] = True
+
+    def settle(self, blocks: list[Block]) -> None:
+        """Set apart the blocks inside of marks that hold."""
+        if not self.around:
+            return
+        n = len(self.around)
+        size, outside = [0] * n, 0
+        for b in blocks:
+            if not b.apart and b.mark >= 0:
+                size[b.mark] += len(b.text)
+            elif not b.apart:
+                outside += len(b.text)
+        own = list(size)
+        for i in range(n - 1, -1, -1):  # marks inside come after those around
+            if (up := self.around[i]) >= 0:
+                size[up] += size[i]
+                self.has_content[up] |= self.has_content[i]
+        largest = max((i for i in range(n) if self.is_content[i]), key=size.__getitem__, default=-1)
+        cut = [False] * n
+        for i in sorted(range(n), key=lambda i: (-size[i], i)):  # those around come before those inside
+            stays = not self.content_outside and (i == largest or self.has_content[i] or outside < OUTSIDE * size[i])
+            cut[i] = not stays or (self.around[i] >= 0 and cut[self.around[i]])
+            outside += 0 if cut[i] else own[i]
+        for b in blocks:
+            b.apart = b.apart or (b.mark >= 0 and cut[b.mark])
 
 
 class Elements:
@@ -79,9 +140,11 @@ class Elements:
         self.tags: list[str] = []
         self.tokens: list[int] = []  # of the element, or of the one around it if it is part of a line
         self.apart: list[bool] = []  # whether it, or one around it, isn't main text
+        self.inside: list[int] = []  # the innermost mark around it, or its own
         self.places: dict[str, list[int]] = {}  # where the open elements of a tag are
         self.barriers: list[int] = [-1]
         self.content = 0  # open article and main elements
+        self.marks = Marks()
 
     @property
     def token(self) -> int:
@@ -91,13 +154,21 @@ class Elements:
     def is_apart(self) -> bool:
         return bool(self.apart) and self.apart[-1]
 
-    def open(self, tag: str, name: str, apart: bool) -> None:
+    @property
+    def mark(self) -> int:
+        return self.inside[-1] if self.inside else -1
+
+    def open(self, tag: str, name: str, apart: bool, marked: bool) -> None:
         if tag in BARRIER:
             self.barriers.append(len(self.tags))
-        self.content += tag in ("article", "main")
+        content = tag in ("article", "main")
+        self.content += content
+        if content and not marked and not apart and not self.is_apart:
+            self.marks.see_content(self.mark)
         self.places.setdefault(tag, []).append(len(self.tags))
         self.tokens.append(self.token if tag in INLINE else token_id(self.token, name))
         self.apart.append(self.is_apart or apart)
+        self.inside.append(self.marks.add(self.mark, content) if marked else self.mark)
         self.tags.append(tag)
 
     def last(self, tag: str) -> int:
@@ -111,6 +182,7 @@ class Elements:
             self.content -= tag in ("article", "main")
             self.tokens.pop()
             self.apart.pop()
+            self.inside.pop()
         while self.barriers[-1] >= at:
             self.barriers.pop()
 
@@ -142,8 +214,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         nonlocal block
         if not raw:
             return
-        if block is None or block.parent != opened.token or block.apart != opened.is_apart:
-            block = Block(opened.token, opened.is_apart)
+        if block is None or block.parent != opened.token or block.apart != opened.is_apart or block.mark != opened.mark:
+            block = Block(opened.token, opened.is_apart, opened.mark)
             blocks.append(block)
         block.raw.append(raw)
 
@@ -176,11 +248,12 @@ def blocks_of(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
             opened.end_siblings(("p",))
         if ENDS.get(tag):
             opened.end_siblings(ENDS[tag])
-        name, apart = label(tag, m[3])
+        name, apart, marked = label(tag, m[3])
         around = opened.token
-        opened.open(tag, name, apart or tag == "header" and not opened.content)
+        opened.open(tag, name, apart or tag == "header" and not opened.content, marked)
         if tag not in INLINE:
             starts.append((opened.token, around))
+    opened.marks.settle(blocks)
     return blocks, starts
 
 

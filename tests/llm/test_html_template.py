@@ -102,3 +102,32 @@ def test_broken_pages_take_linear_time():
         start = time.time()
         html.main_text(page, set())
         assert time.time() - start < 10
+
+
+ARTICLE = "<h1>Title</h1><p>" + "The article says a lot of things here. " * 5 + "</p>"
+TEXT = "Title " + ("The article says a lot of things here. " * 5).strip()
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="has-sidebar"><article>{ARTICLE}</article></body>',
+        f'<html class="no-js no-cookies"><body>{ARTICLE}</body></html>',
+        f'<body><div class="content with-sidebar">{ARTICLE}</div></body>',
+        f'<body><article class="post related-post">{ARTICLE}</article></body>',
+        f'<body><main id="skip-target">{ARTICLE}</main></body>',
+        f'<body><div class="sidebar-layout">{ARTICLE}</div><div class="sidebar">Links</div></body>',
+        f'<body><div class="sidebar">Links</div><div class="menu-page">{ARTICLE}<div class="share">Share</div></div></body>',
+        f'<body><div class="content sidebar-page"><article>{ARTICLE}</article><div class="sidebar">Links</div></div></body>',
+        f'<body><article>{ARTICLE}</article><section class="comments"><article class="comment-body">{"A reader comments. " * 90}</article></section></body>',
+        f'<body><div class="post">{ARTICLE}</div><div class="comments"><p>{"A reader comments. " * 20}</p></div></body>',
+        f'<body><nav>Menu</nav><main>{ARTICLE}<div class="newsletter">{"Subscribe! " * 80}</div></main><footer>End</footer></body>',
+    ],
+)
+def test_class_words_never_take_the_page(page):
+    assert html.main_text(page, frozenset()) == TEXT
+
+
+def test_marks_take_linear_time():
+    began = time.time()
+    assert html.main_text('<div class="sidebar">a' * 40_000, frozenset()) != "" and time.time() - began < 20
