@@ -16,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from .common import slices, small_batches, staged
 
@@ -137,11 +138,12 @@ def write_warc(pages: DataFrame, folder: str, page_id: str = "page_id", url: str
     return staged(rows.mapInArrow(run, FILES), "warc-files")
 
 
-def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
-    """The records whose gzip member begins in [start, end) of a file; the last may run on beyond the end.
+def read_range(uri: str, start: int, end: int) -> Iterator[tuple[int, int, dict]]:
+    """(first byte, byte after it, record) of the gzip members that begin in [start, end) of a file; the last may run on beyond the end.
 
     Members are found by the gzip magic and accepted only if they decode to a whole record, so that a range may begin
-    anywhere. A record is held in memory whole, the file is not.
+    anywhere, also inside of a record: one that lies in another's payload as it is can't be told here (read_warc() does).
+    A record is held in memory whole, the file is not; more is read in steps that grow with what is held.
     """
     store, path = _open(uri)
     with store.open_input_file(path) as f:
@@ -156,19 +158,21 @@ def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
                 keep = buffer[-2:]
                 base, buffer, at = base + len(buffer) - len(keep), keep + more, 0
                 continue
-            unpack, raw, fed, whole = zlib.decompressobj(31), [], at, False
+            unpack, raw, fed, size, whole = zlib.decompressobj(31), [], at, 0, False
             try:
                 while True:
-                    raw.append(unpack.decompress(buffer[fed : fed + step]))
-                    fed = min(fed + step, len(buffer))
-                    if sum(map(len, raw)) >= 5 and not b"".join(raw[:2]).startswith(b"WARC/"):
+                    piece = buffer[fed : fed + (step if size else 1 << 10)]
+                    fed += len(piece)
+                    raw.append(unpack.decompress(piece))
+                    size += len(raw[-1])
+                    if 5 <= size <= 1 << 21 and not b"".join(raw[:8]).startswith(b"WARC/"):
                         break
                     if unpack.eof:
                         fed -= len(unpack.unused_data)
                         whole = True
                         break
                     if fed >= len(buffer):
-                        if not (more := f.read(step)):
+                        if not (more := f.read(max(step, len(buffer) - at))):
                             break
                         buffer = buffer[at:] + more
                         base, fed, at = base + at, fed - at, 0
@@ -178,36 +182,45 @@ def read_range(uri: str, start: int, end: int) -> Iterator[dict]:
             if record is None:
                 at += 1
                 continue
-            yield record
-            buffer, base, at = buffer[fed:], base + fed, 0
+            yield base + at, base + fed, record
+            at = fed
 
 
 def read_warc(spark: SparkSession, files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
     """All records of the listed files (path, bytes): page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, record_id, intact.
 
-    Files are cut into byte ranges that tasks read on their own; see parse_record() for the columns. Archives of other
-    writers may be read, one gzip member a record.
+    Files are cut into byte ranges that tasks read on their own; see parse_record() for the columns. A range that begins
+    inside of a record may find records in its payload, as of an archive in an archive. They all lie before the end of
+    a record that began in an earlier range, and go: what is written and compared is a number for each range, so that the
+    rows don't depend on the ranges. Archives of other writers may be read, one gzip member a record.
     """
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))).alias("start")
     ranges = files.select("path", "bytes", at).where("bytes > 0")
     n = max(1, ranges.count())
     ranges = ranges.repartition(min(n, 100_000), "path", "start")
+    placed = T.StructType([*RECORDS.fields, T.StructField("path", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("range", "first", "after")]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def packed(rows: list[dict]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(RECORDS.names, kinds, strict=True)], names=RECORDS.names)
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in zip(placed.names, kinds, strict=True)], names=placed.names)
 
         for batch in batches:
             for row in batch.to_pylist():
                 held, size = [], 0
-                for record in read_range(row["path"], row["start"], min(row["start"] + split_bytes, row["bytes"])):
+                for first, after, record in read_range(row["path"], row["start"], min(row["start"] + split_bytes, row["bytes"])):
                     size += len(record["payload"] or b"")
-                    held.append(record if payloads else record | {"payload": None})
+                    held.append(record | {"path": row["path"], "range": row["start"], "first": first, "after": after} | ({} if payloads else {"payload": None}))
                     if size > 8 << 20:
                         yield packed(held)
                         held, size = [], 0
                 if held:
                     yield packed(held)
 
-    return ranges.mapInArrow(run, RECORDS)
+    found = staged(ranges.mapInArrow(run, placed), "warc-records")
+    reach = found.groupBy("path", "range").agg(F.max("after").alias("after"))
+    before = F.max("after").over(W.partitionBy("path").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
+    reach = reach.withColumn("until", before).where(F.col("until") > F.col("range")).select("path", "range", "until")
+    reach = staged(reach, "warc-reach")  # a row for each range that begins inside of a record
+    owned = found.join(reach, ["path", "range"], "left").where(F.col("first") >= F.coalesce("until", F.lit(0)))
+    return owned.select(*RECORDS.names)

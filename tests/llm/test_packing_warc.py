@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import random
+import time
 import struct
 import uuid
 import zlib
@@ -142,6 +143,29 @@ def test_foreign_archive(spark, tmp_path):
         assert rows[8].payload is None and rows[8].payload_digest == sha1 and bytes(rows[9].payload) == b"plain text" and bytes(rows[6].payload) == made[6][2]
 
 
+def member(i, payload, level):
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + payload
+    head = {"WARC-Type": "response", "WARC-Record-ID": f"<urn:page:{i}>", "Content-Length": str(len(block))}
+    return gzip.compress("\r\n".join(["WARC/1.0", *(f"{k}: {v}" for k, v in head.items())]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", level)
+
+
+def test_rows_do_not_depend_on_the_ranges(spark, tmp_path):
+    """Archives in an archive, twice deep and stored as they are, and a record of 64 MB, at four split sizes."""
+    rng = random.Random(12)
+    small = [member(100 + i, rng.randbytes(rng.randint(10, 3000)), 6) for i in range(60)]
+    inner = member(50, b"head" + b"".join(small[:30]) + b"tail", 0)
+    outer = member(1, b"".join([inner, *small[30:], inner]) * 40, 0)
+    raw = b"".join([member(0, b"first", 6), outer, member(2, b"between", 6), member(3, rng.randbytes(1 << 16) * 1024, 0), member(4, b"".join(small), 0), member(5, b"last", 6), outer[:1000]])
+    path = tmp_path / "nested.warc.gz"
+    path.write_bytes(raw)
+    files = spark.createDataFrame([(f"file://{path}", len(raw))], "path string, bytes long")
+    began = time.time()
+    for split in (1 << 30, 16 << 20, 4 << 20, 700_001):
+        rows = warc.read_warc(spark, files, split, payloads=False).collect()
+        assert sorted((r.page_id, r.payload_bytes, r.intact) for r in rows) == [(0, 5, True), (1, len(b"".join([inner, *small[30:], inner])) * 40, True), (2, 7, True), (3, 64 << 20, True), (4, len(b"".join(small)), True), (5, 4, True)], split
+    assert time.time() - began < 200
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from kinema.llm.common import table
