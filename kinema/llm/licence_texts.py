@@ -172,3 +172,35 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
     *((x, f"SPDX-License-Identifier: {x}") for x in ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib")),
 ]
+
+VERBATIM = "Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+FSF = "Copyright (C) {years} Free Software Foundation, Inc. {place} " + VERBATIM
+
+#: (identifier, text): how the long licences begin, each a template of the first words of a file.
+OPENINGS = [
+    ("Apache-2.0", """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+        1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.
+        "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License."""),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 " + FSF.format(years="1989, 1991", place="51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA") + """
+        Preamble The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended"""),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + FSF.format(years="2007", place="<https://fsf.org/>") + """
+        Preamble The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical"""),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999 " + FSF.format(years="1991, 1999", place="51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA") + """
+        [This is the first released version of the Lesser GPL. It also counts as the successor of the GNU Library Public License, version 2, hence"""),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 " + FSF.format(years="2007", place="<https://fsf.org/>") + """
+        This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented"""),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007 " + FSF.format(years="2007", place="<https://fsf.org/>") + """
+        Preamble The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation"""),
+    ("MPL-2.0", """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that creates, contributes to the creation of,
+        or owns Covered Software. 1.2. "Contributor Version" means the combination of the Contributions of others (if any) used by a Contributor and that particular
+        Contributor's Contribution. 1.3. "Contribution" means Covered Software of a particular Contributor."""),
+    ("EPL-2.0", """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE ("AGREEMENT"). ANY USE, REPRODUCTION OR
+        DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT. 1. DEFINITIONS "Contribution" means: a) in the case of the initial Contributor,
+        the initial content Distributed under this Agreement, and"""),
+    ("CC0-1.0", """Creative Commons Legal Code CC0 1.0 Universal CREATIVE COMMONS CORPORATION IS NOT A LAW FIRM AND DOES NOT PROVIDE LEGAL SERVICES. DISTRIBUTION OF THIS DOCUMENT
+        DOES NOT CREATE AN ATTORNEY-CLIENT RELATIONSHIP. CREATIVE COMMONS PROVIDES THIS INFORMATION ON AN "AS-IS" BASIS. CREATIVE COMMONS MAKES NO WARRANTIES REGARDING THE USE"""),
+    ("CC-BY-4.0", """Attribution 4.0 International Creative Commons Corporation ("Creative Commons") is not a law firm and does not provide legal services or legal advice. Distribution
+        of Creative Commons public licenses does not create a lawyer-client or other relationship. Creative Commons makes its licenses and related information available on an "as-is" basis."""),
+    ("CC-BY-SA-4.0", """Attribution-ShareAlike 4.0 International Creative Commons Corporation ("Creative Commons") is not a law firm and does not provide legal services or legal advice.
+        Distribution of Creative Commons public licenses does not create a lawyer-client or other relationship. Creative Commons makes its licenses and related information available on an "as-is" basis."""),
+]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged, unused
-from .licence_texts import TEMPLATES
+from .licence_texts import OPENINGS, TEMPLATES
 
 #: Least cosine of a text to its template.
 LEAST_COSINE = 0.7
@@ -19,12 +19,15 @@ BETWEEN = r"[.\-]*[^\p{L}\p{Nd}.\-]+|[.\-]+\z"
 #: A file's header ends at its first blank line.
 BLANK = r"\n[\x20\x09-\x0D]*\n"
 #: What is compared, in the order of what it says about its file.
-FILE, HEADER, LINE = range(3)
+FILE, OPENING, HEADER, LINE = range(4)
+#: Words of a file's opening, and of a file that has one. Tokens of openings bear a mark, and so meet those of openings alone.
+OPENING_WORDS, LEAST_FILE_WORDS, OPENS = 60, 200, "^"
 #: Words that any English text has; they count among a template's rare tokens only where it has too few others.
 COMMON = frozenset(
     "a an and any are as at be been but by can do for from had has have he her his i if in is it its may more no not of on one or our she so some than "
     "that the their them then there these they this to was we were what when which who will with would you your".split()
 )
+EVERYWHERE = [*sorted(COMMON), *(OPENS + w for w in sorted(COMMON))]
 #: A weak notice, which says less than any other.
 WEAK = "Proprietary"
 
@@ -39,13 +42,14 @@ def words_of(text: str) -> list[str]:
     return [w for x in re.findall(r"[a-z0-9.\-]+", text.lower()) if (w := x.rstrip(".-"))]
 
 
-def template_weights(templates: list[tuple[str, str]]) -> list[tuple[int, str, str, float, float, bool]]:
+def template_weights(templates: list[tuple[str, str]], openings: list[tuple[str, str]] = []) -> list[tuple[int, str, str, float, float, bool]]:  # noqa: B006
     """(template, licence, token, weight, idf, rare): unit TF-IDF vectors, and the rare tokens that a near text can't do without.
 
     Weights are (1 + ln tf) * idf, idf taken over the templates. The tokens that aren't rare hold a share of the unit
     vector whose length is under LEAST_COSINE, so a text without any rare token of a template is farther from it.
     """
-    counts = [Counter(words_of(text)) for _, text in templates]
+    counts = [Counter(words_of(text)) for _, text in templates] + [Counter(OPENS + w for w in words_of(text)[:OPENING_WORDS]) for _, text in openings]
+    templates = [*templates, *openings]
     held = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(templates)) / (1 + n)) + 1 for t, n in held.items()}
     out = []
@@ -53,7 +57,7 @@ def template_weights(templates: list[tuple[str, str]]) -> list[tuple[int, str, s
         weight = {t: (1 + math.log(n)) * idf[t] for t, n in c.items()}
         norm = math.sqrt(sum(w * w for w in weight.values()))
         rest, rare = 1.0, set()
-        for t in sorted(weight, key=lambda t: (t in COMMON, -idf[t], t)):
+        for t in sorted(weight, key=lambda t: (t.removeprefix(OPENS) in COMMON, -idf[t], t)):
             if rest < LEAST_COSINE**2 * 0.999:
                 break
             rare.add(t)
@@ -62,8 +66,7 @@ def template_weights(templates: list[tuple[str, str]]) -> list[tuple[int, str, s
     return out
 
 
-def _vectors(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    rows = template_weights(templates)
+def _vectors(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return staged(spark.createDataFrame(rows, "template int, licence string, token string, weight double, idf double, rare boolean"), "licence-vectors")
 
 
@@ -75,8 +78,8 @@ def near_licences(units: DataFrame, vectors: DataFrame, n_templates: int) -> Dat
     vector that this can be at most beside its words that no template has. Words that no template has weigh as much as a word of
     one template does, so that prose is far from all.
     """
-    telling = vectors.where(~F.col("token").isin(*COMMON))
-    squares = lambda c: F.sum(F.when(F.col("token").isin(*COMMON), F.col(c) * F.col(c)).otherwise(0.0))
+    telling = vectors.where(~F.col("token").isin(*EVERYWHERE))
+    squares = lambda c: F.sum(F.when(F.col("token").isin(*EVERYWHERE), F.col(c) * F.col(c)).otherwise(0.0))
     rest = vectors.groupBy("template").agg(squares("weight").alias("rest"), squares("idf").alias("rest_idf"))
     unknown = math.log((1 + n_templates) / 2) + 1
     some = units.select("u", "n_tokens", "n_unknown", F.explode(F.array_distinct("tokens")).alias("token")).join(telling.select("token", "template", "weight", "idf"), "token")
@@ -112,8 +115,9 @@ def ancestors(path: Column) -> Column:
 def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep: tuple[str, ...] = (), templates: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per file: the columns in `keep`, path, licence, cosine, n_notices, is_licence_file, inherited_from.
 
-    The whole file, its header (up to the first blank line) and every line are compared with the templates. A file whose
-    whole text is near one is a licence file. A file's licence is that of its whole text, else of its header, else of
+    The whole file, its header (up to the first blank line) and every line are compared with the templates, and the first
+    OPENING_WORDS words of a file of LEAST_FILE_WORDS or more with the openings of the long licences. A file whose whole
+    text or opening is near one is a licence file. A file's licence is that of its whole text, else of its opening, else of its header, else of
     the nearest of its lines, of which n_notices are near a template; "all rights reserved" counts after any licence;
     ties go to the larger cosine, then to the smaller identifier. A licence file speaks for its directory and those
     below: a file without a licence takes that of its nearest ancestor directory with a licence file (several there: by
@@ -121,30 +125,35 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     A null text has no notices; a null path is a file at the top; repeated rows stay; texts of any length are read
     whole; an empty table gives an empty result.
     """
+    openings = OPENINGS if templates is None else []
     templates = TEMPLATES if templates is None else templates
     spark = files.sparkSession
-    vectors = _vectors(spark, templates)
-    rare = F.lit(sorted({t for _, _, t, _, _, is_rare in template_weights(templates) if is_rare}))
-    words = F.lit(sorted({t for _, _, t, _, _, _ in template_weights(templates)}))
+    weights = template_weights(templates, openings)
+    vectors = _vectors(spark, weights)
+    marked = {t for _, _, t, _, _, is_rare in weights if is_rare}
+    rare, anywhere = F.lit(sorted(marked)), F.lit(sorted({t.removeprefix(OPENS) for t in marked}))
+    words = F.lit(sorted({t for _, _, t, _, _, _ in weights}))
     at, body, row = unused(files, "path", "text", "row")
     rows = files.select(*keep, F.col(path).alias(at), F.coalesce(F.col(text), F.lit("")).alias(body))
     # only texts that hold a rare token are read further
-    rows = rows.withColumn(body, F.when(F.arrays_overlap(tokens(F.col(body)), rare), F.col(body)))
+    rows = rows.withColumn(body, F.when(F.arrays_overlap(tokens(F.col(body)), anywhere), F.col(body)))
     rows = staged(rows.withColumn(row, F.monotonically_increasing_id()), "licence-files", "zstd")
     some = rows.where(F.col(body).isNotNull()).select(row, F.col(body).alias("text"))
     whole = some.select(row, F.lit(FILE).alias("kind"), "text").unionByName(some.where(F.col("text").rlike(BLANK)).select(row, F.lit(HEADER).alias("kind"), F.split("text", BLANK, 2)[0].alias("text")))
     parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
+    first = some.select(row, F.lit(OPENING).alias("kind"), "text", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_FILE_WORDS)
+    parts = parts.unionByName(first.withColumn("tokens", F.transform(F.slice("tokens", 1, OPENING_WORDS), lambda w: F.concat(F.lit(OPENS), w))))
     some = F.arrays_overlap("tokens", rare)
     # marked here and filtered as they are read: a filter here would be pushed down and split every text twice
     parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"), F.size(F.array_except("tokens", words)).alias("n_unknown"))
     parts = staged(parts, "licence-parts", "zstd").where("u is not null")
     units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens"), F.first("n_unknown").alias("n_unknown")).withColumn("n_tokens", F.size("tokens")), "licence-texts", "zstd")
-    found = staged(near_licences(units, vectors, len(templates)), "licence-found")
+    found = staged(near_licences(units, vectors, len(templates) + len(openings)), "licence-found")
     met = parts.select(row, "kind", "u").join(found, "u").withColumn("weak", F.col("licence") == WEAK)
     order = F.struct("weak", "kind", -F.col("cosine"), "licence")
     own = met.groupBy(row).agg(
         F.min_by(F.struct("licence", "cosine"), order).alias("own"), F.min(order).alias("order"),
-        F.sum((F.col("kind") == LINE).cast("long")).alias("n_notices"), F.max(F.col("kind") == FILE).alias("is_licence_file"),
+        F.sum((F.col("kind") == LINE).cast("long")).alias("n_notices"), F.max(F.col("kind") <= OPENING).alias("is_licence_file"),
     )
     rows = staged(rows.drop(body).join(own, row, "left"), "licence-own")
     speaks = rows.where("is_licence_file").groupBy(directory(F.col(at)).alias("dir")).agg(F.min_by("own", "order").alias("theirs"))

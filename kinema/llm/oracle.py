@@ -123,17 +123,22 @@ def _tokens(text: str) -> str:
     return f"list_filter(string_split_regex(lower({text}), '{BETWEEN}'), lambda w: w <> '')"
 
 
-_N = len(licences.TEMPLATES)
+def _opening(w: str) -> str:
+    return f"list_transform(list_slice({w}, 1, {licences.OPENING_WORDS}), lambda x: '{licences.OPENS}' || x)"
+
+
+_N = len(licences.TEMPLATES) + len(licences.OPENINGS)
 
 OP5 = f"""
-with tpl as (select * from (values {", ".join(f"({i}, {_text(k)}, {_text(v)})" for i, (k, v) in enumerate(licences.TEMPLATES))}) x(template, licence, t)),
-tf as (select template, licence, token, 1 + ln(count(*)) as tf from (select template, licence, unnest({_tokens("t")}) as token from tpl) group by all),
+with tpl as (select * from (values {", ".join(f"({i}, {_text(k)}, {_text(v)})" for i, (k, v) in enumerate([*licences.TEMPLATES, *licences.OPENINGS]))}) x(template, licence, t)),
+tf as (select template, licence, token, 1 + ln(count(*)) as tf from (select template, licence, unnest(case when template < {len(licences.TEMPLATES)} then {_tokens("t")} else {_opening(_tokens("t"))} end) as token from tpl) group by all),
 idf as (select token, ln({1 + _N} / (1 + count(*))) + 1 as idf from tf group by token), tw as (select template, licence, tf.token, tf * idf as w from tf join idf using (token)),
 tn as (select template, sqrt(sum(w * w)) as norm from tw group by template), vec as (select template, licence, token, w / norm as weight from tw join tn using (template)),
 d as (select doc_id, {queries_path("//", "varchar")} as path, coalesce(text, '') as t from documents),
 e as (select *, regexp_replace(path, '/?[^/]*$', '') as dir from d),
-part as (select doc_id, 0 as kind, t from d union all select doc_id, 1, string_split_regex(t, '\\n[\\x20\\x09-\\x0D]*\\n')[1] from d union all select doc_id, 2, unnest(string_split(t, chr(10))) from d),
-p as (select doc_id, kind, {_tokens("t")} as w, array_to_string({_tokens("t")}, ' ') as u from part),
+part as (select doc_id, 0 as kind, t from d union all select doc_id, 2, string_split_regex(t, '\\n[\\x20\\x09-\\x0D]*\\n')[1] from d union all select doc_id, 3, unnest(string_split(t, chr(10))) from d),
+p0 as (select doc_id, kind, {_tokens("t")} as w from part), p1 as (select * from p0 union all select doc_id, 1, {_opening("w")} from p0 where kind = 0 and len(w) >= {licences.LEAST_FILE_WORDS}),
+p as (select doc_id, kind, w, array_to_string(w, ' ') as u from p1),
 nt as (select u, token, 1 + ln(count(*)) as tf from (select u, unnest(w) as token from (select distinct u, w from p)) group by all),
 nw as (select u, nt.token, tf * coalesce(idf, ln({(1 + _N) / 2}) + 1) as w from nt left join idf using (token)), nn as (select u, sqrt(sum(w * w)) as norm from nw group by u),
 dot as (select u, template, licence, sum(w * weight) as dot from nw join vec using (token) group by all),
@@ -141,7 +146,7 @@ near as (select u, licence, round(dot / norm, 6) as cosine from dot join nn usin
 best as (select u, licence, cosine from (select *, row_number() over (partition by u order by cosine desc, licence) as rank from near) where rank = 1),
 met as (select doc_id, kind, licence, cosine, licence = '{licences.WEAK}' as weak from p join best using (u)),
 o as (select *, row_number() over (partition by doc_id order by weak, kind, cosine desc, licence) as rank from met),
-c as (select doc_id, sum(case when kind = 2 then 1 else 0 end) as n_notices, bool_or(kind = 0) as is_file from met group by doc_id),
+c as (select doc_id, sum(case when kind = 3 then 1 else 0 end) as n_notices, bool_or(kind <= 1) as is_file from met group by doc_id),
 f as (select e.doc_id, path, dir, o.licence, o.cosine, o.weak, o.kind, coalesce(n_notices, 0) as n_notices, coalesce(is_file, false) as is_licence_file from e left join c using (doc_id) left join o on o.doc_id = e.doc_id and o.rank = 1),
 s as (select dir, licence, cosine from (select *, row_number() over (partition by dir order by weak, kind, cosine desc, licence) as rank from f where is_licence_file) where rank = 1),
 u as (select doc_id, s.dir, s.licence, s.cosine, row_number() over (partition by doc_id order by length(s.dir) desc) as rank from f join s on f.licence is null and (s.dir = '' or f.dir = s.dir or starts_with(f.dir, s.dir || '/')))

@@ -176,3 +176,32 @@ def test_rare_tokens_lose_no_text():
             some = {t: idf[t] for t in v if t not in rare[i] and rng.random() < 0.9}
             norm = sum(w * w for w in some.values()) ** 0.5 or 1
             assert sum(w * v[t] for t, w in some.items()) / norm < licences.LEAST_COSINE
+
+
+#: How published licences begin, as their files have it, and words that may follow.
+PUBLISHED = {
+    "Apache-2.0": "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n      \"License\" shall mean the terms and conditions for use, reproduction,\n      and distribution as defined by Sections 1 through 9 of this document.\n",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.,\n 59 Temple Place, Suite 330, Boston, MA  02111-1307  USA\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The licenses for most software are designed to take away your\nfreedom to share and change it.\n",
+    "LGPL-3.0": "                   GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <http://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n\n  This version of the GNU Lesser General Public License incorporates\nthe terms and conditions of version 3 of the GNU General Public\nLicense, supplemented by the additional permissions listed below.\n",
+}
+
+
+def test_long_licences_are_told_by_their_opening(spark):
+    """Complete texts are far from any short template; their openings name them, and their directories inherit."""
+    import pathlib
+
+    rest = "\n\n" + "other terms of this work follow here in many a clause and section\n" * 40
+    texts = {name: text + rest for name, text in PUBLISHED.items()} | {name: text + rest for name, text in licence_texts.OPENINGS}
+    for name, file in {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}.items():
+        path = pathlib.Path("/usr/share/common-licenses") / file
+        if path.exists():
+            texts[f"{name} whole"] = path.read_text(encoding="utf-8", errors="replace")
+    files = [row for name, text in texts.items() for row in ((f"{name}/LICENSE", text), (f"{name}/src/deep/a.c", "int x;"))]
+    quoted = "Our guide says: " + licence_texts.OPENINGS[0][1][:80] + " and so on\n" + "prose of another kind altogether, line by line\n" * 40
+    rows = {r.path: r for r in licences.scan_licences(spark.createDataFrame([*files, ("guide/g.md", quoted), ("guide/x/y.c", "y")], "path string, text string")).collect()}
+    for name in texts:
+        r = rows[f"{name}/LICENSE"]
+        assert r.is_licence_file and r.licence == name.removesuffix(" whole"), (name, r)
+        deep = rows[f"{name}/src/deep/a.c"]
+        assert (deep.licence, deep.inherited_from) == (r.licence, name)
+    assert not rows["guide/g.md"].is_licence_file and rows["guide/x/y.c"].licence is None
