@@ -17,6 +17,8 @@ SUPPORT, CONFIDENCE, LIFT = 0.002, 0.8, 1.2
 LEAST_ROWS = 8
 #: Labelled URLs that FP-growth is fitted on at most, drawn by a hash of the URL.
 FIT_ROWS = 200_000
+#: One labelled URL in this many, by hash, is held out to test the rules, which must match this many of them at least.
+HELD_OUT, LEAST_HELD = 5, 2
 #: Item that stands for a blocked URL among the tokens.
 BLOCKED = "=block"
 
@@ -71,13 +73,15 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(rule, tokens, n, confidence): token combinations, (tokens array, blocked boolean) rows being the labelled URLs.
+    """(rule, tokens, n, confidence): token combinations, (url, tokens array, blocked boolean) rows being the labelled URLs.
 
     FP-growth finds the combinations that occur together with a block; a combination stays if it is confident and
-    likelier blocked than any URL by `lift`, and if no combination of fewer of its tokens is as confident. It is fitted
-    on about fit_rows labelled URLs at most: all if there are fewer, else a share drawn by hash; of each on all tokens.
+    likelier blocked than any URL by `lift`, if it keeps that lift on a fifth of the labelled URLs that was held out, and if
+    no combination of fewer of its tokens is as confident. It is fitted on about fit_rows labelled URLs at most: all if there are fewer, else a share drawn by hash; of each on all tokens.
     Combinations double with every token over the support that URLs share.
     """
+    held = F.pmod(F.xxhash64("url", F.lit("held")), F.lit(HELD_OUT)) == 0
+    tested, labelled = labelled.where(held), labelled.where(~held)
     n = labelled.count()
     if n > fit_rows:
         labelled = labelled.where(F.pmod(F.xxhash64("tokens", "url"), F.lit(1 << 20)) < int((1 << 20) * fit_rows / n))
@@ -85,6 +89,7 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, LEAST_ROWS / max(1, n))), minConfidence=confidence).fit(labelled.where(F.size("tokens") > 0).select(items.alias("items")))
     found = model.associationRules.where((F.col("consequent") == F.array(F.lit(BLOCKED))) & (F.col("lift") >= lift))
     found = staged(found.select(F.array_sort("antecedent").alias("tokens"), "confidence").withColumn("n", F.size("tokens")), "url-rules")
+    found = staged(found.join(holding(found, tested, lift), "tokens", "left_semi"), "url-rules-held")
     parts = found.select(F.explode("tokens").alias("token"), "tokens", "n", "confidence")
     wider = found.select(F.col("tokens").alias("few"), F.col("n").alias("k"), F.col("confidence").alias("as_good")).withColumn("token", F.explode("few"))
     covered = (
@@ -96,6 +101,23 @@ def mined_rules(labelled: DataFrame, support: float = SUPPORT, confidence: float
     return found.join(covered, "tokens", "left_anti").withColumn("rule", F.array_join("tokens", " & ")).select("rule", "tokens", "n", "confidence")
 
 
+def matches(sets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(tokens, rule): the rules (rule, tokens, n) all of whose tokens are in one of the token sets, by an inverted index of the rules."""
+    index = rules.select("rule", "n", F.explode("tokens").alias("token"))
+    some = sets.select("tokens").distinct().select("tokens", F.explode("tokens").alias("token")).join(index, "token")
+    return some.groupBy("tokens", "rule").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where("shared = n").select("tokens", "rule")
+
+
+def holding(rules: DataFrame, tested: DataFrame, lift: float) -> DataFrame:
+    """(tokens): the rules (tokens, n) that block held-out URLs (tokens, blocked) likelier than any by `lift`, LEAST_HELD matches at least."""
+    named = rules.withColumn("rule", F.to_json("tokens"))
+    counts = tested.where(F.size("tokens") > 0).groupBy("tokens").agg(F.count("*").alias("urls"), F.count_if("blocked").alias("bad"))
+    any_url = counts.agg((F.sum("bad") / F.sum("urls")).alias("any_url"))
+    met = matches(counts, named).join(counts, "tokens").groupBy("rule").agg(F.sum("urls").alias("urls"), F.sum("bad").alias("bad"))
+    kept = met.crossJoin(any_url).where((F.col("urls") >= LEAST_HELD) & (F.col("bad") / F.col("urls") >= lift * F.col("any_url")) & (F.col("bad") > 0))  # one row
+    return named.join(kept, "rule", "left_semi").select("tokens")
+
+
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, page_id: str = "page_id", url: str = "url", label_id: str = "doc_id") -> DataFrame:
     """One row per page: page_id, url, host, path, rule, verdict, mined (the mined rule that blocks, else null).
 
@@ -112,15 +134,10 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = R
     known = rows.join(bad, "page_id", "left").select("url", "tokens", F.when(F.col("hit").isNotNull(), F.col("hit.verdict") == "block").otherwise(F.col("bad")).alias("blocked"))
     mined = mined_rules(staged(known.where("blocked is not null"), "url-labels"))
     mined = staged(mined, "url-mined")
-    index = mined.select("rule", "n", "confidence", F.explode("tokens").alias("token"))
     # each distinct set of tokens is looked up once, whatever the number of its urls
-    sets = rows.where("hit is null and size(tokens) > 0").select("tokens").distinct().withColumn("set", F.xxhash64("tokens"))
-    matched = (
-        sets.select("set", F.explode("tokens").alias("token")).join(index, "token")
-        .groupBy("set", "rule").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("confidence").alias("confidence"))
-        .where("shared = n").groupBy("set").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("mined"))
-    )
+    found = matches(rows.where("hit is null and size(tokens) > 0"), mined).join(mined.select("rule", "confidence"), "rule")
+    matched = found.groupBy("tokens").agg(F.max_by("rule", F.struct("confidence", "rule")).alias("mined"))
     matched = staged(matched, "url-matched")  # its size decides the join, so that a hot set of tokens isn't dealt to one task
-    out = rows.withColumn("set", F.when(F.col("hit").isNull(), F.xxhash64("tokens"))).join(matched, "set", "left")
+    out = rows.withColumn("set", F.when(F.col("hit").isNull(), F.col("tokens"))).join(matched.withColumnRenamed("tokens", "set"), "set", "left")
     verdict = F.coalesce("hit.verdict", F.when(F.col("mined").isNotNull(), "block"), F.lit("allow"))
     return out.select("page_id", "url", "host", "path", F.col("hit.text").alias("rule"), verdict.alias("verdict"), "mined")
