@@ -19,7 +19,7 @@ SEPARATORS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 _TABLE = bytes(0x20 if c in SEPARATORS else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
-#: Windows, and bytes of their text, in one automaton, which every executor holds. More are scanned in several blocks.
+#: Windows of items, and bytes of their text and ids, in one automaton, which every executor holds. More are scanned in several blocks.
 WINDOWS_AT_ONCE, BYTES_AT_ONCE = 500_000, 32 << 20
 
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -30,7 +30,7 @@ def normalised(text: bytes) -> list[bytes]:
 
 
 def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """(window, ids): every window of `size` item words with the sorted ids, as strings, of the items that hold it."""
+    """(window, item_id): every window of `size` item words with the id, as a string, of each item that holds it."""
 
     def run(batch: pa.RecordBatch) -> list:
         out = []
@@ -41,7 +41,7 @@ def windows_of(items: DataFrame, item_id: str, text: str, size: int) -> DataFram
 
     rows = items.select(F.col(item_id).cast("string").alias("item_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = append_columns(rows, [T.StructField("windows", T.ArrayType(T.StringType()))], run, ["item_id"])
-    return made.select("item_id", F.explode("windows").alias("window")).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("ids"))
+    return made.select("item_id", F.explode("windows").alias("window")).select("window", "item_id").distinct()
 
 
 _machine: list = []  # the windows and automaton that this Python worker holds
@@ -110,14 +110,14 @@ def decontaminate(
 
     A window is `size` consecutive words of an item (all its words if fewer); a document word inside any occurrence
     of a window is hit. spans are the hit ranges as character offsets of the original text. One automaton of all
-    windows scans every text once, as long as they are at most windows_at_once and BYTES_AT_ONCE; more are dealt into
-    blocks by hash, and the texts are scanned for one block after the other, so that the driver and the workers hold
+    windows scans every text once, as long as they are at most windows_at_once and BYTES_AT_ONCE, ids and all; more are dealt into
+    blocks by hash of window and id, so that one window of many items is cut as well, and the texts are scanned for one block after the other, so that the driver and the workers hold
     one block at a time. Null and empty texts have no words and no hits; an item without words has no windows; an item
     without an id marks words but is not listed; ids that occur twice count once. Repeated document rows stay. Extra
     columns of docs stay (keep names those that do); clashing ones give way to the computed.
     """
     windows = staged(windows_of(items, item_id, item_text, size), "windows")
-    n, size_of = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    n, size_of = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window") + F.coalesce(F.octet_length("item_id"), F.lit(0))), F.lit(0))).first()
     blocks = max(1, -(-n // windows_at_once), -(-size_of // BYTES_AT_ONCE))
     sc = docs.sparkSession.sparkContext
     fields = [
@@ -126,8 +126,11 @@ def decontaminate(
     ]
 
     def shared(block: int):
-        part = windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == block) if blocks > 1 else windows
-        return sc.broadcast([(r.window, [i for i in r.ids if i is not None]) for r in part.collect()])
+        part = windows.where(F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)) == block) if blocks > 1 else windows
+        ids: dict[str, list[str]] = {}
+        for r in part.collect():
+            ids.setdefault(r.window, []).extend([] if r.item_id is None else [r.item_id])
+        return sc.broadcast(list(ids.items()))
 
     if blocks == 1:
         one = shared(0)
