@@ -126,7 +126,7 @@ def test_contained_long_pairs(spark):
     assert out <= 61  # of 60 pairs one may be lost
 
 
-@pytest.mark.parametrize("compared", [2, 5, 1024])
+@pytest.mark.parametrize("compared", [2, 1024])
 def test_large_blocks_lose_no_link(spark, monkeypatch, compared):
     """Pairs that pivots miss, as their block holds many other sets, are found whatever the size at which blocks are split."""
     monkeypatch.setattr(near, "COMPARED", compared)
@@ -139,3 +139,16 @@ def test_large_blocks_lose_no_link(spark, monkeypatch, compared):
         docs += [(2 * k, " ".join(shared + own)), (2 * k + 1, " ".join(shared + edited(rng, own, 1).split()))]
     ids, _ = brute(docs)
     assert sorted(r.doc_id for r in near.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == sorted(ids)
+
+
+@pytest.mark.parametrize("n", [3, 40, 500, 2000, 9000])
+def test_sketches_never_fall_far_below_the_similarity(n):
+    rng = np.random.default_rng(n)
+    for share in (0.5, 0.8, 0.85, 1.0):
+        values = np.unique(rng.integers(0, 1 << 63, 3 * n + 9, dtype=np.uint64))
+        rng.shuffle(values)
+        c = max(1, round(2 * n * share / (1 + share)))
+        a, b = np.sort(values[:n]), np.sort(np.concatenate([values[:c], values[n : 2 * n - c]]))
+        exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        found = near.sketched_similarity(near.sketch(a), near.sketch(b))
+        assert found == pytest.approx(exact) if n < near.SKETCH / 2 else found >= exact - near.MARGIN
