@@ -99,6 +99,25 @@ def near_licences(units: DataFrame, vectors: DataFrame, n_templates: int) -> Dat
     return best.select("u", "x.*")
 
 
+#: (1 + ln n) squared is at most this many times n.
+MOST_WEIGHT = 4 / math.e
+
+
+def may_be_near(tokens: Column, n_unknown: Column, weights: list[tuple], n_templates: int) -> Column:
+    """Whether a unit's own words leave room for a cosine of LEAST_COSINE, by how many no template has; it may be true where it needn't.
+
+    The square of the cosine is at most the share of words that templates have in the unit's squared length. Words of
+    a small idf are counted with the largest of these, others as if one template had them.
+    """
+    idf = {t: w for _, _, t, _, w, _ in weights}
+    unknown = math.log((1 + n_templates) / 2) + 1
+    small = sorted(t for t, w in idf.items() if w < unknown / 2)
+    count = lambda names: F.size(F.filter(tokens, lambda t: t.isin(*names)))
+    low = count(small) if small else F.lit(0)
+    known = MOST_WEIGHT * (low * max((idf[t] ** 2 for t in small), default=0.0) + (count(sorted(idf)) - low) * unknown**2)
+    return known >= (LEAST_COSINE - 1e-5) ** 2 * (known + n_unknown * unknown**2)
+
+
 def directory(path: Column) -> Column:
     """All but the last segment, '' at the top."""
     return F.regexp_extract(F.coalesce(path, F.lit("")), r"\A(.*)/[^/]*\z", 1)
@@ -143,9 +162,10 @@ def scan_licences(files: DataFrame, path: str = "path", text: str = "text", keep
     parts = whole.unionByName(some.select(row, F.lit(LINE).alias("kind"), F.explode(F.split("text", "\n")).alias("text"))).withColumn("tokens", tokens(F.col("text")))
     first = some.select(row, F.lit(OPENING).alias("kind"), "text", tokens(F.col("text")).alias("tokens")).where(F.size("tokens") >= LEAST_FILE_WORDS)
     parts = parts.unionByName(first.withColumn("tokens", F.transform(F.slice("tokens", 1, OPENING_WORDS), lambda w: F.concat(F.lit(OPENS), w))))
-    some = F.arrays_overlap("tokens", rare)
+    parts = parts.withColumn("n_unknown", F.size(F.array_except("tokens", words)))
+    some = F.arrays_overlap("tokens", rare) & may_be_near(F.col("tokens"), F.col("n_unknown"), weights, len(templates) + len(openings))
     # marked here and filtered as they are read: a filter here would be pushed down and split every text twice
-    parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"), F.size(F.array_except("tokens", words)).alias("n_unknown"))
+    parts = parts.select(row, "kind", F.when(some, F.md5(F.array_join("tokens", " "))).alias("u"), F.when(some, F.col("tokens")).alias("tokens"), "n_unknown")
     parts = staged(parts, "licence-parts", "zstd").where("u is not null")
     units = staged(parts.groupBy("u").agg(F.first("tokens").alias("tokens"), F.first("n_unknown").alias("n_unknown")).withColumn("n_tokens", F.size("tokens")), "licence-texts", "zstd")
     found = staged(near_licences(units, vectors, len(templates) + len(openings)), "licence-found")

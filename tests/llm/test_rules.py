@@ -1,9 +1,12 @@
 """Quality rules, URL filters, HTML extraction and licence scans: brute force, planted cases and edges."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinema.llm import html, licence_texts, licences, quality, urls
 
@@ -205,3 +208,24 @@ def test_long_licences_are_told_by_their_opening(spark):
         deep = rows[f"{name}/src/deep/a.c"]
         assert (deep.licence, deep.inherited_from) == (r.licence, name)
     assert not rows["guide/g.md"].is_licence_file and rows["guide/x/y.c"].licence is None
+
+
+def test_bound_by_unknown_words_loses_none(spark):
+    """Whatever is near a template may be near by the bound, and prose with a few of its words may not."""
+    weights, n = licences.template_weights(licences.TEMPLATES, licences.OPENINGS), len(licences.TEMPLATES) + len(licences.OPENINGS)
+    idf, unknown, rng = {t: w for _, _, t, _, w, _ in weights}, math.log((1 + n) / 2) + 1, random.Random(5)
+    vectors = {}
+    for i, _, t, w, _, _ in weights:
+        vectors.setdefault(i, {})[t] = w
+    units = []
+    for v in vectors.values():
+        for k in range(12):
+            words = [t for t in v for _ in range(rng.choice([1, 1, 1, 2, 5]))] + [f"new{rng.randint(0, 400)}" for _ in range(rng.choice([0, 1, len(v), 4 * len(v)]))]
+            words = rng.sample(words, max(1, round(len(words) * rng.uniform(0.3, 1))))
+            tf = Counter(words)
+            norm = math.sqrt(sum(((1 + math.log(c)) * idf.get(t, unknown)) ** 2 for t, c in tf.items()))
+            cosine = max(sum((1 + math.log(c)) * idf[t] * u.get(t, 0) for t, c in tf.items() if t in u) / norm for u in vectors.values())
+            units.append((words, len([t for t in tf if t not in idf]), cosine))
+    df = spark.createDataFrame(units, "tokens array<string>, n_unknown int, cosine double")
+    rows = df.select("cosine", licences.may_be_near(F.col("tokens"), F.col("n_unknown"), weights, n).alias("may")).collect()
+    assert all(r.may for r in rows if r.cosine >= licences.LEAST_COSINE) and sum(not r.may for r in rows) > len(rows) / 10
