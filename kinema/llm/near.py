@@ -1,4 +1,4 @@
-"""SimHash near-dedup at a similarity: blocks of SimHash bits over shingle samples, Hamming check, exact similarity."""
+"""SimHash near-dedup at a similarity: blocks of the fingerprint's bits, Hamming check, exact similarity, components."""
 
 from __future__ import annotations
 
@@ -18,15 +18,18 @@ from .graph import connected_components
 
 #: Words of a shingle, and the similarity of a pair, as a fraction: 4 of 5.
 WIDTH, ABOVE, BELOW = 5, 4, 5
-#: Blocks of a fingerprint, and shingles in the sample of a block.
-BLOCKS, SAMPLE = 24, 6
-#: Sets of up to MEDIUM shingles have blocks of samples of MEDIUM_SAMPLE, those from LARGE on of SAMPLE; sizes between have
-#: both, as two similar sets may lie on either side. Sets of LEAST to SMALL shingles have themselves and themselves without
-#: any one shingle as blocks, smaller ones none: only equal sets are similar to them.
-LEAST, SMALL, MEDIUM, MEDIUM_SAMPLE, LARGE = 4, 9, 24, 4, 20
 #: Words of 64 bits in a fingerprint, and bits in which those of a pair may differ; at the similarity they differ in 39 of
 #: 256 on average, with a deviation of 6. Votes of small sets are closer: up to MEDIUM shingles more bits may differ.
-WORDS, DISTANCE, MEDIUM_DISTANCE = 4, 63, 104
+WORDS, DISTANCE, MEDIUM, MEDIUM_DISTANCE = 4, 63, 24, 104
+#: Blocks that a fingerprint is cut into, and bits of a block.
+BLOCKS, BITS = 16, 16
+#: Bits of a block whose votes were the closest, that are also taken as turned, by the shingles that a set has at least; the
+#: votes of few shingles are often even. Sets of fewer than the first of them have no blocks: only equal sets are similar to them.
+TURNS = ((4, 5), (12, 4), (MEDIUM + 1, 2))
+#: Words of a fingerprint that its rows carry while blocks are met, and bits in which those of a pair may differ.
+CARRIED, CARRIED_DISTANCE, CARRIED_MEDIUM = 2, 38, 52
+#: Rows of blocks that are compared at once.
+ROWS = 1 << 16
 #: Documents of a block that its others are compared with first, by round; other ones each round.
 PIVOTS = (1, 4, 16)
 #: Sets of a block that are all compared with each other; larger blocks are split by the other blocks of their sets.
@@ -37,8 +40,6 @@ SKETCH, MARGIN = 512, 0.1
 #: Bytes of shingle sets that a Python worker remembers while it compares.
 REMEMBERED = 64 << 20
 
-SEEDS = np.random.default_rng(42).integers(1, 1 << 63, BLOCKS, dtype=np.uint64)
-
 
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct XXH64 values, unsigned, of a text's shingles; of all its words if they are fewer."""
@@ -52,46 +53,48 @@ def set_key(values: np.ndarray) -> int:
     return int(np.array([xxhash.xxh64_intdigest(values.tobytes())], np.uint64).view(np.int64)[0])
 
 
-def simhash(values: np.ndarray) -> np.ndarray:
-    """SimHash words of the last axis: a bit is 1 if set in over half of the values."""
-    bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8).reshape(*values.shape, 8), axis=-1)
-    return np.packbits(2 * bits.sum(-2, dtype=np.int32) > values.shape[-1], axis=-1).view(np.uint64)[..., 0]
+def _votes(values: np.ndarray) -> np.ndarray:
+    """For each bit of the SimHash, the shingles in whose hash it is set less those in whose it isn't."""
+    mixed = values * np.array([[0x9E3779B97F4A7C15], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], np.uint64)[:WORDS]
+    mixed ^= mixed >> np.uint64(32)
+    bits = np.unpackbits(mixed.view(np.uint8).reshape(WORDS, -1, 8), axis=-1)
+    return 2 * bits.sum(1, dtype=np.int32).ravel() - len(values)
+
+
+def _of_votes(votes: np.ndarray) -> np.ndarray:
+    return np.packbits(votes > 0).view(np.int64)
 
 
 def fingerprint(values: np.ndarray) -> np.ndarray:
-    """The SimHash of a shingle set, WORDS signed words long."""
-    mixed = values * np.array([[0x9E3779B97F4A7C15], [0xBF58476D1CE4E5B9], [0x94D049BB133111EB], [0xD6E8FEB86659FD93]], np.uint64)[:WORDS]
-    mixed ^= mixed >> np.uint64(32)
-    return simhash(mixed).view(np.int64)
+    """The SimHash of a shingle set, WORDS signed words long: a bit is 1 if set in over half of the hashes."""
+    return _of_votes(_votes(values))
+
 
+def _turns(votes: np.ndarray, n: int) -> bytes:
+    """Which bits of each block are also taken as turned, block by block: those of the closest votes."""
+    turned = next((t for least, t in reversed(TURNS) if n >= least), 0)
+    if not turned:
+        return b""
+    return np.argsort(np.abs(votes[: BLOCKS * BITS]).reshape(BLOCKS, BITS), axis=1, kind="stable")[:, :turned].astype(np.uint8).tobytes()
 
-def _first(values: np.ndarray, seed: np.uint64, size: int) -> np.ndarray:
-    """The `size` values that come first in the order of a seed."""
-    order = (values ^ seed) * np.uint64(0x9E3779B97F4A7C15)
-    order ^= order >> np.uint64(29)
-    order *= np.uint64(0xBF58476D1CE4E5B9)
-    if len(values) > 64 * size:  # of many, only low ones are looked at; if too few are low, all
-        low = np.flatnonzero(order < np.uint64((1 << 64) // len(values) * 8 * size))
-        if len(low) >= size:
-            return values[low[np.argpartition(order[low], size - 1)[:size]]]
-    return values[np.argpartition(order, size - 1)[:size]]
+
+def _blocks(fps: np.ndarray, turns: np.ndarray) -> np.ndarray:
+    """The blocks of fingerprints (a row each), with any of a block's turns (fingerprint, block, bit) taken, as numbers."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1)[:, : BLOCKS * BITS].reshape(len(fps), BLOCKS, BITS)
+    out = (bits @ (1 << np.arange(BITS, dtype=np.int32)) | np.arange(BLOCKS, dtype=np.int32) << BITS)[..., None]
+    for i in range(turns.shape[2]):
+        out = np.concatenate([out, out ^ np.int32(1) << turns[..., i : i + 1].astype(np.int32)], axis=2)
+    return out.reshape(len(fps), -1)
 
 
 def block_words(values: np.ndarray) -> np.ndarray:
-    """The distinct blocks of a shingle set: each the SimHash of the shingles that come first in an order of its own.
+    """The blocks of a shingle set: those of its SimHash, and the same with bits of the closest votes turned.
 
-    Two sets of similarity s share a block if its sample is in both: with a chance of about s ** SAMPLE a block.
+    Two sets are candidates if they have a block in common: a block's bits are equal but for such that either votes on closely.
     """
-    n, out = len(values), []
-    if LEAST <= n <= SMALL:
-        out += [values] + [np.delete(values, i) for i in range(n) if n > LEAST]
-    for size, fits in ((MEDIUM_SAMPLE, SMALL - 1 <= n <= MEDIUM), (SAMPLE, n >= LARGE)):
-        if fits:
-            out += [_first(values, seed, size) for seed in SEEDS]
-    by_size: dict[int, list[np.ndarray]] = {}
-    for x in out:
-        by_size.setdefault(len(x), []).append(x)
-    return np.unique(np.concatenate([simhash(np.stack(x)) for x in by_size.values()])) if out else np.zeros(0, np.uint64)
+    votes = _votes(values)
+    turns = np.frombuffer(_turns(votes, len(values)), np.uint8)
+    return _blocks(_of_votes(votes)[None], turns.reshape(1, BLOCKS, -1))[0] if len(turns) else np.zeros(0, np.int32)
 
 
 def sketch(values: np.ndarray) -> np.ndarray:
@@ -144,20 +147,91 @@ def _near_in_block(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, parts:
                     root[find(parts[i])] = find(parts[j])
 
 
-KEYED = [T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("blocks", T.ArrayType(T.LongType()))]
+KEYED = [T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("turns", T.BinaryType())]
 
 
-def with_blocks(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep, key, n, fp, blocks): the shingle set's key, size, fingerprint and blocks of every text."""
+def with_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """(keep, key, n, fp, turns): the shingle set's key, size, fingerprint and turns of its blocks of every text."""
 
     def run(batch: pa.RecordBatch) -> list:
         sets = [shingle_set(x) for x in utf8(batch.column(batch.schema.names.index(text)))]
-        fps = pa.array([fingerprint(x) for x in sets], pa.list_(pa.int64()))
-        return [[set_key(x) for x in sets], [len(x) for x in sets], fps, pa.array([block_words(x).view(np.int64) for x in sets], pa.list_(pa.int64()))]
+        votes = [_votes(x) for x in sets]
+        fps = pa.array([_of_votes(x) for x in votes], pa.list_(pa.int64()))
+        return [[set_key(x) for x in sets], [len(x) for x in sets], fps, [_turns(x, len(y)) for x, y in zip(votes, sets, strict=True)]]
 
     return append_columns(docs, KEYED, run, keep)
 
 
+def _listed(groups: DataFrame) -> DataFrame:
+    """(block, key, n, f0, ...): every set under each of its blocks, with CARRIED words of its fingerprint."""
+    words = [f"f{i}" for i in range(CARRIED)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n, fp, turns = (batch.column(batch.schema.names.index(c)) for c in ("key", "n", "fp", "turns"))
+            key, n, fp, turns = key.to_numpy(), n.to_numpy(), fp.flatten().to_numpy().reshape(-1, WORDS), turns.to_pylist()
+            sizes = np.array([len(x) for x in turns])
+            for size in np.unique(sizes[sizes > 0]).tolist():
+                at = np.flatnonzero(sizes == size)
+                blocks = _blocks(fp[at], np.frombuffer(b"".join(turns[i] for i in at), np.uint8).reshape(len(at), BLOCKS, -1))
+                each = np.repeat(at, blocks.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (blocks.ravel(), key[each], n[each], *(fp[each, i] for i in range(CARRIED)))], names=["block", "key", "n", *words])
+
+    return groups.select("key", "n", "fp", "turns").mapInArrow(run, "block int, key long, n int, " + ", ".join(f"{w} long" for w in words))
+
+
+def _have_near(block: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which rows have another one of their block that may be near, by size and by Hamming distance of the words carried.
+
+    Rows are in order of (block, n). Each is compared with those after it, one place further on at a time, as far as
+    block and size allow; pairs of rows that both have one already are passed over.
+    """
+    out = np.zeros(len(block), bool)
+    most = np.where(n <= MEDIUM, CARRIED_MEDIUM, CARRIED_DISTANCE)
+    at, d = np.arange(len(block)), 1
+    while len(at):
+        at = at[at + d < len(block)]
+        at = at[(block[at] == block[at + d]) & (n[at] * BELOW >= n[at + d] * ABOVE)]
+        i = at[~(out[at] & out[at + d])]
+        i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= most[i]]
+        out[i] = out[i + d] = True
+        d += 1
+    return out
+
+
+def _met(listed: DataFrame) -> DataFrame:
+    """(block, key) of the listed rows that have another one in their block that may be near; a block goes to one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def compared(last: bool) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            block = rows["block"].to_numpy()
+            ends = len(block) if last else int(np.searchsorted(block == block[-1], True))  # the last block may go on
+            if ends < len(block):
+                held.extend(rows.slice(ends).combine_chunks().to_batches())
+            rows = rows.slice(0, ends)
+            words = np.stack([rows[f"f{i}"].to_numpy().view(np.uint64) for i in range(CARRIED)], axis=1)
+            at = np.flatnonzero(_have_near(block[:ends], rows["n"].to_numpy().astype(np.int64), words))
+            return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[at]) for c in ("block", "key")], names=["block", "key"])
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size >= ROWS and held[0].column(0)[0] != batch.column(0)[-1]:
+                yield compared(False)
+                size = sum(x.num_rows for x in held)
+        if held:
+            yield compared(True)
+
+    return listed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "block int, key long")
+
+
 def _may_be_near(a: Column, b: Column) -> Column:
     """Whether rows with (n, fp) can be similar enough, by sizes and by Hamming distance."""
     differ = sum((F.bit_count(a["fp"][i].bitwiseXOR(b["fp"][i])) for i in range(WORDS)), F.lit(0))
@@ -270,7 +344,7 @@ def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, deep: int
     """(a, b): what pivots have left: the sets of blocks that still hold several parts; words: (key, other), the blocks of each set.
 
     A block of over COMPARED sets is split: similar sets of a block share others as well, so that its sets are compared
-    within the blocks of pairs of blocks, then of three, and then by a join.
+    within the blocks of pairs of blocks, then of three, and then by a join. What shares no other block is left to _left_pairs.
     """
     mixed = rows.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p <> q").select("block", "m")
     here = staged(rows.join(mixed, "block"), "near-mixed")
@@ -286,25 +360,34 @@ def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, deep: int
     return small.unionByName(_rest_pairs(split, words, packed, deep - 1))
 
 
+def _left_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): all pairs of blocks of over COMPARED sets that are of different parts after all, if near by Hamming distance."""
+    large = rows.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p <> q").where(F.col("m") > COMPARED)
+    here = staged(rows.join(large.select("block"), "block"), "near-left")
+    a, b = (here.select("block", F.struct("key", "n", "fp", "part").alias(x)) for x in "ab")
+    near = (F.col("a.key") < F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _may_be_near(F.col("a"), F.col("b"))
+    return a.join(b, "block").where(near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+
+
 def near_groups(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Components (node, component) of links between sets of at least 0.8 similarity; groups: (key, rep, n, fp, blocks) of distinct sets.
+    """Components (node, component) of links between sets of at least 0.8 similarity; groups: (key, rep, n, fp, turns) of distinct sets.
 
-    Sets that share a block are candidates. In some rounds, the sets of a block are compared with a few of them, other ones
+    Sets that share a block of their fingerprints, and are near by Hamming distance, are candidates. In some rounds, the sets of a block are compared with a few of them, other ones
     each round, if links don't join them already: that makes one part of a group of copies without all its pairs. Then
-    all pairs of sets of a block that are still of different parts are compared, in one task with the sets' sketches. Pairs
-    are checked by size and Hamming distance of fingerprints, and then by their texts.
+    all pairs of sets of a block that are still of different parts are compared, in one task with the sets' sketches, and those
+    of large blocks by a join. Pairs are checked by size and Hamming distance of fingerprints, and then by their texts.
     """
-    listed = groups.select("key", "rep", "n", "fp", F.explode("blocks").alias("block"))
-    shared = listed.groupBy("block").agg(F.count("*").alias("m")).where("m > 1").select("block")
-    rows = staged(listed.join(shared, "block"), "near-blocks")
+    met = _met(_listed(groups)).select(F.col("block").cast("long").alias("block"), "key")
+    rows = staged(met.join(groups.select("key", "rep", "n", "fp"), "key"), "near-blocks")
     packed = _packed_texts(rows.select("key", "rep").distinct(), docs)
     links, parts = None, rows.sparkSession.createDataFrame([], "node long, component long")
 
     def parted() -> DataFrame:
         return rows.join(parts, F.col("key") == F.col("node"), "left").select("block", "key", "n", "fp", F.coalesce("component", "key").alias("part"))
 
-    for turn in range(len(PIVOTS) + 1):
-        pairs = _pairs(parted(), turn) if turn < len(PIVOTS) else _rest_pairs(parted(), rows.select("key", F.col("block").alias("other")), packed)
+    rest = [lambda: _rest_pairs(parted(), rows.select("key", F.col("block").alias("other")), packed), lambda: _left_pairs(parted())]
+    for pairs_of in [*[lambda t=t: _pairs(parted(), t) for t in range(len(PIVOTS))], *rest]:
+        pairs = pairs_of()
         found = staged(_verified(pairs, packed), "near-links")
         links = found if links is None else links.unionByName(found)
         parts = staged(connected_components(links), "near-parts")
@@ -330,13 +413,13 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """The documents with one of each near-duplicate group kept, that with the smallest id, all columns as they were.
 
     Groups are the components of links between texts whose sets of five-word shingles (A-Z in lower case, white space
-    as one space) have a Jaccard similarity of 0.8 or more and blocks in common, which pairs just at 0.8 have in over 99 of 100
-    cases whatever their length, and closer ones nearly always. Equal sets always are one group, null and empty texts among them. Of repeated rows of an
+    as one space) have a Jaccard similarity of 0.8 or more and SimHash blocks in common, which pairs just at 0.8 have in over 99 of
+    100 cases whatever their length, and closer ones nearly always. Equal sets always are one group, null and empty texts among them. Of repeated rows of an
     id one stays. Rows without an id stay only if their whole group has none. An empty table gives an empty result.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keyed = staged(with_blocks(rows, "text", ["doc_id"]), "near-sets")
-    groups = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "blocks")]), "near-groups")
+    keyed = staged(with_fingerprints(rows, "text", ["doc_id"]), "near-sets")
+    groups = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "turns")]), "near-groups")
     parts = near_groups(groups, rows).select(F.col("node").alias("key"), "component")
     named = groups.select("key", "rep").join(parts, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))

@@ -152,3 +152,38 @@ def test_sketches_never_fall_far_below_the_similarity(n):
         exact = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
         found = near.sketched_similarity(near.sketch(a), near.sketch(b))
         assert found == pytest.approx(exact) if n < near.SKETCH / 2 else found >= exact - near.MARGIN
+
+
+@pytest.mark.parametrize("n", [1, 3, 4, 20, 300])
+def test_blocks_are_bits_of_the_fingerprint(n):
+    """Every block is one of the whole fingerprint's, but for bits on which the shingles vote closest."""
+    values = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n, dtype=np.uint64))
+    bits = np.unpackbits(near.fingerprint(values).view(np.uint8))[: near.BLOCKS * near.BITS].reshape(near.BLOCKS, near.BITS)
+    whole = [sum(int(x) << i for i, x in enumerate(row)) for row in bits]
+    turned = {1: 0, 3: 0, 4: 5, 20: 4, 300: 2}[n]
+    blocks = near.block_words(values).tolist()
+    assert len(set(blocks)) == len(blocks) == (near.BLOCKS << turned if n >= 4 else 0)
+    for i, own in enumerate(whole if blocks else []):
+        listed = [x & (1 << near.BITS) - 1 for x in blocks if x >> near.BITS == i]
+        assert own in listed and len(listed) == 1 << turned
+        assert max((x ^ own).bit_count() for x in listed) == turned
+        votes = np.abs(near._votes(values)[i * near.BITS : (i + 1) * near.BITS])
+        free = [k for k in range(near.BITS) if any((x ^ own) >> k & 1 for x in listed)]
+        assert votes[free].max() <= np.delete(votes, free).min()
+
+
+def test_rows_with_a_near_one_by_brute_force():
+    rng = np.random.default_rng(4)
+    block, n = np.sort(rng.integers(0, 30, 600)), rng.integers(4, 60, 600)
+    order = np.lexsort((n, block))
+    n, words = n[order], rng.integers(0, 1 << 63, (600, near.CARRIED), dtype=np.uint64)
+    for i in rng.choice(599, 150, replace=False):  # near ones, and ones that are near by bits alone
+        words[i + 1] = words[i] ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, 24, dtype=np.uint64))
+    expected = np.zeros(600, bool)
+    for i in range(600):
+        for j in range(i):
+            most = near.CARRIED_MEDIUM if min(n[i], n[j]) <= near.MEDIUM else near.CARRIED_DISTANCE
+            if block[i] == block[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and sum(int(x).bit_count() for x in words[i] ^ words[j]) <= most:
+                expected[i] = expected[j] = True
+    found = near._have_near(block, n, words)
+    assert 20 < expected.sum() < 580 and found.tolist() == expected.tolist()
