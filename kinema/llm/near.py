@@ -28,9 +28,12 @@ BLOCKS, BITS = 16, 16
 TURNS = ((4, 5), (12, 4), (MEDIUM + 1, 2))
 #: Words of a fingerprint that its rows carry while blocks are met, and bits in which those of a pair may differ.
 CARRIED, CARRIED_DISTANCE, CARRIED_MEDIUM = 2, 38, 52
+#: Words of an odd sketch, and shingles up to which sets have one: of sets that are similar, at most so many shingles are in one
+#: alone that those of chance and of a common passage differ in far more bits.
+ODD, SMALL = 2, 160
 #: Rows of blocks that are compared at once.
 ROWS = 1 << 16
-#: Documents of a block that its others are compared with first, by round; other ones each round.
+#: Documents of a block of over COMPARED sets that its others are compared with first, by round; other ones each round.
 PIVOTS = (1, 4, 16)
 #: Sets of a block that are all compared with each other; larger blocks are split by the other blocks of their sets.
 COMPARED = 1_024
@@ -97,6 +100,14 @@ def block_words(values: np.ndarray) -> np.ndarray:
     return _blocks(_of_votes(votes)[None], turns.reshape(1, BLOCKS, -1))[0] if len(turns) else np.zeros(0, np.int32)
 
 
+def odd_sketch(values: np.ndarray) -> bytes:
+    """ODD words of bits, each 1 if an odd number of the set's shingles has its place. Sets differ in no more bits than shingles."""
+    mixed = values * np.uint64(0xBF58476D1CE4E5B9)
+    mixed ^= mixed >> np.uint64(32)
+    places = mixed * np.uint64(0x94D049BB133111EB) >> np.uint64(32)
+    return np.packbits(np.bincount((places % np.uint64(64 * ODD)).astype(np.int64), minlength=64 * ODD) & 1).tobytes()
+
+
 def sketch(values: np.ndarray) -> np.ndarray:
     """The smallest SKETCH distinct 32-bit hashes of a shingle set, sorted."""
     mixed = values * np.uint64(0xD6E8FEB86659FD93)
@@ -116,11 +127,12 @@ def sketched_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.isin(low, both[1:][twice], assume_unique=True).sum() / len(low)
 
 
-def _near_in_block(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, parts: list[int], sketches: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+def _near_in_block(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, parts: list[int], sketches: list[np.ndarray], first: bool) -> Iterator[tuple[int, int]]:
     """Pairs (places) of a block's sets that differ in part and may be similar, by size, Hamming distance and sketch.
 
     Where sketches are whole sets, a pair that is similar by them joins the parts of its sets: more pairs of these wouldn't change
-    what is connected. The least pairs that connect them are given, and all pairs of larger sets.
+    what is connected. Of larger sets, at first only pairs that are similar by estimate are given, and join parts as well, so
+    that a group of copies has few pairs; later, when parts are of links that are sure, all pairs that may be similar.
     """
     root = {p: p for p in parts}
 
@@ -138,69 +150,113 @@ def _near_in_block(keys: np.ndarray, sizes: np.ndarray, fps: np.ndarray, parts:
             if parts[i] == parts[j]:
                 continue
             a, b = sketches[i], sketches[j]
-            whole = len(a) < SKETCH and len(b) < SKETCH
-            if whole and find(parts[i]) == find(parts[j]):
+            joins = first or len(a) < SKETCH and len(b) < SKETCH
+            if joins and find(parts[i]) == find(parts[j]):
                 continue
-            if sketched_similarity(a, b) >= ABOVE / BELOW - (1e-9 if whole else MARGIN):
+            if sketched_similarity(a, b) >= ABOVE / BELOW - (1e-9 if joins else MARGIN):
                 yield i, j
-                if whole:
+                if joins:
                     root[find(parts[i])] = find(parts[j])
 
 
-KEYED = [T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("turns", T.BinaryType())]
+KEYED = [T.StructField("key", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("turns", T.BinaryType()), T.StructField("odd", T.BinaryType())]
 
 
 def with_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """(keep, key, n, fp, turns): the shingle set's key, size, fingerprint and turns of its blocks of every text."""
+    """(keep, key, n, fp, turns, odd): the shingle set's key, size, fingerprint, turns of its blocks and odd sketch of every text."""
 
     def run(batch: pa.RecordBatch) -> list:
         sets = [shingle_set(x) for x in utf8(batch.column(batch.schema.names.index(text)))]
         votes = [_votes(x) for x in sets]
         fps = pa.array([_of_votes(x) for x in votes], pa.list_(pa.int64()))
-        return [[set_key(x) for x in sets], [len(x) for x in sets], fps, [_turns(x, len(y)) for x, y in zip(votes, sets, strict=True)]]
+        turns = [_turns(x, len(y)) for x, y in zip(votes, sets, strict=True)]
+        return [[set_key(x) for x in sets], [len(x) for x in sets], fps, turns, [odd_sketch(x) if len(x) <= SMALL else b"" for x in sets]]
 
     return append_columns(docs, KEYED, run, keep)
 
 
 def _listed(groups: DataFrame) -> DataFrame:
-    """(block, key, n, f0, ...): every set under each of its blocks, with CARRIED words of its fingerprint."""
-    words = [f"f{i}" for i in range(CARRIED)]
+    """(block, key, n, f0, ..., o0, ...): every set under each of its blocks, with CARRIED words of its fingerprint and its odd sketch, 0 if it has none."""
+    names = [f"f{i}" for i in range(CARRIED)] + [f"o{i}" for i in range(ODD)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, n, fp, turns = (batch.column(batch.schema.names.index(c)) for c in ("key", "n", "fp", "turns"))
+            key, n, fp, turns, odd = (batch.column(batch.schema.names.index(c)) for c in ("key", "n", "fp", "turns", "odd"))
             key, n, fp, turns = key.to_numpy(), n.to_numpy(), fp.flatten().to_numpy().reshape(-1, WORDS), turns.to_pylist()
+            odd = np.frombuffer(b"".join(x or bytes(8 * ODD) for x in odd.to_pylist()), np.int64).reshape(-1, ODD)
+            words = [*(fp[:, i] for i in range(CARRIED)), *(odd[:, i] for i in range(ODD))]
             sizes = np.array([len(x) for x in turns])
             for size in np.unique(sizes[sizes > 0]).tolist():
                 at = np.flatnonzero(sizes == size)
                 blocks = _blocks(fp[at], np.frombuffer(b"".join(turns[i] for i in at), np.uint8).reshape(len(at), BLOCKS, -1))
                 each = np.repeat(at, blocks.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (blocks.ravel(), key[each], n[each], *(fp[each, i] for i in range(CARRIED)))], names=["block", "key", "n", *words])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (blocks.ravel(), key[each], n[each], *(w[each] for w in words))], names=["block", "key", "n", *names])
 
-    return groups.select("key", "n", "fp", "turns").mapInArrow(run, "block int, key long, n int, " + ", ".join(f"{w} long" for w in words))
+    return groups.select("key", "n", "fp", "turns", "odd").mapInArrow(run, "block int, key long, n int, " + ", ".join(f"{w} long" for w in names))
 
 
-def _have_near(block: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Which rows have another one of their block that may be near, by size and by Hamming distance of the words carried.
+def _near_parts(block: np.ndarray, n: np.ndarray, words: np.ndarray, odd: np.ndarray | None = None) -> np.ndarray:
+    """The part of each row: rows of a block that may be near, by size and by Hamming distance of the words carried and of odd sketches, are of one part.
 
     Rows are in order of (block, n). Each is compared with those after it, one place further on at a time, as far as
-    block and size allow; pairs of rows that both have one already are passed over.
+    block and size allow; pairs of rows that are of one part already are passed over.
     """
-    out = np.zeros(len(block), bool)
+    part = np.arange(len(block))
     most = np.where(n <= MEDIUM, CARRIED_MEDIUM, CARRIED_DISTANCE)
     at, d = np.arange(len(block)), 1
     while len(at):
         at = at[at + d < len(block)]
         at = at[(block[at] == block[at + d]) & (n[at] * BELOW >= n[at + d] * ABOVE)]
-        i = at[~(out[at] & out[at + d])]
+        i = at[part[at] != part[at + d]]
         i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= most[i]]
-        out[i] = out[i + d] = True
+        if odd is not None:
+            alone = (n[i] + n[i + d]) * (BELOW - ABOVE) // (ABOVE + BELOW)  # shingles that one of a pair just similar has alone
+            i = i[(n[i + d] > SMALL) | (np.bitwise_count(odd[i] ^ odd[i + d]).sum(axis=1, dtype=np.int32) <= alone)]
+        if len(i):
+            root: dict[int, int] = {}
+
+            def find(p: int, root: dict[int, int] = root) -> int:
+                while root.setdefault(p, p) != p:
+                    root[p] = root[root[p]]
+                    p = root[p]
+                return p
+
+            for a, b in zip(part[i].tolist(), part[i + d].tolist(), strict=True):
+                root[find(a)] = find(b)
+            of = np.arange(len(block))
+            of[list(root)] = [find(p) for p in list(root)]
+            part = of[part]
         d += 1
-    return out
+    return part
+
+
+def _have_near(block: np.ndarray, n: np.ndarray, words: np.ndarray, odd: np.ndarray | None = None) -> np.ndarray:
+    """Which rows, in order of (block, n), have another one of their block that may be near."""
+    part = _near_parts(block, n, words, odd)
+    return np.bincount(part)[part] > 1
+
+
+def _named_parts(block: np.ndarray, key: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(names, keys) of the rows whose part has several: a part is named by a hash of its keys, so that equal parts of other blocks have one name.
+
+    Parts of over COMPARED sets are named by their block, too, as these are told apart by their sets' other parts. Parts that
+    have one name by chance are compared as one, which loses nothing.
+    """
+    at = np.flatnonzero(np.bincount(part, minlength=1)[part] > 1)
+    at = at[np.argsort(part[at], kind="stable")]
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, begins = key[at], np.flatnonzero(np.diff(part[at], prepend=-1))
+    sizes = np.diff(begins, append=len(at))
+    mixed = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    names = np.add.reduceat(mixed * np.uint64(0xBF58476D1CE4E5B9), begins)
+    names ^= np.where(sizes > COMPARED, block[at[begins]] + 1, 0).astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    return np.repeat(names, sizes).view(np.int64), keys
 
 
 def _met(listed: DataFrame) -> DataFrame:
-    """(block, key) of the listed rows that have another one in their block that may be near; a block goes to one task."""
+    """(block, key): the parts of blocks, by name, of sets that may be near, and their sets; a block goes to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -213,9 +269,9 @@ def _met(listed: DataFrame) -> DataFrame:
             if ends < len(block):
                 held.extend(rows.slice(ends).combine_chunks().to_batches())
             rows = rows.slice(0, ends)
-            words = np.stack([rows[f"f{i}"].to_numpy().view(np.uint64) for i in range(CARRIED)], axis=1)
-            at = np.flatnonzero(_have_near(block[:ends], rows["n"].to_numpy().astype(np.int64), words))
-            return pa.RecordBatch.from_arrays([pa.array(rows[c].to_numpy()[at]) for c in ("block", "key")], names=["block", "key"])
+            words, odd = (np.stack([rows[f"{c}{i}"].to_numpy().view(np.uint64) for i in range(k)], axis=1) for c, k in (("f", CARRIED), ("o", ODD)))
+            part = _near_parts(block[:ends], rows["n"].to_numpy().astype(np.int64), words, odd)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _named_parts(block[:ends], rows["key"].to_numpy(), part)], names=["block", "key"])
 
         size = 0
         for batch in batches:
@@ -229,7 +285,7 @@ def _met(listed: DataFrame) -> DataFrame:
         if held:
             yield compared(True)
 
-    return listed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "block int, key long")
+    return listed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "block long, key long").distinct()
 
 
 def _may_be_near(a: Column, b: Column) -> Column:
@@ -276,17 +332,18 @@ def _verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
 
 
 def _packed_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
-    """(key, z): one compressed text for each of the (key, rep) rows; docs: (doc_id, text)."""
+    """(key, z, sketch): one compressed text, and the sketch of its set, for each of the (key, rep) rows; docs: (doc_id, text)."""
 
     def run(batch: pa.RecordBatch) -> list:
         pack = zstandard.ZstdCompressor(level=1).compress
         raw = utf8(batch.column(batch.schema.names.index("text")))
-        return [[set_key(shingle_set(x)) for x in raw], [pack(x) for x in raw]]
+        sets = [shingle_set(x) for x in raw]
+        return [[set_key(x) for x in sets], [pack(x) for x in raw], pa.array([sketch(x).view(np.int32) for x in sets], pa.list_(pa.int32()))]
 
     reps = keys.select(F.col("rep").alias("__rep")).distinct()
     texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
-    made = append_columns(texts, [T.StructField("key", T.LongType()), T.StructField("z", T.BinaryType())], run, [])
-    return staged(made.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.first("z").alias("z")), "near-texts")
+    made = append_columns(texts, [T.StructField("key", T.LongType()), T.StructField("z", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.IntegerType()))], run, [])
+    return staged(made.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("z", "sketch")]), "near-texts")
 
 
 def _pairs(rows: DataFrame, turn: int) -> DataFrame:
@@ -299,20 +356,9 @@ def _pairs(rows: DataFrame, turn: int) -> DataFrame:
     return pairs.select(F.least("key", "first.key").alias("a"), F.greatest("key", "first.key").alias("b"))
 
 
-def _sketches(keys: DataFrame, packed: DataFrame) -> DataFrame:
-    """(key, sketch) of the sets named by keys (key); packed: (key, z) with compressed texts."""
-
-    def run(batch: pa.RecordBatch) -> list:
-        unpack = zstandard.ZstdDecompressor().decompress
-        return [pa.array([sketch(shingle_set(unpack(z))).view(np.int32) for z in batch.column(batch.schema.names.index("z")).to_pylist()], pa.list_(pa.int32()))]
-
-    return append_columns(packed.join(keys, "key", "left_semi"), [T.StructField("sketch", T.ArrayType(T.IntegerType()))], run, ["key"])
-
-
-def _all_pairs(rows: DataFrame, packed: DataFrame) -> DataFrame:
+def _all_pairs(rows: DataFrame, packed: DataFrame, first: bool) -> DataFrame:
     """(a, b): pairs of sets of a block that differ in part and may be similar; a block goes to one task, with its sets' sketches."""
-    sketches = staged(_sketches(rows.select("key").distinct(), packed), "near-sketches")
-    whole = rows.select("block", "key", "n", "fp", "part").join(sketches, "key")
+    whole = rows.select("block", "key", "n", "fp", "part").join(packed.select("key", "sketch"), "key")
     size = rows.count()
     dealt = whole.repartition(max(1, size // 20_000), "block").sortWithinPartitions("block", "key")
 
@@ -321,14 +367,16 @@ def _all_pairs(rows: DataFrame, packed: DataFrame) -> DataFrame:
 
         def compared() -> pa.RecordBatch:
             keys, sizes, fps, parts, sketches = zip(*held, strict=True)
-            pairs = list(_near_in_block(np.array(keys), np.array(sizes, np.int64), np.array(fps, np.int64).view(np.uint64), list(parts), [np.array(x, np.int32).view(np.uint32) for x in sketches]))
+            pairs = list(_near_in_block(np.array(keys), np.array(sizes, np.int64), np.array(fps, np.int64).view(np.uint64), list(parts), list(sketches), first))
             at = [(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in pairs]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in at], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         block = None
         for batch in batches:
             get = lambda c, batch=batch: batch.column(batch.schema.names.index(c))
-            for b, key, n, fp, part, values in zip(get("block").to_pylist(), get("key").to_pylist(), get("n").to_pylist(), get("fp").to_pylist(), get("part").to_pylist(), get("sketch").to_pylist(), strict=True):
+            ends = np.cumsum(get("sketch").value_lengths().to_numpy())
+            sketches = np.split(get("sketch").flatten().to_numpy().view(np.uint32), ends[:-1])
+            for b, key, n, fp, part, values in zip(get("block").to_pylist(), get("key").to_pylist(), get("n").to_pylist(), get("fp").to_pylist(), get("part").to_pylist(), sketches, strict=True):
                 if b != block and held:
                     yield compared()
                     held.clear()
@@ -340,8 +388,8 @@ def _all_pairs(rows: DataFrame, packed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, deep: int = 2) -> DataFrame:
-    """(a, b): what pivots have left: the sets of blocks that still hold several parts; words: (key, other), the blocks of each set.
+def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, first: bool, deep: int = 2) -> DataFrame:
+    """(a, b): pairs of the sets of blocks that hold several parts; words: (key, other), the blocks of each set.
 
     A block of over COMPARED sets is split: similar sets of a block share others as well, so that its sets are compared
     within the blocks of pairs of blocks, then of three, and then by a join. What shares no other block is left to _left_pairs.
@@ -349,7 +397,7 @@ def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, deep: int
     mixed = rows.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("m")).where("p <> q").select("block", "m")
     here = staged(rows.join(mixed, "block"), "near-mixed")
     large = here.where(F.col("m") > COMPARED)
-    small = _all_pairs(here.where(F.col("m") <= COMPARED), packed)
+    small = _all_pairs(here.where(F.col("m") <= COMPARED), packed, first)
     if large.isEmpty():
         return small
     if deep == 0:
@@ -357,7 +405,7 @@ def _rest_pairs(rows: DataFrame, words: DataFrame, packed: DataFrame, deep: int
         near = (F.col("a.key") < F.col("b.key")) & (F.col("a.part") != F.col("b.part")) & _may_be_near(F.col("a"), F.col("b"))
         return small.unionByName(a.join(b, "block").where(near).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")))
     split = large.drop("m").join(words, "key").where("block <> other").withColumn("block", F.xxhash64("block", "other")).drop("other")
-    return small.unionByName(_rest_pairs(split, words, packed, deep - 1))
+    return small.unionByName(_rest_pairs(split, words, packed, first, deep - 1))
 
 
 def _left_pairs(rows: DataFrame) -> DataFrame:
@@ -370,25 +418,33 @@ def _left_pairs(rows: DataFrame) -> DataFrame:
 
 
 def near_groups(groups: DataFrame, docs: DataFrame) -> DataFrame:
-    """Components (node, component) of links between sets of at least 0.8 similarity; groups: (key, rep, n, fp, turns) of distinct sets.
+    """Components (node, component) of links between sets of at least 0.8 similarity; groups: (key, rep, n, fp, turns, odd) of distinct sets.
 
-    Sets that share a block of their fingerprints, and are near by Hamming distance, are candidates. In some rounds, the sets of a block are compared with a few of them, other ones
+    Sets that share a block of their fingerprints, and are near by Hamming distance, are candidates; what follows goes by the parts of
+    blocks that candidates connect. The sets of a part of over COMPARED are in some rounds compared with a few of them, other ones
     each round, if links don't join them already: that makes one part of a group of copies without all its pairs. Then
-    all pairs of sets of a block that are still of different parts are compared, in one task with the sets' sketches, and those
-    of large blocks by a join. Pairs are checked by size and Hamming distance of fingerprints, and then by their texts.
+    the sets of a part are compared in one task by their sketches, which gives the least pairs that connect them; where larger
+    sets are among them, all pairs that are not linked after that follow. Large parts are split, and end with a
+    join. Pairs are checked by size and Hamming distance of fingerprints, and then by their texts.
     """
-    met = _met(_listed(groups)).select(F.col("block").cast("long").alias("block"), "key")
-    rows = staged(met.join(groups.select("key", "rep", "n", "fp"), "key"), "near-blocks")
+    rows = staged(_met(_listed(groups)).join(groups.select("key", "rep", "n", "fp"), "key"), "near-blocks")
     packed = _packed_texts(rows.select("key", "rep").distinct(), docs)
+    sizes = staged(rows.groupBy("block").agg(F.count("*").alias("m"), F.max("n").alias("most")), "near-sizes")
+    large, estimated = sizes.where(F.col("m") > COMPARED).select("block"), sizes.where(F.col("most") >= SKETCH).select("block")
     links, parts = None, rows.sparkSession.createDataFrame([], "node long, component long")
 
-    def parted() -> DataFrame:
-        return rows.join(parts, F.col("key") == F.col("node"), "left").select("block", "key", "n", "fp", F.coalesce("component", "key").alias("part"))
-
-    rest = [lambda: _rest_pairs(parted(), rows.select("key", F.col("block").alias("other")), packed), lambda: _left_pairs(parted())]
-    for pairs_of in [*[lambda t=t: _pairs(parted(), t) for t in range(len(PIVOTS))], *rest]:
-        pairs = pairs_of()
-        found = staged(_verified(pairs, packed), "near-links")
+    def parted(of: DataFrame | None = None) -> DataFrame:
+        some = rows if of is None else rows.join(of, "block", "left_semi")
+        return some.join(parts, F.col("key") == F.col("node"), "left").select("block", "key", "n", "fp", F.coalesce("component", "key").alias("part"))
+
+    words = rows.select("key", F.col("block").alias("other"))
+    turns = [lambda: _rest_pairs(parted(), words, packed, True), lambda: _rest_pairs(parted(estimated), words, packed, False)]
+    if not large.isEmpty():
+        turns = [*[lambda t=t: _pairs(parted(large), t) for t in range(len(PIVOTS))], *turns, lambda: _left_pairs(parted(large))]
+    for pairs_of in turns:
+        found = staged(_verified(pairs_of(), packed), "near-links")
+        if links is not None and found.isEmpty():
+            continue
         links = found if links is None else links.unionByName(found)
         parts = staged(connected_components(links), "near-parts")
     return parts
@@ -419,7 +475,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     keyed = staged(with_fingerprints(rows, "text", ["doc_id"]), "near-sets")
-    groups = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "turns")]), "near-groups")
+    groups = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "fp", "turns", "odd")]), "near-groups")
     parts = near_groups(groups, rows).select(F.col("node").alias("key"), "component")
     named = groups.select("key", "rep").join(parts, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("least"))

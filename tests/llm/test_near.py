@@ -187,3 +187,51 @@ def test_rows_with_a_near_one_by_brute_force():
                 expected[i] = expected[j] = True
     found = near._have_near(block, n, words)
     assert 20 < expected.sum() < 580 and found.tolist() == expected.tolist()
+
+
+@pytest.mark.parametrize("n", [4, 12, 24, 36, 108, 144])
+def test_odd_sketches_keep_similar_sets_and_part_others(n):
+    """Sets differ in no more bits of the odd sketch than in shingles, so that the bound loses none; sets that share half of their shingles pass it rarely."""
+    odd = lambda x: np.frombuffer(near.odd_sketch(x), np.uint64)
+    differ = lambda a, b: int(np.bitwise_count(odd(a) ^ odd(b)).sum())
+    rng = np.random.default_rng(n)
+    for a, b in pairs_at_the_limit(rng, n, 100):
+        assert differ(a, b) <= len(np.setxor1d(a, b)) == (len(a) + len(b)) // 9
+    values = rng.integers(0, 1 << 63, (100, n + n // 2), dtype=np.uint64)
+    assert np.mean([differ(np.unique(x[:n]), np.unique(x[n // 2 :])) <= 2 * n // 9 for x in values]) < 0.1
+
+
+def test_short_sets_of_one_block_meet_by_no_chance():
+    """Of 400 unrelated sets of 20 shingles in one block, few are of one part with others; by Hamming distance of the words carried nearly all would be."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)) for _ in range(400)]
+    sets += [np.sort(np.append(x[1:], np.uint64(k))) for k, x in enumerate(sets[:50])]
+    block, n = np.zeros(450, np.int32), np.full(450, 20)
+    words = np.stack([near.fingerprint(x)[: near.CARRIED].view(np.uint64) for x in sets])
+    odd = np.stack([np.frombuffer(near.odd_sketch(x), np.uint64) for x in sets])
+    part = near._near_parts(block, n, words, odd)
+    kept = near._near_parts(block, n, words)
+    assert all(part[k] == part[400 + k] for k in range(50) if kept[k] == kept[400 + k])
+    assert near._have_near(block, n, words, odd).sum() <= 110 < 400 < near._have_near(block, n, words).sum()
+
+
+def test_equal_parts_of_blocks_have_one_name():
+    block = np.array([1, 1, 1, 1, 1, 2, 2, 2, 3, 3])
+    key = np.array([10, 20, 30, 40, 50, 20, 10, 60, 30, 60])
+    part = np.array([0, 0, 2, 2, 4, 5, 5, 7, 8, 8])
+    names, keys = near._named_parts(block, key, part)
+    found = {}
+    for name, k in zip(names.tolist(), keys.tolist(), strict=True):
+        found.setdefault(name, []).append(k)
+    assert sorted(sorted(x) for x in found.values()) == [[10, 10, 20, 20], [30, 40], [30, 60]]
+
+
+@pytest.mark.parametrize("n", [100, 3000])
+def test_copies_of_a_block_give_few_pairs(n):
+    """A block of 60 near copies, also of sets larger than a sketch, gives the pairs that connect them, not all."""
+    rng = np.random.default_rng(n)
+    base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: n - n // 50], rng.integers(0, 1 << 63, n // 50, dtype=np.uint64)])) for _ in range(60)]
+    fps = np.stack([near.fingerprint(x).view(np.uint64) for x in sets])
+    pairs = list(near._near_in_block(np.arange(60), np.array([len(x) for x in sets]), fps, list(range(60)), [near.sketch(x) for x in sets], True))
+    assert len(pairs) == 59 and len({x for p in pairs for x in p}) == 60
