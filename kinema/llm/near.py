@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import append_columns, slices, staged, unused, utf8
+from .common import append_columns, marked, slices, staged, unused, utf8
 from .graph import connected_components
 
 #: Words of a shingle, and the similarity of a pair, as a fraction: 4 of 5.
@@ -21,8 +21,8 @@ WIDTH, ABOVE, BELOW = 5, 4, 5
 #: Words of 64 bits in a fingerprint, and bits in which those of a pair may differ; at the similarity they differ in 39 of
 #: 256 on average, with a deviation of 6. Votes of small sets are closer: up to MEDIUM shingles more bits may differ.
 WORDS, DISTANCE, MEDIUM, MEDIUM_DISTANCE = 4, 63, 24, 104
-#: Blocks that a fingerprint is cut into, and bits of a block.
-BLOCKS, BITS = 16, 16
+#: Blocks that a fingerprint is cut into, bits of their numbers, and bits of a block.
+BLOCKS, BLOCK_BITS, BITS = 16, 4, 16
 #: Bits of a block whose votes were the closest, that are also taken as turned, by the shingles that a set has at least; the
 #: votes of few shingles are often even. Sets of fewer than the first of them have no blocks: only equal sets are similar to them.
 TURNS = ((4, 5), (12, 4), (MEDIUM + 1, 2))
@@ -31,7 +31,9 @@ CARRIED, CARRIED_DISTANCE, CARRIED_MEDIUM = 2, 38, 52
 #: Words of an odd sketch, and shingles up to which sets have one: of sets that are similar, at most so many shingles are in one
 #: alone that those of chance and of a common passage differ in far more bits.
 ODD, SMALL = 2, 160
-#: Rows of blocks that are compared at once.
+#: Low bits of a block in which blocks of one group differ. A group goes to one task, and a set is listed once in it.
+LOW = 6
+#: Rows of groups that are compared at once.
 ROWS = 1 << 16
 #: Documents of a block of over COMPARED sets that its others are compared with first, by round; other ones each round.
 PIVOTS = (1, 4, 16)
@@ -175,8 +177,39 @@ def with_fingerprints(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return append_columns(docs, KEYED, run, keep)
 
 
+def _in_groups(fps: np.ndarray, turns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, blocks): a row for each group that holds blocks of a fingerprint, _blocks but for turned low bits; which of these are turned stands above the block."""
+    own = _blocks(fps, turns[..., :0])[..., None]
+    bits = np.int32(1) << turns.astype(np.int32)
+    low = bits < 1 << LOW
+    marks = np.where(low, bits, 0).sum(axis=2, dtype=np.int32)[..., None] << np.int32(BITS + BLOCK_BITS)
+    blocks, listed = own, np.ones(own.shape, bool)
+    for i in range(turns.shape[2]):
+        blocks = np.concatenate([blocks, blocks ^ bits[..., i : i + 1]], axis=2)
+        listed = np.concatenate([listed, listed & ~low[..., i : i + 1]], axis=2)
+    return np.nonzero(listed)[0], (blocks | marks)[listed]
+
+
+def _group(block):
+    """The group of a listed row's block, of numbers and arrays."""
+    return block >> LOW & (1 << BITS + BLOCK_BITS - LOW) - 1
+
+
+def _ungrouped(listed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, blocks): the blocks of listed rows, with the low bits turned as well that are marked."""
+    marks, rows, blocks = listed >> BITS + BLOCK_BITS, np.arange(len(listed)), listed & (1 << BITS + BLOCK_BITS) - 1
+    for i in range(LOW):
+        at = np.flatnonzero(marks[rows] >> i & 1)
+        rows, blocks = np.concatenate([rows, rows[at]]), np.concatenate([blocks, blocks[at] ^ 1 << i])
+    return rows, blocks
+
+
 def _listed(groups: DataFrame) -> DataFrame:
-    """(block, key, n, f0, ..., o0, ...): every set under each of its blocks, with CARRIED words of its fingerprint and its odd sketch, 0 if it has none."""
+    """(block, key, n, f0, ..., o0, ...): every set under each group of its blocks, with CARRIED words of its fingerprint and its odd sketch.
+
+    Pairs of sets that have odd sketches are told by these alone: the fingerprint is 0 where all similar sets have one, the sketch
+    where there is none.
+    """
     names = [f"f{i}" for i in range(CARRIED)] + [f"o{i}" for i in range(ODD)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,20 +217,21 @@ def _listed(groups: DataFrame) -> DataFrame:
             key, n, fp, turns, odd = (batch.column(batch.schema.names.index(c)) for c in ("key", "n", "fp", "turns", "odd"))
             key, n, fp, turns = key.to_numpy(), n.to_numpy(), fp.flatten().to_numpy().reshape(-1, WORDS), turns.to_pylist()
             odd = np.frombuffer(b"".join(x or bytes(8 * ODD) for x in odd.to_pylist()), np.int64).reshape(-1, ODD)
-            words = [*(fp[:, i] for i in range(CARRIED)), *(odd[:, i] for i in range(ODD))]
+            words = [*(np.where(n * BELOW <= SMALL * ABOVE, 0, fp[:, i]) for i in range(CARRIED)), *(odd[:, i] for i in range(ODD))]
             sizes = np.array([len(x) for x in turns])
             for size in np.unique(sizes[sizes > 0]).tolist():
                 at = np.flatnonzero(sizes == size)
-                blocks = _blocks(fp[at], np.frombuffer(b"".join(turns[i] for i in at), np.uint8).reshape(len(at), BLOCKS, -1))
-                each = np.repeat(at, blocks.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (blocks.ravel(), key[each], n[each], *(w[each] for w in words))], names=["block", "key", "n", *names])
+                sets, blocks = _in_groups(fp[at], np.frombuffer(b"".join(turns[i] for i in at), np.uint8).reshape(len(at), BLOCKS, -1))
+                each = at[sets]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (blocks, key[each], n[each], *(w[each] for w in words))], names=["block", "key", "n", *names])
 
     return groups.select("key", "n", "fp", "turns", "odd").mapInArrow(run, "block int, key long, n int, " + ", ".join(f"{w} long" for w in names))
 
 
 def _near_parts(block: np.ndarray, n: np.ndarray, words: np.ndarray, odd: np.ndarray | None = None) -> np.ndarray:
-    """The part of each row: rows of a block that may be near, by size and by Hamming distance of the words carried and of odd sketches, are of one part.
+    """The part of each row: rows of a block that may be near, by size and by Hamming distance, are of one part.
 
+    The distance is that of odd sketches where these are given and both sets have one, else of the words carried.
     Rows are in order of (block, n). Each is compared with those after it, one place further on at a time, as far as
     block and size allow; pairs of rows that are of one part already are passed over.
     """
@@ -208,10 +242,12 @@ def _near_parts(block: np.ndarray, n: np.ndarray, words: np.ndarray, odd: np.nda
         at = at[at + d < len(block)]
         at = at[(block[at] == block[at + d]) & (n[at] * BELOW >= n[at + d] * ABOVE)]
         i = at[part[at] != part[at + d]]
-        i = i[np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= most[i]]
-        if odd is not None:
+        by_words = np.bitwise_count(words[i] ^ words[i + d]).sum(axis=1, dtype=np.int32) <= most[i]
+        if odd is None:
+            i = i[by_words]
+        else:
             alone = (n[i] + n[i + d]) * (BELOW - ABOVE) // (ABOVE + BELOW)  # shingles that one of a pair just similar has alone
-            i = i[(n[i + d] > SMALL) | (np.bitwise_count(odd[i] ^ odd[i + d]).sum(axis=1, dtype=np.int32) <= alone)]
+            i = i[np.where(n[i + d] > SMALL, by_words, np.bitwise_count(odd[i] ^ odd[i + d]).sum(axis=1, dtype=np.int32) <= alone)]
         if len(i):
             root: dict[int, int] = {}
 
@@ -256,7 +292,7 @@ def _named_parts(block: np.ndarray, key: np.ndarray, part: np.ndarray) -> tuple[
 
 
 def _met(listed: DataFrame) -> DataFrame:
-    """(block, key): the parts of blocks, by name, of sets that may be near, and their sets; a block goes to one task."""
+    """(block, key): the parts of blocks, by name, of sets that may be near, and their sets; a group of blocks goes to one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -264,14 +300,18 @@ def _met(listed: DataFrame) -> DataFrame:
         def compared(last: bool) -> pa.RecordBatch:
             rows = pa.Table.from_batches(held)
             held.clear()
-            block = rows["block"].to_numpy()
-            ends = len(block) if last else int(np.searchsorted(block == block[-1], True))  # the last block may go on
-            if ends < len(block):
+            group = _group(rows["block"].to_numpy())
+            ends = len(group) if last else int(np.searchsorted(group == group[-1], True))  # the last group may go on
+            if ends < len(group):
                 held.extend(rows.slice(ends).combine_chunks().to_batches())
             rows = rows.slice(0, ends)
-            words, odd = (np.stack([rows[f"{c}{i}"].to_numpy().view(np.uint64) for i in range(k)], axis=1) for c, k in (("f", CARRIED), ("o", ODD)))
-            part = _near_parts(block[:ends], rows["n"].to_numpy().astype(np.int64), words, odd)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _named_parts(block[:ends], rows["key"].to_numpy(), part)], names=["block", "key"])
+            at, block = _ungrouped(rows["block"].to_numpy())
+            n = rows["n"].to_numpy()[at].astype(np.int64)
+            order = np.lexsort((n, block))
+            at, block, n = at[order], block[order], n[order]
+            words, odd = (np.stack([rows[f"{c}{i}"].to_numpy().view(np.uint64)[at] for i in range(k)], axis=1) for c, k in (("f", CARRIED), ("o", ODD)))
+            part = _near_parts(block, n, words, odd)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _named_parts(block, rows["key"].to_numpy()[at], part)], names=["block", "key"])
 
         size = 0
         for batch in batches:
@@ -279,13 +319,14 @@ def _met(listed: DataFrame) -> DataFrame:
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size >= ROWS and held[0].column(0)[0] != batch.column(0)[-1]:
+            if size >= ROWS and _group(held[0].column(0)[0].as_py()) != _group(batch.column(0)[-1].as_py()):
                 yield compared(False)
                 size = sum(x.num_rows for x in held)
         if held:
             yield compared(True)
 
-    return listed.repartition("block").sortWithinPartitions("block", "n").mapInArrow(run, "block long, key long").distinct()
+    group = F.shiftright("block", LOW).bitwiseAND((1 << BITS + BLOCK_BITS - LOW) - 1)
+    return listed.repartition(group).sortWithinPartitions(group).mapInArrow(run, "block long, key long").distinct()
 
 
 def _may_be_near(a: Column, b: Column) -> Column:
@@ -340,8 +381,7 @@ def _packed_texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
         sets = [shingle_set(x) for x in raw]
         return [[set_key(x) for x in sets], [pack(x) for x in raw], pa.array([sketch(x).view(np.int32) for x in sets], pa.list_(pa.int32()))]
 
-    reps = keys.select(F.col("rep").alias("__rep")).distinct()
-    texts = docs.join(reps, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
+    texts, _ = marked(docs, "doc_id", keys, "rep")  # so that the other texts aren't shuffled; what is marked by chance goes by its key
     made = append_columns(texts, [T.StructField("key", T.LongType()), T.StructField("z", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.IntegerType()))], run, [])
     return staged(made.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(*[F.first(c).alias(c) for c in ("z", "sketch")]), "near-texts")
 
@@ -431,25 +471,33 @@ def near_groups(groups: DataFrame, docs: DataFrame) -> DataFrame:
     packed = _packed_texts(rows.select("key", "rep").distinct(), docs)
     sizes = staged(rows.groupBy("block").agg(F.count("*").alias("m"), F.max("n").alias("most")), "near-sizes")
     large, estimated = sizes.where(F.col("m") > COMPARED).select("block"), sizes.where(F.col("most") >= SKETCH).select("block")
-    links, parts = None, rows.sparkSession.createDataFrame([], "node long, component long")
-
-    def parted(of: DataFrame | None = None) -> DataFrame:
-        some = rows if of is None else rows.join(of, "block", "left_semi")
-        return some.join(parts, F.col("key") == F.col("node"), "left").select("block", "key", "n", "fp", F.coalesce("component", "key").alias("part"))
-
     words = rows.select("key", F.col("block").alias("other"))
-    turns = [lambda: _rest_pairs(parted(), words, packed, True), lambda: _rest_pairs(parted(estimated), words, packed, False)]
+    turns = [lambda of: _rest_pairs(of, words, packed, True), lambda of: _rest_pairs(of.join(estimated, "block", "left_semi"), words, packed, False)]
     if not large.isEmpty():
-        turns = [*[lambda t=t: _pairs(parted(large), t) for t in range(len(PIVOTS))], *turns, lambda: _left_pairs(parted(large))]
+        turns = [*[lambda of, t=t: _pairs(of.join(large, "block", "left_semi"), t) for t in range(len(PIVOTS))], *turns, lambda of: _left_pairs(of.join(large, "block", "left_semi"))]
+    unsettled, links, parts, joined = rows.select("block", "key", "n", "fp", F.col("key").alias("part")), None, None, False
     for pairs_of in turns:
-        found = staged(_verified(pairs_of(), packed), "near-links")
-        if links is not None and found.isEmpty():
+        if joined:
+            unsettled = _unsettled(unsettled, parts)
+            if unsettled.isEmpty():
+                break
+        found = staged(_verified(pairs_of(unsettled), packed), "near-links")
+        joined = not found.isEmpty()
+        if links is not None and not joined:
             continue
         links = found if links is None else links.unionByName(found)
         parts = staged(connected_components(links), "near-parts")
     return parts
 
 
+def _unsettled(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows, with their new parts, of the blocks that still hold several: parts only grow, so that blocks of one part are done with."""
+    named = rows.drop("part").join(parts, F.col("key") == F.col("node"), "left").select("block", "key", "n", "fp", F.coalesce("component", "key").alias("part"))
+    named = staged(named, "near-parted")
+    mixed = named.groupBy("block").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("block")
+    return staged(named.join(mixed, "block", "left_semi"), "near-unsettled")
+
+
 def keep_least(docs: DataFrame, keyed: DataFrame, named: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows of docs whose id is the least of its group, and the rows without an id; keyed: (doc_id, key), named: (key, least).
 
@@ -458,11 +506,12 @@ def keep_least(docs: DataFrame, keyed: DataFrame, named: DataFrame, doc_id: str,
     """
     of = keyed.where("doc_id is not null").join(named, "key")
     ids = staged(of.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("least")).alias("stays"), F.count("*").alias("n")).where("not coalesce(stays, false) or n > 1"), "near-ids")
-    repeated = docs.join(ids.where("stays").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
+    some, others = marked(docs.where(F.col(doc_id).isNotNull()), doc_id, ids, "doc_id")  # the texts of the others aren't shuffled
+    repeated = some.join(ids.where("stays").select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
     (rank,) = unused(docs, "rank")
     ranked = repeated.withColumn(rank, F.row_number().over(W.partitionBy(doc_id).orderBy(F.length(text), text))).where(F.col(rank) == 1).drop(rank)
-    one = docs.where(F.col(doc_id).isNotNull()).join(ids.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
-    return one.select(docs.columns).unionByName(ranked.select(docs.columns)), docs.where(F.col(doc_id).isNull())
+    one = some.join(ids.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti")
+    return others.unionByName(one.select(docs.columns)).unionByName(ranked.select(docs.columns)), docs.where(F.col(doc_id).isNull())
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

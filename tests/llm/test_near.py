@@ -235,3 +235,73 @@ def test_copies_of_a_block_give_few_pairs(n):
     fps = np.stack([near.fingerprint(x).view(np.uint64) for x in sets])
     pairs = list(near._near_in_block(np.arange(60), np.array([len(x) for x in sets]), fps, list(range(60)), [near.sketch(x) for x in sets], True))
     assert len(pairs) == 59 and len({x for p in pairs for x in p}) == 60
+
+
+@pytest.mark.parametrize("n", [4, 20, 300])
+def test_a_set_is_listed_once_in_a_group_of_blocks(n):
+    """Fewer rows than blocks go to the tasks, which find all blocks of a set again."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(20)]
+    fps = np.stack([near.fingerprint(x) for x in sets])
+    turns = np.stack([np.frombuffer(near._turns(near._votes(x), n), np.uint8).reshape(near.BLOCKS, -1) for x in sets])
+    of, listed = near._in_groups(fps, turns)
+    assert len(listed) < 0.7 * sum(len(near.block_words(x)) for x in sets)
+    rows, blocks = near._ungrouped(listed)
+    for k, x in enumerate(sets):
+        groups = near._group(listed[of == k]).tolist()
+        assert len(set(groups)) == len(groups)
+        assert sorted(blocks[of[rows] == k].tolist()) == sorted(near.block_words(x).tolist())
+    assert (near._group(listed)[rows] == near._group(blocks)).all()
+
+
+def test_sets_with_odd_sketches_are_told_by_these_alone():
+    """Sets up to SMALL shingles carry no fingerprint unless similar sets may be larger."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    sets = [np.sort(base[:120]), np.sort(base[:118]), np.sort(base[:150])]
+    n, odd = np.array([118, 120, 150]), np.stack([np.frombuffer(near.odd_sketch(x), np.uint64) for x in (sets[1], sets[0], sets[2])])
+    words = np.stack([np.zeros(near.CARRIED, np.uint64), ~np.zeros(near.CARRIED, np.uint64), np.zeros(near.CARRIED, np.uint64)])
+    part = near._near_parts(np.zeros(3, np.int32), n, words, odd)
+    assert part[0] == part[1] == part[2]
+
+
+def test_texts_without_candidates_are_not_shuffled(spark, monkeypatch):
+    """However many candidates there are, the other texts stay where they are."""
+    plans, staged = {}, near.staged
+
+    def seen(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name, *more)
+
+    monkeypatch.setattr(near, "staged", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(k, f"{k} a b c d e f {k}") for k in range(40)] + [(None, "without an id"), (7, "another text of 7")], "doc_id long, text string")
+        keyed = [(near.set_key(near.shingle_set(t.encode())), r) for t, r in (("3 a b c d e f 3", 3), ("7 a b c d e f 7", 7), ("without an id", None))]
+        found = near._packed_texts(spark.createDataFrame(keyed, "key long, rep long"), docs).collect()
+        assert sorted(r.key for r in found) == sorted(k for k, _ in keyed)
+        assert "hashpartitioning(doc_id" not in plans["near-texts"] and "hashpartitioning(coalesce(doc_id" not in plans["near-texts"]
+        one, _ = near.keep_least(docs, spark.createDataFrame([(k, k) for k in range(40)] + [(7, 50)], "doc_id long, key long"), spark.createDataFrame([(k, k // 2) for k in range(40)] + [(50, 7)], "key long, least long"), "doc_id", "text")
+        assert sorted((r.doc_id, r.text) for r in one.collect()) == [(0, "0 a b c d e f 0"), (7, "7 a b c d e f 7")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_blocks_of_one_part_are_done_with(spark):
+    rows = spark.createDataFrame([(1, 10, 9, [0], 10), (1, 11, 9, [0], 11), (2, 10, 9, [0], 10), (2, 12, 9, [0], 12)], "block long, key long, n int, fp array<long>, part long")
+    left = near._unsettled(rows, spark.createDataFrame([(10, 10), (11, 10)], "node long, component long"))
+    assert sorted((r.block, r.key, r.part) for r in left.collect()) == [(2, 10, 10), (2, 12, 12)]
+
+
+def test_marks_lose_no_row(spark, monkeypatch):
+    from kinema.llm import common
+
+    for size in (1 << 18, 1):
+        monkeypatch.setattr(common, "MARKS", size)
+        rows = spark.createDataFrame([(k if k else None, k) for k in range(300)], "id long, n long")
+        of = spark.createDataFrame([(None,), *((k,) for k in range(5, 200, 7))], "x long")
+        some, others = common.marked(rows, "id", of, "x")
+        some, others = ({r.n for r in x.collect()} for x in (some, others))
+        assert some | others == set(range(300)) and not some & others and {0, *range(5, 200, 7)} <= some
+        assert len(some) == 29 if size > 1 else len(some) > 29
+        assert common.marked(rows, "id", of.limit(0), "x")[1].count() == 300
