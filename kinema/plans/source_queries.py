@@ -66,7 +66,8 @@ def io10(spark, sf):
     marks = f.withColumn("variant", F.explode(F.array(F.lit("raw"), F.lit("pp"))))
     files.write_artifact(v_videos(spark, sf), f, marks, root)
     videos, frames, read = (spark.read.parquet(f"{root}/{t}") for t in ("videos", "frames", "landmarks"))
-    return frames.join(videos.select("sample_id", "frames"), "sample_id").join(read, ["sample_id", "frame_idx"]).select("sample_id", "frame_idx", "frames", "variant", "group")
+    # sorted ids and numbers take a few bits a row in the files, so that their size would have Spark broadcast any number of rows
+    return frames.join(videos.select("sample_id", "frames").hint("merge"), "sample_id").join(read.hint("merge"), ["sample_id", "frame_idx"]).select("sample_id", "frame_idx", "frames", "variant", "group")
 
 
 @query("io13_predictions", 'select id, "true", pred, round(conf, 6) as conf, [cast(pred as bigint), cast("true" as bigint)] as ranked from v_pred')
