@@ -18,6 +18,11 @@ def rounded(df, *cols, n=6):
     return df.select(*[F.round(c, n).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
+def sql_round(c, n=6):
+    """The column rounded as SQL's round() does: it is scaled first, so that a product that is a half goes up, and a zero keeps its sign."""
+    return F.when(F.abs(c) < 1e300, F.signum(c) * F.round(F.abs(c) * 10.0**n) / 10.0**n).otherwise(c)
+
+
 @query("flagship", """
     with s as (select sample_id, frame_idx, h1, score, ts_ms - lag(ts_ms) over w as dt, lag(h1) over w as ph, abs(x - lag(x) over w) as dx from v_frames window w as (partition by sample_id order by frame_idx)),
     m as (select *, min(dt) over (partition by sample_id) as least from s), k as (select *, coalesce(case when h1 and ph then dx else 0 end / case when least > 0 then dt else 1 end, 0) as motion from m),

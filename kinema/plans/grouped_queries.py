@@ -8,7 +8,7 @@ from ..operators import grouped
 from ..streaming import stateful
 from .agg_queries import rounded
 from .registry import query
-from .views import shared_path, table, v_bio, v_frames
+from .views import shared_path, table, table_stream, v_bio, v_frames
 
 
 def decoder_sql(frames: str, key: str, start: float = 0.5, cooldown: int = 0, guard: int = 1, onset: float = 2, active: float = -1, active_go_on: float = 2, end: bool = True) -> str:
@@ -146,8 +146,7 @@ STREAM = "select user_id as session_id, row_number() over (partition by user_id
 @query("st1_stream_segments", decoder_sql(STREAM, "session_id"))
 def st1(spark, sf):
     """The decoder over the events as a stream, all that is there taken in one go, with the segments that its end leaves open."""
-    schema = table(spark, sf, "events").schema
-    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    s = table_stream(spark, sf, "events")
     b = F.col("value") / (F.col("value") + 60)
     frames = s.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), b.alias("pb"), ((1 - b) * 0.3).alias("pi"), (F.col("event_type") != "error").alias("visible"))
     base = shared_path(spark, "stream")

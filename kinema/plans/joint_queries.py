@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agg, evaluate, grouped, joins, seq
 from ..streaming import stateful
-from .agg_queries import NUDGE, rounded
+from .agg_queries import NUDGE, rounded, sql_round
 from .grouped_queries import EURO_STATE, steps_sql
 from .registry import query
 from .source_queries import events_stream, taken
@@ -52,7 +52,7 @@ def st3(spark, sf):
 def st4(spark, sf):
     xs = F.array(*[F.col("value") * (c + 1) - c for c in range(3)])
     frames = events_stream(spark, sf).select("session_id", "frame_idx", "ts", F.expr("unix_millis(ts)").alias("ts_ms"), xs.alias("xs"))
-    return taken(stateful.stream_one_euro(frames)).withColumn("smooth", F.transform("smooth", lambda x: F.round(x, 6)))
+    return taken(stateful.stream_one_euro(frames)).withColumn("smooth", F.transform("smooth", lambda x: sql_round(x)))
 
 
 # ST9

@@ -12,7 +12,7 @@ from ..streaming import stateful
 from .agg_queries import rounded
 from .grouped_queries import STREAM, as_long, decoder_sql, steps_sql
 from .registry import query
-from .views import shared_path, table, v_ann, v_frames
+from .views import shared_path, table, table_stream, v_ann, v_frames
 
 
 @query("io1_scan_delimited", 'select attachment_id, label, signer, "begin", "end" from v_ann')
@@ -122,8 +122,7 @@ def ar1_ar2(spark, sf):
 
 def events_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of frames by session, numbered by event."""
-    s = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return s.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
+    return table_stream(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_id").alias("frame_idx"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
 
 
 def taken(out: DataFrame) -> DataFrame:
