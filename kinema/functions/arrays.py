@@ -181,9 +181,9 @@ def sum_of_squares(probs: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """AR23: the unit vector, a zero vector staying zero."""
-    n = F.sqrt(_sum(F.transform(v, lambda x: x.cast("double") * x.cast("double"))))
-    return F.get(F.transform(F.array(n), lambda m: F.transform(v, lambda x: F.when(m > 0, x.cast("double") / m).otherwise(0.0))), F.lit(0))
+    """AR23: the unit vector, a zero vector staying zero; a null coordinate stays null, and doesn't count."""
+    n = F.sqrt(_sum(F.transform(v, lambda x: F.coalesce(x.cast("double") * x.cast("double"), F.lit(0.0)))))
+    return F.get(F.transform(F.array(n), lambda m: F.transform(v, lambda x: F.when(m > 0, x.cast("double") / m).otherwise(x.cast("double") * 0))), F.lit(0))
 
 
 def cosine01(a: Column, b: Column) -> Column:

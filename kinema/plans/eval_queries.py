@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..operators import evaluate, joins, seq, sets
-from .agg_queries import NUDGE, rounded
+from .agg_queries import NUDGE, rounded, sql_round
 from .registry import query
 from .views import table, v_bio, v_frames, v_pred
 
@@ -338,7 +338,7 @@ def ar21(spark, sf):
 
 @query("ar23_l2_normalize", "select vec_id, [round(x / sqrt(list_sum([cast(y as double) * y::double for y in embedding])), 6) for x in embedding] as unit from embeddings")
 def ar23(spark, sf):
-    return table(spark, sf, "embeddings").select("vec_id", F.transform(arrays.l2_normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return table(spark, sf, "embeddings").select("vec_id", F.transform(arrays.l2_normalize(F.col("embedding")), lambda x: sql_round(x)).alias("unit"))
 
 
 @query("ar24_bio_string", "with s as (select sample_id, string_agg(substr('OBI', p + 1, 1), '' order by frame_idx) as t from v_bio group by 1) select sample_id, case when length(t) > 60 then left(t, 60) || '...(' || length(t) || ')' else t end as tags from s")
