@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,11 @@ def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of the value, which is worked out once for all its uses in f: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pose_reorder(pose: Column, order: Column, keep: Column) -> Column:
     """AR3: the joints of `keep` in that order; a joint that `order` lacks is null."""
     return F.transform(keep, lambda k: F.when(F.array_position(order, k) > 0, F.get(pose, (F.array_position(order, k) - 1).cast("int"))))
@@ -37,9 +42,14 @@ def wrist_fallback(wrist: Column, pose_wrist: Column, visible: Column, world: bo
 
 def hand_scale(xs: Column, ys: Column, least: int = 2) -> Column:
     """AR8: upper median distance of joints from the first, 0 if there are fewer than `least`."""
-    d = F.array_sort(F.zip_with(xs, ys, lambda x, y: F.hypot(x - F.get(xs, F.lit(0)), y - F.get(ys, F.lit(0)))))
-    rest = F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0)))
-    return F.when(F.size(rest) < least, 0.0).otherwise(F.get(rest, F.floor(F.size(rest) / 2).cast("int")))
+    first = F.struct(F.get(xs, F.lit(0)).alias("x"), F.get(ys, F.lit(0)).alias("y"))
+    return _once(first, lambda p: _scale(F.zip_with(xs, ys, lambda x, y: F.hypot(x - p["x"], y - p["y"])), least))
+
+
+def _scale(distances: Column, least: int) -> Column:
+    """Upper median of the distances without the smallest, the first joint's own, 0 if there are fewer than `least`."""
+    rest = _once(F.array_sort(distances), lambda d: F.slice(d, 2, F.greatest(F.size(d) - 1, F.lit(0))))
+    return _once(rest, lambda d: F.when(F.size(d) < least, 0.0).otherwise(F.get(d, F.floor(F.size(d) / 2).cast("int"))))
 
 
 def mean_l2(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -98,7 +108,7 @@ def bone_error(points: Column, anchor: Column, links: Sequence[tuple[int, int]],
 
 def points_scale(points: Column, least: int = 2) -> Column:
     """AR8 of points with x and y."""
-    return hand_scale(F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"]), least)
+    return _once(F.get(points, F.lit(0)), lambda p: _scale(F.transform(points, lambda q: F.hypot(q["x"] - p["x"], q["y"] - p["y"])), least))
 
 
 def sanity_check(points: Column, anchor: Column, before: Column, links: Sequence[tuple[int, int]], k: float = 2.0, least: int = 2) -> Column:
@@ -106,12 +116,19 @@ def sanity_check(points: Column, anchor: Column, before: Column, links: Sequence
 
     The wrist's jump is held against k x the anchor's scale, or the hand's own without an anchor.
     """
-    scale, anchor_scale = points_scale(points, least), F.nullif(points_scale(anchor, least), F.lit(0.0))
     first = lambda p, c: F.get(p, F.lit(0))[c]
     jump = F.hypot(first(points, "x") - first(before, "x"), first(points, "y") - first(before, "y"))
-    ratio, bone, base = scale / anchor_scale, bone_error(points, anchor, links, scale, anchor_scale), F.coalesce(anchor_scale, scale)
-    found = F.array(F.when((ratio < 0.70) | (ratio > 1.35), "scale"), F.when((base > 0) & (jump > k * base), "jump"), F.when(bone > 0.30, "bone"))
-    return F.struct(F.filter(found, lambda x: x.isNotNull()).alias("reasons"), ratio.alias("scale_ratio"), jump.alias("wrist_jump"), bone.alias("bone_error"))
+
+    def measured(own: Column, of_anchor: Column) -> Column:
+        scale = F.when(of_anchor != 0, of_anchor)
+        return F.struct((own / scale).alias("ratio"), jump.alias("jump"), bone_error(points, anchor, links, own, scale).alias("bone"), F.coalesce(scale, own).alias("base"))
+
+    def judged(m: Column) -> Column:
+        found = F.array(F.when((m["ratio"] < 0.70) | (m["ratio"] > 1.35), "scale"), F.when((m["base"] > 0) & (m["jump"] > k * m["base"]), "jump"), F.when(m["bone"] > 0.30, "bone"))
+        return F.struct(F.filter(found, lambda x: x.isNotNull()).alias("reasons"), m["ratio"].alias("scale_ratio"), m["jump"].alias("wrist_jump"), m["bone"].alias("bone_error"))
+
+    scales = F.struct(points_scale(points, least).alias("own"), points_scale(anchor, least).alias("anchor"))
+    return _once(_once(scales, lambda s: measured(s["own"], s["anchor"])), judged)
 
 
 def dedup_hands(distance: Column, wrist: Column, overlap: Column, scale: Column, left_score: Column, right_score: Column) -> Column:

@@ -54,3 +54,7 @@ def test_unit_vectors_keep_signs_of_zeros_and_nulls(spark, tmp_path):
     with duckdb.connect() as c:
         c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
         assert repr(got) == repr(sorted(c.sql(SQL["ar23_l2_normalize"]).fetchall()))
+
+
+def test_sanity_check_works_a_scale_out_once(spark):
+    assert plan(QUERIES["ar15_sanity_check"](spark, SF)).count("array_sort(") == 2  # the hand's and the anchor's
